@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills the registry."""
 
-from promptspread.plans import metrics_queries, scoring_queries  # noqa: F401
+from promptspread.plans import instance_queries, metrics_queries, scoring_queries  # noqa: F401
 from promptspread.plans.registry import ORACLES, QUERIES  # noqa: F401
