@@ -85,3 +85,38 @@ def number_label(idx: Column, fmt: Column) -> Column:
 def number_label_by_name(idx: Column, fn_name: Column) -> Column:
     pos = F.array_position(F.array(*[F.lit(n) for n in NUMBER_FORMATS]), fn_name) - 1
     return number_label(idx, pos)
+
+
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference): split-mode catalogues (C11).
+SHORT_TRAIN_SEPARATORS = ["", ": ", " - ", " ", ":", "- ", "::: ", ":: ", "::"]
+LONG_TEST_SEPARATORS = [" \n\t", "\n    ", " : ", "\n\t", "\t", "\n "]
+SHORT_TRAIN_SPACES = ["", " ", " -- ", " || ", " <sep> ", ", ", " , ", ". "]
+LONG_TEST_SPACES = [" \n", "  ", "; \n", " \n ", "\n ", "\n", " ,  "]
+COMPOSITIONAL_TRAIN_SEPARATORS = ["", " ", ":", "- ", "\t", "\n "]
+COMPOSITIONAL_TEST_SEPARATORS = [" - ", " \n\t", "\n    ", " : ", "\n\t", "::: ", ":: ", ": ", "::"]
+COMPOSITIONAL_TRAIN_SPACES = ["", " ", " -- ", " || ", " <sep> ", "\n", ", ", ". ", ";"]
+COMPOSITIONAL_TEST_SPACES = [" \n", "  ", "; \n", " \n ", "\n ", " , ", " ,  "]
+# ---------------------------------------------------------------------------
+
+SPLIT_MODES = {
+    "random": {},
+    "space": {"chosen_space": LONG_TEST_SPACES},
+    "separator_space": {"chosen_space": LONG_TEST_SPACES, "chosen_separator": LONG_TEST_SEPARATORS},
+    "compositional_separator": {"chosen_separator": COMPOSITIONAL_TEST_SEPARATORS},
+    "compositional_separator_space": {"chosen_separator": COMPOSITIONAL_TEST_SEPARATORS,
+                                      "chosen_space": COMPOSITIONAL_TEST_SPACES},
+    "unseen_space": {"chosen_space": [s for s in SPACES if s != "\n"]},
+}
+TRAIN_MODES = {
+    "space": {"chosen_space": SHORT_TRAIN_SPACES},
+    "separator_space": {"chosen_space": SHORT_TRAIN_SPACES, "chosen_separator": SHORT_TRAIN_SEPARATORS},
+    "compositional_separator": {"chosen_separator": COMPOSITIONAL_TRAIN_SEPARATORS},
+    "compositional_separator_space": {"chosen_separator": COMPOSITIONAL_TRAIN_SEPARATORS,
+                                      "chosen_space": COMPOSITIONAL_TRAIN_SPACES},
+}
+
+
+def mode_catalogue(mode: str) -> dict[str, list[str]]:
+    """C11: the catalogue a split mode samples test formats from."""
+    return {**ACTION_TYPES, **SPLIT_MODES[mode]}
