@@ -504,3 +504,150 @@ def c17_split_coherence(spark, d):
     s = split_formats(spark, d, "random")
     u = s.select(_fan_out(F.col("vals")).alias("t")).select("t.task", F.col("t.vals").alias("v"))
     return u.groupBy("task").agg(F.count_distinct("v").alias("n_distinct")).withColumn("coherent", F.col("n_distinct") == N_TEST)
+
+
+NESTED = FM.layout("nested_options")
+
+
+def _enum1_labels(t, k):
+    """Number-format labels of the enum1 items under each format (unwrapped), as expressions."""
+    cur = FM.effective_values(t)
+    node = [n for n in FM._nodes(t) if n.object_name == "enum1"][0]
+    code = cur[(id(node), "chosen_number_format")]
+    out = []
+    for idx in range(k):
+        labels = [str(idx + 1), chr(ord("A") + idx), chr(ord("a") + idx), chr(0x2160 + idx) if idx < 12 else None,
+                  CAT.ROMAN_NUMERALS[idx], CAT.ROMAN_NUMERALS[idx].upper()]
+        out.append(FM.pick(labels, code))
+    return out
+
+
+def _fill_sql(t):
+    x = FM._sql_str(INSTRUCTION)
+    for i, e in enumerate(_enum1_labels(t, 4)):
+        x = f"replace({x}, '{{enum1_{i + 1}}}', {FM.to_sql(e, 'vals')})"
+    return x
+
+
+@register("c18_fill_placeholders", sql=f"""
+SELECT template, format_id, {_fill_sql(NESTED)} AS instruction FROM ({formats_sql(NESTED)}) f WHERE {valid_sql(NESTED)}""")
+def c18_fill_placeholders(spark, d):
+    """Fill the instruction's ``{enum1_i}`` placeholders with each format's option labels."""
+    f = add_valid(formats(spark, d, NESTED), NESTED).where("valid")
+    x = F.lit(INSTRUCTION)
+    for i, e in enumerate(_enum1_labels(NESTED, 4)):
+        x = F.replace(x, F.lit("{enum1_%d}" % (i + 1)), FM.to_column(e, F.col("vals")))
+    return f.select("template", "format_id", x.alias("instruction"))
+
+
+def _first_valid(spark, d, t, n):
+    """First ``n`` distinct valid formats of ``t`` in draw order (window group limit, map-side partial)."""
+    f = add_valid(formats(spark, d, t), t).where("valid")
+    first = f.groupBy("template", "vals").agg(F.min("format_id").alias("format_id"))
+    w = Window.partitionBy("template").orderBy("format_id")
+    return first.withColumn("ord", (F.row_number().over(w) - 1).cast("int")).where(F.col("ord") < n)
+
+
+def _first_valid_sql(t, n):
+    return (f"SELECT template, format_id, CAST(rn - 1 AS INT) AS ord FROM (SELECT template, format_id, row_number() OVER (ORDER BY format_id) AS rn "
+            f"FROM (SELECT template, vals, min(format_id) AS format_id FROM ({formats_sql(t)}) f WHERE {valid_sql(t)} GROUP BY template, vals) g) h "
+            f"WHERE rn <= {n}")
+
+
+ENS_SQL = _u([f"""SELECT template, CAST((CAST(floor(ord / {ENSEMBLE_SIZE}) AS INT) + 1) % {N_ENSEMBLES} AS INT) AS ensemble_id,
+       CAST(ord % {ENSEMBLE_SIZE} AS INT) AS member_pos, format_id FROM ({_first_valid_sql(t, N_ENSEMBLES * ENSEMBLE_SIZE)}) x
+UNION ALL SELECT '{t.name}' AS template, 0 AS ensemble_id, -1 AS member_pos, CAST(-1 AS BIGINT) AS format_id""" for t in LAYOUTS])
+
+
+def _ensembles(spark, d):
+    parts = []
+    for t in LAYOUTS:
+        x = _first_valid(spark, d, t, N_ENSEMBLES * ENSEMBLE_SIZE)
+        x = x.select("template", ((F.floor(F.col("ord") / ENSEMBLE_SIZE).cast("int") + 1) % N_ENSEMBLES).cast("int").alias("ensemble_id"),
+                     (F.col("ord") % ENSEMBLE_SIZE).cast("int").alias("member_pos"), "format_id")
+        default = x.groupBy("template").agg(F.lit(0).alias("ensemble_id"), F.lit(-1).alias("member_pos"),
+                                            F.lit(-1).cast("bigint").alias("format_id"))
+        parts.append(x.unionByName(default))
+    return _union(parts)
+
+
+@register("c19_ensembles", sql=ENS_SQL)
+def c19_ensembles(spark, d):
+    """Blocks of ``ENSEMBLE_SIZE`` formats; the last block moves to the front and gets the
+    default format (id -1) prepended: ensemble = (block + 1) mod n."""
+    return _ensembles(spark, d)
+
+
+@register("c20_keep_last_k", sql=f"""
+WITH e AS ({ENS_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY template, ensemble_id ORDER BY member_pos DESC) AS rk,
+             count(*) OVER (PARTITION BY template, ensemble_id) AS n FROM e)
+SELECT template, ensemble_id, member_pos, format_id, least(n, {KEEP_LAST}) = {KEEP_LAST} AS full FROM r WHERE rk <= {KEEP_LAST}""")
+def c20_keep_last_k(spark, d):
+    """C20: keep the last k formats of each ensemble (the first may be the shared default); flag short ones."""
+    e = _ensembles(spark, d)
+    w = Window.partitionBy("template", "ensemble_id").orderBy(F.col("member_pos").desc())
+    wc = Window.partitionBy("template", "ensemble_id")
+    r = e.withColumn("rk", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(wc))
+    return r.where(F.col("rk") <= KEEP_LAST).select("template", "ensemble_id", "member_pos", "format_id",
+                                                    (F.least("n", F.lit(KEEP_LAST)) == KEEP_LAST).alias("full"))
+
+
+MAX_SLOTS = max(len(FM.slots(t)) for t in LAYOUTS)
+
+
+@register("c21_format_profile", sql=_u([
+    f"SELECT '{t.name}' AS template, CAST({len(FM.slots(t))} AS INT) AS n_slots, CAST({len(set(FM.slot_types(t)))} AS INT) AS n_types, "
+    f"'{','.join(sorted(set(FM.slot_types(t))))}' AS types, {str(len(FM.slots(t)) == MAX_SLOTS).upper()} AS is_longest, "
+    f"{str(len(set(FM.slot_types(t))) == 6).upper()} AS uses_all_types, CAST(count(*) AS BIGINT) AS n_formats, "
+    f"CAST(count_if({valid_sql(t)}) AS BIGINT) AS n_valid FROM ({formats_sql(t)}) f" for t in LAYOUTS]))
+def c21_format_profile(spark, d):
+    """Per layout: slot count, slot-type set, longest sequence, all-six-types flag, drawn/valid counts."""
+    parts = []
+    for t in LAYOUTS:
+        types = sorted(set(FM.slot_types(t)))
+        f = add_valid(formats(spark, d, t), t)
+        parts.append(f.agg(F.count(F.lit(1)).alias("n_formats"), F.count_if("valid").alias("n_valid")).select(
+            F.lit(t.name).alias("template"), F.lit(len(FM.slots(t))).alias("n_slots"), F.lit(len(types)).alias("n_types"),
+            F.lit(",".join(types)).alias("types"), F.lit(len(FM.slots(t)) == MAX_SLOTS).alias("is_longest"),
+            F.lit(len(types) == 6).alias("uses_all_types"), "n_formats", "n_valid"))
+    return _union(parts)
+
+
+def _n_nodes(t):
+    return len(FM._nodes(t))
+
+
+@register("c22_task_layouts", views=("instances",), sql=f"""
+WITH k AS (SELECT DISTINCT task FROM instances),
+l AS (SELECT task, CAST(CAST(('0x' || substr(md5(task), 1, 8)) AS BIGINT) % {len(LAYOUTS)} AS INTEGER) AS li FROM k)
+SELECT task, ([{', '.join(repr(t.name) for t in LAYOUTS)}])[li + 1] AS template,
+       ([{', '.join(str(_n_nodes(t)) for t in LAYOUTS)}])[li + 1] AS n_nodes,
+       ([{', '.join(str(len(FM.slots(t))) for t in LAYOUTS)}])[li + 1] AS n_slots FROM l""")
+def c22_task_layouts(spark, d):
+    """Which layout of the catalogue each task uses (md5 of the task name picks one)."""
+    k = V.instances(spark, d).select("task").distinct()
+    li = (F.conv(F.substring(F.md5("task"), 1, 8), 16, 10).cast("bigint") % len(LAYOUTS)).cast("int")
+    pick = lambda vals: F.element_at(F.array(*[F.lit(v) for v in vals]), li + 1)
+    return k.select("task", pick([t.name for t in LAYOUTS]).alias("template"),
+                    pick([_n_nodes(t) for t in LAYOUTS]).alias("n_nodes"),
+                    pick([len(FM.slots(t)) for t in LAYOUTS]).alias("n_slots"))
+
+
+@register("c23_register_formats", sql=_u([
+    f"SELECT template, md5(format_text) AS text_md5, CAST(first_id AS BIGINT) AS first_format_id, n_assignments, "
+    f"CAST(row_number() OVER (ORDER BY first_id) - 1 AS BIGINT) AS generation_order FROM (SELECT template, format_text, "
+    f"min(format_id) AS first_id, CAST(count(*) AS BIGINT) AS n_assignments FROM (SELECT template, format_id, {text_sql(t)} AS format_text "
+    f"FROM ({formats_sql(t)}) f WHERE {valid_sql(t)}) g GROUP BY template, format_text) h" for t in LAYOUTS]))
+def c23_register_formats(spark, d):
+    """Register rendered formats - one entry per distinct text, first-seen order, assignments per text."""
+    from promptspread.functions.ranking import bucketed_rank
+    parts = []
+    for t in LAYOUTS:
+        f = add_text(add_valid(formats(spark, d, t), t).where("valid"), t)
+        g = f.groupBy("template", "format_text").agg(F.min("format_id").alias("first_format_id"),
+                                                     F.count(F.lit(1)).alias("n_assignments"))
+        g = bucketed_rank(g, ["template"], ["first_format_id"], F.floor(F.col("first_format_id") / 4096), "rn")
+        parts.append(g.select("template", F.md5("format_text").alias("text_md5"), "first_format_id", "n_assignments",
+                              (F.col("rn") - 1).alias("generation_order")))
+    return _union(parts)
