@@ -651,3 +651,67 @@ def c23_register_formats(spark, d):
         parts.append(g.select("template", F.md5("format_text").alias("text_md5"), "first_format_id", "n_assignments",
                               (F.col("rn") - 1).alias("generation_order")))
     return _union(parts)
+
+
+F36_LAYOUT = FM.layout("two_fields")
+TOP_K = 5
+
+
+@register("f36_sensitive_tasks", views=("predictions",), sql=f"""
+WITH acc AS (SELECT task, format_id, CAST(sum(CASE WHEN generation = answer THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS acc
+             FROM predictions GROUP BY task, format_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY acc DESC, format_id) AS rb,
+                row_number() OVER (PARTITION BY task ORDER BY acc ASC, format_id) AS rw FROM acc),
+t AS (SELECT task, max(acc) - min(acc) AS spread, max(CASE WHEN rb = 1 THEN format_id END) AS best_format,
+             max(CASE WHEN rw = 1 THEN format_id END) AS worst_format FROM r GROUP BY task),
+k AS (SELECT * FROM t ORDER BY spread DESC, task LIMIT {TOP_K}),
+txt AS (SELECT format_id, {FM.to_sql(FM.render(F36_LAYOUT), 'vals')} AS format_text
+        FROM (SELECT DISTINCT format_id, {FM.sample_vals_sql(F36_LAYOUT, 'format_id', 'f36')} AS vals FROM predictions) v)
+SELECT k.task, round(k.spread, 6) AS spread, concat('Is the document of good ', k.task, '?') AS definition,
+       b.format_text AS best_format_text, w.format_text AS worst_format_text
+FROM k JOIN txt b ON b.format_id = k.best_format JOIN txt w ON w.format_id = k.worst_format""")
+def f36_sensitive_tasks(spark, d):
+    """the most format-sensitive tasks (top-k spread) with their best / worst format text and definition."""
+    from promptspread.operators import metrics as M
+    fm = M.plain_accuracy(V.predictions(spark, d), ["task", "format_id"])
+    bw = M.best_worst(fm, ["task"]).withColumn("spread", F.col("best_accuracy") - F.col("worst_accuracy"))
+    top = bw.orderBy(F.col("spread").desc(), "task").limit(TOP_K)
+    ids = V.predictions(spark, d).select("format_id").distinct()
+    txt = add_text(ids.withColumn("vals", FM.sample_vals(F36_LAYOUT, F.col("format_id"), "f36")), F36_LAYOUT) \
+        .select("format_id", "format_text")
+    b = txt.select(F.col("format_id").alias("best_format"), F.col("format_text").alias("best_format_text"))
+    w = txt.select(F.col("format_id").alias("worst_format"), F.col("format_text").alias("worst_format_text"))
+    return top.join(b, "best_format").join(w, "worst_format").select(
+        "task", "spread", F.concat(F.lit("Is the document of good "), F.col("task"), F.lit("?")).alias("definition"),
+        "best_format_text", "worst_format_text")
+
+
+RANGED = FM.layout("ranged_facts")
+ENUM_LENGTHS = list(range(*RANGED.enum_range))
+FIELD_CLASS_SQL = None
+
+
+def _regex_sql(text_sql: str) -> str:
+    from promptspread.operators.instances import FIELD_CLASS
+    cls = FIELD_CLASS.replace("'", "''")
+    return (f"('^' || array_to_string(list_transform(string_split({text_sql}, '{{}}'), lambda p: CASE WHEN p = '' THEN p "
+            f"ELSE '\\Q' || p || '\\E' END), '({cls}+)') || '$')")
+
+
+@register("b7_pattern_bank", sql=_u([
+    f"SELECT format_id, CAST({e} AS INT) AS enum_len, md5({_regex_sql(FM.to_sql(FM.render(RANGED, enumeration_length=e, output_text=False), 'vals'))}) AS regex_md5 "
+    f"FROM ({formats_sql(RANGED)}) f WHERE {valid_sql(RANGED)}" for e in ENUM_LENGTHS]))
+def b7_pattern_bank(spark, d):
+    """Per valid format of the ranged layout, one extraction regex per enumeration length in its range.
+
+    All lengths share the format's effective values (computed once as columns);
+    the regexes are built in one projection and exploded - one plan, one pass.
+    """
+    from promptspread.operators.instances import template_regex
+    f = add_valid(formats(spark, d, RANGED), RANGED).where("valid").select("format_id", "vals")
+    asts = [FM.render(RANGED, enumeration_length=e, output_text=False) for e in ENUM_LENGTHS]
+    x = FM.with_refs(f, asts, F.col("vals"), "__r_")
+    bank = F.array(*[F.struct(F.lit(e).alias("enum_len"),
+                              F.md5(template_regex(FM.to_column(a, F.col("vals"), "__r_"))).alias("regex_md5"))
+                     for e, a in zip(ENUM_LENGTHS, asts)])
+    return x.select("format_id", F.explode(bank).alias("b")).select("format_id", "b.enum_len", "b.regex_md5")

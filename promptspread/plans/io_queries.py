@@ -189,3 +189,56 @@ SELECT event_type AS status, CAST(count(*) AS BIGINT) AS n_jobs FROM events GROU
 def a16_batch_status_counts(spark, d):
     """Jobs per status (the events' type plays the batch status)."""
     return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
+CHUNK = 1000   # instances per task-file object (bounds every collected group)
+
+
+def write_task_files(spark, d, path):
+    """Task files in the reference's schema, one JSON object per (task, chunk of CHUNK instances)."""
+    inst = V.instances(spark, d).withColumn("chunk", F.floor(F.col("ord") / CHUNK))
+    obj = inst.groupBy("task", "chunk").agg(
+        F.array(F.concat(F.lit("Identify the language of each "), F.col("task"), F.lit(" text."))).alias("Definition"),
+        F.sort_array(F.collect_list(F.struct(F.col("ord"), F.col("instance_id").cast("string").alias("id"),
+                                             F.col("input"), F.array(F.col("answer")).alias("output")))).alias("__i"))
+    obj = obj.select("task", "chunk", "Definition",
+                     F.transform("__i", lambda s: F.struct(s["id"].alias("id"), s["input"].alias("input"),
+                                                           s["output"].alias("output"))).alias("Instances"))
+    obj.write.mode("overwrite").partitionBy("task").json(path)
+
+
+@register("a1_task_files", views=("instances",), sql="SELECT task, CAST(instance_id AS BIGINT) AS instance_id, answer FROM instances")
+def a1_task_files(spark, d):
+    """A1: task files (Definition + Instances[]) written in bounded chunks and scanned back with an explicit
+    schema; instances exploded with their position."""
+    path = _dir(spark, "tasks")
+    write_task_files(spark, d, path)
+    schema = T.StructType(IO.TASK_SCHEMA.fields + [T.StructField("chunk", T.LongType()), T.StructField("task", T.StringType())])
+    raw = spark.read.schema(schema).json(path)
+    x = raw.select("task", F.posexplode("Instances").alias("pos", "inst"))
+    return x.select("task", F.col("inst.id").cast("bigint").alias("instance_id"), F.col("inst.output")[0].alias("answer"))
+
+
+NAME_PARTS = ["src1", "src10", "src10_"]
+
+
+@register("a2_pick_task_file", views=("instances",), sql=f"""
+WITH t AS (SELECT DISTINCT task FROM instances),
+p AS (SELECT * FROM (VALUES {", ".join(f"('{n}')" for n in NAME_PARTS)}) v(name_part))
+SELECT p.name_part, CAST(count(t.task) AS BIGINT) AS n_matches, count(t.task) = 1 AS unique_match,
+       CASE WHEN count(t.task) = 1 THEN min(t.task) END AS picked
+FROM p LEFT JOIN t ON contains(concat('task=', t.task), p.name_part) GROUP BY p.name_part""")
+def a2_pick_task_file(spark, d):
+    """A2: pick the task folder by a name substring and require exactly one match (the reference asserts it)."""
+    path = _dir(spark, "pick")
+    V.instances(spark, d).select("task", "instance_id").write.mode("overwrite").partitionBy("task").parquet(path)
+    folders = (spark.read.parquet(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"/(task=[^/]+)/", 1)
+                                               .alias("folder")).distinct())
+    parts = []
+    for n in NAME_PARTS:
+        hit = folders.where(F.col("folder").contains(n))
+        parts.append(hit.agg(F.count(F.lit(1)).alias("n_matches"), F.min("folder").alias("f")).select(
+            F.lit(n).alias("name_part"), "n_matches", (F.col("n_matches") == 1).alias("unique_match"),
+            F.when(F.col("n_matches") == 1, F.regexp_replace("f", "^task=", "")).alias("picked")))
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), parts)
