@@ -57,9 +57,12 @@ def e18_next_interval(spark, d):
     st = _state(spark, d).select("arm", ((F.col("last") + 1) * BATCH).cast("bigint").alias("lo"),
                                  ((F.col("last") + 2) * BATCH).cast("bigint").alias("hi"))
     o = V.arm_outcomes(spark, d).select("arm", "ord")
-    # equi-join on arm, then the range filter (the interval is one batch of that arm)
-    j = st.join(o, (st["arm"] == o["arm"]) & (o["ord"] >= st["lo"]) & (o["ord"] < st["hi"]), "left")
-    g = j.groupBy(st["arm"], "lo", "hi").agg(F.count(o["ord"]).alias("n_rows"))
+    # one state row per arm (a proven bound): broadcast it on the build side of an inner join, so the
+    # outcomes are never shuffled by arm (few arms = few huge keys); arms with no row come back from a
+    # left join of two tiny tables
+    hit = o.join(F.broadcast(st), (o["arm"] == st["arm"]) & (o["ord"] >= st["lo"]) & (o["ord"] < st["hi"]))
+    cnt = hit.groupBy(st["arm"].alias("arm")).agg(F.count(F.lit(1)).alias("n_rows"))
+    g = st.join(cnt, "arm", "left").select("arm", "lo", "hi", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
     return g.withColumn("exhausted", F.col("n_rows") == 0)
 
 

@@ -200,12 +200,13 @@ def c5_effective_values(spark, d):
     """Effective values after applying the slots in order (rejected updates keep the old value)."""
     parts = []
     for t in LAYOUTS:
-        f = formats(spark, d, t)
+        flags = [ok for ok in FM.accepted_flags(t) if ok is not None]
+        effs = [e for _, e in _eff_parts(t)]
+        f = FM.with_refs(formats(spark, d, t), flags + effs, F.col("vals"), "__e_")
         rej = F.lit(0)
-        for ok in FM.accepted_flags(t):
-            if ok is not None:
-                rej = rej + F.when(FM.to_column(ok, F.col("vals")), 0).otherwise(1)
-        eff = F.md5(F.concat_ws("\x1f", *[FM.to_column(e, F.col("vals")).cast("string") for _, e in _eff_parts(t)]))
+        for ok in flags:
+            rej = rej + F.when(FM.to_column(ok, F.col("vals"), "__e_"), 0).otherwise(1)
+        eff = F.md5(F.concat_ws("\x1f", *[FM.to_column(e, F.col("vals"), "__e_").cast("string") for e in effs]))
         parts.append(f.select("template", "format_id", rej.cast("int").alias("n_rejected"), eff.alias("effective_md5")))
     return _union(parts)
 
