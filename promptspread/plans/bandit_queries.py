@@ -16,17 +16,21 @@ SEED = 42
 
 
 def _state(spark, d):
-    """Arm state after an evaluation prefix: arm a has seen its first 1 + a % 4 batches."""
+    """Arm state at the halfway point of the evaluation: every arm has seen the first half of its batches
+    (at least one).  Built from per-(arm, batch) counts - small aggregated rows."""
+    from pyspark.sql import Window
     o = V.arm_outcomes(spark, d)
     bc = B.batch_counts(o, ["arm"])
-    seen = bc.where(F.col("batch_no") < 1 + F.col("arm") % 4)
+    half = F.greatest(F.floor((F.max("batch_no").over(Window.partitionBy("arm")) + 1) / 2), F.lit(1))
+    seen = bc.withColumn("half", half).where(F.col("batch_no") < F.col("half"))
     tot = bc.groupBy("arm").agg(F.sum("n").alias("n_max"))
     st = seen.groupBy("arm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("batch_no").alias("last"))
     return st.join(tot, "arm")
 
 
 STATE_SQL = f"""bc AS (SELECT arm, batch_no, count(*) AS n, sum(ok) AS s FROM arm_outcomes GROUP BY arm, batch_no),
-st AS (SELECT arm, sum(n) AS n, sum(s) AS s, max(batch_no) AS last FROM bc WHERE batch_no < 1 + arm % 4 GROUP BY arm),
+bh AS (SELECT *, greatest(floor((max(batch_no) OVER (PARTITION BY arm) + 1) / 2), 1) AS half FROM bc),
+st AS (SELECT arm, sum(n) AS n, sum(s) AS s, max(batch_no) AS last FROM bh WHERE batch_no < half GROUP BY arm),
 tot AS (SELECT arm, sum(n) AS n_max FROM bc GROUP BY arm),
 state AS (SELECT st.*, tot.n_max FROM st JOIN tot USING (arm))"""
 
