@@ -74,12 +74,11 @@ def e18_next_interval(spark, d):
 def e19_thompson_draws(spark, d):
     """One Thompson draw per arm from Beta(a0 + s, b0 + n - s), prior from the default arm (pandas UDF)."""
     st = _state(spark, d)
-    acc0 = st.where(F.col("arm") == DEFAULT_ARM).select((F.col("s") / F.col("n")).alias("acc"))
-    a0, b0 = B.prior(F.col("acc"))
-    pri = acc0.select(a0.alias("a0"), b0.alias("b0"), F.lit(1).alias("__k"))
-    x = st.withColumn("__k", F.lit(1)).join(F.broadcast(pri), "__k")   # one-row prior, constant key
-    a = F.col("a0") + F.col("s")
-    b = F.col("b0") + F.col("n") - F.col("s")
+    acc0 = st.where(F.col("arm") == DEFAULT_ARM).select(F.first(F.col("s") / F.col("n"))).scalar()  # scalar subquery
+    a0, b0 = B.prior(acc0)
+    x = st
+    a = a0 + F.col("s")
+    b = b0 + F.col("n") - F.col("s")
     return x.select("arm", a.alias("alpha"), b.alias("beta"),
                     B.beta_draw(a, b, F.xxhash64(F.lit(SEED), F.col("arm"))).alias("draw"))
 

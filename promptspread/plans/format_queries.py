@@ -490,10 +490,9 @@ FROM instances i""")
 def c16_split_new_permutation(spark, d):
     """Same split formats, a fresh seeded permutation of another instance set (the instances view)."""
     from promptspread.operators.instances import seeded_shuffle
-    n = split_formats(spark, d, "random").agg(F.count(F.lit(1)).alias("n_formats"))
+    n = split_formats(spark, d, "random").agg(F.count(F.lit(1))).scalar()   # scalar subquery, no join
     inst = seeded_shuffle(V.instances(spark, d).select("task", "instance_id"), ["task"], "instance_id", 29)
-    # n is a one-row global aggregate: a proven size bound, joined on a constant key
-    return inst.withColumn("__k", F.lit(1)).join(F.broadcast(n.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    return inst.withColumn("n_formats", n)
 
 
 @register("c17_split_coherence", sql=f"""

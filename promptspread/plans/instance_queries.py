@@ -180,9 +180,8 @@ sh AS (SELECT *, list_transform(list_sort(list_transform(opts, lambda o: {{'k':
 
 def _mc(spark, d):
     inst = V.instances(spark, d)
-    opts = inst.select(F.lit(1).alias("__j"), "answer").groupBy("__j").agg(
-        F.sort_array(F.collect_set("answer")).alias("opts"))
-    mc = inst.withColumn("__j", F.lit(1)).join(opts, "__j").select(
+    opts = inst.agg(F.sort_array(F.collect_set("answer"))).scalar()   # the options: one global scalar subquery
+    mc = inst.withColumn("opts", opts).select(
         "task", "instance_id", F.col("input").alias("question"), F.col("answer").alias("correct"),
         F.filter("opts", lambda o: o != F.col("answer")).alias("incorrect"), "opts")
     return I.shuffle_options(mc, ["task", "instance_id"], "opts", "correct", OPTION_SEED)

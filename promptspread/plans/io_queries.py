@@ -108,10 +108,10 @@ def a12_resume_status(spark, d):
     preds = V.predictions(spark, d)
     done = preds.unionByName(preds.where(F.col("format_id") == 9))      # format 9 was logged twice
     cnt = done.groupBy("task", "format_id").agg(F.count(F.lit(1)).alias("n"))
-    expected = table(spark, d, "labels").agg(F.count(F.lit(1)).alias("expected")).withColumn("__k", F.lit(1))
+    expected = table(spark, d, "labels").agg(F.count(F.lit(1))).scalar()   # scalar subquery
     planned = (preds.select("task").distinct()
                .select("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(EXPECTED_FORMATS - 1).cast("bigint"))).alias("format_id"))
-               .withColumn("__k", F.lit(1)).join(F.broadcast(expected), "__k").drop("__k"))
+               .withColumn("expected", expected))
     j = planned.join(cnt, ["task", "format_id"], "left")
     status = (F.when(F.col("n").isNull(), "todo").when(F.col("n") == F.col("expected"), "done")
               .when(F.col("n") < F.col("expected"), "resume").otherwise("error"))

@@ -133,9 +133,10 @@ flags AS (SELECT t.instance_id, t.variant,
 
 
 def _flags(spark, d):
-    t = V.text_generations(spark, d).withColumn("task", F.lit("text"))
-    cls = S.output_classes(t, ["task"])
-    return S.match_flags(t.join(cls, "task"))
+    t = V.text_generations(spark, d)
+    # the class list is one global aggregate: a scalar subquery, evaluated once, no join
+    classes = t.agg(F.sort_array(F.collect_set("answer"))).scalar()
+    return S.match_flags(t.withColumn("classes", classes))
 
 
 @register("e9_match_flags", views=("text_generations",), sql=f"""
@@ -157,9 +158,9 @@ SELECT format_id, instance_id, pred = answer AS equal,
 FROM a""")
 def e10_ranking_flags(spark, d):
     """Ranking outcome flags: equal / other class / outside the class list."""
-    cs = V.class_scores(spark, d).withColumn("task", F.lit("scores"))
-    cls = S.output_classes(cs, ["task"])
-    am = S.argmax_class(cs, ["task", "format_id", "instance_id"], carry=["answer"]).join(cls, "task")
+    cs = V.class_scores(spark, d)
+    classes = cs.agg(F.sort_array(F.collect_set("answer"))).scalar()   # scalar subquery
+    am = S.argmax_class(cs, ["format_id", "instance_id"], carry=["answer"]).withColumn("classes", classes)
     eq, wr, out = S.ranking_flags(F.col("pred_class"), F.col("answer"), F.col("classes"))
     return am.select("format_id", "instance_id", eq.alias("equal"), wr.alias("wrong_in_classes"),
                      out.alias("not_in_classes"))
