@@ -180,8 +180,8 @@ def c4_sampled_valid_formats(spark, d):
     for t in LAYOUTS:
         f = add_valid(formats(spark, d, t), t).where("valid")
         first = f.groupBy("template", "vals").agg(F.min("format_id").alias("format_id"))
-        w = Window.partitionBy("template").orderBy("format_id")
-        k = first.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= QUOTA)
+        top = first.orderBy("format_id").limit(QUOTA)     # global top-n per template (one template here)
+        k = top.withColumn("ord", F.row_number().over(Window.orderBy("format_id")))
         parts.append(k.select("template", "format_id", vals_str().alias("vals"), "ord"))
     return _union(parts)
 
@@ -544,8 +544,10 @@ def _first_valid(spark, d, t, n):
     """First ``n`` distinct valid formats of ``t`` in draw order (window group limit, map-side partial)."""
     f = add_valid(formats(spark, d, t), t).where("valid")
     first = f.groupBy("template", "vals").agg(F.min("format_id").alias("format_id"))
-    w = Window.partitionBy("template").orderBy("format_id")
-    return first.withColumn("ord", (F.row_number().over(w) - 1).cast("int")).where(F.col("ord") < n)
+    # one template per pipeline: a global top-n (per-partition top-k, then a merge of n rows per
+    # partition), numbered afterwards - never a window over every format in one task
+    top = first.orderBy("format_id").limit(n)
+    return top.withColumn("ord", (F.row_number().over(Window.orderBy("format_id")) - 1).cast("int"))
 
 
 def _first_valid_sql(t, n):
