@@ -92,6 +92,8 @@ def two_phase_search(bc: DataFrame, default_arm: int, steps_per_phase: int, seed
     one Spark job over the arm state; only the chosen arm id reaches the driver.
     The state is checkpointed to the shared checkpoint folder between phases.
     """
+    from promptspread.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(bc.sparkSession)     # the cluster's shared folder; set only when absent
     bc = bc.cache()
     state = initial_state(bc, default_arm).checkpoint(eager=True)
     acc0 = state.where(F.col("arm") == default_arm).select((F.col("s") / F.col("n")).alias("acc")).first()["acc"]
