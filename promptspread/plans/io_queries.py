@@ -242,3 +242,30 @@ def a2_pick_task_file(spark, d):
             F.when(F.col("n_matches") == 1, F.regexp_replace("f", "^task=", "")).alias("picked")))
     from functools import reduce
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+TURN_CHUNK = 64   # turns per CSV cell (bounds every collected group)
+SPEAKER = {"user": "human", "assistant": "gpt"}
+
+
+@register("a5_conversation_csv", sql="""
+SELECT conv_id, CAST(turn AS BIGINT) AS turn,
+       CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker, md5(text) AS value_md5
+FROM conversations""")
+def a5_conversation_csv(spark, d):
+    """A5: conversations as a CSV column of list literals of turns (chunks of 64 turns per cell), parsed back;
+    rows that fail to parse would land in the reject table."""
+    path = _dir(spark, "conv_csv")
+    c = table(spark, d, "conversations")
+    speaker = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SPEAKER.items() for x in kv]), F.col("role")),
+                         F.col("role"))
+    cells = (c.withColumn("chunk", F.floor(F.col("turn") / TURN_CHUNK))
+             .groupBy("conv_id", "chunk")
+             .agg(F.sort_array(F.collect_list(F.struct("turn", IO.turn_literal(speaker, F.col("text")).alias("lit")))).alias("t"))
+             .select("conv_id", "chunk", F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["lit"]), ", "),
+                                                  F.lit("]")).alias("conversations")))
+    IO.write_csv(cells, path)
+    ok, _rejects = IO.read_conversation_csv(spark, path)
+    x = ok.select(F.col("conv_id").cast("bigint"), F.col("chunk").cast("bigint"), F.posexplode("turns").alias("pos", "t"))
+    return x.select("conv_id", (F.col("chunk") * TURN_CHUNK + F.col("pos")).cast("bigint").alias("turn"),
+                    F.col("t.from").alias("speaker"), F.md5(F.col("t.value")).alias("value_md5"))

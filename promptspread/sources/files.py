@@ -68,7 +68,8 @@ def read_conversation_csv(spark: SparkSession, path: str, column: str = "convers
     JSON.  Rows that still fail go to the reject table instead of failing the job.
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    parsed = raw.withColumn("turns", F.from_json(F.col(column), T.ArrayType(TURN), {"allowSingleQuotes": "true"}))
+    opts = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+    parsed = raw.withColumn("turns", F.from_json(F.col(column), T.ArrayType(TURN), opts))
     return parsed.where(F.col("turns").isNotNull()), parsed.where(F.col("turns").isNull())
 
 
@@ -98,11 +99,12 @@ def scan_results(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A10: CSV with a header line."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    # RFC 4180 quoting: a quote inside a field is doubled, backslashes are plain characters
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
 
 
 def fingerprint(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -113,3 +115,10 @@ def fingerprint(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("n_files"),
                      F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel", "h"))),
                                                     lambda s: s["h"]), "")).alias("fingerprint"))
+
+
+def turn_literal(speaker, value):
+    """One turn as a single-quoted dict literal (backslash, quote and newline escaped)."""
+    esc = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")),
+                    F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit("{'from': '"), speaker, F.lit("', 'value': '"), esc, F.lit("'}"))
