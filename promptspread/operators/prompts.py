@@ -66,11 +66,13 @@ def with_perturbed(df: DataFrame, text: str, key: str, pct: float, out: str) ->
     """
     h = lambda i: F.md5(F.concat_ws("|", F.col(key), i.cast("string")))
     x = df.withColumn("__toks", F.split(F.col(text), " ", -1))
+    x = x.withColumn("__hs", F.transform("__toks", lambda t, i: h(i)))          # one digest per position
     x = x.withColumn("__n", F.size("__toks")).withColumn("__k", F.floor(F.col("__n") * F.lit(pct)).cast("int"))
     x = x.withColumn("__thr", F.when(F.col("__k") > 0, F.element_at(
-        F.array_sort(F.transform("__toks", lambda t, i: h(i))), F.greatest(F.col("__k"), F.lit(1)))))
+        F.array_sort("__hs"), F.greatest(F.col("__k"), F.lit(1)))))
     pick = lambda i: F.element_at(F.col("__toks"), (F.conv(F.substring(
         F.md5(F.concat_ws("|", F.col(key), F.lit("v"), i.cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("__n"))
         .cast("int") + 1)
-    res = F.transform("__toks", lambda t, i: F.when(F.col("__thr").isNotNull() & (h(i) <= F.col("__thr")), pick(i)).otherwise(t))
-    return x.withColumn(out, F.array_join(res, " ")).drop("__toks", "__n", "__k", "__thr")
+    res = F.transform("__toks", lambda t, i: F.when(F.col("__thr").isNotNull() & (F.col("__hs")[i] <= F.col("__thr")),
+                                                    pick(i)).otherwise(t))
+    return x.withColumn(out, F.array_join(res, " ")).drop("__toks", "__hs", "__n", "__k", "__thr")
