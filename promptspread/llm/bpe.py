@@ -21,7 +21,6 @@ columns pass through, and input columns that clash with an output are replaced.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import os
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptspread.llm.common import slices, unused, utf8
+from promptspread.llm.common import slices, stored, unused, utf8
 
 LETTER, NUMBER, OTHER, BLANK = range(4)
 PIECE = 4_000_000  # bytes handled at a time
@@ -103,20 +102,66 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
 
-    def merge(self, word: bytes) -> list[int]:
-        """Exact BPE of one word: the pair of lowest rank merges first, the leftmost of equal ones."""
-        ids, merges = [self.byte_id[b] for b in word], self.merges
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min(((m[0], i, m[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (m := merges.get(pair))), default=None)
-            if best is None:
-                break
-            ids[best[1]:best[1] + 2] = [best[2]]
-        return ids
+        by_key = sorted((a * len(self.tokens) + b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self.pair_keys, self.pair_ranks, self.pair_ids = (np.array(c, np.int64) for c in zip(*by_key)) if by_key else (np.zeros(0, np.int64),) * 3
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Position of each pair of ids in the rank tables; the pairs that never merge get the closing entry."""
+        key = left * len(self.tokens) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), max(0, len(self.pair_keys) - 1))
+        return np.where(self.pair_keys[at] == key, at, -1) if len(self.pair_keys) else np.full(len(key), -1)
+
+    def merge_all(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact BPE of many words stored one after another: (ids, number of ids of each word).
+
+        All words take one merge a round: each word's pair of lowest rank, the
+        leftmost of equal ones.  Words beyond 48 bytes are merged one by one.
+        """
+        size = np.diff(bounds)
+        short = np.flatnonzero((size > 0) & (size <= 48))
+        ids = np.array(self.byte_id, np.int64)[gather(data, bounds[short], size[short])]
+        word, never = np.repeat(short, size[short]), np.int64(1) << 62
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        pair = self._ranks(ids[:-1], ids[1:])
+        pair[word[:-1] != word[1:]] = -1
+        pair = np.append(pair, -1)
+        while len(ids):
+            n = len(ids)
+            rank = np.where(pair >= 0, self.pair_ranks[pair] * n + np.arange(n), never)
+            begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.minimum.reduceat(rank, begins)
+            live = best < never
+            if not live.all():
+                over = np.repeat(~live, np.diff(np.append(begins, n)))
+                done.append((word[over], ids[over]))
+                word, ids, pair = word[~over], ids[~over], pair[~over]
+                continue
+            at = best % n
+            ids[at] = self.pair_ids[pair[at]]
+            keep = np.ones(n, bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # one symbol has gone from each word before
+            word, ids, pair = word[keep], ids[keep], pair[keep]
+            for i in (at[at > 0] - 1, at[at < len(ids) - 1]):
+                fresh = self._ranks(ids[i], ids[i + 1])
+                pair[i] = np.where(word[i] == word[i + 1], fresh, -1)
+            pair[-1:] = -1
+        counts = np.zeros(len(size), np.int64)
+        for w in np.flatnonzero(size > 48):
+            long = np.array(self._merge_long([self.byte_id[b] for b in data[bounds[w]:bounds[w + 1]]]), np.int64)
+            done.append((np.full(len(long), w), long))
+        words = np.concatenate([d[0] for d in done]) if done else np.zeros(0, np.int64)
+        flat = np.concatenate([d[1] for d in done]) if done else np.zeros(0, np.int64)
+        np.add.at(counts, words, 1)
+        return flat[np.argsort(words, kind="stable")].astype(np.int32), counts
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        ids, counts = self.merge_all(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same in n log n: candidate pairs in a heap, live neighbours in two link arrays."""
+        """One long word in n log n: candidate pairs in a heap, live neighbours in two link arrays."""
         n, merges = len(ids), self.merges
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := merges.get((a, b)))]
@@ -246,13 +291,11 @@ class Lexicon:
 
     @classmethod
     def map(cls, image: bytes) -> "Lexicon":
-        """Map the automaton's file, writing it first where this machine doesn't have it yet (named by content)."""
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(image).hexdigest()[:32]}")
-        if not os.path.exists(path):
-            with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-                f.write(image)
-            os.replace(f.name, path)
-        raw = np.memmap(path, np.uint8, "r")
+        """Map the automaton into memory from a file of its own; the file's name goes at once, so nothing is left behind."""
+        with tempfile.TemporaryFile() as f:
+            f.write(image)
+            f.flush()
+            raw = np.memmap(f, np.uint8, "r")
         head = raw[:8 * (1 + len(cls.PARTS))].view(np.int64)
         parts, pos = {"root": int(head[0])}, head.nbytes
         for (name, kind), n in zip(cls.PARTS, head[1:]):
@@ -298,23 +341,12 @@ class Codec:
             v = self.vocabulary
             size = np.array([len(t) for t in v.tokens], np.int64)
             pattern = re.compile(b"|".join(re.escape(s) for s in sorted(v.special, key=len, reverse=True))) if v.special else None
-            self._ready = (Lexicon.map(self.image), pattern, np.frombuffer(b"".join(v.tokens), np.uint8), np.cumsum(size) - size, size, {})
+            self._ready = (Lexicon.map(self.image), pattern, np.frombuffer(b"".join(v.tokens), np.uint8), np.cumsum(size) - size, size)
         return self._ready
 
-    def _merged(self, word: bytes, memo: dict[bytes, list[int]]) -> list[int]:
-        ids = memo.get(word)
-        if ids is None:
-            special = self.vocabulary.special.get(word)
-            ids = self.vocabulary.merge(word) if special is None else [special]
-            if len(memo) >= 200_000:
-                memo.clear()
-            if len(word) <= 64:
-                memo[word] = ids
-        return ids
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts stored one after another, and the offsets of each text's ids."""
-        lexicon, pattern, _, _, _, memo = self._open()
+        lexicon, pattern, _, _, _ = self._open()
         cuts = word_offsets(data, offsets, pattern)
         words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
         coded = words.dictionary_encode()
@@ -326,13 +358,18 @@ class Codec:
         known = number >= 0
         start[known] = lexicon.out_start[number[known]]
         size[known] = lexicon.out_start[number[known] + 1] - start[known]
-        raw = chars.tobytes()
-        extra: list[int] = []
-        for i in np.flatnonzero(~known):
-            ids = self._merged(raw[bounds[i]:bounds[i + 1]], memo)
-            start[i], size[i] = len(lexicon.out) + len(extra), len(ids)
-            extra += ids
-        table = np.concatenate([lexicon.out, np.array(extra, np.int32)]) if extra else lexicon.out
+        unseen = np.flatnonzero(~known)
+        length = bounds[unseen + 1] - bounds[unseen]
+        fresh, count = self.vocabulary.merge_all(gather(chars, bounds[unseen], length), np.concatenate([[0], np.cumsum(length)]))
+        table = np.concatenate([lexicon.out, fresh])
+        start[unseen] = len(lexicon.out) + np.cumsum(count) - count
+        size[unseen] = count
+        for content, i in self.vocabulary.special.items():
+            if pattern.search(raw := chars.tobytes()) is None:
+                break
+            for w in unseen[length == len(content)]:
+                if raw[bounds[w]:bounds[w + 1]] == content:
+                    table, start[w], size[w] = np.append(table, np.int32(i)), len(table), 1
         index = coded.indices.to_numpy()
         ids = gather(table, start[index], size[index])
         ends = np.concatenate([[0], np.cumsum(size[index])])
@@ -340,7 +377,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Text of each run of ids; bytes that form no character become replacement characters."""
-        _, _, chars, start, size, _ = self._open()
+        _, _, chars, start, size = self._open()
         ends = np.concatenate([[0], np.cumsum(size[ids])])[offsets]
         raw = gather(chars, start[ids], size[ids]).tobytes()
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
@@ -399,18 +436,26 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterable[tuple[np.ndarray,
 
 
 def frequent_words(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = 1 << 18, longest: int = 64) -> list[bytes]:
-    """The most frequent words of all texts: counted per slice, summed by Spark, at most ``size`` kept (a fixed bound)."""
+    """The most frequent words of all texts: counted per slice, summed by Spark, at most ``size`` reach the driver (a fixed bound)."""
     special = re.compile(b"|".join(map(re.escape, vocabulary.special))) if vocabulary.special else None
     counts = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(_count_words(special, longest), "word binary, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r.word) for r in top.select("word").collect()]
+    counts = stored(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word_counts")
+    # words of about equal count share a bin (16 to a doubling); whole bins are taken from the top while they fit
+    bin_ = F.floor(F.log2("n") * 16).cast("int")
+    floor, room = None, size
+    for r in counts.groupBy(bin_.alias("bin")).count().orderBy(F.desc("bin")).collect():  # at most 16 * 63 rows
+        if r["count"] > room:
+            break
+        floor, room = r.bin, room - r["count"]
+    return [] if floor is None else [bytes(r.word) for r in counts.where(bin_ >= floor).select("word").collect()]
 
 
 def build(df: DataFrame, path: str, text: str = "text", size: int = 1 << 18) -> Codec:
     """A codec for the vocabulary file at ``path`` whose lexicon holds the frequent words of ``df``."""
     vocabulary = Vocabulary(path)
     words = frequent_words(df, vocabulary, text, size)
-    return Codec(vocabulary, Lexicon.compile({w: vocabulary.merge(w) for w in words if w not in vocabulary.special}))
+    words = [w for w in words if w not in vocabulary.special]
+    return Codec(vocabulary, Lexicon.compile(dict(zip(words, vocabulary.merge(words)))))
 
 
 def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
