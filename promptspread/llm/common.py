@@ -56,9 +56,11 @@ def with_outputs(df: DataFrame, **outputs: Column) -> DataFrame:
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the ``n + 1`` offsets of its values; null counts as empty."""
     col = pc.fill_null(column, "").cast(pa.large_binary())
-    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
-    data = col.buffers()[2] if len(col) else None
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
 def slices(batch: pa.RecordBatch, text: str, budget: int = 4_000_000) -> Iterable[pa.RecordBatch]:
