@@ -127,14 +127,16 @@ def write(df: DataFrame, path: str, id_: str = "page_id", url: str = "url", payl
           segment_bytes: int = 65536, records_per_file: int = 2000) -> None:
     """Archive every row under ``path``."""
     body = F.coalesce(F.col(f"`{payload}`"), F.lit(""))
-    rows = df.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), body.alias("payload"), F.sha1(body.cast("binary")).alias("sha"))
+    id_text = F.coalesce(F.col(f"`{id_}`").cast("long").cast("string"), F.lit("null"))
+    rows = df.select(F.col(f"`{id_}`").cast("long").alias("id"), id_text.alias("key"), F.col(f"`{url}`").alias("url"), body.alias("payload"),
+                     F.sha1(body.cast("binary")).alias("sha"))
     # equal payloads meet as ids and digests only; payloads are dealt by their row's own id
-    keys = rows.where(F.octet_length("payload") >= least_bytes).select("id", "sha").distinct()
+    keys = rows.where(F.octet_length("payload") >= least_bytes).select("id", "key", "sha").distinct()
     last = keys.groupBy("sha").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 AND last IS NOT NULL")
     revisits = (keys.join(last, "sha").where(~F.col("id").eqNullSafe(F.col("last")))
-                .select(F.col("id").alias("r_id"), F.col("sha").alias("r_sha"), "last"))
-    decided = rows.join(revisits, rows["id"].eqNullSafe(F.col("r_id")) & (rows["sha"] == F.col("r_sha")), "left")
-    copy = F.row_number().over(Window.partitionBy("id", "sha").orderBy("url"))
+                .select("key", "sha", "last"))
+    decided = rows.join(revisits, ["key", "sha"], "left")
+    copy = F.row_number().over(Window.partitionBy("key", "sha").orderBy("url"))  # dealt as the join dealt them
     named = decided.select("id", "url", "payload", "last", copy.alias("copy"))
     values = named.mapInArrow(_write_rows(segment_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
     (values.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
