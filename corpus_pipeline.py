@@ -5,23 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptspread.llm import lang_id
+from promptspread.llm import bpe, lang_id, line_dedup, mixing, ngram_join
 from promptspread.llm.common import stored
 from promptspread.llm.queries.op1 import held_out
+from promptspread.llm.queries.op2 import vocabulary_path
+from promptspread.llm.queries.op7 import with_quality
 from promptspread.sources.tables import table
 
-ORACLE_SQL: str | None = None  # the language network and its training have no SQL form
+ORACLE_SQL: str | None = None  # training a network, and encoding, have no SQL form
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: a document without any recognisable language goes, all others stay as they are."""
+    """Language ID: a document in which no language can be told (no letter in it) goes, all others stay as they are."""
     model = lang_id.train(docs.where(~held_out()))
     seen = lang_id.predict(docs, model, pred="_lang_pred", score="_lang_score")
     return seen.where(F.col("_lang_pred") != lang_id.UNDETERMINED).select(*docs.columns)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: of equal or nearly equal lines the first stays; a document without any line left that counts goes."""
+    return line_dedup.dedup(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the first document of every group of near copies stays."""
+    kept = ngram_join.join(docs).where("keeper").select(_key(F.col("doc_id")).alias("_k"), F.col("h").alias("_h")).distinct()
+    rows = docs.withColumn("_k", _key(F.col("doc_id"))).withColumn("_h", F.xxhash64("text"))
+    return rows.join(kept, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*docs.columns)
+
+
+def _key(id_):
+    return F.coalesce(id_.cast("string"), F.lit("null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: every document as often as its source's target takes it."""
+    plan = mixing.mix(with_quality(docs, table(spark, sf_dir, "labels")), quality=F.col("_weight"))
+    return mixing.repeated(docs, plan)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """BPE: the token ids of every row of the mix."""
+    coded = bpe.encode(docs, bpe.build(docs, vocabulary_path()))
+    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids")
+
+
 STAGES = [
     ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("source_mixing", mix_sources),
+    ("bpe_encoding", encode),
 ]
 
 

@@ -465,8 +465,8 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", de
     clash = {o.lower() for o in outputs}
     body = unused([*df.columns, *outputs], "body")
     kept = [c for c in df.columns if c.lower() not in clash]
-    schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in clash] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
-                          + [T.StructField(decoded, T.StringType())] * (decoded is not None))
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([] if decoded is None else [T.StructField(decoded, T.StringType())])
+    schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in clash] + added)
     shared = spark.sparkContext.broadcast(codec)  # the vocabulary and a lexicon of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -186,11 +186,15 @@ def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int =
 
 
 def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """``df`` without the lines whose class has an earlier one; documents that lose all their lines go, others stay as they are."""
+    """``df`` without the lines whose class has an earlier one.
+
+    A document that keeps no line of at least ``least`` code points after losing
+    one goes; documents that lose nothing stay as they are.
+    """
     lines, _ = classes(df, id_, text, edits, least)
     gone = lines.where(~F.col("first")).groupBy(F.col("id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_list("no").alias("_g_no"))  # at most a document's lines
     joined = df.join(gone, df[id_].eqNullSafe(gone["_g_id"]) & (F.xxhash64(df[text]) == gone["_g_h"]), "left")
     kept = F.filter(split_lines(F.col(text)), lambda x, i: ~F.array_contains("_g_no", i))
     new = F.when(F.col("_g_no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_g_new", new).where(F.col("_g_no").isNull() | (F.size(kept) > 0))
+    out = joined.withColumn("_g_new", new).where(F.col("_g_no").isNull() | F.exists(kept, lambda x: F.length(x) >= least))
     return out.select(*[F.col("_g_new").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -370,11 +370,17 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataF
 
 
 def join(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h, n_shingles, component_id) for every row; h is a hash of its text."""
+    """(doc_id, h, n_shingles, component_id, keeper) for every row; h is a hash of its text.
+
+    ``keeper`` marks the component's first row by (doc_id with null last, h), and
+    every row with the empty set.
+    """
     profile, edges = links(df, id_, text)
     member = components(edges).select(F.col("node").alias("sid"), "component")
     placed = profile.where("n > 0").join(member, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
-    named = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    full = placed.join(named, "c").select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
-    empty = profile.where("n = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    named = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(place).alias("lead"))
+    size = F.col("n").alias("n_shingles")
+    full = placed.join(named, "c").select("doc_id", "h", size, "component_id", (place == F.col("lead")).alias("keeper"))
+    empty = profile.where("n = 0").select("doc_id", "h", size, F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper"))
     return full.unionByName(empty)
