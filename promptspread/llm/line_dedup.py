@@ -31,7 +31,8 @@ from promptspread.llm.components import components
 
 EDITS = 2
 LEAST = 20
-LETTERS = "etaonisr"
+LETTERS = "etaonisrhdlu"  # counted by ``traits``: four bits each
+SAME_LENGTH = 1 << 48     # set in a probe's traits if it looks for lines of its own length
 
 
 def split_lines(text: Column) -> Column:
@@ -58,24 +59,21 @@ def places(edits: int) -> list[tuple[int, int, int]]:
 
 
 def traits(line: Column) -> Column:
-    """Word parity (32 bits) and eight letter counts modulo 16 in one number."""
-    parity = F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(32)).cast("int"))))
-    out = parity
+    """Letter counts modulo 16, four bits each, in one number."""
+    out = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
         count = F.length(line) - F.length(F.replace(line, F.lit(letter)))
-        out = out.bitwiseOR(F.shiftleft(F.pmod(count, F.lit(16)).cast("long"), 32 + 4 * k))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
     return out
 
 
 def may_match(x: Column, y: Column, edits: int) -> Column:
     """False only if more than ``edits`` edits separate the lines with these traits."""
-    flips = F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(0xFFFFFFFF))) <= 3 * edits
     moved = F.lit(0)
     for k in range(len(LETTERS)):
-        d = (F.shiftrightunsigned(x, 32 + 4 * k) - F.shiftrightunsigned(y, 32 + 4 * k)).bitwiseAND(F.lit(15))
+        d = (F.shiftright(x, 4 * k) - F.shiftright(y, 4 * k)).bitwiseAND(F.lit(15))
         moved = moved + F.least(d, 16 - d)
-    return flips & (moved <= 2 * edits)
+    return moved <= 2 * edits
 
 
 def _common_prefix(x: Column, y: Column) -> Column:
@@ -146,19 +144,19 @@ def within(x: Column, y: Column, edits: int) -> Column:
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(a, b): hashes of different lines within ``edits`` edits, from rows (a, line); a < b."""
-    distinct = lines.groupBy("a").agg(F.first("line").alias("line"))
+    distinct = lines.select("a", "line", traits(F.col("line")).alias("t")).groupBy("a").agg(F.first("line").alias("line"), F.first("t").alias("t"))
     size = F.length("line")
-    entries = []
-    for i in range(edits + 1):
-        start, length = _segment(size, i, edits)
-        entries.append(F.struct(F.lit(False).alias("probe"), F.xxhash64(size, F.lit(i), F.substring(F.col("line"), start, length)).alias("s")))
-    for shorter, i, shift in places(edits):
+
+    def signature(shorter: int, i: int, shift: int) -> Column:
         start, length = _segment(size - shorter, i, edits)
-        entries.append(F.struct(F.lit(True).alias("probe"), F.xxhash64(size - shorter, F.lit(i), F.substring(F.col("line"), start + shift, length)).alias("s")))
-    signed = distinct.select("a", traits(F.col("line")).alias("t"), "line").select("a", "t", F.explode(F.array(*entries)).alias("e")).select("a", "t", "e.*")
-    index = signed.where(~F.col("probe")).select("s", F.col("a").alias("x"), F.col("t").alias("tx"))
-    probes = signed.where("probe").select("s", F.col("a").alias("y"), F.col("t").alias("ty"))
-    hits = index.join(probes, "s").where((F.col("x") != F.col("y")) & may_match(F.col("tx"), F.col("ty"), edits))
+        return F.xxhash64(size - shorter, F.lit(i), F.substring(F.col("line"), start + shift, length))
+
+    index = distinct.select(F.col("a").alias("x"), F.col("t").alias("tx"), F.explode(F.array(*[signature(0, i, 0) for i in range(edits + 1)])).alias("s"))
+    probe = [F.struct(signature(*p).alias("s"), F.col("t").bitwiseOR(F.lit(0 if p[0] else SAME_LENGTH)).alias("ty")) for p in places(edits)]
+    probes = distinct.select(F.col("a").alias("y"), F.explode(F.array(*probe)).alias("e")).select("y", "e.*")
+    # lines of equal length would meet from both sides
+    once = (F.col("ty") < SAME_LENGTH) | (F.col("x") < F.col("y"))
+    hits = index.join(probes, "s").where((F.col("x") != F.col("y")) & once & may_match(F.col("tx"), F.col("ty"), edits))
     pairs = hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = distinct.select("a", F.col("line").alias("p")), distinct.select(F.col("a").alias("b"), F.col("line").alias("q"))
     return pairs.join(left, "a").join(right, "b").where(within(F.col("p"), F.col("q"), edits)).select("a", "b")
