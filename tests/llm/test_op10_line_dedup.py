@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -89,7 +90,7 @@ def test_dedup_rewrites_only_what_repeats(spark):
 
 
 def test_long_text_and_empty_table(spark):
-    long = "\n".join(f"line number {i % 9000} of a very long text" for i in range(20_000))
+    long = "\n".join(hashlib.md5(str(i % 9000).encode()).hexdigest() for i in range(20_000))
     (row,) = report(docs(spark, [(1, long)])).collect()
-    assert row.n_lines == 20_000 and row.n_dropped >= 11_000
+    assert row.n_lines == 20_000 and row.n_dropped == 11_000
     assert report(docs(spark, [])).count() == 0
