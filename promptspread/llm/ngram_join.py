@@ -4,16 +4,17 @@ Texts become sets of word-shingle hashes; texts with equal sets are one set.  Tw
 sets can only reach the threshold if their prefixes - their rarest elements in a
 global order, one more than may be missing - share an element.
 
-* Index skipping: an element's list is sorted by set size and cut into blocks;
-  pairs of blocks whose sizes can't match are never formed, so a long list is
-  many small groups.  Inside a group the size and position bounds skip pairs,
-  and parity bitmaps skip most others: the bits in which two bitmaps differ are
-  a lower bound of the elements in which the sets differ.
-* Answer skipping: a first round verifies, per group, a spanning forest of the
-  closest pairs only.  Sets found connected have their answer; the second round
-  skips all pairs inside a component and verifies every remaining pair.  When
-  verifying, a set's overlaps with its partners follow from those of a highly
-  similar set verified before, corrected by the elements in which the two differ.
+* Index skipping: an element's list is sorted by set size; size and position
+  bounds skip most of its pairs.  A long list is cut into blocks, and pairs of
+  blocks whose sizes can't match are never formed, so it becomes many small
+  groups.  Parity bitmaps skip most other pairs: the bits in which two bitmaps
+  differ are a lower bound of the elements in which the sets differ.
+* Answer skipping: of a long list's group, a first round verifies a spanning
+  forest of the closest pairs only.  Sets found connected have their answer; the
+  second round skips all pairs inside a component and verifies every remaining
+  pair.  When verifying, a set's overlaps with its partners follow from those of
+  a highly similar set verified before, corrected by the elements in which the
+  two differ.
 
 No link is lost: components equal those of all pairs at the threshold.  No bound
 on lists, partners or candidates exists.
@@ -30,14 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptspread.llm import shingles
 from promptspread.llm.common import SIMILARITY_PERCENT, slices, stored, utf8
 from promptspread.llm.components import components
 
-BLOCK = 256            # entries of a list's block
+BLOCK = 256            # entries of a long list's block
+SHORT = 64             # lists up to this length name their pairs at once; longer ones are dealt in blocks first
 COMMON_LIMIT = 1 << 20  # at most so many common elements are ordered by frequency; a fixed bound of what is broadcast
 PROFILE = "doc_id long, h long, n long, sid binary, bitmap binary, element long, count long"
 PAIRS = "a binary, b binary"
@@ -139,10 +141,28 @@ def _blocks(sizes: np.ndarray) -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(low)) for j in range(i, len(low)) if SIMILARITY_PERCENT * int(low[j]) <= 100 * int(high[i])]
 
 
+def _near_pairs(begin: np.ndarray, count: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within lists (runs of rows sorted by size) that the size and position bounds admit."""
+    last = np.repeat(begin + count, count)
+    at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    found, apart = [(np.zeros(0, np.int64),) * 2], 1
+    while len(at):
+        inside = at + apart < last
+        at, last = at[inside], last[inside]
+        fits = SIMILARITY_PERCENT * n[at + apart] <= 100 * n[at]  # sizes ascend: once too large, always too large
+        at, last = at[fits], last[fits]
+        other = at + apart
+        good = np.minimum(n[at] - pos[at], n[other] - pos[other]) >= needed(n[at], n[other])
+        found.append((at[good], other[good]))
+        apart += 1
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of rows sorted by (token, n, sid): copies dropped, entries without a partner of fitting size dropped, long lists in pairs of blocks."""
+    """Lists of rows sorted by (token, n, sid), copies dropped: the pairs of short lists (group -1, ``other`` names
+    the second set), and the entries of long lists, once for each pair of blocks they are part of."""
     rest = None
-    names = ["token", "group", "side", "sid", "n", "pos"]
+    names = ["token", "group", "side", "sid", "n", "pos", "other"]
 
     def finished(table: pa.Table) -> pa.RecordBatch:
         token, n, pos = (table.column(c).to_numpy() for c in ("token", "n", "pos"))
@@ -157,19 +177,28 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, t, size = at[keep], t[keep], size[keep]
         begin = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
         count = np.diff(np.append(begin, len(t)))
-        short = np.repeat(count <= BLOCK, count)
-        picked, group, side = [at[short]], [np.zeros(short.sum(), np.int64)], [np.zeros(short.sum(), np.int8)]
-        for b, c in zip(begin[count > BLOCK], count[count > BLOCK]):
+        short = count <= SHORT
+        x, y = _near_pairs(begin[short], count[short], size, pos[at].astype(np.int64))
+        if len(x):
+            ends = np.concatenate([both[at[x]], both[at[y]]], axis=1)
+            flip = (ends[:, 0] > ends[:, 2]) | ((ends[:, 0] == ends[:, 2]) & (ends[:, 1] > ends[:, 3]))
+            ends[flip] = ends[flip][:, [2, 3, 0, 1]]
+            _, first = np.unique(np.ascontiguousarray(ends).view(np.dtype((np.void, 32))).ravel(), return_index=True)
+            x, y = np.where(flip, y, x)[first], np.where(flip, x, y)[first]
+        picked, group, side = [at[x]], [np.full(len(x), -1)], [np.zeros(len(x), np.int8)]
+        others = at[y]
+        for b, c in zip(begin[~short], count[~short]):
             for g, (i, j) in enumerate(_blocks(size[b:b + c])):
                 for s, block in ((0, i), (1, j))[:1 + (i != j)]:
                     rows = at[b + block * BLOCK:min(b + (block + 1) * BLOCK, b + c)]
                     picked.append(rows)
                     # the side tells apart the blocks of a pair; -1 marks a block paired with itself
-                    group.append(np.full(len(rows), g + 1))
+                    group.append(np.full(len(rows), g))
                     side.append(np.full(len(rows), -1 if i == j else s, np.int8))
         rows = np.concatenate(picked)
+        other = pa.concat_arrays([sid.take(pa.array(others)), pa.nulls(len(rows) - len(others), pa.binary())])
         return pa.RecordBatch.from_arrays([pa.array(token[rows]), pa.array(np.concatenate(group)), pa.array(np.concatenate(side)),
-                                           sid.take(pa.array(rows)), pa.array(n[rows]), pa.array(pos[rows])], names=names)
+                                           sid.take(pa.array(rows)), pa.array(n[rows]), pa.array(pos[rows]), other], names=names)
 
     for batch in batches:
         table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
@@ -248,6 +277,17 @@ def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, bits_a, bits_b) with sizes n_a, n_b -> the pairs whose bitmaps don't exclude a match."""
+    for batch in batches:
+        a, b, x, y, n, m = (batch.column(c).to_pylist() for c in ("a", "b", "bits_a", "bits_b", "n_a", "n_b"))
+        keep = []
+        for p, q, size, other in zip(x, y, n, m):
+            width = min(len(p), len(q))
+            keep.append((folded(p, width) ^ folded(q, width)).bit_count() <= size + other - 2 * needed(size, other))
+        yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(a, keep) if k], pa.binary()), pa.array([v for v, k in zip(b, keep) if k], pa.binary())], names=["a", "b"])
+
+
 def _pairs(spanning: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -345,28 +385,37 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataF
     common = rows["element"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
     tokens = docs.select("text").mapInArrow(_prefixes(common[order], rows["c"].to_numpy(np.int64)[order]), "token int, sid binary, n int, pos int")
-    listed = tokens.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(
-        _lists, "token int, group long, side byte, sid binary, n int, pos int")
-    postings = stored(listed, "postings")
-    sets = profile.where("n > 0").groupBy("sid").agg(F.first("bitmap").alias("bitmap"), F.min(F.struct("doc_id", "h")).alias("at"))
-    active = sets.join(postings.select("sid").distinct(), "sid", "left_semi")
-    sets = stored(active, "active_sets")
-    where = sets.select(F.col("at.doc_id").alias("i"), F.col("at.h").alias("k"))
-    texts = hashed.join(where, hashed["doc_id"].eqNullSafe(where["i"]) & (hashed["h"] == where["k"]), "left_semi")
-    texts = stored(texts.select("text").mapInArrow(_named, "sid binary, text string").dropDuplicates(["sid"]), "active_texts")
-
-    def verified(labels: DataFrame | None, round_: int) -> DataFrame:
-        rows = postings.join(sets.select("sid", "bitmap"), "sid")
-        rows = rows.withColumn("label", F.lit(None).cast("binary")) if labels is None else rows.join(labels, "sid", "left")
-        grouped = rows.repartition("token", "group").sortWithinPartitions("token", "group", "n", "sid")
-        found = grouped.mapInArrow(_pairs(labels is None), PAIRS).distinct()
+    listed = stored(tokens.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(
+        _lists, "token int, group long, side byte, sid binary, n int, pos int, other binary"), "lists")
+    sets = profile.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(F.struct("doc_id", "h")).alias("at"))
+    end = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bits_{c}"))
+    named = listed.where("group = -1").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
+    short = stored(named.join(end("a"), "a").join(end("b"), "b").mapInArrow(_close_pairs, PAIRS), "short_pairs")
+    long = listed.where("group >= 0").drop("other")
+    asked = short.select(F.col("a").alias("sid")).unionByName(short.select(F.col("b").alias("sid"))).unionByName(long.select("sid")).distinct()
+    # whole texts travel once, and only the asked ones any further; the same way at every size
+    where = sets.join(asked, "sid", "left_semi").select(_key(F.col("at.doc_id")).alias("key"), F.col("at.h").alias("h"))
+    keyed = hashed.select(_key(F.col("doc_id")).alias("key"), "h", "text")
+    texts = keyed.join(where.hint("merge"), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
+    texts = stored(texts.select("text").mapInArrow(_named, "sid binary, text string"), "texts")
+
+    def verified(found: DataFrame, round_: int) -> DataFrame:
         left, right = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-        both = found.join(left, "a").join(right, "b").sortWithinPartitions("b", "a").select("a", "b", "text_a", "text_b")
+        both = found.distinct().join(left, "a").join(right, "b").sortWithinPartitions("b", "a").select("a", "b", "text_a", "text_b")
         return stored(both.mapInArrow(_verify, PAIRS), f"edges_of_round_{round_}")
 
-    first = verified(None, 1)
+    def of_long_lists(labels: DataFrame | None) -> DataFrame:
+        rows = long.join(sets.select("sid", "bitmap"), "sid")
+        rows = rows.withColumn("label", F.lit(None).cast("binary")) if labels is None else rows.join(labels, "sid", "left")
+        return rows.repartition("token", "group").sortWithinPartitions("token", "group", "n", "sid").mapInArrow(_pairs(labels is None), PAIRS)
+
+    first = verified(short.unionByName(of_long_lists(None)), 1)
     labels = stored(components(first).select(F.col("node").alias("sid"), F.col("component").alias("label")), "labels")
-    return profile, first.unionByName(verified(labels, 2))
+    return profile, first.unionByName(verified(of_long_lists(labels), 2))
+
+
+def _key(id_: Column) -> Column:
+    return F.coalesce(id_.cast("string"), F.lit("null"))
 
 
 def join(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

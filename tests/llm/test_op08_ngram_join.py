@@ -36,21 +36,56 @@ def test_oracle(spark):
     against_oracle(spark, "op8_ngram_jaccard")
 
 
-def test_brute_force_with_families_and_a_common_passage(spark, monkeypatch):
+def test_brute_force_with_families_and_a_common_passage(spark):
     rng = random.Random(4)
     word = lambda: f"v{rng.randrange(3000)}"
     texts = []
-    for size, n, edits in ((60, 40, 5), (150, 60, 8), (7, 12, 2), (300, 10, 12)):
+    for size, n, edits in ((60, 90, 5), (150, 100, 8), (7, 12, 2), (300, 10, 12)):
         texts += family(rng, [word() for _ in range(size)], n, edits)
     passage = " ".join(word() for _ in range(60))
     texts += [passage + " " + " ".join(word() for _ in range(rng.randrange(5, 60))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)]
     rng.shuffle(rows)
     rows += odd_texts()[:-2] + [(900, "a b c d"), (901, "A b c D"), (902, "a b c e")]
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # workers that fork later may keep the default; both are exact
     assert got(docs(spark, rows)) == brute(rows)
 
 
+def test_lists_short_and_long_give_the_same_pairs(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for token in range(40):
+        for sid in rng.choice(60, rng.integers(1, 30), replace=False):
+            rows.append((token, sid.astype(np.int64).tobytes() * 2, int(20 + sid), int(rng.integers(0, 4))))
+    rows.sort(key=lambda r: (r[0], r[2], r[1]))
+    rows = [r for r in rows for _ in range(1 + r[2] % 2)]  # copies
+    schema = pa.schema([("token", pa.int32()), ("sid", pa.binary()), ("n", pa.int32()), ("pos", pa.int32())])
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def pairs(short, block):
+        monkeypatch.setattr(ngram_join, "SHORT", short)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        out, groups = set(), {}
+        for batch in ngram_join._lists(iter(table.to_batches(max_chunksize=37))):
+            for r in batch.to_pylist():
+                if r["group"] == -1:
+                    out.add(frozenset((r["sid"], r["other"])))
+                else:
+                    groups.setdefault((r["token"], r["group"]), []).append(r)
+        for g in groups.values():
+            for x, y in itertools.combinations(sorted(g, key=lambda r: (r["n"], r["sid"])), 2):
+                if x["side"] == y["side"] >= 0:
+                    continue
+                if 80 * y["n"] <= 100 * x["n"] and min(x["n"] - x["pos"], y["n"] - y["pos"]) >= ngram_join.needed(x["n"], y["n"]):
+                    out.add(frozenset((x["sid"], y["sid"])))
+        return out
+
+    whole = pairs(100, 8)
+    assert len(whole) > 100 and pairs(5, 4) == whole == pairs(0, 3)
+
+
 def test_blocks_cover_all_pairs_that_fit(monkeypatch):
     import numpy as np
 
