@@ -159,7 +159,7 @@ def c3_exhaustive_formats(spark, d):
     Enumerated per task of the instances view: ``sequence`` explodes ids next to
     the task row - no cross join, no driver loop.
     """
-    tasks = V.instances(spark, d).select("task").distinct()
+    tasks = V.instances_base(spark, d).select("task").distinct()
     parts = []
     for t in EXHAUSTIVE:
         x = tasks.select("task", F.explode(F.sequence(F.lit(0), F.lit(FM.n_combinations(t) - 1))).alias("combo_id"))
@@ -491,7 +491,7 @@ def c16_split_new_permutation(spark, d):
     """Same split formats, a fresh seeded permutation of another instance set (the instances view)."""
     from promptspread.operators.instances import seeded_shuffle
     n = split_formats(spark, d, "random").agg(F.count(F.lit(1))).scalar()   # scalar subquery, no join
-    inst = seeded_shuffle(V.instances(spark, d).select("task", "instance_id"), ["task"], "instance_id", 29)
+    inst = seeded_shuffle(V.instances_base(spark, d).select("task", "instance_id"), ["task"], "instance_id", 29)
     return inst.withColumn("n_formats", n)
 
 
@@ -628,7 +628,7 @@ SELECT task, ([{', '.join(repr(t.name) for t in LAYOUTS)}])[li + 1] AS template,
        ([{', '.join(str(len(FM.slots(t))) for t in LAYOUTS)}])[li + 1] AS n_slots FROM l""")
 def c22_task_layouts(spark, d):
     """Which layout of the catalogue each task uses (md5 of the task name picks one)."""
-    k = V.instances(spark, d).select("task").distinct()
+    k = V.instances_base(spark, d).select("task").distinct()
     li = (F.conv(F.substring(F.md5("task"), 1, 8), 16, 10).cast("bigint") % len(LAYOUTS)).cast("int")
     pick = lambda vals: F.element_at(F.array(*[F.lit(v) for v in vals]), li + 1)
     return k.select("task", pick([t.name for t in LAYOUTS]).alias("template"),

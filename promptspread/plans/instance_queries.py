@@ -52,7 +52,7 @@ SELECT task, instance_id,
 FROM instances""")
 def b1_seeded_shuffle(spark, d):
     """B1: seeded permutation of each task's instances (skew-safe bucketed rank)."""
-    inst = V.instances(spark, d).select("task", "instance_id")
+    inst = V.instances_base(spark, d).select("task", "instance_id")
     return I.seeded_shuffle(inst, ["task"], "instance_id", SHUFFLE_SEED)
 
 
@@ -95,7 +95,7 @@ SELECT DISTINCT task, CAST(e.n AS INT) AS enum_len,
 FROM instances, (SELECT unnest(range({min(LENGTHS)}, {max(LENGTHS) + 1})) AS n) e""")
 def b4_template_regex(spark, d):
     """Per task, the regex bank over the enumeration-length range (escaped literals, hole class)."""
-    tasks = V.instances(spark, d).select("task").distinct()
+    tasks = V.instances_base(spark, d).select("task").distinct()
     bank = tasks.select("task", F.explode(F.sequence(F.lit(min(LENGTHS)), F.lit(max(LENGTHS)))).alias("enum_len"))
     tmpl = F.array_join(F.array_repeat(F.lit(I.HOLE), F.col("enum_len")), "\n")
     return bank.select("task", F.col("enum_len").cast("int"), I.template_regex(tmpl).alias("regex"))
@@ -123,7 +123,7 @@ SELECT task, instance_id,
 FROM p WHERE enum_len IS NULL""")
 def b6_reject_audit(spark, d):
     """Rows no template parses, with their out-of-class characters."""
-    r = I.rejected(V.instances(spark, d), "input", LENGTHS)
+    r = I.rejected(V.instances_base(spark, d), "input", LENGTHS)
     return r.select("task", "instance_id", F.array_join("bad_chars", "").alias("bad_chars"))
 
 
@@ -165,7 +165,7 @@ UNION ALL
 SELECT task, instance_id, CAST(1 AS INT) AS turn, 'gpt' AS speaker, answer AS value FROM instances""")
 def b11_instance_conversation(spark, d):
     """Instance -> two-turn conversation (human input, gpt answer), long form."""
-    inst = V.instances(spark, d)
+    inst = V.instances_base(spark, d)
     turns = F.array(F.struct(F.lit(0).alias("turn"), F.lit("human").alias("speaker"), F.col("input").alias("value")),
                     F.struct(F.lit(1).alias("turn"), F.lit("gpt").alias("speaker"), F.col("answer").alias("value")))
     return inst.select("task", "instance_id", F.inline(turns))
@@ -179,7 +179,7 @@ sh AS (SELECT *, list_transform(list_sort(list_transform(opts, lambda o: {{'k':
 
 
 def _mc(spark, d):
-    inst = V.instances(spark, d)
+    inst = V.instances_base(spark, d)
     opts = inst.agg(F.sort_array(F.collect_set("answer"))).scalar()   # the options: one global scalar subquery
     mc = inst.withColumn("opts", opts).select(
         "task", "instance_id", F.col("input").alias("question"), F.col("answer").alias("correct"),
@@ -232,7 +232,7 @@ SELECT task, array_to_string(list_sort(list(DISTINCT answer)), ',') AS classes,
 FROM instances GROUP BY task""")
 def b14_output_classes(spark, d):
     """Output classes = sorted distinct answers per task, with the <10 / <100 / >1 guards."""
-    c = S.output_classes(V.instances(spark, d), ["task"])
+    c = S.output_classes(V.instances_base(spark, d), ["task"])
     n = F.col("n_classes")
     return c.select("task", F.array_join("classes", ",").alias("classes"), n.alias("n_classes"),
                     (n < 10).alias("under_10"), (n < 100).alias("under_100"), (n > 1).alias("over_1"))
@@ -243,10 +243,10 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows,
        CAST(sum(CASE WHEN len(outputs) <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_bad
 FROM (SELECT doc_id, list(lang) AS outputs FROM documents GROUP BY doc_id) t""")
 def b15_one_gold_output(spark, d):
-    """Exactly one gold output per instance (outputs gathered per id; any other size is flagged)."""
-    outs = table(spark, d, "documents").groupBy("doc_id").agg(F.collect_list("lang").alias("outputs"))
+    """Exactly one gold output per instance (outputs counted per id; any other number is flagged)."""
+    outs = table(spark, d, "documents").groupBy("doc_id").agg(F.count("lang").alias("outputs"))
     return outs.agg(F.count(F.lit(1)).alias("n_rows"),
-                    F.sum(F.when(F.size("outputs") != 1, 1).otherwise(0)).cast("bigint").alias("n_bad"))
+                    F.sum(F.when(F.col("outputs") != 1, 1).otherwise(0)).cast("bigint").alias("n_bad"))
 
 
 NUMBER_FORMATS_SQL = """nf AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4), (5)) t(number_format))"""
@@ -267,7 +267,7 @@ FROM instances i JOIN cls USING (task, answer) CROSS JOIN nf""")
 def b16_remap_labels(spark, d):
     """Original class label -> its label under each enumeration number format."""
     from promptspread.operators.catalogue import number_label
-    inst = V.instances(spark, d)
+    inst = V.instances_base(spark, d)
     cls = inst.select("task", "answer").distinct()
     from pyspark.sql import Window
     cls = cls.withColumn("idx", (F.row_number().over(Window.partitionBy("task").orderBy("answer")) - 1).cast("int"))

@@ -33,7 +33,7 @@ def q(s: str) -> str:
 def task_formats(spark, d):
     """Per task: its first N_FMT distinct valid formats of the single-field layout, drawn from its rows,
     with the input template (answer hole dropped) and the demonstration template."""
-    inst = V.instances(spark, d).select("task", F.col("instance_id").alias("format_id"))
+    inst = V.instances_base(spark, d).select("task", F.col("instance_id").alias("format_id"))
     f = inst.select("task", "format_id", FM.sample_vals(LAYOUT, F.col("format_id"), "tf").alias("vals"))
     f = FQ.add_valid(f, LAYOUT).where("valid")
     first = f.groupBy("task", "vals").agg(F.min("format_id").alias("format_id"))
@@ -105,7 +105,7 @@ SELECT i.task, tf.format_id, i.instance_id, md5({fill_sql('tf.tmpl_demo', '[i.in
 FROM instances i JOIN tf USING (task)""")
 def d1_fill_template(spark, d):
     """Fill each task format's holes with the instance fields (input, answer); mismatch audit."""
-    j = V.instances(spark, d).join(task_formats(spark, d), "task")
+    j = V.instances_base(spark, d).join(task_formats(spark, d), "task")
     fields = F.array("input", "answer")
     return j.select("task", "format_id", "instance_id", F.md5(P.fill_template(F.col("tmpl_demo"), fields)).alias("filled_md5"),
                     P.hole_mismatch(F.col("tmpl_demo"), fields).alias("hole_mismatch"))
@@ -137,7 +137,7 @@ FROM prompts p JOIN cls c USING (task)""")
 def d4_prompt_answers(spark, d):
     """Each prompt followed by every candidate class of its task (classes per task are bounded)."""
     p = prompts(spark, d)
-    cls = output_classes(V.instances(spark, d), ["task"]).select("task", F.explode("classes").alias("class"))
+    cls = output_classes(V.instances_base(spark, d), ["task"]).select("task", F.explode("classes").alias("class"))
     return p.join(cls, "task").select("task", "format_id", "instance_id", "class",
                                        F.md5(F.concat("prompt", "class")).alias("text_md5"))
 

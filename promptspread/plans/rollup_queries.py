@@ -332,7 +332,7 @@ SELECT task, CAST(count(*) AS BIGINT) AS n_classes, CAST(sum(n) AS BIGINT) AS n_
 FROM p GROUP BY task""")
 def f32_class_entropy(spark, d):
     """F32: class counts and normalised entropy of the answers per task."""
-    return R.normalized_entropy(V.instances(spark, d), ["task"], "answer")
+    return R.normalized_entropy(V.instances_base(spark, d), ["task"], "answer")
 
 
 @register("f33_task_size_distribution", views=("instances",), sql="""
@@ -340,7 +340,7 @@ SELECT task_size, CAST(count(*) AS BIGINT) AS n_tasks
 FROM (SELECT task, count(*) AS task_size FROM instances GROUP BY task) t GROUP BY task_size""")
 def f33_task_size_distribution(spark, d):
     """distribution of task sizes (instances per task)."""
-    s = V.instances(spark, d).groupBy("task").agg(F.count(F.lit(1)).alias("task_size"))
+    s = V.instances_base(spark, d).groupBy("task").agg(F.count(F.lit(1)).alias("task_size"))
     return s.groupBy("task_size").agg(F.count(F.lit(1)).alias("n_tasks"))
 
 

@@ -57,7 +57,7 @@ def e3_class_token_shape(spark, d):
 
     Tokens are characters here (no tokenizer in the engine).
     """
-    c = V.instances(spark, d).select("task", "answer").distinct()
+    c = V.instances_base(spark, d).select("task", "answer").distinct()
     return c.groupBy("task").agg(
         F.count(F.lit(1)).alias("n_classes"), F.bool_and(F.length("answer") == 1).alias("single_token"),
         (F.count_distinct(F.expr("substring(answer, 1, length(answer) - 1)")) == 1).alias("shared_prefix"))
@@ -241,10 +241,10 @@ def e15_vote_accuracy(spark, d):
 @register("e16_top_k_scores", views=("class_scores",), sql="""
 SELECT format_id, instance_id, class, round(score, 6) AS score, CAST(rn AS INT) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY format_id, instance_id ORDER BY score DESC, class) AS rn
-      FROM class_scores) r WHERE rn <= 3""")
-def e16_top_k_scores(spark, d):
-    """Top-k (k=3) classes per (format, instance) - the feature is the top-k report."""
-    t = S.top_k(V.class_scores(spark, d), ["format_id", "instance_id"], 3)
+      FROM class_scores) r WHERE rn <= 100""")
+def e16_top_k_scores(spark, d, k=100):
+    """Top-k classes per (format, instance), 100 by default - the feature is the top-k report."""
+    t = S.top_k(V.class_scores(spark, d), ["format_id", "instance_id"], k)
     return t.select("format_id", "instance_id", "class", "score", "rank")
 
 
@@ -259,7 +259,7 @@ def e25_prediction_log(spark, d):
 
     The generation echoes the whole input (as a decoder model would) followed by an answer.
     """
-    inst = V.instances(spark, d)
+    inst = V.instances_base(spark, d)
     cls = S.output_classes(inst, ["task"]).select("task", F.array_join("classes", ",").alias("output_classes"))
     g = inst.withColumn("raw", F.concat("input", F.lit(" => "), F.upper("answer")))
     return g.join(cls, "task").select("task", "instance_id", S.strip_echo(F.col("raw"), F.col("input")).alias("generation"),

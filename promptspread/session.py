@@ -7,6 +7,7 @@ fills in settings that are still unset, so cluster values always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,11 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is used as given.  Only when the
-    setting is absent (tests, local runs) do we create a scratch folder.
+    setting is absent and the master is local (tests) do we create a scratch
+    folder; elsewhere a machine-local folder would lose files, so that raises.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset on {master}: name a folder there that all executors share")
         path = tempfile.mkdtemp(prefix="promptspread-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

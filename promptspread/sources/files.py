@@ -107,14 +107,24 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
 
 
+def file_digests(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(rel, md5 of the file's bytes) for every file below ``root``, one row each, computed where the file is read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root))
+    after = F.instr("path", root.rstrip("/")) + len(root.rstrip("/"))
+    return files.select(F.col("path").substr(after, F.length("path")).alias("rel"), F.md5("content").alias("h"))
+
+
 def fingerprint(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """md5 of each file's bytes, then md5 over the per-file digests in path order (one row)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-             .load(root).select(F.regexp_replace("path", "^.*?" + root.rstrip("/"), "").alias("rel"),
-                                F.md5("content").alias("h")))
-    return files.agg(F.count(F.lit(1)).alias("n_files"),
-                     F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel", "h"))),
-                                                    lambda s: s["h"]), "")).alias("fingerprint"))
+    """Number of files and one digest of the folder (one row).
+
+    The digest is the exclusive or of the halves of md5(path, file md5): it needs
+    no order, so it is a partial aggregate and no task gathers the files.
+    """
+    own = F.md5(F.concat_ws("|", "rel", "h"))
+    half = lambda at: F.conv(F.substring(own, at, 15), 16, 10).cast("bigint")
+    return file_digests(spark, root, glob).agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.concat(*[F.lpad(F.lower(F.hex(F.coalesce(F.bit_xor(half(at)), F.lit(0)))), 15, "0") for at in (1, 17)]).alias("fingerprint"))
 
 
 def turn_literal(speaker, value):

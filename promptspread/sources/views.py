@@ -70,12 +70,15 @@ def text_generations(spark: SparkSession, d: str) -> DataFrame:
                     F.when(q1, "b").otherwise("a").alias("answer"), gen.alias("generation"))
 
 
+def instances_base(spark: SparkSession, d: str) -> DataFrame:
+    """V5 without the permutation: one projection of one scan, for all that need no order."""
+    return table(spark, d, "documents").select(F.col("source").alias("task"), F.col("doc_id").alias("instance_id"),
+                                               F.col("text").alias("input"), F.col("lang").alias("answer"))
+
+
 def instances(spark: SparkSession, d: str) -> DataFrame:
     """V5: (task, instance_id, input, answer, ord); ord = md5-seeded permutation within task."""
-    docs = table(spark, d, "documents").select(
-        F.col("source").alias("task"), F.col("doc_id").alias("instance_id"),
-        F.col("text").alias("input"), F.col("lang").alias("answer"),
-        F.md5(F.concat(F.lit("23|"), F.col("doc_id").cast("string"))).alias("__k"))
+    docs = instances_base(spark, d).withColumn("__k", F.md5(F.concat(F.lit("23|"), F.col("instance_id").cast("string"))))
     ranked = hashed_rank(docs, ["task"], "__k", out_col="__rn")
     return ranked.select("task", "instance_id", "input", "answer",
                          (F.col("__rn") - 1).cast("bigint").alias("ord"))
