@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptspread.llm.common import stored
+
 IDENTIFIER, SECRET, ENDPOINT = "identifier", "secret", "endpoint"
 
 
@@ -79,7 +81,8 @@ def spans(df: DataFrame, id_: str = "doc_id", text: str = "text", kinds: tuple[K
     every = F.concat(F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("nth"), F.lit(0).cast("long").alias("gap"), F.lit(0).cast("long").alias("chars"), F.lit("").alias("m"))),
                      *[F.coalesce(_found(body, n, k), nothing) for n, k in enumerate(kinds)])
     exploded = df.select(F.col(f"`{id_}`").alias("id"), F.xxhash64(body).alias("h"), F.explode(every).alias("e")).select("id", "h", "e.*")
-    single = exploded.groupBy("id", "h", "kind", "nth").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("gap", "chars", "m")])
+    # the few matches are kept, so the texts are scanned once
+    single = stored(exploded.groupBy("id", "h", "kind", "nth").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("gap", "chars", "m")]), "matches")
     order = Window.partitionBy("id", "h", "kind").orderBy("nth")
     before = F.sum(F.col("gap") + F.col("chars")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = single.withColumn("end", before).withColumn("start", F.col("end") - F.col("chars")).where((F.col("kind") == -1) | _keep(kinds))
