@@ -1,9 +1,9 @@
 """Training-text augmentation (D7-D14) with the leakage guard.
 
-Each conversation x augmentation draws R candidate formats at once (md5
-picks), drops candidates whose essential key is a test key with a broadcast
-left-anti join (the test set is N formats: a proven size bound), and keeps the
-first surviving draw - the set form of the reference's "redraw until clean".
+Each conversation x augmentation draws ``DRAWS`` candidate formats at once (md5
+picks), drops candidates whose essential key is a test key with a left-anti join,
+and keeps the first surviving draw; those without one draw again, until every
+augmentation has a clean format.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from promptspread.operators.catalogue import CASE_FNS, SEPARATORS, SPACES
 from promptspread.operators.prompts import INSTRUCTION_TAG, RESPONSE_TAG
+from promptspread.session import ensure_checkpoint_dir
 
 # Fixed values (must equal the reference): verbalizers of the two turns.
 FIRST_VERBALIZERS = ["question", "query", "Q"]
 SECOND_VERBALIZERS = ["answer", "reply", "A"]
-DRAWS = 16
+DRAWS = 16  # candidates per round; rounds go on as long as any augmentation needs one
 
 
 def _h(key: Column, tag: str) -> Column:
@@ -71,23 +72,36 @@ def augment(pairs: DataFrame, n_aug: int, seed: int, test_keys: DataFrame | None
     draw per (conversation, augmentation) is joined back to the texts once.
     """
     ids = pairs.select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(n_aug - 1))).alias("aug_id"))
-    x = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("conv_id").cast("string"), F.col("aug_id").cast("string"),
-                      F.col("draw").cast("string"))
-    f = draw_format(key, spaces, separators)
-    x = x.select("*", *[c.alias(k) for k, c in f.items()])
-    x = x.withColumn("fmt_key", format_key(F.col("space"), F.col("separator"), F.col("fn_name")))
-    if test_keys is not None:
-        x = x.join(F.broadcast(test_keys.select("fmt_key").distinct()), "fmt_key", "left_anti")
-    best = x.groupBy("conv_id", "aug_id").agg(
-        F.min(F.struct("draw", "first", "second", "separator", "space", "fmt_key")).alias("b")).select(
-        "conv_id", "aug_id", "b.*")
+    keys = None if test_keys is None else test_keys.select("fmt_key").distinct()
+    best = _first_clean(ids, keys, seed, spaces, separators, 0)
+    if keys is not None:
+        spark = pairs.sparkSession
+        every = spark.createDataFrame([(f"{x}\x1f{y}\x1f{z}",) for y in separators for x in spaces for z in CASE_FNS if "\n" not in y or "\n" in x], "fmt_key string")
+        if every.join(keys, "fmt_key", "left_anti").isEmpty():
+            raise ValueError("every format of the catalogue is a test key")
+        rest, round_ = ids.join(best, ["conv_id", "aug_id"], "left_anti"), 1
+        while not rest.isEmpty():
+            ensure_checkpoint_dir(spark)
+            more = _first_clean(rest, keys, seed, spaces, separators, round_).checkpoint()
+            best, rest, round_ = best.unionByName(more), rest.join(more, ["conv_id", "aug_id"], "left_anti").checkpoint(), round_ + 1
     j = best.join(pairs.select("conv_id", "user_text", "assistant_text"), "conv_id")
     text = F.concat(F.lit(INSTRUCTION_TAG), F.col("first"), F.col("separator"), F.col("user_text"), F.col("space"),
                     F.col("second"), F.col("separator"), F.lit(RESPONSE_TAG), F.col("assistant_text"))
     return j.select("conv_id", "aug_id", "draw", "fmt_key", text.alias("text"))
 
 
+def _first_clean(ids: DataFrame, keys: DataFrame | None, seed: int, spaces: list[str], separators: list[str], round_: int) -> DataFrame:
+    """The first of a round's draws that is no test key, for the augmentations that have one."""
+    x = ids.select("*", F.explode(F.sequence(F.lit(DRAWS * round_), F.lit(DRAWS * (round_ + 1) - 1))).alias("draw"))
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("conv_id").cast("string"), F.col("aug_id").cast("string"), F.col("draw").cast("string"))
+    x = x.select("*", *[c.alias(k) for k, c in draw_format(key, spaces, separators).items()])
+    x = x.withColumn("fmt_key", format_key(F.col("space"), F.col("separator"), F.col("fn_name")))
+    if keys is not None:
+        x = x.join(keys, "fmt_key", "left_anti")
+    return x.groupBy("conv_id", "aug_id").agg(
+        F.min(F.struct("draw", "first", "second", "separator", "space", "fmt_key")).alias("b")).select("conv_id", "aug_id", "b.*")
+
+
 def split_prompt_label(text: Column) -> tuple[Column, Column]:
     """prompt = part before the response tag without the instruction tag; label = part after it."""
     parts = F.split(text, RESPONSE_TAG, -1)
