@@ -9,7 +9,7 @@ from promptspread.llm import bpe, lang_id, line_dedup, mixing, ngram_join
 from promptspread.llm.common import stored
 from promptspread.llm.queries.op1 import held_out
 from promptspread.llm.queries.op2 import vocabulary_path
-from promptspread.llm.queries.op7 import with_quality
+from promptspread.llm.queries.op7 import quality
 from promptspread.sources.tables import table
 
 ORACLE_SQL: str | None = None  # training a network, and encoding, have no SQL form
@@ -40,8 +40,7 @@ def _key(id_):
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document as often as its source's target takes it."""
-    plan = mixing.mix(with_quality(docs, table(spark, sf_dir, "labels")), quality=F.col("_weight"))
-    return mixing.repeated(docs, plan)
+    return mixing.repeated(docs, mixing.mix(docs, quality=quality(spark, sf_dir)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,17 +73,22 @@ def _fits(rows: DataFrame, ranges: int) -> DataFrame:
     return dealt.join(offsets, keys).withColumn("running", F.col("offset") + F.sum(counted).over(within)).drop("r", "offset")
 
 
-def mix(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None,
+def mix(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", quality: DataFrame | None = None,
         weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, epochs: int = 2, seed: int = 23) -> DataFrame:
     """One row per distinct (id, text, source): (id, h, source, copies, size, source_size, target, times).
 
-    ``times`` is how often the mix takes the document, ``h`` a hash of its text.
+    ``times`` is how often the mix takes the document, ``h`` a hash of its text;
+    ``quality`` has (id, weight), the largest weight of an id counting.
     """
     spark = df.sparkSession
-    weight = F.lit(1.0) if quality is None else quality
     rows = df.select(F.col(f"`{id_}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{source}`").isNull().alias("no_source"),
-                     F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), word_count(F.col(f"`{text}`")).alias("size"),
-                     exponential_key(F.col(f"`{id_}`"), weight, seed).alias("key"))
+                     F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    if quality is None:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    else:  # joined to sizes, not to texts
+        best = quality.groupBy(F.col("id").alias("q")).agg(F.max("weight").alias("weight"))
+        rows = rows.join(best, F.col("id") == F.col("q"), "left").drop("q")
+    rows = rows.withColumn("key", exponential_key(F.col("id"), F.col("weight"), seed)).drop("weight")
     units = stored(rows.groupBy("id", "h", "no_source", "source").agg(
         F.count("*").alias("copies"), F.max("size").alias("size"), F.min("key").alias("key")), "mix_units")
     ranges = max(64, 4 * parallelism(spark), math.ceil(units.count() / RANGE_ROWS))

@@ -10,10 +10,9 @@ from promptspread.llm.registry import register
 from promptspread.sources.tables import table
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents plus their quality weight: 2 where a label says good, else 1."""
-    good = labels.groupBy(F.col("doc_id").alias("_l_id")).agg(F.max("quality").alias("_l_quality"))
-    return docs.join(good, docs["doc_id"] == good["_l_id"], "left").withColumn("_weight", 1 + F.coalesce("_l_quality", F.lit(0))).drop("_l_id", "_l_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, weight): weight 2 where a label says good, else 1."""
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (1 + F.coalesce("quality", F.lit(0))).cast("double").alias("weight"))
 
 
 def _round(n: int) -> str:
@@ -60,7 +59,6 @@ FROM left{mixing.ROUNDS - 1}
 
 @register("op7_source_mix", SQL)
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
-    plan = mixing.mix(docs, quality=F.col("_weight"))
+    plan = mixing.mix(table(spark, sf_dir, "documents"), quality=quality(spark, sf_dir))
     rows = plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))

@@ -44,14 +44,15 @@ def test_targets_and_nearness(spark):
 
 def test_quality_comes_first(spark):
     df = docs(spark, [(i, "five words in this text") for i in range(400)], source="a").unionByName(docs(spark, [(1000 + i, "w " * 3000) for i in range(2)], source="b"))
-    plan = mixing.mix(df, quality=F.when(F.col("doc_id") % 2 == 0, 8.0), weights=(1, 5), percent=60).where("source = 'a'").collect()
+    quality = df.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, 8.0).alias("weight"))
+    plan = mixing.mix(df, quality=quality, weights=(1, 5), percent=60).where("source = 'a'").collect()
     good, rest = (sum(r.times for r in plan if r.id % 2 == k) for k in (0, 1))
     assert good > 2 * rest > 0
 
 
 def test_odd_rows(spark):
     df = docs(spark, odd_texts(), source=None).unionByName(docs(spark, [(20, "a b"), (21, "")], source="z"))
-    plan = mixing.mix(df, quality=F.lit(None).cast("double"))
+    plan = mixing.mix(df, quality=df.select(F.col("doc_id").alias("id"), F.lit(None).cast("double").alias("weight")))
     rows = plan.collect()
     assert sum(r.copies for r in rows) == df.count() and {r.source for r in rows} == {None, "z"}
     assert all(r.times <= 2 for r in rows)

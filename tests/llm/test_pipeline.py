@@ -29,8 +29,8 @@ def test_stages_on_documents_and_odd_rows(spark):
         if name == "ngram_jaccard_join":
             assert after.count() == after.select("doc_id", "text").distinct().count()
         if name == "source_mixing":
-            want = {(r.id, r.h): r.times * r.copies for r in mixing.mix(corpus_pipeline.with_quality(before, corpus_pipeline.table(spark, SF_SMALL, "labels")),
-                                                                        quality=corpus_pipeline.F.col("_weight")).collect()}
+            plan = mixing.mix(before, quality=corpus_pipeline.quality(spark, SF_SMALL))
+            want = {(r.id, r.h): r.times * r.copies for r in plan.collect()}
             assert after.count() == sum(want.values())
         before = after
     coded = corpus_pipeline.STAGES[-1][1](spark, before, SF_SMALL)
