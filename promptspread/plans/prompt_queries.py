@@ -18,7 +18,8 @@ from promptspread.sources.tables import table
 LAYOUT = FM.layout("one_field")
 N_FMT = 3          # formats per task
 N_SHOT = 2
-EVAL_LO, EVAL_HI = 0, 40
+PERTURBED = (0, 40)  # D6's interval of evaluation rows: the perturbation study takes a slice
+N_EVAL_FROM = 10      # rows before are demonstrations
 N_AUG = 2
 AUG_SEED = 23
 PCT = 0.1
@@ -83,19 +84,27 @@ blocks AS (SELECT task, format_id, concat({DEF_SQL}, chr(10) || chr(10), string_
            FROM dm GROUP BY task, format_id)"""
 
 
-def prompts(spark, d):
-    inst = V.instances(spark, d)
-    ev = inst.where((F.col("ord") >= 10 + EVAL_LO) & (F.col("ord") < 10 + EVAL_HI)).select("task", "instance_id", "input", "answer")
+def prompts(spark, d, interval=None):
+    """Full prompts of all evaluation rows, or of an interval of their order."""
+    inst = V.instances(spark, d).where(F.col("ord") >= N_EVAL_FROM)
+    if interval is not None:
+        inst = inst.where((F.col("ord") >= N_EVAL_FROM + interval[0]) & (F.col("ord") < N_EVAL_FROM + interval[1]))
+    ev = inst.select("task", "instance_id", "input", "answer")
     j = ev.join(task_formats(spark, d), "task").join(demo_blocks(spark, d), ["task", "format_id"])
     filled = P.fill_template(F.col("tmpl_in"), F.array("input"))
     return j.select("task", "format_id", "instance_id", "answer", P.full_prompt(F.col("block"), filled, N_SHOT).alias("prompt"))
 
 
-PROMPTS_SQL = f"""{DEMO_SQL},
+def prompts_sql(interval=None):
+    rows = f"i.ord >= {N_EVAL_FROM}" if interval is None else f"i.ord >= {N_EVAL_FROM + interval[0]} AND i.ord < {N_EVAL_FROM + interval[1]}"
+    return f"""{DEMO_SQL},
 prompts AS (SELECT i.task, tf.format_id, i.instance_id, i.answer,
                    concat(b.block, chr(10) || chr(10), {fill_sql('tf.tmpl_in', '[i.input]')}) AS prompt
             FROM instances i JOIN tf USING (task) JOIN blocks b ON b.task = i.task AND b.format_id = tf.format_id
-            WHERE i.ord >= {10 + EVAL_LO} AND i.ord < {10 + EVAL_HI})"""
+            WHERE {rows})"""
+
+
+PROMPTS_SQL = prompts_sql()
 
 
 @register("d1_fill_template", views=("instances",), sql=f"""
@@ -158,7 +167,7 @@ def d5_prompt_messages(spark, d):
 
 
 @register("d6_perturbed_copies", views=("instances",), sql=f"""
-WITH {PROMPTS_SQL},
+WITH {prompts_sql(PERTURBED)},
 c AS (SELECT p.*, k.copy_id, string_split(prompt, ' ') AS toks,
              concat_ws('|', '{AUG_SEED}', CAST(p.format_id AS VARCHAR), CAST(p.instance_id AS VARCHAR), CAST(k.copy_id AS VARCHAR)) AS key
       FROM prompts p, (SELECT 1 AS copy_id UNION ALL SELECT 2) k),
@@ -172,7 +181,7 @@ SELECT task, format_id, instance_id, CAST(copy_id AS INT) AS copy_id, CAST(len(t
 FROM r""")
 def d6_perturbed_copies(spark, d):
     """Two perturbed copies of each prompt, floor(n * 10%) tokens replaced at md5-chosen positions."""
-    p = prompts(spark, d).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy_id"))
+    p = prompts(spark, d, PERTURBED).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy_id"))
     p = p.withColumn("key", F.concat_ws("|", F.lit(str(AUG_SEED)), F.col("format_id").cast("string"),
                                         F.col("instance_id").cast("string"), F.col("copy_id").cast("string")))
     p = P.with_perturbed(p, "prompt", "key", PCT, "perturbed")
