@@ -51,23 +51,6 @@ def codepoint_char(cp: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
 
 
-def apply_case(fn_name: Column, x: Column) -> Column:
-    """Descriptor case functions.  ``initcap`` equals ``str.title`` on plain words."""
-    return (F.when(fn_name == CASE_FNS[1], F.initcap(x))
-            .when(fn_name == CASE_FNS[2], F.upper(x))
-            .when(fn_name == CASE_FNS[3], F.lower(x))
-            .otherwise(x))
-
-
-def apply_wrapper(fn_name: Column, x: Column) -> Column:
-    return (F.when(fn_name == WRAPPERS[0], F.concat(F.lit("("), x, F.lit(")")))
-            .when(fn_name == WRAPPERS[1], F.concat(x, F.lit(".")))
-            .when(fn_name == WRAPPERS[2], F.concat(x, F.lit(")")))
-            .when(fn_name == WRAPPERS[3], F.concat(x, F.lit(" )")))
-            .when(fn_name == WRAPPERS[4], F.concat(F.lit("["), x, F.lit("]")))
-            .otherwise(F.concat(F.lit("<"), x, F.lit(">"))))
-
-
 def number_label(idx: Column, fmt: Column) -> Column:
     """Label of 0-based item ``idx`` under number format ``fmt`` (an index into NUMBER_FORMATS).
 
@@ -82,11 +65,6 @@ def number_label(idx: Column, fmt: Column) -> Column:
             .otherwise(F.upper(F.element_at(roman, idx + 1))))
 
 
-def number_label_by_name(idx: Column, fn_name: Column) -> Column:
-    pos = F.array_position(F.array(*[F.lit(n) for n in NUMBER_FORMATS]), fn_name) - 1
-    return number_label(idx, pos)
-
-
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference): split-mode catalogues (C11).
 SHORT_TRAIN_SEPARATORS = ["", ": ", " - ", " ", ":", "- ", "::: ", ":: ", "::"]

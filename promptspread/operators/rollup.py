@@ -7,7 +7,6 @@ a plain DataFrame transformation that would run unchanged on a large table.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,10 +101,6 @@ def normalized_entropy(df: DataFrame, group: list[str], cls: str) -> DataFrame:
         .alias("normalized_entropy"))
 
 
-def ceil_sqrt(n: int) -> int:
-    return math.ceil(math.sqrt(n))
-
-
 def py_title(s: Column) -> Column:
     """Python ``str.title``: a letter after a non-letter is upper-cased, other letters lower-cased.
 

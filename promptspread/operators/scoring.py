@@ -57,7 +57,7 @@ def batch_calibrated_scores(tokens: DataFrame, batch_size: int, fmt: str = "form
     w = Window.partitionBy(*key).orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
     pr = p_hat.select(*key, "batch_no", F.avg("p_hat").over(w).alias("pr"))
     cal = t.join(pr, [*key, "batch_no"]).withColumn("logprob", F.col("logprob") - F.col("pr"))
-    return class_score(cal, [fmt, inst, "class"]).withColumn("score", F.round("score", 9))
+    return class_score(cal, [fmt, inst, "class"])
 
 
 def sensitivity_scores(scores: DataFrame, alpha: float, copy_col: str = "format_id",
@@ -65,8 +65,7 @@ def sensitivity_scores(scores: DataFrame, alpha: float, copy_col: str = "format_
     """E5: ``alpha*real - (1-alpha)*var_samp(perturbed copies)``; copy 0 is the real prompt."""
     real = F.max(F.when(F.col(copy_col) == 0, F.col("score")))
     var = F.var_samp(F.when(F.col(copy_col) > 0, F.col("score")))
-    return (scores.groupBy(*keys).agg((F.lit(alpha) * real - F.lit(1 - alpha) * var).alias("score"))
-            .withColumn("score", F.round("score", 9)))
+    return scores.groupBy(*keys).agg((F.lit(alpha) * real - F.lit(1 - alpha) * var).alias("score"))
 
 
 def softmax_ensemble(scores: DataFrame, ensemble_col: str, inst: str = "instance_id") -> DataFrame:
@@ -75,8 +74,7 @@ def softmax_ensemble(scores: DataFrame, ensemble_col: str, inst: str = "instance
     mx = F.max("score").over(w)
     e = F.exp(F.col("score") - mx)
     p = scores.withColumn("prob", e / F.sum(e).over(w))
-    return (p.groupBy(ensemble_col, inst, "class").agg(F.avg("prob").alias("prob"))
-            .withColumn("prob", F.round("prob", 9)))
+    return p.groupBy(ensemble_col, inst, "class").agg(F.avg("prob").alias("prob"))
 
 
 def output_classes(df: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:

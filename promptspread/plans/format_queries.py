@@ -690,7 +690,6 @@ def f36_sensitive_tasks(spark, d):
 
 RANGED = FM.layout("ranged_facts")
 ENUM_LENGTHS = list(range(*RANGED.enum_range))
-FIELD_CLASS_SQL = None
 
 
 def _regex_sql(text_sql: str) -> str:

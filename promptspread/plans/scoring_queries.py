@@ -31,11 +31,14 @@ ENS_SQL = f"""ens AS (SELECT t.*, e.k, CAST((t.variant - e.k + {N_VARIANTS}) % {
 
 
 @register("e1_class_score", views=("token_scores",), sql="""
-SELECT format_id, instance_id, class, round(sum(logprob), 6) AS score
-FROM token_scores WHERE pos_from_end < answer_length GROUP BY format_id, instance_id, class""")
+WITH m AS (SELECT *, max(logprob) OVER (PARTITION BY format_id, instance_id, pos_from_end) AS top FROM token_scores),
+n AS (SELECT *, logprob - top - ln(sum(exp(logprob - top)) OVER (PARTITION BY format_id, instance_id, pos_from_end)) AS lp FROM m)
+SELECT format_id, instance_id, class, round(sum(lp), 6) AS score
+FROM n WHERE pos_from_end < answer_length GROUP BY format_id, instance_id, class""")
 def e1_class_score(spark, d):
-    """Sum of log-probs over each class's trailing answer tokens."""
-    return S.class_score(V.token_scores(spark, d), ["format_id", "instance_id", "class"])
+    """Raw scores to log-probs over the tokens of a position, then the sum over each class's trailing answer tokens."""
+    tokens = S.log_softmax(V.token_scores(spark, d), ["format_id", "instance_id", "pos_from_end"], "logprob", "logprob")
+    return S.class_score(tokens, ["format_id", "instance_id", "class"])
 
 
 @register("e2_argmax_class", views=("class_scores",), sql="""

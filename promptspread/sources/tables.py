@@ -16,9 +16,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_all(spark: SparkSession, sf_dir: str) -> None:
-    """Expose every driver table as a temp view (for ``spark.sql``)."""
-    for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -33,14 +33,6 @@ def running_accuracy(outcomes: DataFrame) -> DataFrame:
         .withColumn("cum_accuracy", F.col("cum_successes") / F.col("cum_total"))
 
 
-def windowed_accuracy(outcomes: DataFrame, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
-    """Append-mode per-arm accuracy in event-time windows; late rows beyond the watermark are dropped."""
-    return (outcomes.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", window), "arm")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("successes"))
-            .withColumn("accuracy", F.col("successes") / F.col("n")))
-
-
 def start_running_accuracy(spark: SparkSession, sf_dir: str, query_name: str,
                            checkpoint: str | None = None) -> StreamingQuery:
     """Run the running-accuracy stream into an in-memory table (tests, notebooks) until input is drained."""
