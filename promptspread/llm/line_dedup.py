@@ -158,8 +158,11 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     once = (F.col("ty") < SAME_LENGTH) | (F.col("x") < F.col("y"))
     hits = index.join(probes, "s").where((F.col("x") != F.col("y")) & once & may_match(F.col("tx"), F.col("ty"), edits))
     pairs = hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left, right = distinct.select("a", F.col("line").alias("p")), distinct.select(F.col("a").alias("b"), F.col("line").alias("q"))
-    return pairs.join(left, "a").join(right, "b").where(within(F.col("p"), F.col("q"), edits)).select("a", "b")
+    # the same columns as above, so that the lines' one exchange serves the joins too
+    left = distinct.select("a", F.col("line").alias("p"), F.col("t").alias("tp"))
+    right = distinct.select(F.col("a").alias("b"), F.col("line").alias("q"), F.col("t").alias("tq"))
+    near = may_match(F.col("tp"), F.col("tq"), edits) & within(F.col("p"), F.col("q"), edits)
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
 def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
