@@ -38,9 +38,9 @@ from promptspread.llm import shingles
 from promptspread.llm.common import SIMILARITY_PERCENT, slices, stored, utf8
 from promptspread.llm.components import components
 
-BLOCK = 256            # entries of a long list's block
+BLOCK = 1024           # entries of a long list's block
 SHORT = 64             # lists up to this length name their pairs at once; longer ones are dealt in blocks first
-COMMON_LIMIT = 1 << 20  # at most so many common elements are ordered by frequency; a fixed bound of what is broadcast
+COMMON_LIMIT = 1 << 19  # at most so many common elements are ordered by frequency; a fixed bound of what is broadcast
 PROFILE = "doc_id long, h long, n long, sid binary, bitmap binary, element long, count long"
 PAIRS = "a binary, b binary"
 
@@ -378,10 +378,15 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataF
     hashed = docs.withColumn("h", F.xxhash64("text"))
     scanned = stored(hashed.mapInArrow(_profile, PROFILE), "profile")
     profile = scanned.where("element IS NULL").select("doc_id", "h", "n", "sid", "bitmap")
-    total = profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = (scanned.where("element IS NOT NULL").groupBy("element").agg(F.sum("count").alias("c")).where(F.col("c") >= max(3, total // COMMON_LIMIT + 1)))
-    # at most COMMON_LIMIT elements occur so often; they are the ones whose order matters
-    rows = often.toPandas()
+    often = scanned.where("element IS NOT NULL").groupBy("element").agg(F.sum("count").alias("c")).where("c > 2")
+    # the most common elements, whole frequency bins (16 to a doubling) from the top while they fit the bound
+    bin_ = F.floor(F.log2("c") * 16).cast("int")
+    floor, room = None, COMMON_LIMIT
+    for r in often.groupBy(bin_.alias("bin")).count().orderBy(F.desc("bin")).collect():  # at most 16 * 63 rows
+        if r["count"] > room:
+            break
+        floor, room = r.bin, room - r["count"]
+    rows = often.where(F.lit(False) if floor is None else bin_ >= floor).toPandas()
     common = rows["element"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
     tokens = docs.select("text").mapInArrow(_prefixes(common[order], rows["c"].to_numpy(np.int64)[order]), "token int, sid binary, n int, pos int")
