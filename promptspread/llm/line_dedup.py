@@ -166,15 +166,15 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lines, edges): every line (id, h, copies, no, a, class, first) of the documents, and the links between lines.
+    """(lines, edges): every line (id, h, no, a, class, first) of the documents, and the links between lines.
 
-    ``a`` is null for lines too short to count; ``first`` tells whether a line is the one its class keeps.
+    ``a`` is null for lines too short to count; ``first`` tells whether a line is
+    the one its class keeps (in every copy of a row that occurs several times).
     """
     body = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{id_}`").alias("id"), F.xxhash64(body).alias("h"), body.alias("t"))
     hashed = F.transform(split_lines(F.col("t")), lambda x: F.when(F.length(x) >= least, F.xxhash64(x)))
-    exploded = docs.select("id", "h", F.posexplode(hashed).alias("no", "a"))
-    occurrences = stored(exploded.groupBy("id", "h", "no").agg(F.count("*").alias("copies"), F.first("a").alias("a")), "line_places")
+    occurrences = stored(docs.select("id", "h", F.posexplode(hashed).alias("no", "a")), "line_places")
     lines = docs.select(F.explode(split_lines(F.col("t"))).alias("line")).where(F.length("line") >= least).select(F.xxhash64("line").alias("a"), "line")
     edges = stored(line_links(lines, edits), "line_edges")
     label = components(edges).select(F.col("node").alias("a"), "component")
@@ -183,7 +183,7 @@ def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int =
     repeated = placed.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1")
     marked = placed.join(repeated.select("class", "start"), "class", "left")
     first = F.col("start").isNull() | (F.col("start") == place)
-    return marked.select("id", "h", "copies", "no", "a", "class", "start", first.alias("first")), edges
+    return marked.select("id", "h", "no", "a", "class", first.alias("first")), edges
 
 
 def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -193,7 +193,7 @@ def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = E
     one goes; documents that lose nothing stay as they are.
     """
     lines, _ = classes(df, id_, text, edits, least)
-    gone = lines.where(~F.col("first")).groupBy(F.col("id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_list("no").alias("_g_no"))  # at most a document's lines
+    gone = lines.where(~F.col("first")).groupBy(F.col("id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_set("no").alias("_g_no"))  # at most a document's lines
     joined = df.join(gone, df[id_].eqNullSafe(gone["_g_id"]) & (F.xxhash64(df[text]) == gone["_g_h"]), "left")
     kept = F.filter(split_lines(F.col(text)), lambda x, i: ~F.array_contains("_g_no", i))
     new = F.when(F.col("_g_no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))

@@ -37,9 +37,12 @@ def report(docs: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy("a").agg(F.count("*").alias("links"))
     gone = F.when(~F.col("first"), F.col("no"))
+    # every copy of a row that occurs several times has a line 0
     per = lines.join(degree, "a", "left").groupBy("id", "h").agg(
-        F.max("copies").alias("copies"), F.count("*").alias("n_lines"), F.count(gone).alias("n_dropped"),
-        F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"), F.array_join(F.sort_array(F.collect_list(gone)), ",").alias("dropped"))
+        F.count(F.when(F.col("no") == 0, 1)).alias("copies"), F.count("*").alias("lines"), F.sum("links").alias("links"), F.sort_array(F.collect_set(gone)).alias("gone"))
+    each = lambda c: F.expr(f"coalesce({c}, 0) div copies")
+    per = per.select("id", "copies", each("lines").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), each("links").alias("n_links"),
+                     F.array_join("gone", ",").alias("dropped"))
     rows = per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", "n_links", "dropped")
 
