@@ -20,8 +20,8 @@ def count_of(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    found = secrets.spans(docs)
+def report(docs: DataFrame, paragraphs: bool = False) -> DataFrame:
+    found = secrets.spans(docs, paragraphs=paragraphs)
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(
@@ -32,4 +32,4 @@ def report(docs: DataFrame) -> DataFrame:
 
 @register("op5_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report(table(spark, sf_dir, "documents").select("doc_id", "text"), paragraphs=True)

@@ -71,3 +71,21 @@ def test_documents(spark):
     df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert got(df) == expected([(r.doc_id, r.text) for r in df.collect()])
     assert got(df.limit(0)) == []
+
+
+def spans_of(spark, texts, **settings):
+    return {r.doc_id: r.spans for r in report(docs(spark, list(enumerate(texts))), **settings).collect()}
+
+
+def test_short_values_of_the_main_key_words(spark):
+    texts = ["user=bob password=hunter2 https://db/x", "a passwd: p@ss!word-1234 by login: amy", "token=abc", "user=bob secret=abcdefghijkl", 'API_KEY = "x1" at 10.0.0.1:22']
+    assert spans_of(spark, texts) == {0: "account:0:8,short:9:25,url:26:38", 1: "short:2:24,account:28:38", 2: "", 3: "account:0:8,assign:9:28", 4: "short:0:13"}
+
+
+def test_parts_of_one_paragraph_at_any_distance(spark):
+    key = "-----BEGIN KEY-----\n" + "y" * 600 + "\n-----END KEY-----\n"
+    texts = [f"user=bob\n{key}password=hunter2", f"user=bob\n{key} \t\r\npassword=hunter2", f"a\n\nb\n\n\n{key}user=bob\n{key}pwd=abcd\n\nhttps://db/x"]
+    assert len(key) == 639
+    near = {0: "account:0:8,short:648:664", 1: "", 2: "account:646:654,pass:1294:1302"}
+    assert spans_of(spark, texts, paragraphs=True) == near
+    assert spans_of(spark, texts) == {0: "", 1: "", 2: "pass:1294:1302"}
