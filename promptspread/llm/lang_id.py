@@ -148,20 +148,22 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", settings: Setti
 
     The sample takes, per language, the distinct texts with the smallest hash and
     from each one window that starts at a place chosen by the hash.  The languages'
-    row counts give a hash limit that about three times the sample passes, so
-    neither the shuffle nor the task of a common language grows with the data.
+    numbers of distinct texts with a letter give a hash limit that about three
+    times the sample passes, however many copies there are; only text hashes are
+    shuffled for them, and no task of a common language grows with the data.
     """
     s = settings
-    labelled = df.where(F.col(f"`{lang}`").isNotNull())
-    counts = {r.l: r["count"] for r in labelled.groupBy(F.col(f"`{lang}`").alias("l")).count().collect()}  # one row per language
+    labelled = df.where(F.col(f"`{lang}`").isNotNull() & has_letter(F.col(f"`{text}`")))
+    h = F.xxhash64(F.col(f"`{text}`"), F.lit(s.seed))
+    distinct = labelled.select(F.col(f"`{lang}`").alias("l"), h.alias("h")).distinct()
+    counts = {r.l: r["count"] for r in distinct.groupBy("l").count().collect()}  # one row per language
     if not counts:
         return None
-    h = F.xxhash64(F.col(f"`{text}`"), F.lit(s.seed))
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 3 * s.per_lang / n))])
     places = F.greatest(F.length("t") - F.lit(s.window // 2), F.lit(1))
     sample = (
         labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"), h.alias("h"))
-        .where((F.col("h") / float(1 << 64) + 0.5 <= F.element_at(share, F.col("l"))) & has_letter(F.col("t")))
+        .where(F.col("h") / float(1 << 64) + 0.5 <= F.element_at(share, F.col("l")))
         .select("l", "h", F.substring("t", F.pmod("h", places).cast("int") + 1, F.lit(s.window)).alias("t"))
         .distinct()
         .withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t")))

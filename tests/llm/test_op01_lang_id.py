@@ -31,3 +31,11 @@ def test_no_labels_and_empty_table(spark):
     assert lang_id.train(df) is None
     assert [(r.lang_pred, r.score) for r in lang_id.identify(df, df.doc_id.isNotNull()).collect()] == [("und", 0.0)]
     assert lang_id.identify(df.limit(0), df.doc_id.isNotNull()).count() == 0
+
+
+def test_language_that_is_mostly_copies(spark):
+    few = [(i, f"der Hund und die Katze {i}") for i in range(10)]
+    copies = spark.range(40_000).selectExpr("id AS doc_id", "'die Katze schläft heute' AS text", "'de' AS lang")
+    df = docs(spark, [(i, f"the cat and the dog {i}") for i in range(10)], "en").unionByName(docs(spark, few, "de")).select("doc_id", "text", "lang").unionByName(copies)
+    model = lang_id.train(df, settings=lang_id.Settings(per_lang=4, epochs=1))
+    assert model is not None and model.languages == ("de", "en")
