@@ -32,6 +32,7 @@ from promptspread.llm.components import components
 EDITS = 2
 LEAST = 20
 LETTERS = "etaonisrhdlu"  # counted by ``traits``: four bits each
+VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
 SAME_LENGTH = 1 << 48     # set in a probe's traits if it looks for lines of its own length
 
 
@@ -186,16 +187,18 @@ def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int =
     return marked.select("id", "h", "no", "a", "class", first.alias("first")), edges
 
 
-def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, keep_short: bool = False) -> DataFrame:
     """``df`` without the lines whose class has an earlier one.
 
     A document that keeps no line of at least ``least`` code points after losing
-    one goes; documents that lose nothing stay as they are.
+    one goes, with ``keep_short`` only one that keeps no line with a visible
+    character; documents that lose nothing stay as they are.
     """
     lines, _ = classes(df, id_, text, edits, least)
     gone = lines.where(~F.col("first")).groupBy(F.col("id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_set("no").alias("_g_no"))  # at most a document's lines
     joined = df.join(gone, df[id_].eqNullSafe(gone["_g_id"]) & (F.xxhash64(df[text]) == gone["_g_h"]), "left")
     kept = F.filter(split_lines(F.col(text)), lambda x, i: ~F.array_contains("_g_no", i))
     new = F.when(F.col("_g_no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_g_new", new).where(F.col("_g_no").isNull() | F.exists(kept, lambda x: F.length(x) >= least))
+    worth = lambda x: x.rlike(VISIBLE) if keep_short else F.length(x) >= least
+    out = joined.withColumn("_g_new", new).where(F.col("_g_no").isNull() | F.exists(kept, worth))
     return out.select(*[F.col("_g_new").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

@@ -48,3 +48,12 @@ def test_near_copies_leave_one(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF_SMALL)
     assert {"doc_id", "n_tokens", "ids"} <= set(rows.columns) and rows.count() > 50
+
+
+def test_short_lines_keep_their_document(spark):
+    footer = "this footer is shared by many documents"
+    poem = "\n".join(f"line {i}" for i in range(100))
+    rows = [(i, t, "en", "s", len(t)) for i, t in [(1, f"first\n{footer}"), (2, f"{poem}\n{footer}"), (3, f"短い行\n{footer}"), (4, f" \t\n\u00a0\u200b\n{footer}"), (5, footer)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, df, SF_SMALL).collect()}
+    assert out == {1: (f"first\n{footer}", len(footer) + 6), 2: (poem, len(poem)), 3: ("短い行", 3)}
