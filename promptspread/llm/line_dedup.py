@@ -19,6 +19,12 @@ points (blank ones too) are never linked nor dropped, whatever repeats; equal
 lines are one class.  The first line of a class in order of (doc_id with null
 last, text hash, line number) is kept, the others are dropped.  Rows equal in id
 and text are one document that occurs several times.  Extra columns stay.
+
+``dedup`` drops less than the rest of a class: going through different lines by
+their first places, a line within ``edits`` of a kept earlier one is dropped, any
+other kept, and of equal lines the first stays.  So no line goes for a chain of
+others.  Each round settles the lines without an open earlier neighbour; the
+rounds follow the longest chain of ever later lines.
 """
 
 from __future__ import annotations
@@ -166,36 +172,67 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
-def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lines, edges): every line (id, h, no, a, class, first) of the documents, and the links between lines.
+def place() -> Column:
+    """Where a line stands, in the lines' order."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "h", "no")
 
-    ``a`` is null for lines too short to count; ``first`` tells whether a line is
-    the one its class keeps (in every copy of a row that occurs several times).
-    """
+
+def _lines_and_edges(df: DataFrame, id_: str, text: str, edits: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Every line (id, h, no, a) of the documents, ``a`` null if too short to count, and the links between lines."""
     body = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{id_}`").alias("id"), F.xxhash64(body).alias("h"), body.alias("t"))
     hashed = F.transform(split_lines(F.col("t")), lambda x: F.when(F.length(x) >= least, F.xxhash64(x)))
     occurrences = stored(docs.select("id", "h", F.posexplode(hashed).alias("no", "a")), "line_places")
     lines = docs.select(F.explode(split_lines(F.col("t"))).alias("line")).where(F.length("line") >= least).select(F.xxhash64("line").alias("a"), "line")
-    edges = stored(line_links(lines, edits), "line_edges")
+    return occurrences, stored(line_links(lines, edits), "line_edges")
+
+
+def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(lines, edges): every line (id, h, no, a, class, first) of the documents, and the links between lines.
+
+    ``a`` is null for lines too short to count; ``first`` tells whether a line is
+    the one its class keeps (in every copy of a row that occurs several times).
+    """
+    occurrences, edges = _lines_and_edges(df, id_, text, edits, least)
     label = components(edges).select(F.col("node").alias("a"), "component")
     placed = occurrences.join(label, "a", "left").withColumn("class", F.coalesce("component", "a")).drop("component")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "no")
-    repeated = placed.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("start"), F.count("*").alias("n")).where("n > 1")
+    repeated = placed.where("class IS NOT NULL").groupBy("class").agg(F.min(place()).alias("start"), F.count("*").alias("n")).where("n > 1")
     marked = placed.join(repeated.select("class", "start"), "class", "left")
-    first = F.col("start").isNull() | (F.col("start") == place)
+    first = F.col("start").isNull() | (F.col("start") == place())
     return marked.select("id", "h", "no", "a", "class", first.alias("first")), edges
 
 
+def near_kept(occurrences: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a): lines with a link to a kept line whose first place is earlier; every line that is not among them is kept."""
+    nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
+    starts = occurrences.join(nodes, "a", "left_semi").groupBy("a").agg(F.min(place()).alias("start"))
+    placed = edges.join(starts.withColumnRenamed("start", "sa"), "a").join(starts.select(F.col("a").alias("b"), F.col("start").alias("sb")), "b")
+    ahead = F.col("sa") < F.col("sb")
+    open_ = stored(placed.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("v")), "open_0")
+    out, round_ = nodes.limit(0), 0
+    while not open_.isEmpty():
+        round_ += 1
+        kept = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        dropped = stored(open_.join(kept, "u", "left_semi").select(F.col("v").alias("a")).distinct(), f"near_kept_{round_}")
+        left = open_.join(dropped.select(F.col("a").alias("u")), "u", "left_anti").join(dropped.select(F.col("a").alias("v")), "v", "left_anti")
+        open_ = stored(left.select("u", "v"), f"open_{round_}")
+        out = out.unionByName(dropped)
+    return out
+
+
 def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, keep_short: bool = False) -> DataFrame:
-    """``df`` without the lines whose class has an earlier one.
+    """``df`` without the lines that equal an earlier one or are near a kept one.
 
     A document that keeps no line of at least ``least`` code points after losing
     one goes, with ``keep_short`` only one that keeps no line with a visible
     character; documents that lose nothing stay as they are.
     """
-    lines, _ = classes(df, id_, text, edits, least)
-    gone = lines.where(~F.col("first")).groupBy(F.col("id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_set("no").alias("_g_no"))  # at most a document's lines
+    occurrences, edges = _lines_and_edges(df, id_, text, edits, least)
+    near = near_kept(occurrences, edges).select("a", F.lit(True).alias("near"))
+    counted = occurrences.where("a IS NOT NULL")
+    repeated = counted.groupBy("a").agg(F.min(place()).alias("start"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lost = counted.join(near, "a", "left").join(repeated, "a", "left").where(F.col("near") | (F.col("start") != place()))
+    gone = lost.groupBy(F.col("id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_set("no").alias("_g_no"))  # at most a document's lines
     joined = df.join(gone, df[id_].eqNullSafe(gone["_g_id"]) & (F.xxhash64(df[text]) == gone["_g_h"]), "left")
     kept = F.filter(split_lines(F.col(text)), lambda x, i: ~F.array_contains("_g_no", i))
     new = F.when(F.col("_g_no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))

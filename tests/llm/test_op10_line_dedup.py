@@ -94,3 +94,13 @@ def test_long_text_and_empty_table(spark):
     (row,) = report(docs(spark, [(1, long)])).collect()
     assert row.n_lines == 20_000 and row.n_dropped == 11_000
     assert report(docs(spark, [])).count() == 0
+
+
+def test_dedup_drops_only_direct_neighbours_of_kept_lines(spark):
+    line = "this line has the number {} in its middle".format
+    chain = [line("000000"), line("000011"), line("001111"), line("111111"), line("111111"), line("999999"), "no"]
+    rows = [(1, "\n".join(chain)), (2, line("000001")), (3, line("001119")), (4, line("555555")), (None, line("555556"))]
+    out = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert out == {1: "\n".join([chain[0], chain[2], chain[5], "no"]), 4: line("555555")}
+    alone = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, [(i, t) for i, t in enumerate(chain)])).collect()}
+    assert alone == {i: chain[i] for i in (0, 2, 5, 6)}
