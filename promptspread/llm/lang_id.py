@@ -9,10 +9,15 @@ alone.  Training uses a sample of at most ``per_lang`` windows per language
 windows of ``window`` bytes, windows of many texts are scored as one batch, and
 a text's class is the byte-weighted mean of its windows' log probabilities.
 
+For prediction the trained weights are rounded to whole numbers small enough for
+every sum of products to be exact (below 2 ** 24 in the convolution, 2 ** 53 in
+the softmax layer).  A window's responses therefore don't depend on the batch it
+is scored in, nor on the order in which a library adds.
+
 Defined results: null, empty and letterless texts are ``und`` with score 0;
-with no labelled row at all everything is ``und``.  Rows are scored one by one,
-so repeated rows and ties give equal results (a tie goes to the language first
-in code point order).  Extra columns pass through; an input column named like
+with no labelled row at all everything is ``und``.  Repeated rows have equal
+results on any partitioning, and a tie goes to the language first in code point
+order.  Extra columns pass through; an input column named like
 an output is replaced.
 """
 
@@ -50,14 +55,28 @@ class Settings:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    embedding: np.ndarray      # (257, dim)
-    kernel: np.ndarray         # (max width * dim, filters of all widths)
-    bias: np.ndarray
-    out: np.ndarray            # (filters of all widths, languages)
+    embedding: np.ndarray      # (257, dim), whole numbers as float32
+    kernel: np.ndarray         # (max width * dim, filters of all widths), whole numbers as float32
+    bias: np.ndarray           # whole numbers as float32
+    out: np.ndarray            # (filters of all widths, languages), whole numbers as float64
+    unit: float                # what one in a product with ``out`` stands for
     out_bias: np.ndarray
     settings: Settings
 
 
+def quantised(languages: tuple[str, ...], emb: np.ndarray, kernel: np.ndarray, bias: np.ndarray, out: np.ndarray, out_bias: np.ndarray, s: Settings) -> Model:
+    """Weights rounded so that all sums of products are exact: 2 ** 24 bounds the convolution with bias, 2 ** 53 the layer on top."""
+    def whole(x: np.ndarray, largest: int) -> tuple[np.ndarray, float]:
+        unit = float(np.abs(x).max(initial=0)) / largest or 1.0
+        return np.rint(x / unit), unit
+
+    e, e_unit = whole(emb.astype(np.float64), 127)
+    k, k_unit = whole(kernel.astype(np.float64), (1 << 23) // (127 * len(kernel)))
+    b = np.clip(np.rint(bias / (e_unit * k_unit)), -(1 << 23), 1 << 23)
+    o, o_unit = whole(out.astype(np.float64), (1 << 53) // ((1 << 24) * max(1, len(out))))
+    return Model(languages, e.astype(np.float32), k.astype(np.float32), b.astype(np.float32), o, e_unit * k_unit * o_unit, out_bias.astype(np.float64), s)
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
@@ -86,11 +105,35 @@ def windows(data: np.ndarray, offsets: np.ndarray, window: int, pad: int) -> tup
     size = np.minimum(window, offsets[row + 1] - start)
     at = start[:, None] + np.arange(window + pad)
     inside = np.arange(window + pad) < size[:, None]
-    padded = np.append(data, np.uint8(0))
-    tokens = np.where(inside, padded[np.minimum(at, len(data))], PAD).astype(np.int16)
+    padded = np.append(data, np.uint8(0)).astype(np.int16)  # wide enough for PAD
+    tokens = np.where(inside, padded[np.minimum(at, len(data))], np.int16(PAD))
     return tokens, row, size
 
 
+def gradients(x: np.ndarray, y: np.ndarray, params: list[np.ndarray], mask: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean cross entropy of windows ``x`` with classes ``y``, in the order of the parameters."""
+    emb, kernel, bias, out, out_bias = params
+    n, k, dim = len(x), kernel.shape[1], emb.shape[1]
+    widest = len(kernel) // dim
+    cols = _positions(x, emb, widest)
+    conv = (cols.reshape(-1, cols.shape[2]) @ kernel).reshape(n, -1, k)
+    at = conv.argmax(axis=1)
+    pooled = np.take_along_axis(conv, at[:, None, :], 1)[:, 0] + bias
+    h = np.maximum(pooled, 0)
+    p = _softmax(h @ out + out_bias)
+    p[np.arange(n), y] -= 1
+    p /= n
+    dh = (p @ out.T) * (pooled > 0)
+    best = np.take_along_axis(cols, at[:, :, None], 1)                  # (batch, filters, widest * dim)
+    d_kernel = np.einsum("bk,bkc->ck", dh, best) * mask
+    d_cols = (dh[:, :, None] * kernel.T[None]).reshape(n, k, widest, dim)
+    d_emb = np.zeros_like(emb)
+    where = np.take_along_axis(x[:, None, :].repeat(k, 1), at[:, :, None] + np.arange(widest), 2)
+    np.add.at(d_emb, where.reshape(-1), d_cols.reshape(-1, dim))
+    d_emb[PAD] = 0
+    return [d_emb, d_kernel, dh.sum(0), h.T @ p, p.sum(0)]
+
+
 def fit(texts: list[bytes], labels: list[str], settings: Settings = Settings()) -> Model:
     """Train on labelled windows in numpy with Adam; every window also appears cut short, for short texts."""
     s = settings
@@ -119,28 +162,13 @@ def fit(texts: list[bytes], labels: list[str], settings: Settings = Settings())
             x = tokens[pick].copy()
             cut = np.where(rng.random(len(pick)) < 0.4, rng.integers(8, 80, len(pick)), s.window)
             x[np.arange(x.shape[1]) >= cut[:, None]] = PAD
-            cols = _positions(x, emb, widest)
-            conv = (cols.reshape(-1, cols.shape[2]) @ kernel).reshape(len(pick), -1, k)
-            at = conv.argmax(axis=1)
-            pooled = np.take_along_axis(conv, at[:, None, :], 1)[:, 0] + bias
-            h = np.maximum(pooled, 0)
-            p = _softmax(h @ out + out_bias)
-            p[np.arange(len(pick)), y[pick]] -= 1
-            p /= len(pick)
-            dh = (p @ out.T) * (pooled > 0)
-            best = np.take_along_axis(cols, at[:, :, None], 1)                  # (batch, filters, widest * dim)
-            d_kernel = np.einsum("bk,bkc->ck", dh, best) * mask
-            d_cols = (dh[:, :, None] * kernel.T[None]).reshape(len(pick), k, widest, s.dim)
-            d_emb = np.zeros_like(emb)
-            where = np.take_along_axis(x[:, None, :].repeat(k, 1), at[:, :, None] + np.arange(widest), 2)
-            np.add.at(d_emb, where.reshape(-1), d_cols.reshape(-1, s.dim))
-            d_emb[PAD] = 0
+            steps = gradients(x, y[pick], params, mask)
             step += 1
-            for q, g, (m, v) in zip(params, [d_emb, d_kernel, dh.sum(0), h.T @ p, p.sum(0)], moments):
+            for q, g, (m, v) in zip(params, steps, moments):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 q -= s.rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return Model(languages, emb, kernel, bias, out, out_bias, s)
+    return quantised(languages, emb, kernel, bias, out, out_bias, s)
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model | None:
@@ -200,7 +228,7 @@ def log_probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np
         cols = _positions(x, model.embedding, widest)
         conv = (cols.reshape(-1, cols.shape[2]) @ model.kernel).reshape(len(x), -1, model.kernel.shape[1])
         h = np.maximum(conv.max(axis=1) + model.bias, 0)
-        z = (h @ model.out + model.out_bias).astype(np.float64)
+        z = (h.astype(np.float64) @ model.out) * model.unit + model.out_bias
         z -= z.max(axis=1, keepdims=True)
         logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
         np.add.at(total, owner[g][row], logp * nbytes[:, None])
