@@ -435,8 +435,8 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterable[tuple[np.ndarray,
     return [(data, offsets)]
 
 
-def frequent_words(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = 1 << 18, longest: int = 64) -> list[bytes]:
-    """The most frequent words of all texts: counted per slice, summed by Spark, at most ``size`` reach the driver (a fixed bound)."""
+def frequent_words(df: DataFrame, vocabulary: Vocabulary, text: str = "text", size: int = 1 << 18, longest: int = 64) -> DataFrame:
+    """(word): the most frequent words of all texts, counted per slice and summed by Spark; at most ``size`` (a fixed bound)."""
     special = re.compile(b"|".join(map(re.escape, vocabulary.special))) if vocabulary.special else None
     counts = df.select(F.col(f"`{text}`").alias("t")).mapInArrow(_count_words(special, longest), "word binary, n long")
     counts = stored(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word_counts")
@@ -447,15 +447,26 @@ def frequent_words(df: DataFrame, vocabulary: Vocabulary, text: str = "text", si
         if r["count"] > room:
             break
         floor, room = r.bin, room - r["count"]
-    return [] if floor is None else [bytes(r.word) for r in counts.where(bin_ >= floor).select("word").collect()]
+    return counts.where(F.lit(False) if floor is None else bin_ >= floor).select("word")
 
 
 def build(df: DataFrame, path: str, text: str = "text", size: int = 1 << 18) -> Codec:
-    """A codec for the vocabulary file at ``path`` whose lexicon holds the frequent words of ``df``."""
+    """A codec for the vocabulary file at ``path`` whose lexicon holds the frequent words of ``df``.
+
+    One task merges and compiles these words, at most ``size``; the driver holds the
+    vocabulary and the finished image only.
+    """
     vocabulary = Vocabulary(path)
-    words = frequent_words(df, vocabulary, text, size)
-    words = [w for w in words if w not in vocabulary.special]
-    return Codec(vocabulary, Lexicon.compile(dict(zip(words, vocabulary.merge(words)))))
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def compiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        words = [w for batch in batches for w in batch.column(0).to_pylist() if w not in own.special]
+        yield pa.RecordBatch.from_arrays([pa.array([Lexicon.compile(dict(zip(words, own.merge(words))))], pa.binary())], names=["image"])
+
+    row = frequent_words(df, vocabulary, text, size).repartition(1).mapInArrow(compiled, "image binary").first()
+    shared.unpersist()
+    return Codec(vocabulary, Lexicon.compile({}) if row is None else bytes(row.image))
 
 
 def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
