@@ -3,14 +3,17 @@
 Every text becomes the set of its word shingles; texts with equal sets are one
 set from then on.  ``hashes`` random orders give each set its minima.
 
-* Bands: ``rows`` minima in a row form a band key, and sets that share a key are
-  candidates.  A pair at the threshold shares none of the keys with probability
-  ``(1 - 0.8 ** rows) ** bands``, 5e-8 with the defaults.
 * Signature: of each minimum only ``bits`` low bits are kept, packed into 64-bit
   words.  Two signatures are compared by bit counts; ``similarity`` takes out the
-  agreement of chance, ``2 ** -bits``.  A candidate goes on to the exact check
-  unless its signatures agree in fewer places than a pair at the threshold has
-  with probability 1e-9.
+  agreement of chance, ``2 ** -bits``.
+* Bands: the kept bits of ``rows`` minima in a row are a band, and sets that share
+  a band are candidates, named in the first band they share only.  A pair at the
+  threshold shares none with probability ``(1 - 0.8 ** rows) ** bands``, 5e-8 with
+  the defaults.
+* A candidate goes on to the exact check unless its signatures agree in fewer
+  places than a pair at the threshold has with probability 1e-7, or the parities
+  of both sets' elements, spread over a bitmap, differ in more bits than the sets
+  may differ in elements.
 * Check: a candidate becomes a link only by the two full sets.
 
 No bucket forms all its pairs up front.  Buckets are cut into blocks of at most
@@ -47,7 +50,7 @@ from promptspread.llm import shingles
 from promptspread.llm.common import SIMILARITY_PERCENT, slices, stored, utf8
 from promptspread.llm.components import components
 
-MISS = 1e-9       # chance that the signature filter drops a pair at the threshold
+MISS = 1e-7       # chance that the signature filter drops a pair at the threshold
 PAIRS = "a binary, b binary, g long"
 
 
@@ -57,7 +60,7 @@ class Settings:
     percent: int = SIMILARITY_PERCENT
     hashes: int = 128     # bands times rows
     rows: int = 4         # minima in a band key
-    bits: int = 4         # kept of each minimum: 1, 2, 4 or 8
+    bits: int = 8         # kept of each minimum: 1, 2, 4 or 8; a band has 8, 16, 32 or 64 of them
     block: int = 1024     # sets of a bucket that are compared with each other at a time
     seed: int = 5
 
@@ -97,16 +100,6 @@ def minima(h: np.ndarray, begin: np.ndarray, s: Settings) -> np.ndarray:
     return out
 
 
-def band_keys(low: np.ndarray, s: Settings) -> np.ndarray:
-    """(texts, bands) int64: the minima of each band, mixed with the band's number."""
-    bands = s.hashes // s.rows
-    grouped = low.reshape(len(low), bands, s.rows).astype(np.uint64)
-    key = np.broadcast_to(shingles.mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), (len(low), bands))
-    for i in range(s.rows):
-        key = shingles.mix(key * np.uint64(0xD6E8FEB86659FD93) + grouped[:, :, i])
-    return key.view(np.int64)
-
-
 def signatures(low: np.ndarray, s: Settings) -> np.ndarray:
     """(texts, hashes * bits / 64) uint64: the low bits of the spread minima, packed."""
     spread = shingles.mix(low.astype(np.uint64) + np.arange(s.hashes, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -118,15 +111,50 @@ def signatures(low: np.ndarray, s: Settings) -> np.ndarray:
     return packed
 
 
+def bands_of(packed: np.ndarray, s: Settings) -> np.ndarray:
+    """(texts, bands): the kept bits of each band's minima as one number."""
+    return packed.view(np.dtype(f"u{s.rows * s.bits // 8}"))
+
+
+def band_keys(packed: np.ndarray, s: Settings) -> np.ndarray:
+    """(texts, bands) int64: each band mixed with its number."""
+    bands = bands_of(packed, s)
+    number = shingles.mix(np.arange(1, bands.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return shingles.mix(number ^ bands.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+def bitmap(d: np.ndarray) -> bytes:
+    """Parity of a set's elements per bit; two to four bits per element, a power of two and at least 64."""
+    bits = max(64, 1 << (2 * len(d) - 1).bit_length())
+    count = np.bincount((d & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the elements in which two sets differ, from their bitmaps; the longer one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    long, size = int.from_bytes(x, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        long = (long >> size) ^ (long & ((1 << size) - 1))
+    return (long ^ int.from_bytes(y, "little")).bit_count()
+
+
+def may_differ(n, m, s: Settings):
+    """In how many elements two sets of these sizes may differ at the threshold."""
+    return n + m - 2 * -(-s.percent * (n + m) // (100 + s.percent))
+
+
 def agreeing(x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
     """In how many of the minima two packed signatures agree, by counting bits."""
-    apart = x ^ y
+    other = x ^ y
     shift = s.bits // 2
     while shift:
-        apart |= apart >> np.uint64(shift)
+        other |= other >> np.uint64(shift)
         shift //= 2
     ones = np.uint64(sum(1 << i for i in range(0, 64, s.bits)))
-    return s.hashes - np.bitwise_count(apart & ones).sum(axis=-1).astype(np.int64)
+    return s.hashes - np.bitwise_count(other & ones).sum(axis=-1).astype(np.int64)
 
 
 def similarity(agree, s: Settings = Settings()):
@@ -160,12 +188,13 @@ def _profile(s: Settings):
                 some = np.flatnonzero(np.diff(cut) > 0)
                 distinct = [np.unique(h[cut[i]:cut[i + 1]]) for i in some]
                 low = minima(h, cut[some], s)
-                sizes, sids, prints, keys = np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n
-                for i, d, p, k in zip(some.tolist(), distinct, signatures(low, s), band_keys(low, s)):
-                    sizes[i], sids[i], prints[i], keys[i] = len(d), set_id(d), p.tobytes(), k
+                packed = signatures(low, s)
+                sizes, sids, prints, maps, keys = np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n, [None] * n
+                for i, d, p, k in zip(some.tolist(), distinct, packed, band_keys(packed, s)):
+                    sizes[i], sids[i], prints[i], maps[i], keys[i] = len(d), set_id(d), p.tobytes(), bitmap(d), k
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), batch.column("h"), pa.array(sizes), pa.array(sids, pa.binary()), pa.array(prints, pa.binary()),
-                    pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "sid", "sig", "keys"])
+                    pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "sid", "sig", "bits", "keys"])
 
     return run
 
@@ -224,12 +253,13 @@ def _blocks(block: int):
 
 
 def _near(s: Settings):
-    """Pairs with both sides' size and signature -> those that size and signature admit."""
+    """Pairs with both sides' size, signature and bitmap -> those that these admit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             good = s.percent * np.maximum(n, m) <= 100 * np.minimum(n, m)
             good &= agreeing(_words(batch.column("sig_a")), _words(batch.column("sig_b")), s) >= least_agreeing(s)
+            good &= [apart(x, y) <= d for x, y, d in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), may_differ(n, m, s).tolist())]
             yield batch.select(["a", "b", "g"]).filter(pa.array(good))
 
     return run
@@ -240,23 +270,28 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint64)
 
 
-def cross_pairs(group: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, agreeing) of rows sorted by group: pairs of one group, of both sides and of different labels, that size and signature admit.
+def cross_pairs(group: np.ndarray, side: np.ndarray, band: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, bits: list[bytes],
+                s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, agreeing) of rows sorted by group: the candidates of one group, of both sides and of different labels, in the first band they share.
 
     Side -1 marks a block compared with itself.
     """
     last = np.searchsorted(group, group, side="right") - 1
-    at, apart, found = np.arange(len(group)), 1, [(np.zeros(0, np.int64),) * 3]
+    bands = bands_of(sig, s)
+    at, step, found = np.arange(len(group)), 1, [(np.zeros(0, np.int64),) * 3]
     while len(at):
-        at = at[at + apart <= last[at]]
-        other = at + apart
+        at = at[at + step <= last[at]]
+        other = at + step
         good = (label[at] != label[other]) & ((side[at] < 0) | (side[at] != side[other]))
         good &= s.percent * np.maximum(n[at], n[other]) <= 100 * np.minimum(n[at], n[other])
         i, j = at[good], other[good]
+        near = (bands[i] == bands[j]).argmax(axis=1) == band[i]
+        i, j = i[near], j[near]
         agree = agreeing(sig[i], sig[j], s)
         near = agree >= least_agreeing(s)
+        near[near] = [apart(bits[p], bits[q]) <= d for p, q, d in zip(i[near].tolist(), j[near].tolist(), may_differ(n[i[near]], n[j[near]], s).tolist())]
         found.append((i[near], j[near], agree[near]))
-        apart += 1
+        step += 1
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -288,11 +323,11 @@ def _cross(s: Settings, spanning: bool):
     """Entries sorted by (x, y), the two blocks that meet: candidate pairs (a, b, g), g being a number of the two blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> pa.RecordBatch:
-            x, y, side, n = (table.column(c).to_numpy() for c in ("x", "y", "side", "n"))
+            x, y, side, band, n = (table.column(c).to_numpy() for c in ("x", "y", "side", "band", "n"))
             sid, label = table.column("sid").combine_chunks(), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
             new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
             group = np.cumsum(new)
-            i, j, agree = cross_pairs(group, side, label, n, _words(table.column("sig").combine_chunks()), s)
+            i, j, agree = cross_pairs(group, side, band, label, n, _words(table.column("sig").combine_chunks()), table.column("bits").to_pylist(), s)
             if spanning:
                 node = np.unique(np.stack([group, label.astype(np.int64)]), axis=1, return_inverse=True)[1].ravel()
                 pick = forest(i, j, agree, node)
@@ -352,23 +387,23 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text", settings: Sett
     """(profile, sets, edges): every row's set, the distinct sets, and confirmed links (a, b) that give the components of all links."""
     s = settings
     docs = df.select(F.col(f"`{id_}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text"))
-    profile = stored(docs.mapInArrow(_profile(s), "doc_id long, h long, n long, sid binary, sig binary, keys array<long>"), "profile")
+    profile = stored(docs.mapInArrow(_profile(s), "doc_id long, h long, n long, sid binary, sig binary, bits binary, keys array<long>"), "profile")
     some = profile.where("n > 0")
-    sets = stored(some.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"),
+    sets = stored(some.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("keys").alias("keys"),
                                           F.min(F.struct("doc_id", "h")).alias("at"), F.min("doc_id").alias("doc_id")), "sets")
 
-    rows = sets.select(F.explode("keys").alias("key"), "sid")
-    cut = rows.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(_blocks(s.block), "key long, sid binary, block long, lead binary")
+    rows = sets.select(F.posexplode("keys").alias("band", "key"), "sid")
+    cut = rows.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(_blocks(s.block), "band int, key long, sid binary, block long, lead binary")
     blocks = stored(cut, "blocks")
     asked = blocks.select("sid").distinct()
     # whole texts travel once, and only those of sets in a common bucket any further
     where = sets.join(asked, "sid", "left_semi").select(_key(F.col("at.doc_id")).alias("key"), F.col("at.h").alias("h"), "sid")
     found = docs.select(_key(F.col("doc_id")).alias("key"), "h", "text").join(where.hint("merge"), ["key", "h"])
     texts = stored(found.dropDuplicates(["key", "h"]).select("sid", "text"), "texts")
-    facts = sets.select("sid", "n", "sig")
+    facts = sets.select("sid", "n", "sig", "bits")
 
     def side(name: str) -> DataFrame:
-        return facts.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+        return facts.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"), F.col("bits").alias(f"bits_{name}"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """A pair's texts meet at (a, g), where a's text serves all partners of one block."""
@@ -388,17 +423,17 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text", settings: Sett
     # then the candidates between components: those that would connect them first, all that are left last
     for spanning, name in ((True, "forest"), (False, "rest")):
         labels = stored(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("label")), f"labels_{name}")
-        labelled = blocks.select("key", "sid").join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
+        labelled = blocks.select("band", "key", "sid").join(labels, "sid", "left").select("band", "key", "sid", F.coalesce("label", "sid").alias("label"))
         open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         entries = labelled.join(open_, "key", "left_semi").repartitionByRange("key", "label", "sid").sortWithinPartitions("key", "label", "sid")
-        parts = stored(entries.mapInArrow(_blocks(s.block), "key long, sid binary, label binary, block long, lead binary"), f"blocks_{name}")
+        parts = stored(entries.mapInArrow(_blocks(s.block), "key long, band int, sid binary, label binary, block long, lead binary"), f"blocks_{name}")
         block = parts.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         x, y = block.select("key", F.col("block").alias("x"), F.col("low").alias("lx"), F.col("high").alias("hx")), block.select("key", F.col("block").alias("y"), F.col("low").alias("ly"), F.col("high").alias("hy"))
         meet = stored(x.join(y, "key").where("x <= y AND NOT (lx = hx AND ly = hy AND lx = ly)").select("x", "y"), f"meet_{name}")
-        member = parts.join(facts, "sid").select("block", "sid", "label", "n", "sig")
+        member = parts.join(facts, "sid").select("block", "band", "sid", "label", "n", "sig", "bits")
         left = member.join(meet.withColumnRenamed("x", "block").withColumn("x", F.col("block")), "block").withColumn("side", F.when(F.col("x") == F.col("y"), -1).otherwise(0))
         right = member.join(meet.where("x <> y").withColumnRenamed("y", "block").withColumn("y", F.col("block")), "block").withColumn("side", F.lit(1))
-        columns = ["x", "y", "side", "sid", "label", "n", "sig"]
+        columns = ["x", "y", "side", "band", "sid", "label", "n", "sig", "bits"]
         met = left.select(columns).unionByName(right.select(columns)).repartition("x", "y").sortWithinPartitions("x", "y", "label", "sid")
         pairs = met.mapInArrow(_cross(s, spanning), PAIRS).groupBy("a", "b").agg(F.min("g").alias("g"))
         edges = stored(edges.unionByName(confirmed(stored(pairs, f"pairs_{name}"), f"edges_{name}")), f"all_{name}")
