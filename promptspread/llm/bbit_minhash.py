@@ -189,18 +189,30 @@ def _profile(s: Settings):
                 distinct = [np.unique(h[cut[i]:cut[i + 1]]) for i in some]
                 low = minima(h, cut[some], s)
                 packed = signatures(low, s)
-                sizes, sids, prints, maps, keys = np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n, [None] * n
-                for i, d, p, k in zip(some.tolist(), distinct, packed, band_keys(packed, s)):
-                    sizes[i], sids[i], prints[i], maps[i], keys[i] = len(d), set_id(d), p.tobytes(), bitmap(d), k
+                sizes, sids, prints, maps = np.zeros(n, np.int64), [None] * n, [None] * n, [None] * n
+                for i, d, p in zip(some.tolist(), distinct, packed):
+                    sizes[i], sids[i], prints[i], maps[i] = len(d), set_id(d), p.tobytes(), bitmap(d)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), batch.column("h"), pa.array(sizes), pa.array(sids, pa.binary()), pa.array(prints, pa.binary()),
-                    pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n", "sid", "sig", "bits", "keys"])
+                    pa.array(maps, pa.binary())], names=["doc_id", "h", "n", "sid", "sig", "bits"])
 
     return run
 
 
 # ------------------------------------------------------------------------ buckets
 
+def _band_rows(s: Settings):
+    """(sid, sig) -> (band, key, sid) for every band."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = band_keys(_words(batch.column("sig")), s) if batch.num_rows else np.zeros((0, 1), np.int64)
+            n, bands = keys.shape
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys.ravel()),
+                                              batch.column("sid").take(pa.array(np.repeat(np.arange(n), bands)))], names=["band", "key", "sid"])
+
+    return run
+
+
 def _blocks(block: int):
     """Rows sorted by key (then anything) -> the same rows with the number and the first set of their block.
 
@@ -387,12 +399,12 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text", settings: Sett
     """(profile, sets, edges): every row's set, the distinct sets, and confirmed links (a, b) that give the components of all links."""
     s = settings
     docs = df.select(F.col(f"`{id_}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("h", F.xxhash64("text"))
-    profile = stored(docs.mapInArrow(_profile(s), "doc_id long, h long, n long, sid binary, sig binary, bits binary, keys array<long>"), "profile")
+    profile = stored(docs.mapInArrow(_profile(s), "doc_id long, h long, n long, sid binary, sig binary, bits binary"), "profile")
     some = profile.where("n > 0")
-    sets = stored(some.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"), F.first("keys").alias("keys"),
+    sets = stored(some.groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits"),
                                           F.min(F.struct("doc_id", "h")).alias("at"), F.min("doc_id").alias("doc_id")), "sets")
 
-    rows = sets.select(F.posexplode("keys").alias("band", "key"), "sid")
+    rows = sets.select("sid", "sig").mapInArrow(_band_rows(s), "band int, key long, sid binary")
     cut = rows.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(_blocks(s.block), "band int, key long, sid binary, block long, lead binary")
     blocks = stored(cut, "blocks")
     asked = blocks.select("sid").distinct()
@@ -424,7 +436,9 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text", settings: Sett
     for spanning, name in ((True, "forest"), (False, "rest")):
         labels = stored(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("label")), f"labels_{name}")
         labelled = blocks.select("band", "key", "sid").join(labels, "sid", "left").select("band", "key", "sid", F.coalesce("label", "sid").alias("label"))
-        open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        open_ = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), f"open_{name}")
+        if open_.isEmpty():
+            break
         entries = labelled.join(open_, "key", "left_semi").repartitionByRange("key", "label", "sid").sortWithinPartitions("key", "label", "sid")
         parts = stored(entries.mapInArrow(_blocks(s.block), "key long, band int, sid binary, label binary, block long, lead binary"), f"blocks_{name}")
         block = parts.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
