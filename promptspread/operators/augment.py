@@ -1,9 +1,9 @@
 """Training-text augmentation (D7-D14) with the leakage guard.
 
-Each conversation x augmentation draws ``DRAWS`` candidate formats at once (md5
-picks), drops candidates whose essential key is a test key with a left-anti join,
-and keeps the first surviving draw; those without one draw again, until every
-augmentation has a clean format.
+Each conversation x augmentation draws formats (md5 picks) until one's essential
+key is no test key.  The draws are a fold inside the row, so nothing is exploded,
+joined or repeated; an augmentation without a clean format after ``ATTEMPTS`` draws
+is an error, never a lost row.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 
 from promptspread.operators.catalogue import CASE_FNS, SEPARATORS, SPACES
 from promptspread.operators.prompts import INSTRUCTION_TAG, RESPONSE_TAG
-from promptspread.session import ensure_checkpoint_dir
 
 # Fixed values (must equal the reference): verbalizers of the two turns.
 FIRST_VERBALIZERS = ["question", "query", "Q"]
 SECOND_VERBALIZERS = ["answer", "reply", "A"]
-DRAWS = 16  # candidates per round; rounds go on as long as any augmentation needs one
+ATTEMPTS = 200
 
 
 def _h(key: Column, tag: str) -> Column:
@@ -49,9 +48,9 @@ def draw_format(key: Column, spaces: list[str] = SPACES, separators: list[str] =
     return {"fn_name": fn_name, "separator": sep, "space": space, "first": first, "second": second}
 
 
-def format_key(space: Column, sep: Column, fn_name: Column) -> Column:
-    """Essential key (space, separator, case fn), delimited (a delimiter only separates more)."""
-    return F.concat_ws("\x1f", space, sep, fn_name)
+def format_key(space: Column, sep: Column, fn_name: Column, delimiter: str = "") -> Column:
+    """Essential key (space, separator, case fn), joined bare unless a delimiter is given (which only separates more)."""
+    return F.concat_ws(delimiter, space, sep, fn_name)
 
 
 def augmented_text(user: Column, assistant: Column, f: dict[str, Column]) -> Column:
@@ -65,41 +64,32 @@ def default_text(user: Column, assistant: Column) -> Column:
 
 
 def augment(pairs: DataFrame, n_aug: int, seed: int, test_keys: DataFrame | None,
-            spaces: list[str] = SPACES, separators: list[str] = SEPARATORS) -> DataFrame:
-    """``n_aug`` augmented texts per conversation, leakage-guarded against ``test_keys``.
-
-    Draws are computed on ids only (no text is copied R times); the winning
-    draw per (conversation, augmentation) is joined back to the texts once.
-    """
-    ids = pairs.select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(n_aug - 1))).alias("aug_id"))
-    keys = None if test_keys is None else test_keys.select("fmt_key").distinct()
-    best = _first_clean(ids, keys, seed, spaces, separators, 0)
-    if keys is not None:
-        spark = pairs.sparkSession
-        every = spark.createDataFrame([(f"{x}\x1f{y}\x1f{z}",) for y in separators for x in spaces for z in CASE_FNS if "\n" not in y or "\n" in x], "fmt_key string")
-        if every.join(keys, "fmt_key", "left_anti").isEmpty():
+            spaces: list[str] = SPACES, separators: list[str] = SEPARATORS, delimiter: str = "") -> DataFrame:
+    """``n_aug`` augmented texts per conversation, none with a format among ``test_keys`` (fmt_key)."""
+    banned = None if test_keys is None else sorted(r["fmt_key"] for r in test_keys.select("fmt_key").distinct().collect())   # one per test format
+    if banned is not None:
+        every = {delimiter.join((x, y, z)) for y in separators for x in spaces for z in CASE_FNS if "\n" not in y or "\n" in x}
+        if every <= set(banned):
             raise ValueError("every format of the catalogue is a test key")
-        rest, round_ = ids.join(best, ["conv_id", "aug_id"], "left_anti"), 1
-        while not rest.isEmpty():
-            ensure_checkpoint_dir(spark)
-            more = _first_clean(rest, keys, seed, spaces, separators, round_).checkpoint()
-            best, rest, round_ = best.unionByName(more), rest.join(more, ["conv_id", "aug_id"], "left_anti").checkpoint(), round_ + 1
-    j = best.join(pairs.select("conv_id", "user_text", "assistant_text"), "conv_id")
-    text = F.concat(F.lit(INSTRUCTION_TAG), F.col("first"), F.col("separator"), F.col("user_text"), F.col("space"),
-                    F.col("second"), F.col("separator"), F.lit(RESPONSE_TAG), F.col("assistant_text"))
-    return j.select("conv_id", "aug_id", "draw", "fmt_key", text.alias("text"))
-
-
-def _first_clean(ids: DataFrame, keys: DataFrame | None, seed: int, spaces: list[str], separators: list[str], round_: int) -> DataFrame:
-    """The first of a round's draws that is no test key, for the augmentations that have one."""
-    x = ids.select("*", F.explode(F.sequence(F.lit(DRAWS * round_), F.lit(DRAWS * (round_ + 1) - 1))).alias("draw"))
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("conv_id").cast("string"), F.col("aug_id").cast("string"), F.col("draw").cast("string"))
-    x = x.select("*", *[c.alias(k) for k, c in draw_format(key, spaces, separators).items()])
-    x = x.withColumn("fmt_key", format_key(F.col("space"), F.col("separator"), F.col("fn_name")))
-    if keys is not None:
-        x = x.join(keys, "fmt_key", "left_anti")
-    return x.groupBy("conv_id", "aug_id").agg(
-        F.min(F.struct("draw", "first", "second", "separator", "space", "fmt_key")).alias("b")).select("conv_id", "aug_id", "b.*")
+
+    def candidate(draw: Column) -> Column:
+        f = draw_format(F.concat_ws("|", F.lit(str(seed)), F.col("conv_id").cast("string"), F.col("aug_id").cast("string"), draw.cast("string")), spaces, separators)
+        key = format_key(f["space"], f["separator"], f["fn_name"], delimiter)
+        return F.struct(draw.alias("draw"), *[f[c].alias(c) for c in ("first", "second", "separator", "space")], key.alias("fmt_key"))
+
+    rows = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_aug - 1))).alias("aug_id"))
+    if not banned:
+        best = candidate(F.lit(0))
+    else:
+        keys = F.array(*[F.lit(k) for k in banned])
+        clean = lambda c: F.when(~F.array_contains(keys, c["fmt_key"]), c)
+        none = F.lit(None).cast("struct<draw: int, first: string, second: string, separator: string, space: string, fmt_key: string>")
+        best = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), none, lambda found, r: F.when(found.isNotNull(), found).otherwise(F.transform(F.array(candidate(r)), clean)[0]))
+        best = F.coalesce(best, F.raise_error(F.lit(f"no clean format in {ATTEMPTS} draws")))
+    x = rows.withColumn("f", best)
+    fields = {c: F.col(f"f.{c}") for c in ("first", "second", "separator", "space")}
+    text = augmented_text(F.col("user_text"), F.col("assistant_text"), fields)
+    return x.select("conv_id", "aug_id", "f.draw", "f.fmt_key", "f.separator", "f.space", text.alias("text"))
 
 
 def split_prompt_label(text: Column) -> tuple[Column, Column]:

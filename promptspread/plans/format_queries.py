@@ -1,718 +1,414 @@
-"""Queries C1-C23: format space over assignments drawn from the driver tables.
+"""Queries C1-C23, B7 and F36: the format space of all task layouts in one plan each.
 
-Every format row is derived from a ``documents`` row (format_id = doc_id) with
-md5-seeded slot draws, so the work grows with the table.  Templates are the
-fixed layout catalogue; their rules compile to Column expressions (and to the
-DuckDB twin used by the oracle).
+Formats are drawn for the ids of the ``documents`` table: the id is the number of
+the draw, so a layout's formats never repeat and end when its space does.  Tasks
+are named like the task files of the data (one per source and language).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptspread.functions.ranking import seeded_key
-from promptspread.operators import catalogue as CAT
-from promptspread.operators import formats as FM
-from promptspread.plans.registry import ORACLES, register
+from promptspread.functions.ranking import bucketed_rank
+from promptspread.operators import format_space as S
+from promptspread.operators import instances as I
+from promptspread.operators import layouts as L
+from promptspread.operators import neighbours as N
+from promptspread.operators import splits as SP
+from promptspread.plans.registry import register
 from promptspread.sources import views as V
 from promptspread.sources.tables import table
 
-SEED = 1
-LAYOUTS = FM.layouts()
-REF = FM.layout("facts_question_options")     # the reference task for splits (14 slots)
-QUOTA = 50            # formats to keep per template (C4)
+SEED = "1"
+REF = L.REFERENCE
+QUOTA = 50            # formats of a task (C4)
+EXHAUSTIVE_QUOTA = 1000   # a space up to this size is enumerated (C3)
 N_TEST = 10           # test formats per split (C15)
 ENSEMBLE_SIZE = 5
 N_ENSEMBLES = 4
 KEEP_LAST = 4
-PATH_DRAWS = 3
-INSTRUCTION = ("In this task, you are given a multiple-choice question about healthcare. Answer the question based on "
-               "your information and classify your answers into '{enum1_1}', '{enum1_2}', '{enum1_3}', and '{enum1_4}'.")
+N_PAIRS = 40          # neighbour pairs of a task (C9)
 
 
-def _union(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), dfs)
+def ids(spark, d) -> DataFrame:
+    """Numbers of draws: the documents' ids, dealt to all tasks, since a draw costs far more than reading its number."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("format_id")).repartition(S.spread(spark), "format_id")
 
 
-def _u(parts: list[str]) -> str:
-    return "\nUNION ALL\n".join(f"({p})" for p in parts)
+def formats(spark, d, modes=("random",)) -> DataFrame:
+    """Assignments of every layout (and mode), one per id."""
+    return S.drawn(S.with_layouts(ids(spark, d), modes), SEED, modes=modes)
 
 
-def vals_str(c="vals"):
-    return F.array_join(F.col(c).cast("array<string>"), ",")
+def reference_formats(spark, d) -> DataFrame:
+    rows = ids(spark, d).select("format_id", F.lit(REF).alias("template"), F.lit("random").alias("mode"), F.lit(S.NAMES.index(REF)).alias("number"))
+    return S.drawn(rows, SEED)
 
 
-def formats(spark, d, t, seed=SEED, cat=None) -> DataFrame:
-    """Assignments of template ``t`` drawn per documents row."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("format_id"))
-    return docs.select(F.lit(t.name).alias("template"), "format_id",
-                       FM.sample_vals(t, F.col("format_id"), seed, cat).alias("vals"))
+def joined(values) -> F.Column:
+    return F.array_join(values.cast("array<string>"), ",")
 
 
-def formats_sql(t, seed=SEED, cat=None) -> str:
-    return (f"SELECT '{t.name}' AS template, doc_id AS format_id, {FM.sample_vals_sql(t, 'doc_id', seed, cat)} AS vals "
-            f"FROM documents")
+IDS_SQL = "SELECT l.template, l.mode, doc_id AS format_id FROM documents, lay l"
+DRAWS = f"WITH {S.relations_sql()}, {S.draws_sql(IDS_SQL, SEED)}"
+CELLS = f"{DRAWS}, {S.cells_sql()}"
+TEXTS = f"{CELLS}, {S.text_sql()}"
+VALS = "vs AS (SELECT fs.template, fs.format_id, string_agg(v.idx, ',' ORDER BY fs.slot) AS vals FROM fs JOIN vals v USING (code) GROUP BY fs.template, fs.format_id)"
 
 
-def add_valid(df: DataFrame, t, vals: str = "vals", out: str = "valid", cat=None) -> DataFrame:
-    """Add the validity flag of ``t`` over the int-array column ``vals``; shared parts computed once."""
-    prefix = f"__{out}_"
-    ast = FM.validity(t, cat)
-    df = FM.with_refs(df, [ast], F.col(vals), prefix)
-    return FM.drop_refs(df.withColumn(out, FM.to_column(ast, F.col(vals), prefix)), prefix)
+# ------------------------------------------------------------------ catalogue
 
+@register("c1_catalogue_usage", sql=f"""{DRAWS}
+SELECT v.kind AS action_type, CAST(v.idx AS INT) AS value_idx, v.value, CAST(count(fs.code) AS BIGINT) AS n_draws
+FROM vals v LEFT JOIN fs ON fs.code = v.code GROUP BY v.kind, v.idx, v.value""")
+def c1_catalogue_usage(spark, d):
+    """The value catalogue and how often each value is drawn, over all layouts at once."""
+    rows = [(c, kind, c - L.OFFSET[kind], v) for c, (kind, v) in enumerate(L.CODES)]
+    values = F.broadcast(spark.createDataFrame(rows, "code int, action_type string, value_idx int, value string"))
+    used = formats(spark, d).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n_draws"))
+    return values.join(used, "code", "left").select("action_type", "value_idx", "value", F.coalesce("n_draws", F.lit(0)).alias("n_draws"))
 
-def add_text(df: DataFrame, t, vals: str = "vals", out: str = "format_text", cat=None) -> DataFrame:
-    prefix = f"__{out}_"
-    ast = FM.render(t, cat=cat)
-    df = FM.with_refs(df, [ast], F.col(vals), prefix)
-    return FM.drop_refs(df.withColumn(out, FM.to_column(ast, F.col(vals), prefix)), prefix)
 
+@register("c2_slot_values_long", sql=f"""{DRAWS}
+SELECT template, format_id, CAST(slot AS INT) AS slot_idx, fs.kind AS action_type, CAST(v.idx AS INT) AS value_idx FROM fs JOIN vals v USING (code)""")
+def c2_slot_values_long(spark, d):
+    """Every layout's slot list with the drawn assignments, long form (format, slot, type, value)."""
+    x = formats(spark, d).select("template", "format_id", F.posexplode(F.arrays_zip(S.slot_kinds().alias("k"), S.indices(F.col("codes")).alias("v"))))
+    return x.select("template", "format_id", F.col("pos").alias("slot_idx"), F.col("col.k").alias("action_type"), F.col("col.v").alias("value_idx"))
 
-def valid_sql(t, cat=None):
-    return FM.to_sql(FM.validity(t, cat), "vals")
 
+# ------------------------------------------------------------------ tasks
 
+TASK_IDS = [t for layout in L.LAYOUTS for t in layout.tasks]
+BRANCHES = [(i, t, layout.name) for i, layout in enumerate(L.LAYOUTS) for t in layout.tasks]
 
 
-def text_sql(t, cat=None):
-    return FM.to_sql(FM.render(t, cat=cat), "vals")
+def task_files(spark, d) -> DataFrame:
+    """Stand-in task files of the data: one per source and language, with a task id in front."""
+    pairs = table(spark, d, "documents").select("source", "lang").distinct()
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", "source", "lang")), 1, 6), 16, 10).cast("bigint") % len(TASK_IDS)
+    return pairs.select(F.concat_ws("_", F.get(S.strings(TASK_IDS), pick.cast("int")), "source", "lang").alias("task"))
 
 
-# ------------------------------------------------------------------ queries
+def task_layouts(spark, files: DataFrame) -> DataFrame:
+    """The layout of each task file: the first branch one of whose task ids, closed by an underscore, is in the name."""
+    branches = F.broadcast(spark.createDataFrame(BRANCHES, "branch int, task_id string, template string"))
+    hits = files.join(branches, F.contains("task", F.concat("task_id", F.lit("_"))))
+    return hits.groupBy("task").agg(F.min(F.struct("branch", "template")).alias("b")).select("task", "b.template")
 
-@register("c1_catalogue_usage", sql=None)
-def c1_catalogue_usage(spark, d):
-    """The value catalogue joined with how often each value is drawn (broadcast catalogue)."""
-    cat = CAT.catalogue(spark)
-    parts = []
-    for t in LAYOUTS:
-        f = formats(spark, d, t)
-        types = F.array(*[F.lit(a) for a in FM.slot_types(t)])
-        x = f.select(F.posexplode(F.arrays_zip(types.alias("action_type"), F.col("vals").alias("value_idx"))).alias("slot", "s"))
-        parts.append(x.select("s.action_type", "s.value_idx"))
-    draws = _union(parts).groupBy("action_type", "value_idx").agg(F.count(F.lit(1)).alias("n_draws"))
-    return cat.join(draws, ["action_type", "value_idx"], "left").select(
-        "action_type", "value_idx", "value", F.coalesce("n_draws", F.lit(0)).alias("n_draws"))
-
-
-CAT_VALUES_SQL = "(VALUES " + ", ".join(f"('{a}', {j}, {FM._sql_str(v)})" for a, vs in CAT.ACTION_TYPES.items()
-                                        for j, v in enumerate(vs)) + ") cat(action_type, value_idx, value)"
-
-
-def _draws_sql():
-    parts = []
-    for t in LAYOUTS:
-        types = "[" + ", ".join(f"'{a}'" for a in FM.slot_types(t)) + "]"
-        parts.append(f"SELECT unnest({types}) AS action_type, unnest(vals) AS value_idx FROM ({formats_sql(t)}) f")
-    return _u(parts)
-
-
-c1_sql = f"""
-WITH draws AS ({_draws_sql()}),
-dc AS (SELECT action_type, value_idx, count(*) AS n FROM draws GROUP BY ALL)
-SELECT cat.action_type, CAST(cat.value_idx AS INT) AS value_idx, cat.value, CAST(coalesce(dc.n, 0) AS BIGINT) AS n_draws
-FROM {CAT_VALUES_SQL} LEFT JOIN dc ON cat.action_type = dc.action_type AND cat.value_idx = dc.value_idx"""
-ORACLES["c1_catalogue_usage"] = c1_sql
-
-
-@register("c2_slot_values_long", sql=_u([
-    f"SELECT template, format_id, CAST(i - 1 AS INT) AS slot_idx, ({'[' + ', '.join(repr(a) for a in FM.slot_types(t)) + ']'})[i] AS action_type, "
-    f"vals[i] AS value_idx FROM ({formats_sql(t)}) f, range(1, {len(FM.slots(t)) + 1}) r(i)" for t in LAYOUTS]))
-def c2_slot_values_long(spark, d):
-    """The slot list of each layout applied to the drawn assignments, long form (format, slot, type, value)."""
-    parts = []
-    for t in LAYOUTS:
-        types = F.array(*[F.lit(a) for a in FM.slot_types(t)])
-        f = formats(spark, d, t)
-        parts.append(f.select("template", "format_id", F.posexplode(F.arrays_zip(types.alias("a"), F.col("vals").alias("v"))))
-                     .select("template", "format_id", F.col("pos").cast("int").alias("slot_idx"),
-                             F.col("col.a").alias("action_type"), F.col("col.v").alias("value_idx")))
-    return _union(parts)
-
-
-EXHAUSTIVE = [t for t in LAYOUTS if FM.n_combinations(t) <= 1000]
-
-
-def _strides(t):
-    sizes = [len(CAT.ACTION_TYPES[a]) for a in FM.slot_types(t)]
-    out = []
-    for j in range(len(sizes)):
-        st = 1
-        for s_ in sizes[j + 1:]:
-            st *= s_
-        out.append(st)
-    return list(zip(sizes, out))
-
-
-@register("c3_exhaustive_formats", views=("instances",), sql=_u([
-    f"SELECT k.task, '{t.name}' AS template, CAST(c.id AS BIGINT) AS combo_id, array_to_string(c.vals, ',') AS vals, {valid_sql(t)} AS valid "
-    f"FROM (SELECT DISTINCT task FROM instances) k, (SELECT id, ["
-    + ", ".join(f"CAST(floor(id / {st}) % {sz} AS INTEGER)" for sz, st in _strides(t))
-    + f"] AS vals FROM range(0, {FM.n_combinations(t)}) r(id)) c" for t in EXHAUSTIVE]))
+
+TASKS_SQL = f"""tf AS (SELECT DISTINCT concat_ws('_', ({S._q(TASK_IDS)})[CAST('0x' || substr(md5(concat_ws('|', source, lang)), 1, 6) AS BIGINT) % {len(TASK_IDS)} + 1], source, lang) AS task FROM documents),
+tl AS (SELECT task, arg_min(template, branch) AS template FROM tf JOIN (VALUES {', '.join(S._q(list(b)).replace('[', '(').replace(']', ')') for b in BRANCHES)}) b(branch, task_id, template)
+       ON contains(task, task_id || '_') GROUP BY task)"""
+
+
+@register("c22_task_layouts", sql=f"""WITH {S.relations_sql()}, {TASKS_SQL}
+SELECT task, tl.template, CAST(n_slots AS INT) AS n_slots, CAST(n AS BIGINT) AS n_assignments, CAST(p.n_parts AS INT) AS n_parts
+FROM tl JOIN lay ON lay.template = tl.template JOIN (SELECT template, count(*) AS n_parts FROM parts GROUP BY template) p ON p.template = tl.template""")
+def c22_task_layouts(spark, d):
+    """Which of the 39 layouts each task file uses, with the layout's size."""
+    x = task_layouts(spark, task_files(spark, d)).withColumn("number", S.layout_number(F.col("template")))
+    n_parts = S.of_layout([len(r.parts) for r in L.RELATIONS.values()])
+    return x.select("task", "template", F.size(S.slot_kinds()).alias("n_slots"), S.assignments().alias("n_assignments"), n_parts.alias("n_parts"))
+
+
+# --------------------------------------------------------------- sampling
+
+def per_task(spark, d, quota: int, seed: str) -> DataFrame:
+    named = task_layouts(spark, task_files(spark, d)).withColumnRenamed("task", "name")
+    return S.sampled(named, quota, seed).withColumn("number", S.layout_number(F.col("template")))
+
+
+def per_task_sql(quota: int, seed: str, draws: int) -> str:
+    """The same with ``draws`` tries for each task, more than any of them needs at the size the oracle runs on."""
+    return f"""WITH {S.relations_sql()}, {TASKS_SQL},
+tn AS (SELECT tl.*, l.mode, l.n FROM tl JOIN lay l ON l.template = tl.template),
+{S.draws_sql(f"SELECT task, template, mode, range AS format_id FROM tn, range({draws}) WHERE n > {quota}", seed, "f.task")},
+fe AS (SELECT task, t.template, s.mode, range AS format_id, slot, kind, cell, rule, space, codes[(range // stride) % size + 1] AS code
+       FROM tn t JOIN slots s ON s.template = t.template, range({quota}) WHERE t.n <= {quota} AND range < t.n),
+fu AS (SELECT task, template, format_id, slot, kind, cell, rule, space, code FROM fs UNION ALL SELECT task, template, format_id, slot, kind, cell, rule, space, code FROM fe),
+{S.cells_sql('fu', 'task, template, format_id')},
+ok AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY format_id) AS ord FROM fv WHERE valid),
+vs AS (SELECT task, format_id, string_agg(v.idx, ',' ORDER BY slot) AS vals FROM fu JOIN vals v USING (code) GROUP BY task, format_id)
+SELECT task, template, CAST(format_id AS BIGINT) AS draw, CAST(ord AS INT) AS ord, vals FROM ok JOIN vs USING (task, format_id) WHERE ord <= {quota}"""
+
+
+def _sample(spark, d, quota, seed):
+    return per_task(spark, d, quota, seed).select(F.col("name").alias("task"), "template", "draw", "ord", joined(S.indices(F.col("codes"))).alias("vals"))
+
+
+@register("c3_exhaustive_formats", sql=per_task_sql(EXHAUSTIVE_QUOTA, "all", 4 * EXHAUSTIVE_QUOTA))
 def c3_exhaustive_formats(spark, d):
-    """When a layout's product fits the quota, every assignment is enumerated (mixed-radix decode).
-
-    Enumerated per task of the instances view: ``sequence`` explodes ids next to
-    the task row - no cross join, no driver loop.
-    """
-    tasks = V.instances_base(spark, d).select("task").distinct()
-    parts = []
-    for t in EXHAUSTIVE:
-        x = tasks.select("task", F.explode(F.sequence(F.lit(0), F.lit(FM.n_combinations(t) - 1))).alias("combo_id"))
-        x = x.select("task", F.lit(t.name).alias("template"), F.col("combo_id").cast("bigint"),
-                     FM.decode_vals(t, F.col("combo_id")).alias("vals"))
-        x = add_valid(x, t)
-        parts.append(x.select("task", "template", "combo_id", vals_str().alias("vals"), "valid"))
-    return _union(parts)
-
-
-@register("c4_sampled_valid_formats", sql=_u([
-    f"SELECT template, format_id, vals, CAST(rn AS INT) AS ord FROM (SELECT template, format_id, array_to_string(vals, ',') AS vals, "
-    f"row_number() OVER (ORDER BY format_id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY vals ORDER BY format_id) AS dup "
-    f"FROM ({formats_sql(t)}) f WHERE {valid_sql(t)}) g WHERE dup = 1) h WHERE rn <= {QUOTA}" for t in LAYOUTS]))
+    """All valid assignments of a task whose space fits the quota; of a larger space, as many valid draws as the quota."""
+    return _sample(spark, d, EXHAUSTIVE_QUOTA, "all")
+
+
+@register("c4_sampled_valid_formats", sql=per_task_sql(QUOTA, "some", 10 * QUOTA))
 def c4_sampled_valid_formats(spark, d):
-    """C4: distinct valid drawn assignments, first ``QUOTA`` in draw order per layout."""
-    parts = []
-    for t in LAYOUTS:
-        f = add_valid(formats(spark, d, t), t).where("valid")
-        first = f.groupBy("template", "vals").agg(F.min("format_id").alias("format_id"))
-        top = first.orderBy("format_id").limit(QUOTA)     # global top-n per template (one template here)
-        k = top.withColumn("ord", F.row_number().over(Window.orderBy("format_id")))
-        parts.append(k.select("template", "format_id", vals_str().alias("vals"), "ord"))
-    return _union(parts)
-
-
-def _eff_parts(t):
-    return FM.effective_strings(t)
-
-
-@register("c5_effective_values", sql=_u([
-    f"SELECT template, format_id, CAST(" + " + ".join(
-        ["0"] + [f"(CASE WHEN {FM.to_sql(ok, 'vals')} THEN 0 ELSE 1 END)" for ok in FM.accepted_flags(t) if ok is not None]) +
-    f" AS INT) AS n_rejected, md5(concat_ws(chr(31), " + ", ".join(
-        f"CAST({FM.to_sql(e, 'vals')} AS VARCHAR)" for _, e in _eff_parts(t)) + f")) AS effective_md5 FROM ({formats_sql(t)}) f"
-    for t in LAYOUTS]))
+    """C4: every task's first valid draws without repetition, until its quota is met."""
+    return _sample(spark, d, QUOTA, "some")
+
+
+# ------------------------------------------------------ evaluation
+
+@register("c5_effective_values", sql=f"""{CELLS}
+SELECT c.template, c.format_id, CAST(any_value(a.n) AS INT) AS n_rejected, md5(string_agg(v.value, chr(31) ORDER BY c.cell)) AS effective_md5
+FROM fc c JOIN vals v USING (code) JOIN (SELECT template, format_id, count(*) FILTER (NOT ok) AS n FROM fa GROUP BY template, format_id) a
+  ON a.template = c.template AND a.format_id = c.format_id GROUP BY c.template, c.format_id""")
 def c5_effective_values(spark, d):
-    """Effective values after applying the slots in order (rejected updates keep the old value)."""
-    parts = []
-    for t in LAYOUTS:
-        flags = [ok for ok in FM.accepted_flags(t) if ok is not None]
-        effs = [e for _, e in _eff_parts(t)]
-        f = FM.with_refs(formats(spark, d, t), flags + effs, F.col("vals"), "__e_")
-        rej = F.lit(0)
-        for ok in flags:
-            rej = rej + F.when(FM.to_column(ok, F.col("vals"), "__e_"), 0).otherwise(1)
-        eff = F.md5(F.concat_ws("\x1f", *[FM.to_column(e, F.col("vals"), "__e_").cast("string") for e in effs]))
-        parts.append(f.select("template", "format_id", rej.cast("int").alias("n_rejected"), eff.alias("effective_md5")))
-    return _union(parts)
-
-
-@register("c6_format_validity", sql=_u([
-    f"SELECT template, format_id, {valid_sql(t)} AS valid FROM ({formats_sql(t)}) f" for t in LAYOUTS]))
+    """Effective values after applying the slots in order (a rejected write keeps the old value)."""
+    x = S.evaluated(formats(spark, d))
+    return x.select("template", "format_id", F.col("rejected").alias("n_rejected"), F.md5(F.array_join(S.names(F.col("cells")), "\x1f")).alias("effective_md5"))
+
+
+@register("c6_format_validity", sql=f"{CELLS} SELECT template, format_id, valid FROM fv")
 def c6_format_validity(spark, d):
-    """The five validity rules (R1-R5) on every drawn assignment."""
-    return _union([add_valid(formats(spark, d, t), t).select("template", "format_id", "valid") for t in LAYOUTS])
+    """The validity rules on every drawn assignment of every layout."""
+    return S.evaluated(formats(spark, d)).select("template", "format_id", "valid")
+
+
+def valid_texts(spark, d) -> DataFrame:
+    return S.with_text(S.evaluated(formats(spark, d), True))
 
 
-@register("c7_render_format", sql=_u([
-    f"SELECT template, format_id, {text_sql(t)} AS format_text FROM ({formats_sql(t)}) f WHERE {valid_sql(t)}" for t in LAYOUTS]))
+@register("c7_render_format", sql=f"{TEXTS} SELECT template, format_id, format_text FROM ft JOIN fv USING (template, format_id) WHERE valid AND format_text IS NOT NULL")
 def c7_render_format(spark, d):
-    """Render each valid assignment to its format string with ``{}`` holes."""
-    return _union([add_text(add_valid(formats(spark, d, t), t).where("valid"), t).select("template", "format_id", "format_text")
-                   for t in LAYOUTS])
+    """Every valid assignment as its format string with ``{{}}`` holes."""
+    return valid_texts(spark, d).select("template", "format_id", "format_text")
 
 
-def _names_back(t):
-    """value index -> value name -> first index with that name (duplicates resolve to the first)."""
-    out = []
-    for i, a in enumerate(FM.slot_types(t)):
-        names = F.array(*[F.lit(v) for v in CAT.ACTION_TYPES[a]])
-        name = F.element_at(names, F.col("vals")[i] + 1)
-        out.append((F.array_position(names, name) - 1).cast("int"))
-    return F.array(*out)
+@register("c8_value_name_index", sql=f"""{DRAWS}
+SELECT template, format_id, string_agg(w.idx, ',' ORDER BY slot) AS name_indices, CAST(count(*) FILTER (v.first <> v.code) AS INT) AS n_remapped
+FROM fs JOIN vals v ON v.code = fs.code JOIN vals w ON w.code = v.first GROUP BY template, format_id""")
+def c8_value_name_index(spark, d):
+    """Value names and back to indices; a name listed twice resolves to its first place."""
+    x = formats(spark, d).withColumn("back", S.from_names(S.names(F.col("codes"))))
+    n = F.size(F.filter(F.arrays_zip("back", "codes"), lambda p: p["back"] != p["codes"]))
+    return x.select("template", "format_id", joined(S.indices(F.col("back"))).alias("name_indices"), n.alias("n_remapped"))
 
 
-def _names_back_sql(t):
-    out = []
-    for i, a in enumerate(FM.slot_types(t)):
-        names = "[" + ", ".join(FM._sql_str(v) for v in CAT.ACTION_TYPES[a]) + "]"
-        out.append(f"CAST(list_position({names}, ({names})[vals[{i + 1}] + 1]) - 1 AS INTEGER)")
-    return "[" + ", ".join(out) + "]"
+@register("c21_format_profile", sql=f"""{CELLS}
+SELECT l.template, CAST(l.n_slots AS INT) AS n_slots, CAST(count(DISTINCT s.kind) AS INT) AS n_types, string_agg(DISTINCT s.kind, ',' ORDER BY s.kind) AS types,
+       l.n_slots = (SELECT max(n_slots) FROM lay) AS is_longest, count(DISTINCT s.kind) = 6 AS uses_all_types, any_value(n_formats) AS n_formats, any_value(n_valid) AS n_valid
+FROM lay l JOIN slots s ON s.template = l.template JOIN (SELECT template, CAST(count(*) AS BIGINT) AS n_formats, CAST(count_if(valid) AS BIGINT) AS n_valid FROM fv GROUP BY template) f
+  ON f.template = l.template GROUP BY l.template, l.n_slots""")
+def c21_format_profile(spark, d):
+    """Per layout: slots, slot types, longest sequence, all-six-types flag, drawn and valid counts."""
+    longest = max(len(r.slots) for r in L.RELATIONS.values())
+    x = S.evaluated(formats(spark, d)).groupBy("template", "number").agg(F.count("*").alias("n_formats"), F.count_if("valid").alias("n_valid"))
+    kinds = F.array_sort(F.array_distinct(S.slot_kinds()))
+    return x.select("template", F.size(S.slot_kinds()).alias("n_slots"), F.size(kinds).alias("n_types"), F.array_join(kinds, ",").alias("types"),
+                    (F.size(S.slot_kinds()) == longest).alias("is_longest"), (F.size(kinds) == 6).alias("uses_all_types"), "n_formats", "n_valid")
+
+
+def default_texts(spark) -> DataFrame:
+    """The layouts' own texts, before any format is applied: order 0 of every register."""
+    one = spark.range(1).select(F.lit(-1).cast("bigint").alias("format_id"))
+    init = S.Table("code", [[(c[1],) for c in r.cells] for r in L.RELATIONS.values()])
+    return S.with_text(S.with_layouts(one).withColumn("cells", F.transform(init.rows(), init.code))).select("template", "format_id", "format_text")
+
+
+@register("c23_register_formats", sql=f"""{TEXTS},
+r AS (SELECT template, format_id, format_text FROM ft JOIN fv USING (template, format_id) WHERE valid
+      UNION ALL SELECT p.template, -1, string_agg(h.text, '' ORDER BY p.pos) FROM parts p LEFT JOIN cells c ON c.template = p.template AND c.cell = p.cell
+                JOIN choices h ON h.list = p.list AND h.code = coalesce(c.code, 0) GROUP BY p.template),
+g AS (SELECT template, format_text, min(format_id) AS first_id, CAST(count(*) AS BIGINT) AS n_same FROM r WHERE format_text IS NOT NULL GROUP BY template, format_text),
+o AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY first_id) - 1 AS generation_order FROM g)
+SELECT r.template, CAST(r.format_id AS BIGINT) AS format_id, md5(r.format_text) AS text_md5, CAST(generation_order AS BIGINT) AS generation_order, n_same, r.format_id = first_id AS is_first
+FROM r JOIN o USING (template, format_text)""")
+def c23_register_formats(spark, d):
+    """The register of format texts: the default first, then texts as first seen, and every assignment that gives one."""
+    rows = valid_texts(spark, d).select("template", "format_id", "format_text").unionByName(default_texts(spark)).withColumn("h", F.md5("format_text"))
+    seen = rows.groupBy("template", "h").agg(F.min("format_id").alias("first_id"), F.count("*").alias("n_same"))
+    ranked = bucketed_rank(seen, ["template"], ["first_id"], F.floor(F.col("first_id") / 4096), "rn")
+    x = rows.select("template", "format_id", "h").join(ranked, ["template", "h"])
+    return x.select("template", "format_id", F.col("h").alias("text_md5"), (F.col("rn") - 1).alias("generation_order"), "n_same", (F.col("format_id") == F.col("first_id")).alias("is_first"))
 
 
-@register("c8_value_name_index", sql=_u([
-    f"SELECT template, format_id, array_to_string(back, ',') AS name_indices, "
-    f"CAST(len(list_filter(list_zip(back, vals), lambda p: p[1] <> p[2])) AS INT) AS n_remapped "
-    f"FROM (SELECT *, {_names_back_sql(t)} AS back FROM ({formats_sql(t)}) f) g" for t in LAYOUTS]))
-def c8_value_name_index(spark, d):
-    """Value names back to indices; a duplicated name resolves to its first index."""
-    parts = []
-    for t in LAYOUTS:
-        f = formats(spark, d, t).withColumn("back", _names_back(t))
-        n = F.size(F.filter(F.arrays_zip("back", "vals"), lambda p: p["back"] != p["vals"]))
-        parts.append(f.select("template", "format_id", vals_str("back").alias("name_indices"), n.cast("int").alias("n_remapped")))
-    return _union(parts)
-
-
-def _neighbor(t, vals, id_col, seed, slot):
-    """One-slot neighbour: slot ``slot`` moves to a different value (md5-drawn offset)."""
-    sizes = [len(CAT.ACTION_TYPES[a]) for a in FM.slot_types(t)]
-    size = F.element_at(F.array(*[F.lit(s) for s in sizes]), slot + 1)
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(t.name), id_col.cast("string"))), 1, 8), 16, 10) \
-        .cast("bigint")
-    cur = F.element_at(vals, slot + 1)
-    new = ((cur + 1 + h % (size - 1)) % size).cast("int")
-    return F.transform(vals, lambda v, i: F.when(i == slot, new).otherwise(v)), new
-
-
-def _neighbor_sql(t, vals, id_sql, seed, slot):
-    sizes = "[" + ", ".join(str(len(CAT.ACTION_TYPES[a])) for a in FM.slot_types(t)) + "]"
-    size = f"{sizes}[{slot} + 1]"
-    h = f"CAST(('0x' || substr(md5(concat_ws('|', '{seed}', '{t.name}', CAST({id_sql} AS VARCHAR))), 1, 8)) AS BIGINT)"
-    new = f"CAST(({vals}[{slot} + 1] + 1 + {h} % ({size} - 1)) % {size} AS INTEGER)"
-    return f"list_transform({vals}, lambda v, i: CASE WHEN i - 1 = {slot} THEN {new} ELSE v END)", new
-
-
-def _valid_of_sql(t, vals_sql):
-    return FM.to_sql(FM.validity(t), vals_sql)
-
-
-@register("c9_neighbor_pairs", sql=_u([
-    f"""WITH p AS (SELECT template, format_id, vals AS v0, {_neighbor_sql(t, 'vals', 'format_id', 'nb', f'CAST(format_id % {len(FM.slots(t))} AS INTEGER)')[0]} AS v1,
-               CAST(format_id % {len(FM.slots(t))} AS INT) AS slot_idx FROM ({formats_sql(t)}) f),
-    ok AS (SELECT * FROM p WHERE {_valid_of_sql(t, 'v0')} AND {_valid_of_sql(t, 'v1')}),
-    m AS (SELECT v, min(format_id) AS first_id FROM (SELECT v0 AS v, format_id FROM ok UNION ALL SELECT v1 AS v, format_id FROM ok) u GROUP BY v)
-    SELECT template, format_id, slot_idx, array_to_string(v0, ',') AS v0, array_to_string(v1, ',') AS v1 FROM ok
-    WHERE (SELECT first_id FROM m WHERE m.v = ok.v0) = format_id AND (SELECT first_id FROM m WHERE m.v = ok.v1) = format_id"""
-    for t in LAYOUTS]))
+# ------------------------------------------------------- neighbours
+
+@register("c9_neighbor_pairs", sql=N.pairs_sql("pairs", N_PAIRS, 8 * N_PAIRS, TASKS_SQL))
 def c9_neighbor_pairs(spark, d):
-    """One-slot neighbour pairs, slot chosen round-robin, both valid, each assignment used once.
-
-    "Used once" keeps a pair only if it is the first pair (by id) holding each of
-    its two assignments - a set-based form of the reference's skip-if-seen.
-    """
-    parts = []
-    for t in LAYOUTS:
-        n = len(FM.slots(t))
-        f = formats(spark, d, t).withColumn("slot_idx", (F.col("format_id") % n).cast("int"))
-        v1, _ = _neighbor(t, F.col("vals"), F.col("format_id"), "nb", F.col("slot_idx"))
-        p = f.select("template", "format_id", "slot_idx", F.col("vals").alias("v0"), v1.alias("v1"))
-        ok = add_valid(add_valid(p, t, "v0", "ok0"), t, "v1", "ok1").where("ok0 AND ok1").drop("ok0", "ok1")
-        # each assignment is used once: a pair survives when it is the first pair holding both members
-        members = ok.select("*", F.explode(F.array("v0", "v1")).alias("v"))
-        first = members.withColumn("first_id", F.min("format_id").over(Window.partitionBy("template", "v")))
-        k = (first.where(F.col("first_id") == F.col("format_id"))
-             .groupBy("template", "format_id", "slot_idx", "v0", "v1").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") == 2))
-        parts.append(k.select("template", "format_id", "slot_idx", vals_str("v0").alias("v0"), vals_str("v1").alias("v1")))
-    return _union(parts)
-
-
-def _slot_draw(t, id_col, seed):
-    n = len(FM.slots(t))
-    return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(t.name), id_col.cast("string"))), 1, 8), 16, 10)
-            .cast("bigint") % n).cast("int")
-
-
-def _slot_draw_sql(t, id_sql, seed):
-    n = len(FM.slots(t))
-    return f"CAST(CAST(('0x' || substr(md5(concat_ws('|', '{seed}', '{t.name}', CAST({id_sql} AS VARCHAR))), 1, 8)) AS BIGINT) % {n} AS INTEGER)"
-
-
-@register("c10_two_step_paths", sql=_u([
-    f"""WITH v AS (SELECT * FROM ({formats_sql(t)}) f WHERE {_valid_of_sql(t, 'vals')}),
-    c AS (SELECT v.template, v.format_id, r.k, v.vals AS v0, concat(CAST(v.format_id AS VARCHAR), ':', CAST(r.k AS VARCHAR)) AS cid
-          FROM v, range(0, {PATH_DRAWS}) r(k)),
-    s1 AS (SELECT *, {_neighbor_sql(t, 'v0', "concat('a', cid)", 'p1', _slot_draw_sql(t, "concat('a', cid)", 's1'))[0]} AS v1 FROM c),
-    s2 AS (SELECT *, {_neighbor_sql(t, 'v1', "concat('b', cid)", 'p2', _slot_draw_sql(t, "concat('b', cid)", 's2'))[0]} AS v2 FROM s1),
-    ok AS (SELECT *, row_number() OVER (PARTITION BY format_id ORDER BY k) AS rn FROM s2
-           WHERE v0 <> v2 AND {_valid_of_sql(t, 'v1')} AND {_valid_of_sql(t, 'v2')})
-    SELECT template, format_id, CAST(k AS INT) AS draw, array_to_string(v1, ',') AS v1, array_to_string(v2, ',') AS v2 FROM ok WHERE rn = 1"""
-    for t in LAYOUTS]))
+    """Every task's pairs that differ in one slot, the slot by the number of pairs accepted before; both valid, no format used twice."""
+    x = N.pairs(task_layouts(spark, task_files(spark, d)).withColumnRenamed("task", "name"), "pairs", N_PAIRS)
+    return x.select(F.col("name").alias("task"), "template", "pair", "draw", "slot_idx", joined(S.indices(F.col("v0"))).alias("v0"), joined(S.indices(F.col("v1"))).alias("v1"))
+
+
+@register("c10_two_step_paths", sql=f"""{CELLS},
+{N.paths_sql()}
+SELECT template, format_id, CAST(slot1 AS INT) AS slot1, CAST(c1 AS INT) AS code1, CAST(slot2 AS INT) AS slot2, CAST(c2 AS INT) AS code2 FROM paths""")
 def c10_two_step_paths(spark, d):
-    """Per valid format, a two-step path v0 -> v1 -> v2 (three distinct, both new ones valid); first of 3 draws."""
-    parts = []
-    for t in LAYOUTS:
-        v = add_valid(formats(spark, d, t), t).where("valid")
-        c = v.select("template", "format_id", F.col("vals").alias("v0"),
-                     F.explode(F.sequence(F.lit(0), F.lit(PATH_DRAWS - 1))).alias("k"))
-        cid = F.concat(F.col("format_id").cast("string"), F.lit(":"), F.col("k").cast("string"))
-        a_id, b_id = F.concat(F.lit("a"), cid), F.concat(F.lit("b"), cid)
-        v1, _ = _neighbor(t, F.col("v0"), a_id, "p1", _slot_draw(t, a_id, "s1"))
-        c = c.withColumn("v1", v1)
-        v2, _ = _neighbor(t, F.col("v1"), b_id, "p2", _slot_draw(t, b_id, "s2"))
-        c = c.withColumn("v2", v2)
-        ok = add_valid(add_valid(c.where(F.col("v0") != F.col("v2")), t, "v1", "ok1"), t, "v2", "ok2").where("ok1 AND ok2")
-        best = ok.groupBy("template", "format_id").agg(F.min(F.struct("k", "v1", "v2")).alias("b"))
-        parts.append(best.select("template", "format_id", F.col("b.k").cast("int").alias("draw"),
-                                 vals_str("b.v1").alias("v1"), vals_str("b.v2").alias("v2")))
-    return _union(parts)
-
-
-@register("c11_mode_catalogues", sql=_u([
-    f"SELECT '{m}' AS mode, CAST(count(*) AS BIGINT) AS n_drawn, CAST(count_if({valid_sql(REF, CAT.mode_catalogue(m))}) AS BIGINT) AS n_valid, "
-    f"CAST(count(DISTINCT {FM.to_sql(FM.pick(CAT.mode_catalogue(m)['chosen_space'], ('slot', 0)), 'vals')}) AS BIGINT) AS n_root_spaces "
-    f"FROM ({formats_sql(REF, m, CAT.mode_catalogue(m))}) f" for m in CAT.SPLIT_MODES]))
-def c11_mode_catalogues(spark, d):
-    """C11: test formats drawn from each split mode's catalogue for the reference layout; validity counts."""
-    parts = []
-    for m in CAT.SPLIT_MODES:
-        cat = CAT.mode_catalogue(m)
-        f = formats(spark, d, REF, m, cat)
-        root_space = FM.to_column(FM.pick(cat["chosen_space"], ("slot", 0)), F.col("vals"))
-        f = add_valid(f, REF, cat=cat)
-        parts.append(f.agg(F.count(F.lit(1)).alias("n_drawn"), F.count_if(F.col("valid")).alias("n_valid"),
-                           F.count_distinct(root_space).alias("n_root_spaces")).select(F.lit(m).alias("mode"), "*"))
-    return _union(parts)
-
-
-@register("c12_essential_key_dedup", sql=_u([
-    f"SELECT template, md5(k) AS key_md5, min(format_id) AS format_id, CAST(count(*) AS BIGINT) AS n_formats "
-    f"FROM (SELECT template, format_id, {FM.essential_key_sql(t, 'vals')} AS k FROM ({formats_sql(t)}) f) g GROUP BY template, k"
-    for t in LAYOUTS]))
-def c12_essential_key_dedup(spark, d):
-    """Essential key (first non-empty space, separator, case fn) and dedup keeping the first format."""
-    parts = []
-    for t in LAYOUTS:
-        f = formats(spark, d, t).withColumn("k", FM.essential_key(t, F.col("vals")))
-        parts.append(f.groupBy("template", "k").agg(F.min("format_id").alias("format_id"), F.count(F.lit(1)).alias("n_formats"))
-                     .select("template", F.md5("k").alias("key_md5"), "format_id", "n_formats"))
-    return _union(parts)
+    """For every valid format that has one, a path to a second and a third valid format, each step in one slot."""
+    x = S.evaluated(formats(spark, d), True)
+    return N.paths(x).select("template", "format_id", "slot1", "code1", "slot2", "code2")
+
 
+# ------------------------------------------------ modes and splits (C11-C17)
 
-TRANSFER = [(t, FM.transfer_index(REF, t)) for t in LAYOUTS]
+@register("c11_mode_catalogues", sql=f"""WITH {S.relations_sql(S.MODES, (REF,))}, {S.draws_sql(IDS_SQL, SEED)},
+{S.cells_sql('fs', 'template, mode, format_id')}
+SELECT v.mode, CAST(count(*) AS BIGINT) AS n_drawn, CAST(count_if(valid) AS BIGINT) AS n_valid,
+       CAST(count(DISTINCT w.value) AS BIGINT) AS n_root_spaces
+FROM fv v JOIN fs s ON s.mode = v.mode AND s.format_id = v.format_id AND s.slot = 0 JOIN vals w ON w.code = s.code GROUP BY v.mode""")
+def c11_mode_catalogues(spark, d):
+    """C11: the reference layout drawn from every split mode's catalogue, in one plan; validity and root spaces."""
+    rows = S.with_layouts(ids(spark, d), S.MODES).where(F.col("template") == REF)
+    x = S.drawn(rows, SEED, modes=S.MODES).withColumn("number", (F.col("number") % len(S.NAMES)).cast("int"))
+    x = S.evaluated(x).withColumn("space", S.names(F.col("codes"))[0])
+    return x.groupBy("mode").agg(F.count("*").alias("n_drawn"), F.count_if("valid").alias("n_valid"), F.count_distinct("space").alias("n_root_spaces"))
 
 
-def _transfer(vals, idx):
-    return F.array(*[vals[i] for i in idx])
+KEYS_SQL = """k AS (SELECT template, format_id, concat(
+  coalesce(arg_min(v.value, slot) FILTER (fs.kind = 'chosen_space' AND v.value <> ''), ''),
+  coalesce(arg_min(v.value, slot) FILTER (fs.kind = 'chosen_separator' AND v.value <> ''), ''),
+  coalesce(arg_min(v.value, slot) FILTER (fs.kind = 'text_descriptor_fn'), '')) AS key FROM fs JOIN vals v USING (code) GROUP BY template, format_id)"""
 
 
-def _transfer_sql(vals, idx):
-    return "[" + ", ".join(f"{vals}[{i + 1}]" for i in idx) + "]"
+@register("c12_essential_key_dedup", sql=f"""{DRAWS}, {KEYS_SQL}
+SELECT template, md5(key) AS key_md5, min(format_id) AS format_id, CAST(count(*) AS BIGINT) AS n_formats FROM k GROUP BY template, key""")
+def c12_essential_key_dedup(spark, d):
+    """Essential key (first non-empty space, separator, case function) and the first format that has it."""
+    x = formats(spark, d).withColumn("k", S.essential_key(F.col("codes")))
+    return x.groupBy("template", "k").agg(F.min("format_id").alias("format_id"), F.count("*").alias("n_formats")).select("template", F.md5("k").alias("key_md5"), "format_id", "n_formats")
 
 
-@register("c13_transfer_format", sql=_u([
-    f"SELECT '{t.name}' AS target, format_id, array_to_string({_transfer_sql('vals', idx)}, ',') AS vals, "
-    f"{_valid_of_sql(t, _transfer_sql('vals', idx))} AS valid FROM ({formats_sql(REF)}) f" for t, idx in TRANSFER if idx]))
+@register("c13_transfer_format", sql=f"""WITH {S.relations_sql()}, {S.draws_sql(IDS_SQL + f" WHERE l.template = '{REF}'", SEED)},
+{SP.transfer_sql('fs', 'format_id')}, {S.cells_sql('tr')},
+vs AS (SELECT template, format_id, string_agg(v.idx, ',' ORDER BY slot) AS vals FROM tr JOIN vals v USING (code) GROUP BY template, format_id)
+SELECT template AS target, format_id, vals, valid FROM fv JOIN vs USING (template, format_id)""")
 def c13_transfer_format(spark, d):
-    """Carry each reference-task format to every layout (k-th slot of a type takes the k-th value)."""
-    src = formats(spark, d, REF)
-    parts = []
-    for t, idx in TRANSFER:
-        if idx is None:
-            continue
-        tv = _transfer(F.col("vals"), idx)
-        x = add_valid(src.select("format_id", tv.alias("tv")), t, "tv")
-        parts.append(x.select(F.lit(t.name).alias("target"), "format_id", F.array_join(F.col("tv").cast("array<string>"), ",").alias("vals"),
-                              "valid"))
-    return _union(parts)
-
-
-def add_valid_all(df: DataFrame, vals: str = "vals", cat=None) -> DataFrame:
-    """Per layout: transfer the reference format, validate; ``valid_all`` and ``n_valid_tasks``."""
-    flags = []
-    for t, idx in TRANSFER:
-        if idx is None:
-            flags.append(F.lit(False))
-            continue
-        tv, ok = f"__tv_{t.name}", f"__ok_{t.name}"
-        df = add_valid(df.withColumn(tv, _transfer(F.col(vals), idx)), t, tv, ok, cat).drop(tv)
-        flags.append(F.col(ok))
-    all_ok = reduce(lambda a, b: a & b, flags)
-    n_ok = reduce(lambda a, b: a + b, [c.cast("int") for c in flags])
-    df = df.withColumn("valid_all", all_ok).withColumn("n_valid_tasks", n_ok.cast("int"))
-    return df.drop(*[c for c in df.columns if c.startswith("__ok_")])
-
-
-def _valid_all_sql(vals):
-    return "(" + " AND ".join(_valid_of_sql(t, _transfer_sql(vals, idx)) if idx is not None else "FALSE"
-                              for t, idx in TRANSFER) + ")"
-
-
-@register("c14_valid_on_all_tasks", sql=f"""
-SELECT format_id, {_valid_all_sql('vals')} AS valid_all,
-       CAST({' + '.join(f'CAST({_valid_of_sql(t, _transfer_sql("vals", idx))} AS INT)' for t, idx in TRANSFER if idx)} AS INT) AS n_valid_tasks
-FROM ({formats_sql(REF)}) f""")
+    """Every reference-task format carried to every layout (k-th slot of a type takes the k-th value), with its validity there."""
+    x = SP.everywhere(reference_formats(spark, d))
+    return x.select(F.col("template").alias("target"), "format_id", joined(S.indices(F.col("codes"))).alias("vals"), "valid")
+
+
+@register("c14_valid_on_all_tasks", sql=f"""WITH {S.relations_sql()}, {S.draws_sql(IDS_SQL + f" WHERE l.template = '{REF}'", SEED)},
+{SP.transfer_sql('fs', 'format_id')}, {S.cells_sql('tr')}
+SELECT format_id, bool_and(valid) AS valid_all, CAST(count_if(valid) AS INT) AS n_valid_tasks FROM fv GROUP BY format_id""")
 def c14_valid_on_all_tasks(spark, d):
-    """C14: a format is kept only if its transfer is valid on every layout (one projection, no join)."""
-    f = formats(spark, d, REF)
-    return add_valid_all(f).select("format_id", "valid_all", "n_valid_tasks")
+    """C14: on how many layouts each reference-task format is valid, and whether on all."""
+    x = SP.everywhere(reference_formats(spark, d)).groupBy("format_id")
+    return x.agg(F.bool_and("valid").alias("valid_all"), F.count_if("valid").cast("int").alias("n_valid_tasks"))
 
 
-def split_formats(spark, d, mode: str) -> DataFrame:
-    """The test formats of a split: first N_TEST valid-on-all formats with a new essential key,
-    among the first 10*N_TEST draws of the reference layout."""
-    cat = CAT.mode_catalogue(mode)
-    f = formats(spark, d, REF, mode, cat).orderBy("format_id").limit(10 * N_TEST)
-    ok = add_valid_all(f, cat=cat).where("valid_all").withColumn("k", FM.essential_key(REF, F.col("vals"), cat))
-    first = ok.groupBy("k").agg(F.min(F.struct("format_id", "vals")).alias("b")).select("b.*")
-    return first.orderBy("format_id").limit(N_TEST)
+def split(spark, d, modes=S.MODES, seed: str = "split") -> DataFrame:
+    """The test formats of the splits over the data's tasks."""
+    return SP.build(task_layouts(spark, task_files(spark, d)), modes, N_TEST, seed)
 
 
-def _split_sql(mode):
-    cat = CAT.mode_catalogue(mode)
-    valid = "(" + " AND ".join(FM.to_sql(FM.validity(t, cat), _transfer_sql("vals", idx)) for t, idx in TRANSFER if idx) + ")"
-    return (f"(SELECT format_id, vals FROM (SELECT format_id, vals, row_number() OVER (PARTITION BY k ORDER BY format_id) AS r "
-            f"FROM (SELECT *, {FM.essential_key_sql(REF, 'vals', cat)} AS k FROM (SELECT * FROM ({formats_sql(REF, mode, cat)}) f "
-            f"ORDER BY format_id LIMIT {10 * N_TEST}) g WHERE {valid}) h) i WHERE r = 1 ORDER BY format_id LIMIT {N_TEST})")
+SPLIT_SQL = SP.build_sql(S.MODES, N_TEST, "split", f"{S.relations_sql(S.MODES)}, {TASKS_SQL}")
 
 
-@register("c15_build_split", sql=_u([
-    f"SELECT '{m}' AS mode, '{t.name}' AS task, CAST(s.format_id AS BIGINT) AS format_id, array_to_string({_transfer_sql('s.vals', idx)}, ',') AS vals "
-    f"FROM {_split_sql(m)} s" for m in ("random", "separator_space", "compositional_separator_space") for t, idx in TRANSFER if idx]))
+@register("c15_build_split", sql=f"""{SPLIT_SQL}
+SELECT mode, task, template, CAST(ord AS INT) AS ord, vals, kinds AS action_types FROM split""")
 def c15_build_split(spark, d):
-    """Build the test split of three modes and fan it out to every layout (C13) with one explode."""
-    parts = []
-    for m in ("random", "separator_space", "compositional_separator_space"):
-        s = split_formats(spark, d, m)
-        parts.append(s.select(F.lit(m).alias("mode"), "format_id", _fan_out(F.col("vals")).alias("t"))
-                     .select("mode", "t.task", "format_id", "t.vals"))
-    return _union(parts)
-
-
-def _fan_out(vals):
-    """Every layout's transferred assignment of a reference format, as one exploded array."""
-    return F.explode(F.array(*[F.struct(F.lit(t.name).alias("task"),
-                                        F.array_join(_transfer(vals, idx).cast("array<string>"), ",").alias("vals"))
-                               for t, idx in TRANSFER if idx is not None]))
-
-
-@register("c16_split_new_permutation", views=("instances",), sql=f"""
-WITH s AS {_split_sql('random')}
-SELECT i.task, i.instance_id,
-       CAST(row_number() OVER (PARTITION BY i.task ORDER BY md5(concat_ws('|', '29', CAST(i.instance_id AS VARCHAR)))) - 1 AS BIGINT) AS ord,
-       (SELECT CAST(count(*) AS BIGINT) FROM s) AS n_formats
-FROM instances i""")
-def c16_split_new_permutation(spark, d):
-    """Same split formats, a fresh seeded permutation of another instance set (the instances view)."""
-    from promptspread.operators.instances import seeded_shuffle
-    n = split_formats(spark, d, "random").agg(F.count(F.lit(1))).scalar()   # scalar subquery, no join
-    inst = seeded_shuffle(V.instances_base(spark, d).select("task", "instance_id"), ["task"], "instance_id", 29)
-    return inst.withColumn("n_formats", n)
+    """The test split of all six modes: valid on all tasks, one per essential key, carried to every task with its slot types."""
+    x = split(spark, d)
+    return x.select("mode", "task", "template", "ord", F.array_join(S.names(F.col("codes")), "\x1f").alias("vals"), F.array_join(S.slot_kinds(), ",").alias("action_types"))
 
 
-@register("c17_split_coherence", sql=f"""
-WITH s AS ({_u([f"SELECT '{t.name}' AS task, array_to_string({_transfer_sql('x.vals', idx)}, ',') AS v FROM {_split_sql('random')} x"
-               for t, idx in TRANSFER if idx])})
-SELECT task, CAST(count(DISTINCT v) AS BIGINT) AS n_distinct, count(DISTINCT v) = {N_TEST} AS coherent FROM s GROUP BY task""")
+@register("c16_split_new_permutation", views=("instances",), sql=f"""{SP.build_sql(("random",), N_TEST, "split", f"{S.relations_sql()}, {TASKS_SQL}")},
+p AS (SELECT task, instance_id, row_number() OVER (PARTITION BY task ORDER BY md5(concat_ws('|', '29', CAST(instance_id AS VARCHAR)))) - 1 AS ord FROM instances)
+SELECT p.task, p.instance_id, CAST(p.ord AS BIGINT) AS ord, CAST(s.ord AS INT) AS format_ord, md5(s.vals) AS format_md5
+FROM p JOIN split s ON s.template = '{REF}' AND s.task = '{REF}_'""".replace("tl AS (", f"tl AS (SELECT '{REF}_' AS task, '{REF}' AS template UNION ALL "))
+def c16_split_new_permutation(spark, d):
+    """The formats of a split over a fresh permutation of other instances: every (instance, format) to evaluate."""
+    one = spark.createDataFrame([(f"{REF}_", REF)], "task string, template string")
+    both = task_layouts(spark, task_files(spark, d)).unionByName(one)
+    s = SP.build(both, ("random",), N_TEST, "split").where(F.col("task") == f"{REF}_")
+    chosen = F.array_sort(F.collect_list(F.struct(F.col("ord").alias("format_ord"), F.md5(F.array_join(S.names(F.col("codes")), "\x1f")).alias("format_md5"))))
+    listed = s.agg(chosen.alias("fs")).scalar()   # N_TEST formats
+    inst = I.seeded_shuffle(V.instances_base(spark, d).select("task", "instance_id"), ["task"], "instance_id", 29)
+    return inst.select("task", "instance_id", "ord", F.explode(listed).alias("f")).select("task", "instance_id", "ord", "f.format_ord", "f.format_md5")
+
+
+@register("c17_split_coherence", sql=f"""{SPLIT_SQL}
+SELECT mode, task, CAST(count(DISTINCT vals) AS BIGINT) AS n_distinct, count(DISTINCT vals) = {N_TEST} AS coherent FROM split GROUP BY mode, task""")
 def c17_split_coherence(spark, d):
-    """C17: each task of the split holds exactly n distinct formats (transfers may merge some)."""
-    s = split_formats(spark, d, "random")
-    u = s.select(_fan_out(F.col("vals")).alias("t")).select("t.task", F.col("t.vals").alias("v"))
-    return u.groupBy("task").agg(F.count_distinct("v").alias("n_distinct")).withColumn("coherent", F.col("n_distinct") == N_TEST)
-
+    """C17: whether each task of each split holds exactly n distinct formats (carrying may merge some)."""
+    x = split(spark, d).groupBy("mode", "task").agg(F.count_distinct("codes").alias("n_distinct"))
+    return x.withColumn("coherent", F.col("n_distinct") == N_TEST)
 
-NESTED = FM.layout("nested_options")
 
+# ------------------------------------------------------------ placeholders
 
-def _enum1_labels(t, k):
-    """Number-format labels of the enum1 items under each format (unwrapped), as expressions."""
-    cur = FM.effective_values(t)
-    node = [n for n in FM._nodes(t) if n.object_name == "enum1"][0]
-    code = cur[(id(node), "chosen_number_format")]
-    out = []
-    for idx in range(k):
-        labels = [str(idx + 1), chr(ord("A") + idx), chr(ord("a") + idx), chr(0x2160 + idx) if idx < 12 else None,
-                  CAT.ROMAN_NUMERALS[idx], CAT.ROMAN_NUMERALS[idx].upper()]
-        out.append(FM.pick(labels, code))
-    return out
+def _asks(r: L.Relations) -> str:
+    return "Choose one of " + ", ".join(f"'{{{label}_{i}}}'" for label, (_, items) in r.labels.items() for i in range(1, len(items) + 1)) + "."
 
 
-def _fill_sql(t):
-    x = FM._sql_str(INSTRUCTION)
-    for i, e in enumerate(_enum1_labels(t, 4)):
-        x = f"replace({x}, '{{enum1_{i + 1}}}', {FM.to_sql(e, 'vals')})"
-    return x
-
-
-@register("c18_fill_placeholders", sql=f"""
-SELECT template, format_id, {_fill_sql(NESTED)} AS instruction FROM ({formats_sql(NESTED)}) f WHERE {valid_sql(NESTED)}""")
+@register("c18_fill_placeholders", sql=f"""{CELLS},
+items(template, name, pos, cell, list) AS (VALUES {', '.join(S._q([n, label, i, cell, S._text_lists()[(L.OFFSET[L.NUMBER], tuple(L.numbered(item)))]]).replace('[', '(').replace(']', ')')
+    for n, r in L.RELATIONS.items() for label, (cell, its) in r.labels.items() for i, item in enumerate(its, 1))})
+SELECT v.template, v.format_id, 'Choose one of ' || string_agg('''' || h.text || '''', ', ' ORDER BY i.name, i.pos) || '.' AS instruction
+FROM fv v JOIN items i ON i.template = v.template JOIN fc c ON c.template = v.template AND c.format_id = v.format_id AND c.cell = i.cell
+JOIN choices h ON h.list = i.list AND h.code = c.code WHERE valid GROUP BY v.template, v.format_id HAVING count(h.text) = count(*)""")
 def c18_fill_placeholders(spark, d):
-    """Fill the instruction's ``{enum1_i}`` placeholders with each format's option labels."""
-    f = add_valid(formats(spark, d, NESTED), NESTED).where("valid")
-    x = F.lit(INSTRUCTION)
-    for i, e in enumerate(_enum1_labels(NESTED, 4)):
-        x = F.replace(x, F.lit("{enum1_%d}" % (i + 1)), FM.to_column(e, F.col("vals")))
-    return f.select("template", "format_id", x.alias("instruction"))
-
+    """An instruction's ``{{object_item}}`` placeholders, for every object and item of every layout, as the format numbers them."""
+    asks = F.get(S.strings([_asks(r) if r.labels else "" for r in L.RELATIONS.values()]), F.col("number"))
+    x = S.evaluated(formats(spark, d), True).withColumn("ask", asks).where("ask <> ''")
+    return S.held(x, "instruction", S.filled_in(F.col("ask"), F.col("cells")), lambda t: t.isNotNull()).select("template", "format_id", "instruction")
 
-def _first_valid(spark, d, t, n):
-    """First ``n`` distinct valid formats of ``t`` in draw order (window group limit, map-side partial)."""
-    f = add_valid(formats(spark, d, t), t).where("valid")
-    first = f.groupBy("template", "vals").agg(F.min("format_id").alias("format_id"))
-    # one template per pipeline: a global top-n (per-partition top-k, then a merge of n rows per
-    # partition), numbered afterwards - never a window over every format in one task
-    top = first.orderBy("format_id").limit(n)
-    return top.withColumn("ord", (F.row_number().over(Window.orderBy("format_id")) - 1).cast("int"))
 
+# ------------------------------------------------------------ ensembles
 
-def _first_valid_sql(t, n):
-    return (f"SELECT template, format_id, CAST(rn - 1 AS INT) AS ord FROM (SELECT template, format_id, row_number() OVER (ORDER BY format_id) AS rn "
-            f"FROM (SELECT template, vals, min(format_id) AS format_id FROM ({formats_sql(t)}) f WHERE {valid_sql(t)} GROUP BY template, vals) g) h "
-            f"WHERE rn <= {n}")
+def _ens_sql(tail: str) -> str:
+    body = per_task_sql(N_ENSEMBLES * ENSEMBLE_SIZE, "ensembles", 400)
+    at = body.rindex("\nSELECT task, template")
+    return f"""{body[:at]},
+fm AS ({body[at:]}),
+e AS (SELECT task, CAST(((ord - 1) // {ENSEMBLE_SIZE} + 1) % {N_ENSEMBLES} AS INT) AS ensemble_id, CAST((ord - 1) % {ENSEMBLE_SIZE} AS INT) AS member_pos, draw FROM fm
+      UNION ALL SELECT DISTINCT task, 0, -1, CAST(-1 AS BIGINT) FROM fm)
+{tail}"""
 
 
-ENS_SQL = _u([f"""SELECT template, CAST((CAST(floor(ord / {ENSEMBLE_SIZE}) AS INT) + 1) % {N_ENSEMBLES} AS INT) AS ensemble_id,
-       CAST(ord % {ENSEMBLE_SIZE} AS INT) AS member_pos, format_id FROM ({_first_valid_sql(t, N_ENSEMBLES * ENSEMBLE_SIZE)}) x
-UNION ALL SELECT '{t.name}' AS template, 0 AS ensemble_id, -1 AS member_pos, CAST(-1 AS BIGINT) AS format_id""" for t in LAYOUTS])
+def _ensembles(spark, d) -> DataFrame:
+    x = per_task(spark, d, N_ENSEMBLES * ENSEMBLE_SIZE, "ensembles")
+    at = F.col("ord") - 1
+    x = x.select(F.col("name").alias("task"), ((F.floor(at / ENSEMBLE_SIZE) + 1) % N_ENSEMBLES).cast("int").alias("ensemble_id"), (at % ENSEMBLE_SIZE).cast("int").alias("member_pos"), "draw")
+    default = x.select("task").distinct().select("task", F.lit(0).alias("ensemble_id"), F.lit(-1).alias("member_pos"), F.lit(-1).cast("bigint").alias("draw"))
+    return x.unionByName(default)
 
 
-def _ensembles(spark, d):
-    parts = []
-    for t in LAYOUTS:
-        x = _first_valid(spark, d, t, N_ENSEMBLES * ENSEMBLE_SIZE)
-        x = x.select("template", ((F.floor(F.col("ord") / ENSEMBLE_SIZE).cast("int") + 1) % N_ENSEMBLES).cast("int").alias("ensemble_id"),
-                     (F.col("ord") % ENSEMBLE_SIZE).cast("int").alias("member_pos"), "format_id")
-        default = x.groupBy("template").agg(F.lit(0).alias("ensemble_id"), F.lit(-1).alias("member_pos"),
-                                            F.lit(-1).cast("bigint").alias("format_id"))
-        parts.append(x.unionByName(default))
-    return _union(parts)
-
-
-@register("c19_ensembles", sql=ENS_SQL)
+@register("c19_ensembles", sql=_ens_sql("SELECT task, ensemble_id, member_pos, draw FROM e"))
 def c19_ensembles(spark, d):
-    """Blocks of ``ENSEMBLE_SIZE`` formats; the last block moves to the front and gets the
-    default format (id -1) prepended: ensemble = (block + 1) mod n."""
+    """A task's formats in blocks; the last block moves to the front and gets the default format (draw -1) prepended."""
     return _ensembles(spark, d)
 
 
-@register("c20_keep_last_k", sql=f"""
-WITH e AS ({ENS_SQL}),
-r AS (SELECT *, row_number() OVER (PARTITION BY template, ensemble_id ORDER BY member_pos DESC) AS rk,
-             count(*) OVER (PARTITION BY template, ensemble_id) AS n FROM e)
-SELECT template, ensemble_id, member_pos, format_id, least(n, {KEEP_LAST}) = {KEEP_LAST} AS full FROM r WHERE rk <= {KEEP_LAST}""")
+@register("c20_keep_last_k", sql=_ens_sql(f"""SELECT task, ensemble_id, member_pos, draw, least(n, {KEEP_LAST}) = {KEEP_LAST} AS "full" FROM (
+  SELECT *, row_number() OVER (PARTITION BY task, ensemble_id ORDER BY member_pos DESC) AS rk, count(*) OVER (PARTITION BY task, ensemble_id) AS n FROM e) WHERE rk <= {KEEP_LAST}"""))
 def c20_keep_last_k(spark, d):
-    """C20: keep the last k formats of each ensemble (the first may be the shared default); flag short ones."""
-    e = _ensembles(spark, d)
-    w = Window.partitionBy("template", "ensemble_id").orderBy(F.col("member_pos").desc())
-    wc = Window.partitionBy("template", "ensemble_id")
-    r = e.withColumn("rk", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(wc))
-    return r.where(F.col("rk") <= KEEP_LAST).select("template", "ensemble_id", "member_pos", "format_id",
-                                                    (F.least("n", F.lit(KEEP_LAST)) == KEEP_LAST).alias("full"))
-
+    """C20: the last k formats of each ensemble (the first may be the shared default); short ones are flagged."""
+    w = Window.partitionBy("task", "ensemble_id")
+    r = _ensembles(spark, d).withColumn("rk", F.row_number().over(w.orderBy(F.col("member_pos").desc()))).withColumn("n", F.count("*").over(w))
+    return r.where(F.col("rk") <= KEEP_LAST).select("task", "ensemble_id", "member_pos", "draw", (F.least("n", F.lit(KEEP_LAST)) == KEEP_LAST).alias("full"))
 
-MAX_SLOTS = max(len(FM.slots(t)) for t in LAYOUTS)
 
+# -------------------------------------------------------------------- F36
 
-@register("c21_format_profile", sql=_u([
-    f"SELECT '{t.name}' AS template, CAST({len(FM.slots(t))} AS INT) AS n_slots, CAST({len(set(FM.slot_types(t)))} AS INT) AS n_types, "
-    f"'{','.join(sorted(set(FM.slot_types(t))))}' AS types, {str(len(FM.slots(t)) == MAX_SLOTS).upper()} AS is_longest, "
-    f"{str(len(set(FM.slot_types(t))) == 6).upper()} AS uses_all_types, CAST(count(*) AS BIGINT) AS n_formats, "
-    f"CAST(count_if({valid_sql(t)}) AS BIGINT) AS n_valid FROM ({formats_sql(t)}) f" for t in LAYOUTS]))
-def c21_format_profile(spark, d):
-    """Per layout: slot count, slot-type set, longest sequence, all-six-types flag, drawn/valid counts."""
-    parts = []
-    for t in LAYOUTS:
-        types = sorted(set(FM.slot_types(t)))
-        f = add_valid(formats(spark, d, t), t)
-        parts.append(f.agg(F.count(F.lit(1)).alias("n_formats"), F.count_if("valid").alias("n_valid")).select(
-            F.lit(t.name).alias("template"), F.lit(len(FM.slots(t))).alias("n_slots"), F.lit(len(types)).alias("n_types"),
-            F.lit(",".join(types)).alias("types"), F.lit(len(FM.slots(t)) == MAX_SLOTS).alias("is_longest"),
-            F.lit(len(types) == 6).alias("uses_all_types"), "n_formats", "n_valid"))
-    return _union(parts)
-
-
-def _n_nodes(t):
-    return len(FM._nodes(t))
-
-
-@register("c22_task_layouts", views=("instances",), sql=f"""
-WITH k AS (SELECT DISTINCT task FROM instances),
-l AS (SELECT task, CAST(CAST(('0x' || substr(md5(task), 1, 8)) AS BIGINT) % {len(LAYOUTS)} AS INTEGER) AS li FROM k)
-SELECT task, ([{', '.join(repr(t.name) for t in LAYOUTS)}])[li + 1] AS template,
-       ([{', '.join(str(_n_nodes(t)) for t in LAYOUTS)}])[li + 1] AS n_nodes,
-       ([{', '.join(str(len(FM.slots(t))) for t in LAYOUTS)}])[li + 1] AS n_slots FROM l""")
-def c22_task_layouts(spark, d):
-    """Which layout of the catalogue each task uses (md5 of the task name picks one)."""
-    k = V.instances_base(spark, d).select("task").distinct()
-    li = (F.conv(F.substring(F.md5("task"), 1, 8), 16, 10).cast("bigint") % len(LAYOUTS)).cast("int")
-    pick = lambda vals: F.element_at(F.array(*[F.lit(v) for v in vals]), li + 1)
-    return k.select("task", pick([t.name for t in LAYOUTS]).alias("template"),
-                    pick([_n_nodes(t) for t in LAYOUTS]).alias("n_nodes"),
-                    pick([len(FM.slots(t)) for t in LAYOUTS]).alias("n_slots"))
-
-
-@register("c23_register_formats", sql=_u([
-    f"SELECT template, md5(format_text) AS text_md5, CAST(first_id AS BIGINT) AS first_format_id, n_assignments, "
-    f"CAST(row_number() OVER (ORDER BY first_id) - 1 AS BIGINT) AS generation_order FROM (SELECT template, format_text, "
-    f"min(format_id) AS first_id, CAST(count(*) AS BIGINT) AS n_assignments FROM (SELECT template, format_id, {text_sql(t)} AS format_text "
-    f"FROM ({formats_sql(t)}) f WHERE {valid_sql(t)}) g GROUP BY template, format_text) h" for t in LAYOUTS]))
-def c23_register_formats(spark, d):
-    """Register rendered formats - one entry per distinct text, first-seen order, assignments per text."""
-    from promptspread.functions.ranking import bucketed_rank
-    parts = []
-    for t in LAYOUTS:
-        f = add_text(add_valid(formats(spark, d, t), t).where("valid"), t)
-        g = f.groupBy("template", "format_text").agg(F.min("format_id").alias("first_format_id"),
-                                                     F.count(F.lit(1)).alias("n_assignments"))
-        g = bucketed_rank(g, ["template"], ["first_format_id"], F.floor(F.col("first_format_id") / 4096), "rn")
-        parts.append(g.select("template", F.md5("format_text").alias("text_md5"), "first_format_id", "n_assignments",
-                              (F.col("rn") - 1).alias("generation_order")))
-    return _union(parts)
-
-
-F36_LAYOUT = FM.layout("two_fields")
+F36_LAYOUT = "task1661"
 TOP_K = 5
 
 
 @register("f36_sensitive_tasks", views=("predictions",), sql=f"""
-WITH acc AS (SELECT task, format_id, CAST(sum(CASE WHEN generation = answer THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS acc
-             FROM predictions GROUP BY task, format_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY acc DESC, format_id) AS rb,
-                row_number() OVER (PARTITION BY task ORDER BY acc ASC, format_id) AS rw FROM acc),
-t AS (SELECT task, max(acc) - min(acc) AS spread, max(CASE WHEN rb = 1 THEN format_id END) AS best_format,
-             max(CASE WHEN rw = 1 THEN format_id END) AS worst_format FROM r GROUP BY task),
-k AS (SELECT * FROM t ORDER BY spread DESC, task LIMIT {TOP_K}),
-txt AS (SELECT format_id, {FM.to_sql(FM.render(F36_LAYOUT), 'vals')} AS format_text
-        FROM (SELECT DISTINCT format_id, {FM.sample_vals_sql(F36_LAYOUT, 'format_id', 'f36')} AS vals FROM predictions) v)
-SELECT k.task, round(k.spread, 6) AS spread, concat('Is the document of good ', k.task, '?') AS definition,
-       b.format_text AS best_format_text, w.format_text AS worst_format_text
-FROM k JOIN txt b ON b.format_id = k.best_format JOIN txt w ON w.format_id = k.worst_format""")
+WITH {S.relations_sql(only=(F36_LAYOUT,))},
+{S.draws_sql("SELECT DISTINCT l.template, l.mode, p.format_id FROM predictions p, lay l", "f36")}, {S.cells_sql()}, {S.text_sql()},
+acc AS (SELECT task, format_id, CAST(sum(CASE WHEN generation = answer THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS acc FROM predictions GROUP BY task, format_id),
+ra AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY acc DESC, format_id) AS rb, row_number() OVER (PARTITION BY task ORDER BY acc ASC, format_id) AS rw FROM acc),
+ta AS (SELECT task, max(acc) - min(acc) AS spread, max(CASE WHEN rb = 1 THEN format_id END) AS best_format, max(CASE WHEN rw = 1 THEN format_id END) AS worst_format FROM ra GROUP BY task),
+ka AS (SELECT * FROM ta ORDER BY spread DESC, task LIMIT {TOP_K})
+SELECT ka.task, round(ka.spread, 6) AS spread, concat('Is the document of good ', ka.task, '?') AS definition, b.format_text AS best_format_text, w.format_text AS worst_format_text
+FROM ka JOIN ft b ON b.format_id = ka.best_format JOIN ft w ON w.format_id = ka.worst_format""")
 def f36_sensitive_tasks(spark, d):
-    """the most format-sensitive tasks (top-k spread) with their best / worst format text and definition."""
+    """the most format-sensitive tasks (top-k spread) with their best and worst format text and definition."""
     from promptspread.operators import metrics as M
     fm = M.plain_accuracy(V.predictions(spark, d), ["task", "format_id"])
     bw = M.best_worst(fm, ["task"]).withColumn("spread", F.col("best_accuracy") - F.col("worst_accuracy"))
     top = bw.orderBy(F.col("spread").desc(), "task").limit(TOP_K)
-    ids = V.predictions(spark, d).select("format_id").distinct()
-    txt = add_text(ids.withColumn("vals", FM.sample_vals(F36_LAYOUT, F.col("format_id"), "f36")), F36_LAYOUT) \
-        .select("format_id", "format_text")
-    b = txt.select(F.col("format_id").alias("best_format"), F.col("format_text").alias("best_format_text"))
-    w = txt.select(F.col("format_id").alias("worst_format"), F.col("format_text").alias("worst_format_text"))
+    text = S.drawn(V.predictions(spark, d).select("format_id").distinct().withColumn("number", F.lit(S.NAMES.index(F36_LAYOUT))), "f36")
+    text = S.evaluated(text).select("format_id", S.rendered(F.col("cells")).alias("format_text"))
+    b = text.select(F.col("format_id").alias("best_format"), F.col("format_text").alias("best_format_text"))
+    w = text.select(F.col("format_id").alias("worst_format"), F.col("format_text").alias("worst_format_text"))
     return top.join(b, "best_format").join(w, "worst_format").select(
-        "task", "spread", F.concat(F.lit("Is the document of good "), F.col("task"), F.lit("?")).alias("definition"),
-        "best_format_text", "worst_format_text")
-
-
-RANGED = FM.layout("ranged_facts")
-ENUM_LENGTHS = list(range(*RANGED.enum_range))
-
-
-def _regex_sql(text_sql: str) -> str:
-    from promptspread.operators.instances import FIELD_CLASS
-    cls = FIELD_CLASS.replace("'", "''")
-    return (f"('^' || array_to_string(list_transform(string_split({text_sql}, '{{}}'), lambda p: CASE WHEN p = '' THEN p "
-            f"ELSE '\\Q' || p || '\\E' END), '({cls}+)') || '$')")
-
-
-@register("b7_pattern_bank", sql=_u([
-    f"SELECT format_id, CAST({e} AS INT) AS enum_len, md5({_regex_sql(FM.to_sql(FM.render(RANGED, enumeration_length=e, output_text=False), 'vals'))}) AS regex_md5 "
-    f"FROM ({formats_sql(RANGED)}) f WHERE {valid_sql(RANGED)}" for e in ENUM_LENGTHS]))
-def b7_pattern_bank(spark, d):
-    """Per valid format of the ranged layout, one extraction regex per enumeration length in its range.
-
-    All lengths share the format's effective values (computed once as columns);
-    the regexes are built in one projection and exploded - one plan, one pass.
-    """
-    from promptspread.operators.instances import template_regex
-    f = add_valid(formats(spark, d, RANGED), RANGED).where("valid").select("format_id", "vals")
-    asts = [FM.render(RANGED, enumeration_length=e, output_text=False) for e in ENUM_LENGTHS]
-    x = FM.with_refs(f, asts, F.col("vals"), "__r_")
-    bank = F.array(*[F.struct(F.lit(e).alias("enum_len"),
-                              F.md5(template_regex(FM.to_column(a, F.col("vals"), "__r_"))).alias("regex_md5"))
-                     for e, a in zip(ENUM_LENGTHS, asts)])
-    return x.select("format_id", F.explode(bank).alias("b")).select("format_id", "b.enum_len", "b.regex_md5")
+        "task", "spread", F.concat(F.lit("Is the document of good "), F.col("task"), F.lit("?")).alias("definition"), "best_format_text", "worst_format_text")

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from promptspread.operators import augment as A
 from promptspread.operators import catalogue as CAT
-from promptspread.operators import formats as FM
+from promptspread.operators import format_space as S
 from promptspread.operators import prompts as P
+from promptspread.operators import splits as SP
 from promptspread.operators.scoring import output_classes
 from promptspread.plans import format_queries as FQ
 from promptspread.plans.registry import register
 from promptspread.sources import views as V
 from promptspread.sources.tables import table
 
-LAYOUT = FM.layout("one_field")
+LAYOUT = "task155"   # one text field
 N_FMT = 3          # formats per task
 N_SHOT = 2
 PERTURBED = (0, 40)  # D6's interval of evaluation rows: the perturbation study takes a slice
@@ -26,31 +27,27 @@ PCT = 0.1
 
 
 def q(s: str) -> str:
-    return FM._sql_str(s)
+    return S._q(s)
 
 
 # ---------------------------------------------------------------- task formats
 
-def task_formats(spark, d):
-    """Per task: its first N_FMT distinct valid formats of the single-field layout, drawn from its rows,
-    with the input template (answer hole dropped) and the demonstration template."""
-    inst = V.instances_base(spark, d).select("task", F.col("instance_id").alias("format_id"))
-    f = inst.select("task", "format_id", FM.sample_vals(LAYOUT, F.col("format_id"), "tf").alias("vals"))
-    f = FQ.add_valid(f, LAYOUT).where("valid")
-    first = f.groupBy("task", "vals").agg(F.min("format_id").alias("format_id"))
-    w = Window.partitionBy("task").orderBy("format_id")
-    tf = first.withColumn("f_ord", F.row_number().over(w)).where(F.col("f_ord") <= N_FMT)
-    for name, ast in (("tmpl_in", FM.render(LAYOUT, output_text=False)), ("tmpl_demo", FM.render(LAYOUT))):
-        tf = FM.with_refs(tf, [ast], F.col("vals"), f"__{name}_")
-        tf = FM.drop_refs(tf.withColumn(name, FM.to_column(ast, F.col("vals"), f"__{name}_")), f"__{name}_")
-    return tf.select("task", "format_id", "tmpl_in", "tmpl_demo")
+def task_formats(spark, d, quota=N_FMT):
+    """Per task: its first valid formats of the single-field layout, drawn without repetition, with the input template
+    (answer hole dropped) and the demonstration template."""
+    named = V.instances_base(spark, d).select(F.col("task").alias("name")).distinct().withColumn("template", F.lit(LAYOUT))
+    x = S.sampled(named, quota, "tf").withColumn("number", F.lit(S.NAMES.index(LAYOUT)))
+    x = S.evaluated(x)
+    return x.select(F.col("name").alias("task"), F.col("draw").alias("format_id"), S.rendered(F.col("cells"), output_hole=False).alias("tmpl_in"), S.rendered(F.col("cells")).alias("tmpl_demo"))
 
 
-TF_SQL = f"""fm0 AS (SELECT task, instance_id AS format_id, {FM.sample_vals_sql(LAYOUT, 'instance_id', 'tf')} AS vals FROM instances),
-fm1 AS (SELECT task, vals, min(format_id) AS format_id FROM fm0 WHERE {FQ.valid_sql(LAYOUT)} GROUP BY task, vals),
-fm2 AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY format_id) AS f_ord FROM fm1),
-tf AS (SELECT task, format_id, {FM.to_sql(FM.render(LAYOUT, output_text=False), 'vals')} AS tmpl_in,
-              {FM.to_sql(FM.render(LAYOUT), 'vals')} AS tmpl_demo FROM fm2 WHERE f_ord <= {N_FMT})"""
+TF_SQL = f"""tf AS (WITH {S.relations_sql(only=(LAYOUT,))},
+{S.draws_sql("SELECT task, template, mode, range AS format_id FROM (SELECT DISTINCT task FROM instances), lay, range(60)", "tf", "f.task")},
+{S.cells_sql('fs', 'task, template, format_id')},
+{S.text_sql('task, template, format_id', '(p.flag & 2) = 0', out='tin')}, {S.text_sql('task, template, format_id', out='tdemo')},
+ok AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY format_id) AS f_ord FROM fv WHERE valid)
+SELECT ok.task, CAST(ok.format_id AS BIGINT) AS format_id, tin.format_text AS tmpl_in, tdemo.format_text AS tmpl_demo
+FROM ok JOIN tin USING (task, format_id) JOIN tdemo USING (task, format_id) WHERE f_ord <= {N_FMT})"""
 
 
 def fill_sql(tmpl: str, fields: str) -> str:
@@ -226,10 +223,10 @@ def aug_sql(test_keys_sql: str | None) -> str:
     key = f"concat_ws('|', '{AUG_SEED}', CAST(conv_id AS VARCHAR), CAST(aug_id AS VARCHAR), CAST(draw AS VARCHAR))"
     dr = draw_sql(key)
     anti = f"WHERE fmt_key NOT IN (SELECT fmt_key FROM ({test_keys_sql}) tk)" if test_keys_sql else ""
-    return f"""ids AS (SELECT conv_id, a.aug_id, r.draw FROM conversation_pairs, range(0, {N_AUG}) a(aug_id), range(0, {A.DRAWS}) r(draw)),
+    return f"""ids AS (SELECT conv_id, a.aug_id, r.draw FROM conversation_pairs, range(0, {N_AUG}) a(aug_id), range(0, 16) r(draw)),
 cand AS (SELECT conv_id, aug_id, draw, {dr['first']} AS first, {dr['second']} AS second, {dr['separator']} AS separator,
                 {dr['space']} AS space, {dr['fn_name']} AS fn_name FROM ids),
-ck AS (SELECT *, concat_ws(chr(31), space, separator, fn_name) AS fmt_key FROM cand),
+ck AS (SELECT *, concat(space, separator, fn_name) AS fmt_key FROM cand),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, aug_id ORDER BY draw) AS rn FROM ck {anti}) z WHERE rn = 1),
 aug AS (SELECT b.conv_id, b.aug_id, b.draw, b.fmt_key, b.space, b.separator,
                concat('{P.INSTRUCTION_TAG}', b.first, b.separator, c.user_text, b.space, b.second, b.separator, '{P.RESPONSE_TAG}', c.assistant_text) AS text
@@ -252,27 +249,22 @@ SELECT strpos(separator, chr(10)) > 0 AS sep_has_newline, strpos(space, chr(10))
 def d9_newline_coupling(spark, d):
     """A newline separator always comes with a newline space (counts per combination)."""
     a = A.augment(V.conversation_pairs(spark, d), N_AUG, AUG_SEED, None)
-    sep, space = F.split("fmt_key", "\x1f")[1], F.split("fmt_key", "\x1f")[0]
-    return a.groupBy((F.instr(sep, "\n") > 0).alias("sep_has_newline"), (F.instr(space, "\n") > 0).alias("space_has_newline")) \
+    return a.groupBy((F.instr("separator", "\n") > 0).alias("sep_has_newline"), (F.instr("space", "\n") > 0).alias("space_has_newline")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-ONE_IDX = FM.transfer_index(FQ.REF, LAYOUT)
-
-
 def test_keys(spark, d):
-    """Essential keys (first space, separator, case fn) of the random split's test formats on this layout."""
-    s = FQ.split_formats(spark, d, "random")
-    types = FM.slot_types(LAYOUT)
-    v = lambda typ: FM.to_column(FM.pick(CAT.ACTION_TYPES[typ], ("slot", ONE_IDX[types.index(typ)])), F.col("vals"))
-    return s.select(A.format_key(v("chosen_space"), v("chosen_separator"), v("text_descriptor_fn")).alias("fmt_key"))
+    """Essential keys (space, separator, case fn) of the random split's test formats on the single-field layout."""
+    one = spark.createDataFrame([(f"{LAYOUT}_", LAYOUT)], "task string, template string")
+    tasks = FQ.task_layouts(spark, FQ.task_files(spark, d)).unionByName(one)
+    s = SP.build(tasks, ("random",), FQ.N_TEST, "split").where(F.col("task") == f"{LAYOUT}_")
+    return s.select(S.essential_key(F.col("codes")).alias("fmt_key"))
 
 
 def test_keys_sql() -> str:
-    types = FM.slot_types(LAYOUT)
-    v = lambda typ: FM.to_sql(FM.pick(CAT.ACTION_TYPES[typ], ("slot", ONE_IDX[types.index(typ)])), "s.vals")
-    return (f"SELECT concat_ws(chr(31), {v('chosen_space')}, {v('chosen_separator')}, {v('text_descriptor_fn')}) AS fmt_key "
-            f"FROM {FQ._split_sql('random')} s")
+    body = SP.build_sql(("random",), FQ.N_TEST, "split", f"{S.relations_sql()}, {FQ.TASKS_SQL}").replace("tl AS (", f"tl AS (SELECT '{LAYOUT}_' AS task, '{LAYOUT}' AS template UNION ALL ", 1)
+    # slots of the layout in order: space, case function, separator
+    return f"""{body} SELECT concat(string_split(vals, chr(31))[1], string_split(vals, chr(31))[3], string_split(vals, chr(31))[2]) AS fmt_key FROM split WHERE task = '{LAYOUT}_'"""
 
 
 @register("d10_leakage_guard", views=("conversation_pairs",), sql=f"""
