@@ -46,11 +46,6 @@ def template_regex(template: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(quoted, f"({FIELD_CLASS}+)"), F.lit("$"))
 
 
-def line_template(n_fields: int) -> str:
-    """The template of ``n_fields`` holes one per line (enumeration length ``n_fields``)."""
-    return "\n".join([HOLE] * n_fields)
-
-
 def regex_literal(template: str) -> str:
     """Python-side twin of ``template_regex`` for literal templates known at plan time."""
     parts = template.split(HOLE)
@@ -58,38 +53,6 @@ def regex_literal(template: str) -> str:
     return "^" + f"({FIELD_CLASS}+)".join(quoted) + "$"
 
 
-def extract_fields(df: DataFrame, text_col: str, lengths: list[int]) -> DataFrame:
-    """Try templates from the longest enumeration down; first match wins; no match -> dropped.
-
-    A linear whole-class test runs first, so the multi-group regexes only see
-    texts they can match (no catastrophic backtracking on long texts).
-    """
-    txt = F.col(text_col)
-    ok = txt.rlike(f"^{FIELD_CLASS}+$")
-    enum_len = F.lit(None).cast("int")
-    for n in sorted(lengths):
-        enum_len = F.when(txt.rlike(regex_literal(line_template(n))), F.lit(n)).otherwise(enum_len)
-    x = df.where(ok).withColumn("enum_len", enum_len).where(F.col("enum_len").isNotNull())
-    fields = F.lit(None).cast("array<string>")
-    for n in sorted(lengths):
-        pat = regex_literal(line_template(n))
-        arr = F.array(*[F.regexp_extract(txt, pat, i) for i in range(1, n + 1)])
-        fields = F.when(F.col("enum_len") == n, arr).otherwise(fields)
-    return x.withColumn("fields", fields)
-
-
-def rejected(df: DataFrame, text_col: str, lengths: list[int]) -> DataFrame:
-    """Rows no template parses, with their out-of-class characters (sorted, distinct)."""
-    txt = F.col(text_col)
-    parsed = F.lit(False)
-    for n in lengths:
-        parsed = parsed | txt.rlike(regex_literal(line_template(n)))
-    residue = F.regexp_replace(txt, FIELD_CLASS, "")
-    bad = F.array_sort(F.array_distinct(F.split(residue, "")))
-    bad = F.filter(bad, lambda c: c != "")
-    return df.where(~(txt.rlike(f"^{FIELD_CLASS}+$") & parsed)).withColumn("bad_chars", bad)
-
-
 def first_n_per_group(df: DataFrame, group: list[str], order: list[str], n: int, out: str = "rn") -> DataFrame:
     """The first ``n`` rows per group in ``order`` (window group limit, map-side partial)."""
     w = Window.partitionBy(*group).orderBy(*order)

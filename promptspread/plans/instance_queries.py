@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from promptspread.functions.ranking import seeded_key
+from promptspread.operators import extraction as EX
+from promptspread.operators import format_space as S
 from promptspread.operators import instances as I
-from promptspread.operators import scoring as S
+from promptspread.operators import layouts as L
+from promptspread.operators import prompts as P
+from promptspread.operators import scoring as SC
+from promptspread.plans import format_queries as FQ
 from promptspread.plans.registry import register
 from promptspread.sources import views as V
 from promptspread.sources.tables import table
 
 SHUFFLE_SEED = 11
-LENGTHS = [1, 2, 3]   # enumeration lengths of the line templates
 N_SHOT = 2
-NUM_SAMPLES = 50
+NUM_SAMPLES = 1000    # evaluation rows of a task at most, the reference's default
 TRAIN_START = 0
 TRAIN_SIZE = 1000
 OPTION_SEED = 3
@@ -26,24 +31,52 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def regex_sql(n: int) -> str:
-    return q(I.regex_literal(I.line_template(n)))
+# ------------------------------------------------- stand-in instances of task layouts
 
+FIELD_WORDS = 3
 
-FULL_CLASS_SQL = q(f"^{I.FIELD_CLASS}+$")
 
+def layout_instances(spark, d):
+    """Stand-in instances (task, template, number, instance_id, input, answer): each document written in its task's own
+    layout, one field holding the whole text, the others a few of its words; some written without a space after colons."""
+    docs = table(spark, d, "documents")
+    tasks = FQ.task_layouts(spark, FQ.task_files(spark, d)).withColumnRenamed("task", "file")
+    named = docs.withColumn("key", F.concat_ws("_", "source", "lang")).join(
+        F.broadcast(tasks.select("file", "template", F.regexp_replace("file", "^task[0-9]+_", "").alias("key"))), "key")   # one row per source and language
+    x = named.select(F.col("file").alias("task"), "template", S.layout_number(F.col("template")).alias("number"), F.col("doc_id").alias("instance_id"), F.col("text"), F.col("lang").alias("answer"))
+    bank = EX.bank()
+    t = S.Table("length place", [[(n, sum(map(len, bank[:i])) + j) for j, (n, _) in enumerate(part)] for i, part in enumerate(bank)])
+    template = F.get(S.strings([text for part in bank for _, text in part]), t.place(t.row((F.col("instance_id") % t.size()).cast("int"))))
+    x = x.withColumn("words", F.split("text", " ")).withColumn("tmpl", template).withColumn("holes", F.size(F.split("tmpl", "\\{\\}", -1)) - 1)
+    piece = lambda j: F.array_join(F.slice("words", (j * FIELD_WORDS % F.size("words") + 1).cast("int"), FIELD_WORDS), " ")
+    fields = F.transform(F.sequence(F.lit(0), F.col("holes") - 1), lambda j: F.when(j == F.col("instance_id") % F.col("holes"), F.col("text")).otherwise(piece(j)))
+    x = x.withColumn("input", P.fill_template(F.col("tmpl"), fields))
+    broken = F.when(F.col("instance_id") % 7 == 3, F.replace("input", F.lit(": "), F.lit(":"))).otherwise(F.col("input"))
+    return x.select("task", "template", "number", "instance_id", broken.alias("input"), "answer")
 
-def enum_len_sql(col: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({col}, {regex_sql(n)}) THEN {n}" for n in sorted(LENGTHS, reverse=True))
-    return f"CASE WHEN NOT regexp_matches({col}, {FULL_CLASS_SQL}) THEN NULL {whens} END"
 
+def ordered_instances(spark, d):
+    """The same with their place in each task's seeded permutation."""
+    x = layout_instances(spark, d)
+    ranked = I.seeded_shuffle(x.select("task", "instance_id"), ["task"], "instance_id", SHUFFLE_SEED)
+    return x.join(ranked, ["task", "instance_id"])
 
-def fields_sql(col: str, n_col: str) -> str:
-    arms = []
-    for n in sorted(LENGTHS):
-        parts = ", ".join(f"regexp_extract({col}, {regex_sql(n)}, {i})" for i in range(1, n + 1))
-        arms.append(f"WHEN {n_col} = {n} THEN [{parts}]")
-    return "CASE " + " ".join(arms) + " END"
+
+def fill_sql(tmpl: str, fields: str) -> str:
+    pieces = f"string_split({tmpl}, '{{}}')"
+    return f"({pieces}[1] || array_to_string(list_transform(range(1, len({pieces})), lambda i: coalesce(({fields})[i], '') || {pieces}[i + 1]), ''))"
+
+
+LAYOUT_SQL = f"""WITH {S.relations_sql()}, {FQ.TASKS_SQL}, {EX.bank_sql()},
+bk AS (SELECT *, row_number() OVER (PARTITION BY template ORDER BY enum_len DESC) - 1 AS nth, count(*) OVER (PARTITION BY template) AS n_templates FROM bank),
+li0 AS (SELECT tl.task, tl.template, d.doc_id AS instance_id, d.text, d.lang AS answer, b.text AS tmpl, string_split(d.text, ' ') AS words, len(string_split(b.text, '{{}}')) - 1 AS holes
+  FROM documents d JOIN tl ON regexp_replace(tl.task, '^task[0-9]+_', '') = concat_ws('_', d.source, d.lang) JOIN bk b ON b.template = tl.template AND b.nth = d.doc_id % b.n_templates),
+li1 AS (SELECT *, {fill_sql('tmpl', f"list_transform(range(0, holes), lambda j: CASE WHEN j = instance_id % holes THEN text ELSE array_to_string(list_slice(words, j * {FIELD_WORDS} % len(words) + 1, j * {FIELD_WORDS} % len(words) + {FIELD_WORDS}), ' ') END)")} AS filled FROM li0),
+li AS (SELECT task, template, instance_id, answer, CASE WHEN instance_id % 7 = 3 THEN replace(filled, ': ', ':') ELSE filled END AS input,
+  row_number() OVER (PARTITION BY task ORDER BY md5(concat_ws('|', '{SHUFFLE_SEED}', CAST(instance_id AS VARCHAR)))) - 1 AS ord FROM li1),
+rx AS (SELECT template, enum_len, len(string_split(text, '{{}}')) - 1 AS holes, '^' || array_to_string(list_transform(string_split(text, '{{}}'), lambda p: CASE WHEN p = '' THEN p ELSE '\\Q' || p || '\\E' END), {q('(' + I.FIELD_CLASS + '+)')}) || '$' AS regex FROM bank),
+hit AS (SELECT li.*, rx.enum_len, rx.regex, rx.holes, row_number() OVER (PARTITION BY task, instance_id ORDER BY enum_len DESC) AS best FROM li JOIN rx USING (template) WHERE regexp_matches(input, regex)),
+px AS (SELECT * FROM hit WHERE best = 1)"""
 
 
 @register("b1_seeded_shuffle", views=("instances",), sql=f"""
@@ -73,58 +106,61 @@ def b2_demo_eval_split(spark, d):
     return inst.select("task", "instance_id", "ord", I.demo_eval_split(F.col("ord")).alias("split"))
 
 
-@register("b3_nshot_demos", views=("instances",), sql=f"""
-WITH p AS (SELECT task, instance_id, ord, {enum_len_sql('input')} AS enum_len FROM instances WHERE ord < 10),
-k AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ord) AS rn FROM p WHERE enum_len IS NOT NULL)
-SELECT k.task, k.instance_id, k.ord, k.enum_len,
-       count(*) OVER (PARTITION BY k.task) = {N_SHOT} AS enough
-FROM k WHERE rn <= {N_SHOT}""")
+@register("b3_nshot_demos", sql=f"""{LAYOUT_SQL},
+k AS (SELECT task, instance_id, ord, enum_len, row_number() OVER (PARTITION BY task ORDER BY ord) AS rn FROM px WHERE ord < {I.N_DEMOS})
+SELECT task, instance_id, CAST(ord AS BIGINT) AS ord, CAST(enum_len AS INT) AS enum_len, count(*) OVER (PARTITION BY task) = {N_SHOT} AS enough FROM k WHERE rn <= {N_SHOT}""")
 def b3_nshot_demos(spark, d):
     """First n_shot parseable demonstrations per task; ``enough`` flags tasks that fall short."""
-    demos = V.instances(spark, d).where(F.col("ord") < I.N_DEMOS)
-    parsed = I.extract_fields(demos, "input", LENGTHS)
-    k = I.first_n_per_group(parsed, ["task"], ["ord"], N_SHOT)
-    from pyspark.sql import Window
-    return k.select("task", "instance_id", "ord", "enum_len",
-                    (F.count(F.lit(1)).over(Window.partitionBy("task")) == N_SHOT).alias("enough"))
+    demos = EX.extracted(ordered_instances(spark, d).where(F.col("ord") < I.N_DEMOS))
+    k = I.first_n_per_group(demos, ["task"], ["ord"], N_SHOT)
+    return k.select("task", "instance_id", "ord", "enum_len", (F.count("*").over(Window.partitionBy("task")) == N_SHOT).alias("enough"))
 
 
-@register("b4_template_regex", views=("instances",), sql=f"""
-SELECT DISTINCT task, CAST(e.n AS INT) AS enum_len,
-       {' '.join(['CASE'] + [f'WHEN e.n = {n} THEN {regex_sql(n)}' for n in LENGTHS] + ['END'])} AS regex
-FROM instances, (SELECT unnest(range({min(LENGTHS)}, {max(LENGTHS) + 1})) AS n) e""")
+@register("b4_template_regex", sql=f"""{LAYOUT_SQL}
+SELECT tl.task, tl.template, CAST(rx.enum_len AS INT) AS enum_len, rx.regex FROM tl JOIN rx USING (template)""")
 def b4_template_regex(spark, d):
-    """Per task, the regex bank over the enumeration-length range (escaped literals, hole class)."""
-    tasks = V.instances_base(spark, d).select("task").distinct()
-    bank = tasks.select("task", F.explode(F.sequence(F.lit(min(LENGTHS)), F.lit(max(LENGTHS)))).alias("enum_len"))
-    tmpl = F.array_join(F.array_repeat(F.lit(I.HOLE), F.col("enum_len")), "\n")
-    return bank.select("task", F.col("enum_len").cast("int"), I.template_regex(tmpl).alias("regex"))
-
-
-@register("b5_extract_fields", views=("instances",), sql=f"""
-WITH p AS (SELECT task, instance_id, ord, input, {enum_len_sql('input')} AS enum_len FROM instances),
-f AS (SELECT task, instance_id, ord, enum_len, {fields_sql('input', 'enum_len')} AS fields FROM p WHERE enum_len IS NOT NULL)
-SELECT task, instance_id, ord, CAST(enum_len AS INT) AS enum_len, md5(array_to_string(fields, chr(31))) AS fields_md5,
-       CAST(length(fields[1]) AS INT) AS first_len, CAST(length(fields[len(fields)]) AS INT) AS last_len
-FROM f""")
+    """Every task's extraction regexes: escaped literals, holes as the field class, anchored; one per enumeration length."""
+    rows = [(name, n, text) for name, part in zip(S.NAMES, EX.bank()) for n, text in part]
+    bank = F.broadcast(spark.createDataFrame(rows, "template string, enum_len int, text string"))   # the layouts' own templates
+    return FQ.task_layouts(spark, FQ.task_files(spark, d)).join(bank, "template").select("task", "template", "enum_len", I.template_regex(F.col("text")).alias("regex"))
+
+
+@register("b5_extract_fields", sql=f"""{LAYOUT_SQL},
+f AS (SELECT *, list_transform(range(1, holes + 1), lambda i: regexp_extract_all(input, regex, CAST(i AS INTEGER))[1]) AS fields FROM px)
+SELECT task, instance_id, CAST(enum_len AS INT) AS enum_len, CAST(holes AS INT) AS n_fields, md5(array_to_string(fields, chr(31))) AS fields_md5,
+       CAST(length(fields[1]) AS INT) AS first_len, CAST(length(fields[len(fields)]) AS INT) AS last_len FROM f""")
 def b5_extract_fields(spark, d):
-    """Longest-first template extraction of every instance; unparsable rows dropped."""
-    x = I.extract_fields(V.instances(spark, d), "input", LENGTHS)
-    return x.select("task", "instance_id", "ord", F.col("enum_len").cast("int"),
-                    F.md5(F.array_join("fields", "\x1f")).alias("fields_md5"),
-                    F.length(F.col("fields")[0]).alias("first_len"),
-                    F.length(F.element_at("fields", -1)).alias("last_len"))
+    """Every instance's fields by its task's longest template that fits; rows that none fits are dropped."""
+    x = EX.extracted(layout_instances(spark, d))
+    return x.select("task", "instance_id", "enum_len", F.size("fields").alias("n_fields"), F.md5(F.array_join("fields", "\x1f")).alias("fields_md5"),
+                    F.length(F.col("fields")[0]).alias("first_len"), F.length(F.element_at("fields", -1)).alias("last_len"))
 
 
-@register("b6_reject_audit", views=("instances",), sql=f"""
-WITH p AS (SELECT task, instance_id, input, {enum_len_sql('input')} AS enum_len FROM instances)
-SELECT task, instance_id,
-       array_to_string(list_sort(list_filter(list_distinct(string_split(regexp_replace(input, {q(I.FIELD_CLASS)}, '', 'g'), '')), lambda c: c <> '')), '') AS bad_chars
-FROM p WHERE enum_len IS NULL""")
+@register("b6_reject_audit", sql=f"""{LAYOUT_SQL}
+SELECT task, instance_id, array_to_string(list_sort(list_filter(list_distinct(string_split(regexp_replace(input, {q(I.FIELD_CLASS)}, '', 'g'), '')), lambda c: c <> '')), '') AS bad_chars
+FROM li WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.instance_id = li.instance_id AND px.task = li.task)""")
 def b6_reject_audit(spark, d):
-    """Rows no template parses, with their out-of-class characters."""
-    r = I.rejected(V.instances_base(spark, d), "input", LENGTHS)
-    return r.select("task", "instance_id", F.array_join("bad_chars", "").alias("bad_chars"))
+    """Instances that no template of their task fits, with their out-of-class characters."""
+    return EX.rejected(layout_instances(spark, d)).select("task", "instance_id", "bad_chars")
+
+
+RANGED = [n for n, r in L.RELATIONS.items() if r.layout.lengths]
+
+
+@register("b7_pattern_bank", sql=f"""{FQ.CELLS},
+en AS (SELECT template, unnest(range(shortest, longest + 1)) AS enum_len FROM lay WHERE longest > 0),
+tx AS (SELECT v.template, v.format_id, e.enum_len, string_agg(h.text, '' ORDER BY p.pos) AS text FROM fv v JOIN en e ON e.template = v.template
+  JOIN parts p ON p.template = v.template AND p.flag % 2 = 0 AND p.item <= e.enum_len LEFT JOIN fc c ON c.template = v.template AND c.format_id = v.format_id AND c.cell = p.cell
+  LEFT JOIN choices h ON h.list = p.list AND h.code = coalesce(c.code, 0) WHERE v.valid GROUP BY v.template, v.format_id, e.enum_len HAVING count(*) = count(h.text))
+SELECT template, format_id, CAST(enum_len AS INT) AS enum_len, md5('^' || array_to_string(list_transform(string_split(text, '{{}}'), lambda p: CASE WHEN p = '' THEN p
+  ELSE '\\Q' || p || '\\E' END), {q('(' + I.FIELD_CLASS + '+)')}) || '$') AS regex_md5 FROM tx""")
+def b7_pattern_bank(spark, d):
+    """Per valid format of the layouts with an enumeration range, one extraction regex per length in it."""
+    x = S.evaluated(FQ.formats(spark, d).where(F.col("template").isin(RANGED)), True)
+    low, high = (S.of_layout([(r.layout.lengths or (1, 1))[i] for r in L.RELATIONS.values()]) for i in (0, 1))
+    x = x.select("template", "format_id", "number", "cells", F.explode(F.sequence(low, high)).alias("enum_len"))
+    x = S.with_text(x, "text", length=F.col("enum_len"), output=False)
+    return x.select("template", "format_id", "enum_len", F.md5(I.template_regex(F.col("text"))).alias("regex_md5"))
 
 
 @register("b8_single_field", views=("instances",), sql="""
@@ -138,15 +174,13 @@ def b8_single_field(spark, d):
                        F.lit(1).alias("n_fields"), I.demo_eval_split(F.col("ord")).alias("split"))
 
 
-@register("b9_eval_cap", views=("instances",), sql=f"""
-WITH p AS (SELECT task, instance_id, ord, {enum_len_sql('input')} AS enum_len FROM instances WHERE ord >= 10),
-k AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ord) AS rn FROM p WHERE enum_len IS NOT NULL)
-SELECT task, instance_id, ord FROM k WHERE rn <= {NUM_SAMPLES}""")
+@register("b9_eval_cap", sql=f"""{LAYOUT_SQL},
+k AS (SELECT task, instance_id, ord, row_number() OVER (PARTITION BY task ORDER BY ord) AS rn FROM px WHERE ord >= {I.N_DEMOS})
+SELECT task, instance_id, CAST(ord AS BIGINT) AS ord FROM k WHERE rn <= {NUM_SAMPLES}""")
 def b9_eval_cap(spark, d):
     """Cap on evaluation rows counted over *parsed* rows (num_samples)."""
-    ev = V.instances(spark, d).where(F.col("ord") >= I.N_DEMOS)
-    parsed = I.extract_fields(ev, "input", LENGTHS)
-    return I.first_n_per_group(parsed, ["task"], ["ord"], NUM_SAMPLES).select("task", "instance_id", "ord")
+    ev = EX.extracted(ordered_instances(spark, d).where(F.col("ord") >= I.N_DEMOS))
+    return I.first_n_per_group(ev, ["task"], ["ord"], NUM_SAMPLES).select("task", "instance_id", "ord")
 
 
 @register("b10_training_slice", views=("instances",), sql=f"""
@@ -232,7 +266,7 @@ SELECT task, array_to_string(list_sort(list(DISTINCT answer)), ',') AS classes,
 FROM instances GROUP BY task""")
 def b14_output_classes(spark, d):
     """Output classes = sorted distinct answers per task, with the <10 / <100 / >1 guards."""
-    c = S.output_classes(V.instances_base(spark, d), ["task"])
+    c = SC.output_classes(V.instances_base(spark, d), ["task"])
     n = F.col("n_classes")
     return c.select("task", F.array_join("classes", ",").alias("classes"), n.alias("n_classes"),
                     (n < 10).alias("under_10"), (n < 100).alias("under_100"), (n > 1).alias("over_1"))

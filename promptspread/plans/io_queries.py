@@ -7,18 +7,27 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptspread.operators import format_space as S
+from promptspread.operators import instances as I
 from promptspread.operators import metrics as M
 from promptspread.operators import prompts as P
+from promptspread.plans import format_queries as FQ
+from promptspread.plans import instance_queries as IQ
 from promptspread.plans import prompt_queries as PQ
-from promptspread.plans.metrics_queries import KEYS
+from promptspread.plans.metrics_queries import KEYS, TASK_RECORD_SQL
 from promptspread.plans.registry import register
 from promptspread.session import shared_path
 from promptspread.sources import files as IO
+from promptspread.sources import results as R
 from promptspread.sources import views as V
 from promptspread.sources.tables import table
 
 MODEL = "model-under-test"
 TEMPERATURE = 0.0
+# Fixed values (must equal the reference): defaults of a batch request.
+MAX_TOKENS = 4
+TOP_LOGPROBS = 5
+REQUEST_SEED = 24
 EXPECTED_FORMATS = 12
 
 
@@ -35,42 +44,54 @@ def a6_jsonl_roundtrip(spark, d):
     return IO.read_jsonl(spark, path, "task string, instance_id bigint, answer string")
 
 
-@register("a7_split_files", views=("instances",), sql="""
-SELECT task, CASE WHEN ord < 10 THEN 'demo' ELSE 'eval' END AS split, CAST(count(*) AS BIGINT) AS n
-FROM instances GROUP BY ALL""")
+@register("a7_split_files", views=("instances",), sql=f"""{FQ.SPLIT_SQL},
+ord AS (SELECT DISTINCT tl.task, d.doc_id AS instance_id, row_number() OVER (PARTITION BY tl.task ORDER BY md5(concat_ws('|', '31', CAST(d.doc_id AS VARCHAR)))) - 1 AS ord
+  FROM tl JOIN documents d ON regexp_replace(tl.task, '^task[0-9]+_', '') = concat_ws('_', d.source, d.lang))
+SELECT mode, task, 'test' AS kind, CAST(ord - 1 AS BIGINT) AS ord, vals AS names, kinds AS action_types, CAST(NULL AS BIGINT) AS instance_id FROM split
+UNION ALL SELECT m.mode, ord.task, 'id', CAST(ord.ord AS BIGINT), NULL, NULL, ord.instance_id FROM ord, (SELECT DISTINCT mode FROM split) m""")
 def a7_split_files(spark, d):
-    """Split tables written partitioned by (split, task) and read back with partition discovery."""
+    """The split documents of all modes (test formats, action types, order of the instances), written and read back."""
     path = _dir(spark, "splits")
-    inst = V.instances(spark, d).select("task", "instance_id", "ord",
-                                        F.when(F.col("ord") < 10, "demo").otherwise("eval").alias("split"))
-    IO.write_partitioned(inst, path, ["split", "task"])
-    back = spark.read.parquet(path)
-    return back.groupBy("task", "split").agg(F.count(F.lit(1)).alias("n"))
+    formats = FQ.split(spark, d).select("mode", "task", "ord", S.names(F.col("codes")).alias("names"), S.slot_kinds().alias("kinds"))
+    inst = IQ.layout_instances(spark, d).select("task", "instance_id")
+    R.write_splits(formats, I.seeded_shuffle(inst, ["task"], "instance_id", 31), path)
+    back = R.read_splits(spark, path)
+    return back.select("mode", "task", "kind", "ord", F.array_join("names", "\x1f").alias("names"), F.array_join("action_types", ",").alias("action_types"), "instance_id")
+
+
+EXPERIMENT = "model-under-test---2-shot"
+
+
+def result_logs(spark, d):
+    """Stand-in prediction logs: the predictions view, its formats under texts of one layout."""
+    ids = V.predictions(spark, d).select("format_id").distinct().withColumn("number", F.lit(S.NAMES.index(FQ.F36_LAYOUT)))
+    text = S.evaluated(S.drawn(ids, "results")).select("format_id", S.rendered(F.col("cells")).alias("format_text"))
+    return V.predictions(spark, d).join(F.broadcast(text), "format_id").withColumn("experiment", F.lit(EXPERIMENT))   # ten formats
 
 
 @register("a8_result_sink", views=("predictions",), sql="""
-SELECT task, format_id, CAST(count(*) AS BIGINT) AS n,
-       round(CAST(sum(CASE WHEN generation = answer THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS accuracy
-FROM predictions GROUP BY task, format_id""")
+SELECT p.task, p.format_id, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN generation = answer THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg(CASE WHEN generation <> answer AND c.class IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS wrong
+FROM predictions p LEFT JOIN (SELECT DISTINCT task, answer AS class FROM predictions) c ON c.task = p.task AND c.class = p.generation GROUP BY p.task, p.format_id""")
 def a8_result_sink(spark, d):
-    """Per-format accuracies written as Parquet partitioned by task (dynamic overwrite), read back."""
+    """Result documents (generation order, accuracies, prediction logs) written, one task's parts written again, accuracies read back."""
     path = _dir(spark, "results")
-    fm = M.plain_accuracy(V.predictions(spark, d), KEYS).select("task", "format_id", "n", "accuracy")
-    IO.write_partitioned(fm, path, ["task"])
-    IO.write_partitioned(fm.where(F.col("task") == "toxic"), path, ["task"])   # re-run of one partition only
-    return spark.read.parquet(path).select("task", "format_id", "n", "accuracy")
+    logs = result_logs(spark, d)
+    R.write_results(logs, path)
+    again = logs.agg(F.max("task")).scalar()
+    R.write_results(logs.where(F.col("task") == again), path)   # a re-run replaces its own documents only
+    acc = R.accuracies(R.scan(spark, path, r"\.json$"))
+    return acc.select("task", "format_id", "n", F.col("right").alias("accuracy"), "wrong")
 
 
-@register("a9_result_scan", views=("predictions",), sql="""
-SELECT task, CAST(count(*) AS BIGINT) AS n_formats FROM (SELECT DISTINCT task, format_id FROM predictions) t GROUP BY task""")
+@register("a9_result_scan", views=("predictions",), sql=TASK_RECORD_SQL)
 def a9_result_scan(spark, d):
-    """Scan result files by name pattern across experiment sub-folders (recursive lookup + glob)."""
+    """Result documents found by name pattern in all experiment folders, and the task records of the logs in them."""
     root = _dir(spark, "experiments")
-    fm = M.plain_accuracy(V.predictions(spark, d), KEYS)
-    for task in ("quality", "toxic"):
-        fm.where(F.col("task") == task).write.mode("overwrite").parquet(f"{root}/exp-{task}/metadataholistic_{task}")
-    scanned = IO.scan_results(spark, root, "part-*.parquet")
-    return scanned.groupBy("task").agg(F.count_distinct("format_id").alias("n_formats"))
+    R.write_results(result_logs(spark, d), root)
+    logged = R.predictions(R.scan(spark, root, r"^metadataholistic_.*\.json$"))
+    typed = logged.select("task", "format_id", "instance_id", F.col("answer").cast("int").alias("answer"), F.col("generation").cast("int").alias("generation"))
+    return M.task_record(M.format_metrics(typed, KEYS), ["task"])
 
 
 TR_SCHEMA = "model string, method string, setting string, task string, n bigint, median_accuracy double, spread_accuracy double"
@@ -88,34 +109,43 @@ def a10_csv_roundtrip(spark, d):
 
 @register("a11_directory_fingerprint", views=("predictions",))
 def a11_directory_fingerprint(spark, d):
-    """Content fingerprint of a result folder, from one digest per file."""
+    """Content fingerprint of a result folder: the digest of its files' digests in path order."""
     path = _dir(spark, "fp")
-    M.plain_accuracy(V.predictions(spark, d), KEYS).write.mode("overwrite").parquet(path)
-    return IO.fingerprint(spark, path, "*.parquet")
+    R.write_results(result_logs(spark, d), path)
+    return IO.fingerprint(spark, path, "*.txt")
+
+
+UNIT = ["task", "format_id"]
+UNIT_MD5 = "md5(concat_ws(chr(31), CAST(answer AS VARCHAR), CAST(generation AS VARCHAR), CAST(instance_id AS VARCHAR)))"
 
 
 @register("a12_resume_status", views=("predictions",), sql=f"""
-WITH done AS (SELECT * FROM predictions UNION ALL SELECT * FROM predictions WHERE format_id = 9),
-cnt AS (SELECT task, format_id, count(*) AS n FROM done GROUP BY task, format_id),
+WITH units AS (
+  SELECT task, format_id, answer, CASE WHEN format_id = 3 THEN answer ELSE generation END AS generation, instance_id FROM predictions WHERE format_id <> 5 AND NOT (format_id = 6 AND instance_id % 2 = 0)
+  UNION ALL SELECT task, format_id, answer, generation, instance_id FROM predictions WHERE format_id = 9),
+now AS (SELECT task, format_id, count(*) AS n, concat_ws('-', CAST(sum(CAST('0x' || substr({UNIT_MD5}, 1, 12) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr({UNIT_MD5}, 13, 12) AS BIGINT)) AS VARCHAR)) AS digest
+  FROM units GROUP BY task, format_id),
+man AS (SELECT task, format_id, concat_ws('-', CAST(sum(CAST('0x' || substr({UNIT_MD5}, 1, 12) AS BIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr({UNIT_MD5}, 13, 12) AS BIGINT)) AS VARCHAR)) AS digest
+  FROM predictions WHERE format_id <> 8 GROUP BY task, format_id),
 planned AS (SELECT t.task, CAST(f.format_id AS BIGINT) AS format_id, e.expected
-            FROM (SELECT DISTINCT task FROM predictions) t, range(0, {EXPECTED_FORMATS}) f(format_id),
-                 (SELECT CAST(count(*) AS BIGINT) AS expected FROM labels) e)
-SELECT p.task, p.format_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_done, p.expected,
-       CASE WHEN c.n IS NULL THEN 'todo' WHEN c.n = p.expected THEN 'done' WHEN c.n < p.expected THEN 'resume' ELSE 'error' END AS status
-FROM planned p LEFT JOIN cnt c USING (task, format_id)""")
+            FROM (SELECT DISTINCT task FROM predictions) t, range(0, {EXPECTED_FORMATS}) f(format_id), (SELECT CAST(count(*) AS BIGINT) AS expected FROM labels) e)
+SELECT p.task, p.format_id, p.expected, CAST(coalesce(now.n, 0) AS BIGINT) AS n,
+       CASE WHEN now.n IS NULL THEN 'todo' WHEN now.n > p.expected THEN 'error' WHEN now.n < p.expected OR man.digest IS NULL THEN 'resume'
+            WHEN man.digest <> now.digest THEN 'redo' ELSE 'done' END AS status
+FROM planned p LEFT JOIN now ON now.task = p.task AND now.format_id = p.format_id LEFT JOIN man ON man.task = p.task AND man.format_id = p.format_id""")
 def a12_resume_status(spark, d):
-    """Planned (task, format) runs vs the done log: done / resume / error / todo (no rerun of done work)."""
+    """Planned (task, format) units against their results and the manifest: done, resume, redo after a change, error, todo."""
+    path = _dir(spark, "manifest")
     preds = V.predictions(spark, d)
-    done = preds.unionByName(preds.where(F.col("format_id") == 9))      # format 9 was logged twice
-    cnt = done.groupBy("task", "format_id").agg(F.count(F.lit(1)).alias("n"))
+    R.commit(spark, preds.where(F.col("format_id") != 8), UNIT, path)
+    manifest = spark.read.parquet(f"{path}/manifest")
+    # what happened since: 3 changed, 5 lost, 6 half lost, 8 written without a record, 9 written twice
+    later = preds.where((F.col("format_id") != 5) & ~((F.col("format_id") == 6) & (F.col("instance_id") % 2 == 0)))
+    later = later.withColumn("generation", F.when(F.col("format_id") == 3, F.col("answer")).otherwise(F.col("generation"))).unionByName(preds.where(F.col("format_id") == 9))
     expected = table(spark, d, "labels").agg(F.count(F.lit(1))).scalar()   # scalar subquery
-    planned = (preds.select("task").distinct()
-               .select("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(EXPECTED_FORMATS - 1).cast("bigint"))).alias("format_id"))
+    planned = (preds.select("task").distinct().select("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(EXPECTED_FORMATS - 1).cast("bigint"))).alias("format_id"))
                .withColumn("expected", expected))
-    j = planned.join(cnt, ["task", "format_id"], "left")
-    status = (F.when(F.col("n").isNull(), "todo").when(F.col("n") == F.col("expected"), "done")
-              .when(F.col("n") < F.col("expected"), "resume").otherwise("error"))
-    return j.select("task", "format_id", F.coalesce("n", F.lit(0)).alias("n_done"), "expected", status.alias("status"))
+    return R.status(planned, later, manifest, UNIT)
 
 
 @register("a13_emit_prompts", views=("instances",), sql=f"""
@@ -136,13 +166,16 @@ MSG = T.StructType([T.StructField("role", T.StringType()), T.StructField("conten
 REQUEST = T.StructType([
     T.StructField("custom_id", T.StringType()), T.StructField("method", T.StringType()), T.StructField("url", T.StringType()),
     T.StructField("body", T.StructType([T.StructField("model", T.StringType()), T.StructField("temperature", T.DoubleType()),
+                                        T.StructField("max_tokens", T.IntegerType()), T.StructField("logprobs", T.BooleanType()),
+                                        T.StructField("top_logprobs", T.IntegerType()), T.StructField("seed", T.IntegerType()),
                                         T.StructField("messages", T.ArrayType(MSG))]))])
 
 
 def requests(spark, d):
     p = PQ.prompts(spark, d)
     cid = F.concat_ws("-", F.col("task"), F.col("format_id").cast("string"), F.col("instance_id").cast("string"))
-    body = F.struct(F.lit(MODEL).alias("model"), F.lit(TEMPERATURE).alias("temperature"),
+    body = F.struct(F.lit(MODEL).alias("model"), F.lit(TEMPERATURE).alias("temperature"), F.lit(MAX_TOKENS).alias("max_tokens"),
+                    F.lit(True).alias("logprobs"), F.lit(TOP_LOGPROBS).alias("top_logprobs"), F.lit(REQUEST_SEED).alias("seed"),
                     P.to_messages(F.col("prompt")).alias("messages"))
     req = F.struct(cid.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),
                    body.alias("body"))
@@ -152,14 +185,17 @@ def requests(spark, d):
 @register("a14_api_requests", views=("instances",), sql=f"""
 WITH {PQ.PROMPTS_SQL},
 parts AS (SELECT *, string_split(prompt, chr(10) || chr(10)) AS ps FROM prompts)
-SELECT concat_ws('-', task, CAST(format_id AS VARCHAR), CAST(instance_id AS VARCHAR)) AS custom_id, '{MODEL}' AS model,
-       CAST(2 AS INT) AS n_messages, md5(ps[1] || {PQ.q(P.SYSTEM_SUFFIX)}) AS system_md5
+SELECT concat_ws('-', task, CAST(format_id AS VARCHAR), CAST(instance_id AS VARCHAR)) AS custom_id, 'POST' AS method, '/v1/chat/completions' AS url, '{MODEL}' AS model,
+       CAST({TEMPERATURE} AS DOUBLE) AS temperature, CAST({MAX_TOKENS} AS INT) AS max_tokens, TRUE AS logprobs, CAST({TOP_LOGPROBS} AS INT) AS top_logprobs, CAST({REQUEST_SEED} AS INT) AS seed,
+       'system,user' AS roles, md5(ps[1] || {PQ.q(P.SYSTEM_SUFFIX)}) AS system_md5,
+       md5(array_to_string(ps[2:len(ps) - 1], chr(10) || chr(10)) || chr(10) || chr(10) || ps[len(ps)]) AS user_md5
 FROM parts""")
 def a14_api_requests(spark, d):
-    """One JSON request line per prompt (custom_id, method, url, body with messages); parsed back to check."""
-    r = requests(spark, d).withColumn("r", F.from_json("request", REQUEST))
-    return r.select("custom_id", F.col("r.body.model").alias("model"), F.size("r.body.messages").alias("n_messages"),
-                    F.md5(F.col("r.body.messages")[0]["content"]).alias("system_md5"))
+    """One JSON request line per prompt (custom_id, method, url, whole body with messages); parsed back to check."""
+    r = requests(spark, d).withColumn("r", F.from_json("request", REQUEST)).select("r.custom_id", "r.method", "r.url", "r.body.*")
+    message = lambda i: F.md5(F.col("messages")[i]["content"])
+    return r.select("custom_id", "method", "url", "model", "temperature", "max_tokens", "logprobs", "top_logprobs", "seed",
+                    F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), message(0).alias("system_md5"), message(1).alias("user_md5"))
 
 
 RESPONSE = T.StructType([
