@@ -46,3 +46,22 @@ def hashed_rank(df: DataFrame, group_cols: list[str], key_col: str, out_col: str
     """Rank by a hex digest column; buckets are the first ``prefix_chars`` hex digits."""
     return bucketed_rank(df, group_cols, [key_col, *(tiebreak or [])],
                          F.substring(F.col(key_col), 1, prefix_chars), out_col)
+
+
+def running_sums(df: DataFrame, group_cols: list[str], order_col: str, sums: dict[str, str], block: int = 1024) -> DataFrame:
+    """Add ``out = sum(column)`` over all rows of a group up to and including each row, for ``sums`` {out: column}.
+
+    ``order_col`` is a whole number, distinct within a group.  A group is cut into
+    blocks of ``block`` numbers: blocks are summed (a partial aggregate), the sums of
+    earlier blocks are added to the running sums inside each block.  So a group may
+    hold any share of the rows; what one task sees of it is one block, or one row
+    for each block.
+    """
+    b = "__block"
+    keyed = df.withColumn(b, F.floor(F.col(order_col) / block))
+    per = keyed.groupBy(*group_cols, b).agg(*[F.sum(c).alias(f"__{out}") for out, c in sums.items()])
+    before = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*group_cols, b, *[F.coalesce(F.sum(f"__{out}").over(before), F.lit(0)).alias(f"__{out}") for out in sums])
+    inside = Window.partitionBy(*group_cols, b).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return keyed.join(offsets, [*group_cols, b]).select(
+        *df.columns, *[(F.col(f"__{out}") + F.sum(c).over(inside)).alias(out) for out, c in sums.items()])

@@ -8,11 +8,12 @@ expression or an aggregate over it.  Only the sequential two-phase search
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from math import pi
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from promptspread.functions.ranking import running_sums
 
 # Fixed values (must equal the reference): the prior's failure pseudo-count, the
 # floor on its success pseudo-count, and the exhausted-arm mask.
@@ -27,11 +28,9 @@ def batch_counts(outcomes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cumulative_accuracy(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Running totals over evaluation batches (window on per-batch aggregates only)."""
-    b = batch_counts(outcomes, keys)
-    w = Window.partitionBy(*keys).orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
-    return b.select(*keys, "batch_no", F.sum("n").over(w).alias("cum_total"), F.sum("s").over(w).alias("cum_successes")) \
-        .withColumn("cum_accuracy", F.col("cum_successes") / F.col("cum_total"))
+    """Running totals over evaluation batches, block by block: an arm may hold any share of the rows."""
+    b = running_sums(batch_counts(outcomes, keys), keys, "batch_no", {"cum_total": "n", "cum_successes": "s"})
+    return b.select(*keys, "batch_no", "cum_total", "cum_successes").withColumn("cum_accuracy", F.col("cum_successes") / F.col("cum_total"))
 
 
 def prior(default_acc: Column) -> tuple[Column, Column]:
@@ -40,13 +39,41 @@ def prior(default_acc: Column) -> tuple[Column, Column]:
     return F.greatest(acc / (1 - acc) * PRIOR_B, F.lit(PRIOR_A_MIN)), F.lit(PRIOR_B)
 
 
-@F.pandas_udf(DoubleType())
-def beta_draw(a: pd.Series, b: pd.Series, seed: pd.Series) -> pd.Series:
-    """One Beta(a, b) draw per row from a generator seeded by the row's own seed (reproducible)."""
-    out = np.empty(len(a))
-    for i, (x, y, s) in enumerate(zip(a.to_numpy(), b.to_numpy(), seed.to_numpy())):
-        out[i] = np.random.default_rng(int(s) & 0xFFFFFFFFFFFFFFFF).beta(x, y)
-    return pd.Series(out)
+ATTEMPTS = 64   # of the gamma sampler; each fails with probability below 0.05, so all of them with 1e-83
+
+
+def _uniform(key: Column, tag: Column) -> Column:
+    """A number strictly between 0 and 1 that depends on the key and tag alone."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", key, tag)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def gamma_draw(shape: Column, key: Column) -> Column:
+    """A Gamma(shape, 1) draw for shape >= 1 by acceptance and rejection, a function of the key alone.
+
+    An attempt takes a normal x and a uniform u, and v = (1 + cx) ** 3 with
+    d = shape - 1/3, c = 1 / sqrt(9d); it gives dv if ln u < x*x/2 + d - dv + d ln v.
+    """
+    d = shape - 1.0 / 3
+    c = 1 / F.sqrt(9 * d)
+
+    def attempt(i: Column) -> Column:
+        tag = lambda letter: F.concat(F.lit(letter), i.cast("string"))
+        x = F.sqrt(-2 * F.ln(_uniform(key, tag("r")))) * F.cos(2 * pi * _uniform(key, tag("t")))
+        one = F.struct(x.alias("x"), (1 + c * x).alias("w"), F.ln(_uniform(key, tag("u"))).alias("lu"))
+        return F.transform(F.array(one), lambda a: F.transform(F.array(F.struct(a["x"].alias("x"), F.when(a["w"] > 0, a["w"] * a["w"] * a["w"]).alias("v"), a["lu"].alias("lu"))),
+                                                               lambda q: F.when(q["lu"] < 0.5 * q["x"] * q["x"] + d - d * q["v"] + d * F.ln(q["v"]), d * q["v"]))[0])[0]
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), F.lit(None).cast("double"), lambda found, i: F.when(found.isNotNull(), found).otherwise(attempt(i)))
+
+
+def beta_draw(a: Column, b: Column, key: Column) -> Column:
+    """A Beta(a, b) draw for a, b >= 1, a function of the key (seed, arm, step) alone."""
+    parts = F.struct(gamma_draw(a, F.concat(key, F.lit("|a"))).alias("x"), gamma_draw(b, F.concat(key, F.lit("|b"))).alias("y"))
+    return F.transform(F.array(parts), lambda p: p["x"] / (p["x"] + p["y"]))[0]
+
+
+def draw_key(seed: int, phase: int, step: int, arm: Column) -> Column:
+    return F.concat_ws("|", F.lit(f"{seed}|{phase}|{step}"), arm.cast("string"))
 
 
 def ucb_score(s: Column, n: Column, t: Column) -> Column:
@@ -102,8 +129,7 @@ def two_phase_search(bc: DataFrame, default_arm: int, steps_per_phase: int, seed
     history: list[dict] = []
     for phase, objective in ((1, "highest"), (2, "lowest")):
         for step in range(steps_per_phase):
-            key = F.xxhash64(F.lit(seed), F.lit(phase), F.lit(step), F.col("arm"))
-            draw = beta_draw(F.lit(a0) + F.col("s"), F.lit(b0) + F.col("n") - F.col("s"), key)
+            draw = beta_draw(F.lit(a0) + F.col("s"), F.lit(b0) + F.col("n") - F.col("s"), draw_key(seed, phase, step, F.col("arm")))
             scored = state.withColumn("score", masked(draw, F.col("n"), F.col("n_max"), objective))
             pick = choose(scored, "score", objective).select("arm", "k").collect()
             if not pick:

@@ -8,8 +8,14 @@ is never re-substituted (a sequential ``replace`` would be wrong).
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values (must equal the reference).
 INSTRUCTION_TAG = "<input>"
@@ -55,24 +61,57 @@ def to_messages(prompt: Column) -> Column:
                    F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
-def with_perturbed(df: DataFrame, text: str, key: str, pct: float, out: str) -> DataFrame:
-    """Replace exactly floor(n*pct) whitespace tokens - those with the k smallest md5(key|pos) -
-    by tokens drawn (md5-seeded) from the text's own vocabulary.
+def vocabulary(df: DataFrame, text: str, size: int) -> list[str]:
+    """``size`` of the tokens that occur in the texts, by digest order, so that the choice depends on no partitioning."""
+    tokens = df.select(F.explode(F.split(F.col(text), " ")).alias("token")).distinct()
+    return [r["token"] for r in tokens.orderBy(F.md5("token"), "token").limit(size).collect()]   # at most ``size``
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 32-bit numbers over 32 bits, one to one."""
+    for _ in range(2):
+        x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+def _numbers(key: str, n: int) -> np.ndarray:
+    """n different 32-bit numbers that follow from the key."""
+    start = np.uint64(int(hashlib.md5(key.encode()).hexdigest()[:8], 16))
+    return _mixed((start + np.arange(n, dtype=np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF))
+
+
+def perturbed(text: str, key: str, pct: float, words: list[str]) -> tuple[str, int, int]:
+    """The text with floor(n * pct) of its n tokens replaced, n and that number.  The places with the smallest keyed
+    numbers are taken (a selection, no sort), so their number is exact; the new tokens come from ``words``."""
+    tokens = text.split(" ")
+    n = len(tokens)
+    k = int(n * pct)
+    if k and words:
+        order = _numbers(key, n)
+        places = np.argpartition(order, k - 1)[:k]
+        picks = _numbers(key + "|v", n)[places] % np.uint64(len(words))
+        for i, w in zip(places.tolist(), picks.tolist()):
+            tokens[i] = words[w]
+    return " ".join(tokens), n, k
+
+
+def with_perturbed(df: DataFrame, text: str, keys: list[str], copies: int, pct: float, words: list[str]) -> DataFrame:
+    """Every row once for each copy (``copy_id`` from 1), with its perturbed text, tokens and replaced tokens.
 
-    The token array and the k-th smallest digest are materialised as columns
-    first: Spark does not hoist invariant expressions out of a ``transform``
-    lambda, so referencing them inside would redo the work per token.  A
-    position is chosen iff its digest is <= that threshold (one sort per text).
+    ``keys`` are the string keys of a row; a copy's key is them and its number.  The
+    copies are made where the text is: prompts hold whole demonstrations, and are
+    neither copied through a shuffle nor exploded into tokens.
     """
-    h = lambda i: F.md5(F.concat_ws("|", F.col(key), i.cast("string")))
-    x = df.withColumn("__toks", F.split(F.col(text), " ", -1))
-    x = x.withColumn("__hs", F.transform("__toks", lambda t, i: h(i)))          # one digest per position
-    x = x.withColumn("__n", F.size("__toks")).withColumn("__k", F.floor(F.col("__n") * F.lit(pct)).cast("int"))
-    x = x.withColumn("__thr", F.when(F.col("__k") > 0, F.element_at(
-        F.array_sort("__hs"), F.greatest(F.col("__k"), F.lit(1)))))
-    pick = lambda i: F.element_at(F.col("__toks"), (F.conv(F.substring(
-        F.md5(F.concat_ws("|", F.col(key), F.lit("v"), i.cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("__n"))
-        .cast("int") + 1)
-    res = F.transform("__toks", lambda t, i: F.when(F.col("__thr").isNotNull() & (F.col("__hs")[i] <= F.col("__thr")),
-                                                    pick(i)).otherwise(t))
-    return x.withColumn(out, F.array_join(res, " ")).drop("__toks", "__hs", "__n", "__k", "__thr")
+    schema = T.StructType([*df.schema.fields, T.StructField("copy_id", T.IntegerType()), T.StructField("perturbed", T.StringType()),
+                           T.StructField("n_tokens", T.IntegerType()), T.StructField("n_replaced", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                rows = list(zip(batch.column(text).to_pylist(), *(batch.column(k).to_pylist() for k in keys)))
+                out = [(c, *perturbed(t or "", "|".join([*map(str, key), str(c)]), pct, words)) for t, *key in rows for c in range(1, copies + 1)]
+                again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
+                columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*again.columns, *columns], names=schema.names)
+
+    return df.mapInArrow(run, schema)

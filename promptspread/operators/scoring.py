@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptspread.functions.ranking import seeded_key
+from promptspread.functions.ranking import hashed_rank, running_sums, seeded_key
 from promptspread.functions.text import clean_text, normalize_generation, prefix_match
 
 
@@ -44,20 +44,25 @@ def top_k(scores: DataFrame, keys: list[str], k: int, score: str = "score", cls:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def batch_calibrated_scores(tokens: DataFrame, batch_size: int, fmt: str = "format_id",
-                            inst: str = "instance_id") -> DataFrame:
+def evaluation_order(rows: DataFrame, seed: int, inst: str = "instance_id") -> DataFrame:
+    """(instance, ord): every instance's place in the seeded order of the evaluation, from 0."""
+    distinct = rows.select(inst).distinct().withColumn("__k", seeded_key(seed, inst))
+    return hashed_rank(distinct, [], "__k", out_col="ord", tiebreak=[inst]).select(inst, (F.col("ord") - 1).alias("ord"))
+
+
+def batch_calibrated_scores(tokens: DataFrame, order: DataFrame, batch_size: int, fmt: str = "format_id", inst: str = "instance_id") -> DataFrame:
     """Subtract the running mean (over batches, current included) of per-batch mean log-probs.
 
-    The mean is taken per (format, class, position, batch) first, so the window
-    runs over one small row per batch, and the join back is on that key.
+    Batches follow the evaluation order (instance, ord).  The mean is taken per
+    (format, class, position, batch) first; the running mean over the batches goes
+    block by block, because there are few such keys and batches without end.
     """
-    t = tokens.withColumn("batch_no", F.floor(F.col(inst) / batch_size))
     key = [fmt, "class", "pos_from_end"]
-    p_hat = t.groupBy(*key, "batch_no").agg(F.avg("logprob").alias("p_hat"))
-    w = Window.partitionBy(*key).orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
-    pr = p_hat.select(*key, "batch_no", F.avg("p_hat").over(w).alias("pr"))
-    cal = t.join(pr, [*key, "batch_no"]).withColumn("logprob", F.col("logprob") - F.col("pr"))
-    return class_score(cal, [fmt, inst, "class"])
+    t = tokens.join(order.select(inst, F.floor(F.col("ord") / batch_size).alias("batch_no")), inst)
+    p_hat = t.groupBy(*key, "batch_no").agg(F.avg("logprob").alias("p_hat")).withColumn("one", F.lit(1))
+    run = running_sums(p_hat, key, "batch_no", {"total": "p_hat", "batches": "one"})
+    cal = t.join(run.select(*key, "batch_no", (F.col("total") / F.col("batches")).alias("pr")), [*key, "batch_no"])
+    return class_score(cal.withColumn("logprob", F.col("logprob") - F.col("pr")), [fmt, inst, "class"])
 
 
 def sensitivity_scores(scores: DataFrame, alpha: float, copy_col: str = "format_id",

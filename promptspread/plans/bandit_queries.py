@@ -18,14 +18,11 @@ SEED = 42
 def _state(spark, d):
     """Arm state at the halfway point of the evaluation: every arm has seen the first half of its batches
     (at least one).  Built from per-(arm, batch) counts - small aggregated rows."""
-    from pyspark.sql import Window
-    o = V.arm_outcomes(spark, d)
-    bc = B.batch_counts(o, ["arm"])
-    half = F.greatest(F.floor((F.max("batch_no").over(Window.partitionBy("arm")) + 1) / 2), F.lit(1))
-    seen = bc.withColumn("half", half).where(F.col("batch_no") < F.col("half"))
-    tot = bc.groupBy("arm").agg(F.sum("n").alias("n_max"))
-    st = seen.groupBy("arm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("batch_no").alias("last"))
-    return st.join(tot, "arm")
+    bc = B.batch_counts(V.arm_outcomes(spark, d), ["arm"])
+    # one row per arm, and the arms are the formats of one search: always small
+    half = F.broadcast(bc.groupBy("arm").agg(F.greatest(F.floor((F.max("batch_no") + 1) / 2), F.lit(1)).alias("half"), F.sum("n").alias("n_max")))
+    seen = bc.join(half, "arm").where(F.col("batch_no") < F.col("half"))
+    return seen.groupBy("arm", "n_max").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("batch_no").alias("last"))
 
 
 STATE_SQL = f"""bc AS (SELECT arm, batch_no, count(*) AS n, sum(ok) AS s FROM arm_outcomes GROUP BY arm, batch_no),
@@ -70,17 +67,31 @@ def e18_next_interval(spark, d):
     return g.withColumn("exhausted", F.col("n_rows") == 0)
 
 
-@register("e19_thompson_draws", views=("arm_outcomes",))
+def _gamma_sql(letter: str, shape: str) -> str:
+    """The gamma sampler's first accepted attempt per arm, by 16 attempts next to each other."""
+    def u(tag: str) -> str:
+        return f"((CAST('0x' || substr(md5(concat_ws('|', concat('{SEED}|1|0|', CAST(arm AS VARCHAR), '|{letter}'), concat('{tag}', CAST(i AS VARCHAR)))), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
+
+    return f"""{letter}0 AS (SELECT arm, i, {shape} - 1.0 / 3 AS d, sqrt(-2 * ln({u('r')})) * cos(2 * pi() * {u('t')}) AS x, ln({u('u')}) AS lu FROM par, range(16) r(i)),
+{letter}1 AS (SELECT *, 1 + x / sqrt(9 * d) AS w FROM {letter}0),
+{letter}2 AS (SELECT *, w * w * w AS v FROM {letter}1 WHERE w > 0),
+{letter} AS (SELECT arm, arg_min(d * v, i) AS g FROM {letter}2 WHERE lu < 0.5 * x * x + d - d * v + d * ln(v) GROUP BY arm)"""
+
+
+@register("e19_thompson_draws", views=("arm_outcomes",), sql=f"""
+WITH {STATE_SQL},
+acc AS (SELECT least(CAST(s AS DOUBLE) / n, 1 - 1e-9) AS p FROM state WHERE arm = {DEFAULT_ARM}),
+par AS (SELECT arm, greatest(p / (1 - p) * {B.PRIOR_B}, {B.PRIOR_A_MIN}) + s AS alpha, {B.PRIOR_B} + n - s AS beta FROM state, acc),
+{_gamma_sql('a', 'alpha')},
+{_gamma_sql('b', 'beta')}
+SELECT par.arm, round(alpha, 6) AS alpha, round(CAST(beta AS DOUBLE), 6) AS beta, round(a.g / (a.g + b.g), 6) AS draw FROM par JOIN a USING (arm) JOIN b USING (arm)""")
 def e19_thompson_draws(spark, d):
-    """One Thompson draw per arm from Beta(a0 + s, b0 + n - s), prior from the default arm (pandas UDF)."""
+    """One Thompson draw per arm from Beta(a0 + s, b0 + n - s), prior from the default arm; draws are functions of (seed, arm, step)."""
     st = _state(spark, d)
     acc0 = st.where(F.col("arm") == DEFAULT_ARM).select(F.first(F.col("s") / F.col("n"))).scalar()  # scalar subquery
     a0, b0 = B.prior(acc0)
-    x = st
-    a = a0 + F.col("s")
-    b = b0 + F.col("n") - F.col("s")
-    return x.select("arm", a.alias("alpha"), b.alias("beta"),
-                    B.beta_draw(a, b, F.xxhash64(F.lit(SEED), F.col("arm"))).alias("draw"))
+    x = st.select("arm", (a0 + F.col("s")).alias("alpha"), (b0 + F.col("n") - F.col("s")).alias("beta"))
+    return x.select("arm", "alpha", "beta", B.beta_draw(F.col("alpha"), F.col("beta"), B.draw_key(SEED, 1, 0, F.col("arm"))).alias("draw"))
 
 
 @register("e20_ucb_scores", views=("arm_outcomes",), sql=f"""

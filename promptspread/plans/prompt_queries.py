@@ -19,7 +19,7 @@ from promptspread.sources.tables import table
 LAYOUT = "task155"   # one text field
 N_FMT = 3          # formats per task
 N_SHOT = 2
-PERTURBED = (0, 40)  # D6's interval of evaluation rows: the perturbation study takes a slice
+VOCABULARY = 4096    # tokens that replacements are drawn from
 N_EVAL_FROM = 10      # rows before are demonstrations
 N_AUG = 2
 AUG_SEED = 23
@@ -163,28 +163,35 @@ def d5_prompt_messages(spark, d):
                     F.md5(m[1]["content"]).alias("user_md5"), F.size(F.split("prompt", "\n\n", -1)).alias("n_parts"))
 
 
+def _mix_sql(numbers: str) -> str:
+    for _ in range(2):
+        numbers = f"list_transform({numbers}, lambda x: (xor(x, x >> 16) * 73244475) % 4294967296)"
+    return f"list_transform({numbers}, lambda x: xor(x, x >> 16))"
+
+
+def _numbers_sql(key: str) -> str:
+    start = f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT)"
+    return _mix_sql(f"list_transform(range(0, len(toks)), lambda i: ({start} + i * 2654435761) % 4294967296)")
+
+
 @register("d6_perturbed_copies", views=("instances",), sql=f"""
-WITH {prompts_sql(PERTURBED)},
+WITH {PROMPTS_SQL},
+voc AS (SELECT list(token ORDER BY md5(token), token) AS words FROM (
+  SELECT token FROM (SELECT DISTINCT unnest(string_split(input, ' ')) AS token FROM instances) ORDER BY md5(token), token LIMIT {VOCABULARY})),
 c AS (SELECT p.*, k.copy_id, string_split(prompt, ' ') AS toks,
              concat_ws('|', '{AUG_SEED}', CAST(p.format_id AS VARCHAR), CAST(p.instance_id AS VARCHAR), CAST(k.copy_id AS VARCHAR)) AS key
       FROM prompts p, (SELECT 1 AS copy_id UNION ALL SELECT 2) k),
-s AS (SELECT *, CAST(floor(len(toks) * {PCT}) AS INT) AS k,
-             list_sort(list_transform(range(0, len(toks)), lambda i: md5(concat_ws('|', key, CAST(i AS VARCHAR))))) AS hs FROM c),
-r AS (SELECT *, CASE WHEN k > 0 THEN hs[k] END AS thr FROM s)
+s AS (SELECT * EXCLUDE (prompt), CAST(floor(len(toks) * {PCT}) AS INT) AS k, {_numbers_sql('key')} AS hs, {_numbers_sql("key || '|v'")} AS vs FROM c),
+r AS (SELECT *, CASE WHEN k > 0 THEN list_sort(hs)[k] ELSE -1 END AS thr FROM s)
 SELECT task, format_id, instance_id, CAST(copy_id AS INT) AS copy_id, CAST(len(toks) AS INT) AS n_tokens, k AS n_replaced,
-       md5(array_to_string(list_transform(range(0, len(toks)), lambda i: CASE WHEN thr IS NOT NULL AND md5(concat_ws('|', key, CAST(i AS VARCHAR))) <= thr
-           THEN toks[CAST(CAST(('0x' || substr(md5(concat_ws('|', key, 'v', CAST(i AS VARCHAR))), 1, 8)) AS BIGINT) % len(toks) AS INTEGER) + 1]
-           ELSE toks[i + 1] END), ' ')) AS text_md5
-FROM r""")
+       md5(array_to_string(list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN hs[i] <= thr THEN words[vs[i] % len(words) + 1] ELSE toks[i] END), ' ')) AS text_md5
+FROM r, voc""")
 def d6_perturbed_copies(spark, d):
-    """Two perturbed copies of each prompt, floor(n * 10%) tokens replaced at md5-chosen positions."""
-    p = prompts(spark, d, PERTURBED).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy_id"))
-    p = p.withColumn("key", F.concat_ws("|", F.lit(str(AUG_SEED)), F.col("format_id").cast("string"),
-                                        F.col("instance_id").cast("string"), F.col("copy_id").cast("string")))
-    p = P.with_perturbed(p, "prompt", "key", PCT, "perturbed")
-    n = F.size(F.split("prompt", " ", -1))
-    return p.select("task", "format_id", "instance_id", F.col("copy_id").cast("int"), n.alias("n_tokens"),
-                    F.floor(n * PCT).cast("int").alias("n_replaced"), F.md5("perturbed").alias("text_md5"))
+    """Two perturbed copies of every evaluation prompt, exactly floor(n * 10%) tokens replaced by vocabulary tokens."""
+    words = P.vocabulary(V.instances_base(spark, d), "input", VOCABULARY)
+    p = prompts(spark, d).withColumn("seed", F.lit(str(AUG_SEED)))
+    x = P.with_perturbed(p, "prompt", ["seed", "format_id", "instance_id"], 2, PCT, words)
+    return x.select("task", "format_id", "instance_id", "copy_id", "n_tokens", "n_replaced", F.md5("perturbed").alias("text_md5"))
 
 
 # ------------------------------------------------------------ training text

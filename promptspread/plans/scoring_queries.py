@@ -12,6 +12,7 @@ from promptspread.sources import views as V
 
 ALPHA = 0.5          # sensitivity-aware weight of the real prompt
 CAL_BATCH = 20       # evaluation batch size for batch calibration
+EVAL_SEED = 37   # of the order in which instances are evaluated
 VOTE_SEED = 7        # tie-break seed of the normalised vote
 N_VARIANTS = 5       # formats in the text-generation view
 ENS_SIZE = 3         # ensembles = 3 consecutive variants (cyclic)
@@ -67,18 +68,21 @@ def e3_class_token_shape(spark, d):
 
 
 @register("e4_batch_calibration", views=("token_scores",), sql=f"""
-WITH t AS (SELECT *, CAST(floor(instance_id / {CAL_BATCH}) AS BIGINT) AS batch_no FROM token_scores),
+WITH o AS (SELECT instance_id, (row_number() OVER (ORDER BY md5(concat_ws('|', '{EVAL_SEED}', CAST(instance_id AS VARCHAR))), instance_id) - 1) // {CAL_BATCH} AS batch_no
+           FROM (SELECT DISTINCT instance_id FROM token_scores)),
+t AS (SELECT token_scores.*, batch_no FROM token_scores JOIN o USING (instance_id)),
 ph AS (SELECT format_id, class, pos_from_end, batch_no, avg(logprob) AS p_hat FROM t GROUP BY ALL),
 pr AS (SELECT *, avg(p_hat) OVER (PARTITION BY format_id, class, pos_from_end ORDER BY batch_no
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pr FROM ph),
-cal AS (SELECT t.format_id, t.instance_id, t.class, round(sum(t.logprob - pr.pr), 9) AS score
+cal AS (SELECT t.format_id, t.instance_id, t.class, sum(t.logprob - pr.pr) AS score
         FROM t JOIN pr USING (format_id, class, pos_from_end, batch_no)
         WHERE t.pos_from_end < t.answer_length GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY format_id, instance_id ORDER BY score DESC, class) AS rn FROM cal)
 SELECT format_id, instance_id, class AS pred_class, round(score, 6) AS pred_score FROM r WHERE rn = 1""")
 def e4_batch_calibration(spark, d):
-    """Batch-calibrated class scores (running mean over batches), then argmax."""
-    cal = S.batch_calibrated_scores(V.token_scores(spark, d), CAL_BATCH)
+    """Batch-calibrated class scores (running mean over batches of the evaluation order), then argmax."""
+    tokens = V.token_scores(spark, d)
+    cal = S.batch_calibrated_scores(tokens, S.evaluation_order(tokens, EVAL_SEED), CAL_BATCH)
     return S.argmax_class(cal, ["format_id", "instance_id"])
 
 
