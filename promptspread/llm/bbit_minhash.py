@@ -332,7 +332,7 @@ def forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, node: np.ndarray) ->
 
 
 def _cross(s: Settings, spanning: bool):
-    """Entries sorted by (x, y), the two blocks that meet: candidate pairs (a, b, g), g being a number of the two blocks."""
+    """Entries sorted by (x, y), the two blocks that meet: candidate pairs (a, b, g, x, y), g being a number of the two blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> pa.RecordBatch:
             x, y, side, band, n = (table.column(c).to_numpy() for c in ("x", "y", "side", "band", "n"))
@@ -348,7 +348,7 @@ def _cross(s: Settings, spanning: bool):
             g = (shingles.mix(x.astype(np.uint64)) ^ y.astype(np.uint64)).view(np.int64)
             a = [min(ids[p], ids[q]) for p, q in zip(i.tolist(), j.tolist())]
             b = [max(ids[p], ids[q]) for p, q in zip(i.tolist(), j.tolist())]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(g[i])], names=["a", "b", "g"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(g[i]), pa.array(x[i]), pa.array(y[i])], names=["a", "b", "g", "x", "y"])
 
         rest = None
         for batch in batches:
@@ -432,25 +432,40 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text", settings: Sett
     near = stored(first.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(s), PAIRS), "near")
     edges = confirmed(near, "edges_star")
 
-    # then the candidates between components: those that would connect them first, all that are left last
-    for spanning, name in ((True, "forest"), (False, "rest")):
-        labels = stored(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("label")), f"labels_{name}")
-        labelled = blocks.select("band", "key", "sid").join(labels, "sid", "left").select("band", "key", "sid", F.coalesce("label", "sid").alias("label"))
-        open_ = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), f"open_{name}")
-        if open_.isEmpty():
-            break
-        entries = labelled.join(open_, "key", "left_semi").repartitionByRange("key", "label", "sid").sortWithinPartitions("key", "label", "sid")
-        parts = stored(entries.mapInArrow(_blocks(s.block), "key long, band int, sid binary, label binary, block long, lead binary"), f"blocks_{name}")
-        block = parts.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        x, y = block.select("key", F.col("block").alias("x"), F.col("low").alias("lx"), F.col("high").alias("hx")), block.select("key", F.col("block").alias("y"), F.col("low").alias("ly"), F.col("high").alias("hy"))
-        meet = stored(x.join(y, "key").where("x <= y AND NOT (lx = hx AND ly = hy AND lx = ly)").select("x", "y"), f"meet_{name}")
+    def labels_of(edges: DataFrame, name: str) -> DataFrame:
+        return stored(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("label")), f"labels_{name}")
+
+    def candidates(parts: DataFrame, meet: DataFrame, spanning: bool, name: str) -> DataFrame:
+        """The pairs (a, b, g) of blocks x and y that meet, with x and y."""
         member = parts.join(facts, "sid").select("block", "band", "sid", "label", "n", "sig", "bits")
         left = member.join(meet.withColumnRenamed("x", "block").withColumn("x", F.col("block")), "block").withColumn("side", F.when(F.col("x") == F.col("y"), -1).otherwise(0))
         right = member.join(meet.where("x <> y").withColumnRenamed("y", "block").withColumn("y", F.col("block")), "block").withColumn("side", F.lit(1))
         columns = ["x", "y", "side", "band", "sid", "label", "n", "sig", "bits"]
         met = left.select(columns).unionByName(right.select(columns)).repartition("x", "y").sortWithinPartitions("x", "y", "label", "sid")
-        pairs = met.mapInArrow(_cross(s, spanning), PAIRS).groupBy("a", "b").agg(F.min("g").alias("g"))
-        edges = stored(edges.unionByName(confirmed(stored(pairs, f"pairs_{name}"), f"edges_{name}")), f"all_{name}")
+        return stored(met.mapInArrow(_cross(s, spanning), f"{PAIRS}, x long, y long"), f"pairs_{name}")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        return confirmed(pairs.groupBy("a", "b").agg(F.min("g").alias("g")), f"edges_{name}")
+
+    # then, of buckets that hold several components, the best candidates that would connect them
+    labels = labels_of(edges, "star")
+    labelled = blocks.select("band", "key", "sid").join(labels, "sid", "left").select("band", "key", "sid", F.coalesce("label", "sid").alias("label"))
+    open_ = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "open")
+    if open_.isEmpty():
+        return profile, sets, edges
+    entries = labelled.join(open_, "key", "left_semi").repartitionByRange("key", "label", "sid").sortWithinPartitions("key", "label", "sid")
+    parts = stored(entries.mapInArrow(_blocks(s.block), "key long, band int, sid binary, label binary, block long, lead binary"), "parts")
+    block = parts.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    x, y = (block.select("key", F.col("block").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in "xy")
+    meet = x.join(y, "key").where("x <= y AND NOT (lx = hx AND ly = hy AND lx = ly)").select("x", "y")
+    best = candidates(parts, meet, True, "best")
+    if best.isEmpty():
+        return profile, sets, edges
+    edges = stored(edges.unionByName(linked(best, "best")), "edges_so_far")
+    # last, all candidates that still lie between components; blocks without a candidate before have none now
+    now = parts.drop("label").join(labels_of(edges, "best"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    rest = candidates(now, best.select("x", "y").distinct(), False, "rest")
+    edges = edges.unionByName(linked(rest, "rest"))
     return profile, sets, edges
 
 
