@@ -8,18 +8,23 @@ sources sorted by cap / weight yields.
 
 Selection: a source first gives its complete epochs.  For the rest, every
 document draws an exponential key ``-ln(u) / quality weight`` from a hash of its
-id; in key order, the documents whose running size still fits are taken.  Two
-further rounds do the same among the documents left that fit into what is still
-missing, so the mix ends within the smallest documents' size of its target.
+id; in key order, the documents whose running size still fits are taken.  Further
+rounds do the same among the documents left that fit into what is still missing,
+until none fits: a source ends less than its smallest document left below its
+target.  Each round looks at the remaining candidates only; what is missing is
+smaller than the document that ended the round before.
 
 The running sums are distributed: keys map to ranges in (0, 1), ranges are summed
 per source, and a range's rows are numbered on their own, so a source holding
 most rows is as parallel as any.  Only (id, source, size, key) rows are shuffled.
+What is known per source is broadcast up to ``SOURCES`` sources, beyond that joined.
 
 Defined results: a null source is a source of its own; null and empty texts have
 size 0 and take 0 words; null, zero and negative quality weights count as 1.
 Rows equal in id, text and source are taken together.  Ties of keys go to the
-smaller id, then text hash.  An empty table mixes to an empty one.
+smaller id, then text hash.  Very long texts count like any other; columns beside
+the three named ones are ignored by ``mix`` and kept by ``repeated``, whatever
+their names.  An empty table mixes to an empty one.
 """
 
 from __future__ import annotations
@@ -29,9 +34,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptspread.llm.common import WORD_PATTERN, parallelism, stored
+from promptspread.llm.common import WORD_PATTERN, fresh_path, parallelism, stored, unused
 
-ROUNDS = 3
+SOURCES = 100_000    # sources whose facts are broadcast
 RANGE_ROWS = 20_000  # about so many rows share a range
 
 
@@ -93,27 +98,35 @@ def mix(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "s
         F.count("*").alias("copies"), F.max("size").alias("size"), F.min("key").alias("key")), "mix_units")
     ranges = max(64, 4 * parallelism(spark), math.ceil(units.count() / RANGE_ROWS))
     unit = F.col("size") * F.col("copies")
-    per_source = units.groupBy("no_source", "source").agg(F.sum(unit).alias("source_size"))
-    goal = targets(per_source, weights, percent, epochs)
+    per_source = stored(units.groupBy("no_source", "source").agg(F.sum(unit).alias("source_size")), "mix_sources")
+    few = per_source.count() <= SOURCES
+    small = lambda facts: F.broadcast(facts) if few else facts
+    keys, who = ["no_source", "source"], ["id", "h", "no_source", "source"]
     whole = F.floor(F.col("target") + 1e-6)
     done = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0))
-    state = units.join(goal, ["no_source", "source"]).select(
-        "*", unit.alias("unit"), done.alias("complete"), (whole - done * F.col("source_size")).cast("long").alias("missing"), F.lit(False).alias("chosen"))
-    for round_ in range(ROUNDS):
-        candidates = state.withColumn("candidate", ~F.col("chosen") & (F.col("unit") <= F.col("missing")) & (F.col("missing") > 0))
-        fitted = _fits(candidates, ranges)
-        taken_now = F.col("candidate") & (F.col("running") <= F.col("missing"))
-        state = stored(fitted.withColumn("now", taken_now).withColumn("chosen", F.col("chosen") | F.col("now")).drop("candidate", "running"), f"mix_round_{round_}")
-        if round_ < ROUNDS - 1:
-            given = state.where("now").groupBy("no_source", "source").agg(F.sum("unit").alias("given"))
-            state = (state.drop("now").join(given, ["no_source", "source"], "left")
-                     .withColumn("missing", F.col("missing") - F.coalesce("given", F.lit(0))).drop("given"))
-    times = (F.col("complete") + F.col("chosen").cast("int")).cast("int")
-    return state.select("id", "h", F.when(~F.col("no_source"), F.col("source")).alias("source"), "copies", "size", "source_size", "target", times.alias("times"))
+    goal = stored(targets(per_source, weights, percent, epochs).select(*keys, "source_size", "target", done.alias("complete"), (whole - done * F.col("source_size")).cast("long").alias("missing")), "mix_goal")
+    left, missing, folder, round_ = units.select(*who, unit.alias("unit"), "key"), goal.select(*keys, "missing"), fresh_path(spark, "mix_chosen"), 0
+    while True:
+        fits = (F.col("unit") <= F.col("missing")) & (F.col("missing") > 0)
+        candidates = left.join(small(missing), keys).where(fits).withColumn("candidate", F.lit(True))
+        fitted = stored(_fits(candidates, ranges).select(*who, "unit", "key", (F.col("running") <= F.col("missing")).alias("now")), f"mix_round_{round_}")
+        if round_ and fitted.isEmpty():
+            break
+        fitted.where("now").select(*who).write.parquet(f"{folder}/round={round_}")
+        given = fitted.where("now").groupBy(*keys).agg(F.sum("unit").alias("given"))
+        missing = stored(missing.join(given, keys, "left").select(*keys, (F.col("missing") - F.coalesce("given", F.lit(0))).alias("missing")), f"mix_missing_{round_}")
+        # a document too large now is too large for good; one that was taken is done
+        left, round_ = fitted.where("NOT now").drop("now"), round_ + 1
+    chosen = spark.read.schema(units.select(*who).schema).parquet(folder).select(*[F.col(c).alias(f"c_{c}") for c in who], F.lit(1).alias("chosen"))
+    same = units["id"].eqNullSafe(chosen["c_id"]) & (units["h"] == chosen["c_h"]) & (units["no_source"] == chosen["c_no_source"]) & (units["source"] == chosen["c_source"])
+    out = units.join(chosen, same, "left").join(small(goal.drop("missing")), keys)
+    times = (F.col("complete") + F.coalesce("chosen", F.lit(0))).cast("int")
+    return out.select("id", "h", F.when(~F.col("no_source"), F.col("source")).alias("source"), "copies", "size", "source_size", "target", times.alias("times"))
 
 
 def repeated(df: DataFrame, plan: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row of ``df`` as often as ``plan`` takes it."""
-    p = plan.select(F.col("id").alias("_p_id"), F.col("h").alias("_p_h"), F.col("source").alias("_p_source"), F.col("times").alias("_p_times")).where("_p_times > 0")
-    on = (df[id_].eqNullSafe(p["_p_id"]) & (F.xxhash64(df[text]) == p["_p_h"]) & df[source].eqNullSafe(p["_p_source"]))
-    return df.join(p, on).withColumn("_p_copy", F.explode(F.sequence(F.lit(1), F.col("_p_times")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    i, h, s, times, copy = (unused(df.columns, name) for name in ("p_id", "p_h", "p_source", "p_times", "p_copy"))
+    p = plan.where("times > 0").select(F.col("id").alias(i), F.col("h").alias(h), F.col("source").alias(s), F.col("times").alias(times))
+    on = df[id_].eqNullSafe(p[i]) & (F.xxhash64(df[text]) == p[h]) & df[source].eqNullSafe(p[s])
+    return df.join(p, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -15,22 +15,8 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (1 + F.coalesce("quality", F.lit(0))).cast("double").alias("weight"))
 
 
-def _round(n: int) -> str:
-    prev = "state0" if n == 0 else f"left{n - 1}"
-    return f"""
-fit{n} AS (
-  SELECT *, NOT chosen AND size <= missing AND missing > 0 AS candidate FROM {prev}
-), run{n} AS (
-  SELECT *, candidate AND sum(CASE WHEN candidate THEN size ELSE 0 END) OVER (
-    PARTITION BY src ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= missing AS now FROM fit{n}
-), left{n} AS (
-  SELECT doc_id, size, src, source_size, target, key, complete, chosen OR now AS chosen,
-         missing - coalesce(sum(CASE WHEN now THEN size END) OVER (PARTITION BY src), 0) AS missing FROM run{n}
-)"""
-
-
-SQL = f"""
-WITH good AS (
+SQL = """
+WITH RECURSIVE good AS (
   SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id
 ), d AS (
   SELECT d.doc_id, coalesce(d.source, chr(1114111)) AS src, coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
@@ -46,14 +32,21 @@ WITH good AS (
   FROM ranked WINDOW b AS (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), goal AS (
   SELECT src, source_size, CAST(least(cap, w * max(l) OVER ()) AS DOUBLE) AS target FROM levels
-), state0 AS (
-  SELECT doc_id, size, d.src, source_size, target, key, CASE WHEN source_size > 0 THEN floor(floor(target + 1e-6) / source_size) ELSE 0 END AS complete,
+), st AS (
+  SELECT 0 AS round, doc_id, size, d.src, source_size, target, key, CASE WHEN source_size > 0 THEN floor(floor(target + 1e-6) / source_size) ELSE 0 END AS complete,
          floor(target + 1e-6) - CASE WHEN source_size > 0 THEN floor(floor(target + 1e-6) / source_size) ELSE 0 END * source_size AS missing, false AS chosen
   FROM d JOIN goal ON d.src = goal.src
-), {", ".join(_round(n) for n in range(mixing.ROUNDS))}
+  UNION ALL
+  SELECT round + 1, doc_id, size, src, source_size, target, key, complete, missing - coalesce(sum(CASE WHEN now THEN size END) OVER (PARTITION BY src), 0), chosen OR now
+  FROM (
+    SELECT *, candidate AND sum(CASE WHEN candidate THEN size ELSE 0 END) OVER (PARTITION BY src ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= missing AS now,
+           sum(CAST(candidate AS INTEGER)) OVER () AS candidates
+    FROM (SELECT *, NOT chosen AND size <= missing AND missing > 0 AS candidate FROM st)
+  ) WHERE candidates > 0
+)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(size * (complete + CAST(chosen AS INTEGER)) AS BIGINT) AS taken
-FROM left{mixing.ROUNDS - 1}
+FROM st WHERE round = (SELECT max(round) FROM st)
 """
 
 

@@ -38,6 +38,10 @@ def test_targets_and_nearness(spark):
     want = shared([size[n] for n in names], [(3, 1, 2)[i % 3] for i in range(len(names))])
     assert all(abs(target[n] - w) < 1e-6 * max(1, w) for n, w in zip(names, want))
     assert all(abs(taken[n] - target[n]) <= 0.02 * target[n] for n in names)
+    for n in names:   # no document left would still fit
+        partial = target[n] % size[n]
+        left = [r.size for r in rows if source[r.doc_id] == n and r.size and r.taken == (target[n] // size[n]) * r.size]
+        assert partial == 0 or not left or min(left) > target[n] - taken[n] - 1e-6
     again = QUERIES["op7_source_mix"](spark, SF_ORACLE).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
@@ -59,3 +63,22 @@ def test_odd_rows(spark):
     out = mixing.repeated(df, plan)
     assert out.columns == df.columns and out.count() == sum(r.copies * r.times for r in rows)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_fills_until_nothing_fits_with_few_long_documents(spark):
+    # sizes that halve: every round ends at a document that is too large for what is left
+    sizes = [2 ** k for k in range(14, 0, -1)] * 3 + [1, 1, 0]
+    df = docs(spark, [(i, "w " * n) for i, n in enumerate(sizes)], source="a").unionByName(docs(spark, [(100, "v " * 7)], source=None))
+    for seed in range(3):
+        plan = mixing.mix(df, weights=(1,), percent=70, seed=seed).where("source = 'a'").collect()
+        target = {r.target for r in plan}.pop()
+        missing = target - sum(r.size * r.times for r in plan)
+        assert missing >= 0 and all(r.size > missing for r in plan if not r.times and r.size) and {r.times for r in plan} <= {0, 1}
+    assert mixing.repeated(df.withColumnRenamed("score", "p_times"), mixing.mix(df, percent=70)).columns == df.withColumnRenamed("score", "p_times").columns
+
+
+def test_many_sources_are_joined_instead_of_broadcast(spark, monkeypatch):
+    df = docs(spark, [(i, "w " * (i % 9)) for i in range(60)], source="a").unionByName(docs(spark, [(100 + i, "v " * i) for i in range(30)], source=None))
+    want = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "SOURCES", 1)
+    assert sorted(map(str, mixing.mix(df).collect())) == want
