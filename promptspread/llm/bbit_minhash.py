@@ -18,11 +18,12 @@ set from then on.  ``hashes`` random orders give each set its minima.
 
 No bucket forms all its pairs up front.  Buckets are cut into blocks of at most
 ``block`` sets while they are sorted, so one key may hold any share of the rows.
-First, every set of a block meets only the block's first set.  Sets found linked
-are one component; a bucket inside one component is finished.  Of other buckets
-a second round takes the best candidates that would connect all components, a
-third all candidates that still lie in different components, so no link between
-components is left out and no bound on partners, candidates or buckets exists.
+First, every set of a block meets only the block's first set.  Linked sets get a
+label by a few steps of taking the smallest label around; equal labels are
+connected, and a bucket of one label is finished.  Of other buckets a second round
+takes the best candidates that would connect all labels, a third, after labelling
+again, all candidates whose labels still differ.  So no link that could join two
+components is left out, and no bound on partners, candidates or buckets exists.
 
 Defined results: null texts and texts without a word have the empty set, size 0,
 and are linked with nothing; a text with fewer words than a shingle has one
@@ -332,7 +333,7 @@ def forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray, node: np.ndarray) ->
 
 
 def _cross(s: Settings, spanning: bool):
-    """Entries sorted by (x, y), the two blocks that meet: candidate pairs (a, b, g, x, y), g being a number of the two blocks."""
+    """Entries sorted by (x, y), the two blocks that meet: candidate pairs (a, b, g), g being a number of the two blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> pa.RecordBatch:
             x, y, side, band, n = (table.column(c).to_numpy() for c in ("x", "y", "side", "band", "n"))
@@ -348,7 +349,7 @@ def _cross(s: Settings, spanning: bool):
             g = (shingles.mix(x.astype(np.uint64)) ^ y.astype(np.uint64)).view(np.int64)
             a = [min(ids[p], ids[q]) for p, q in zip(i.tolist(), j.tolist())]
             b = [max(ids[p], ids[q]) for p, q in zip(i.tolist(), j.tolist())]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(g[i]), pa.array(x[i]), pa.array(y[i])], names=["a", "b", "g", "x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(g[i])], names=["a", "b", "g"])
 
         rest = None
         for batch in batches:
@@ -395,6 +396,20 @@ def _key(id_: Column) -> Column:
     return F.coalesce(id_.cast("string"), F.lit("null"))
 
 
+def near_labels(edges: DataFrame, name: str, steps: int = 2) -> DataFrame:
+    """(sid, label) of every set with a link (a, b): sets with equal labels are connected; not all connected ones have equal labels."""
+    each = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    around = stored(each.unionByName(each.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(each.select("u", F.col("u").alias("v"))), f"around_{name}")
+    labels = around.groupBy(F.col("u").alias("sid")).agg(F.min("v").alias("label"))
+    labels = labels.select("sid", F.least("sid", "label").alias("label"))
+    for _ in range(steps):
+        ahead = labels.select(F.col("sid").alias("label"), F.col("label").alias("next"))
+        labels = labels.join(ahead, "label").select("sid", F.col("next").alias("label"))   # the label's own label
+        there = labels.select(F.col("sid").alias("v"), "label")
+        labels = around.join(there, "v").groupBy(F.col("u").alias("sid")).agg(F.min("label").alias("label"))
+    return stored(labels, f"labels_{name}")
+
+
 def links(df: DataFrame, id_: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profile, sets, edges): every row's set, the distinct sets, and confirmed links (a, b) that give the components of all links."""
     s = settings
@@ -432,40 +447,32 @@ def links(df: DataFrame, id_: str = "doc_id", text: str = "text", settings: Sett
     near = stored(first.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(s), PAIRS), "near")
     edges = confirmed(near, "edges_star")
 
-    def labels_of(edges: DataFrame, name: str) -> DataFrame:
-        return stored(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("label")), f"labels_{name}")
-
-    def candidates(parts: DataFrame, meet: DataFrame, spanning: bool, name: str) -> DataFrame:
-        """The pairs (a, b, g) of blocks x and y that meet, with x and y."""
-        member = parts.join(facts, "sid").select("block", "band", "sid", "label", "n", "sig", "bits")
+    def candidates(rows: DataFrame, labels: DataFrame, spanning: bool, name: str) -> DataFrame:
+        """The candidate pairs (a, b, g) of blocks of one bucket whose labels differ."""
+        now = rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        block = now.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        x, y = (block.select("key", F.col("block").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in "xy")
+        meet = stored(x.join(y, "key").where("x <= y AND NOT (lx = hx AND ly = hy AND lx = ly)").select("x", "y"), f"meet_{name}")
+        member = now.join(facts, "sid").select("block", "band", "sid", "label", "n", "sig", "bits")
         left = member.join(meet.withColumnRenamed("x", "block").withColumn("x", F.col("block")), "block").withColumn("side", F.when(F.col("x") == F.col("y"), -1).otherwise(0))
         right = member.join(meet.where("x <> y").withColumnRenamed("y", "block").withColumn("y", F.col("block")), "block").withColumn("side", F.lit(1))
         columns = ["x", "y", "side", "band", "sid", "label", "n", "sig", "bits"]
         met = left.select(columns).unionByName(right.select(columns)).repartition("x", "y").sortWithinPartitions("x", "y", "label", "sid")
-        return stored(met.mapInArrow(_cross(s, spanning), f"{PAIRS}, x long, y long"), f"pairs_{name}")
+        return stored(met.mapInArrow(_cross(s, spanning), PAIRS).groupBy("a", "b").agg(F.min("g").alias("g")), f"pairs_{name}")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        return confirmed(pairs.groupBy("a", "b").agg(F.min("g").alias("g")), f"edges_{name}")
-
-    # then, of buckets that hold several components, the best candidates that would connect them
-    labels = labels_of(edges, "star")
+    # then, of buckets that hold several labels, the best candidates that would connect them; a quarter of the bands will do
+    labels = near_labels(edges, "star")
     labelled = blocks.select("band", "key", "sid").join(labels, "sid", "left").select("band", "key", "sid", F.coalesce("label", "sid").alias("label"))
-    open_ = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "open")
-    if open_.isEmpty():
-        return profile, sets, edges
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     entries = labelled.join(open_, "key", "left_semi").repartitionByRange("key", "label", "sid").sortWithinPartitions("key", "label", "sid")
-    parts = stored(entries.mapInArrow(_blocks(s.block), "key long, band int, sid binary, label binary, block long, lead binary"), "parts")
-    block = parts.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    x, y = (block.select("key", F.col("block").alias(c), F.col("low").alias(f"l{c}"), F.col("high").alias(f"h{c}")) for c in "xy")
-    meet = x.join(y, "key").where("x <= y AND NOT (lx = hx AND ly = hy AND lx = ly)").select("x", "y")
-    best = candidates(parts, meet, True, "best")
-    if best.isEmpty():
+    parts = stored(entries.mapInArrow(_blocks(s.block), "key long, band int, sid binary, label binary, block long, lead binary"), "parts").select("key", "band", "sid", "block")
+    if parts.isEmpty():
         return profile, sets, edges
-    edges = stored(edges.unionByName(linked(best, "best")), "edges_so_far")
-    # last, all candidates that still lie between components; blocks without a candidate before have none now
-    now = parts.drop("label").join(labels_of(edges, "best"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    rest = candidates(now, best.select("x", "y").distinct(), False, "rest")
-    edges = edges.unionByName(linked(rest, "rest"))
+    bridges = confirmed(candidates(parts.where(F.col("band") < s.hashes // s.rows // 4), labels, True, "best"), "edges_best")
+    # last, all candidates between labels, in all bands
+    grown = bridges.unionByName(labels.where("sid <> label").select(F.col("sid").alias("a"), F.col("label").alias("b")))
+    rest = candidates(parts, near_labels(grown, "best"), False, "rest")
+    edges = edges.unionByName(bridges).unionByName(confirmed(rest, "edges_rest"))
     return profile, sets, edges
 
 
