@@ -6,25 +6,26 @@ segments; a line within reach must contain one of them unchanged, at one of few
 places that follow from both lengths.  Segments are indexed under (length,
 segment, hash); every line probes the lengths up to ``edits`` below its own at
 those places.  Before a hit becomes a pair it must pass two lower bounds carried
-in one number: the parity of words in 32 bits (an edit flips at most three) and
-eight letter counts modulo 16 (an edit moves them by at most two).  Pairs are
-verified by a banded bit-parallel edit distance: a column of ``2 * edits + 1``
+in one number, twelve letter counts modulo 16 (an edit moves them by at most two
+together).  Pairs are verified by a banded bit-parallel edit distance: a column of ``2 * edits + 1``
 cells is a few bits, updated with integer operations per character.
 
 Lines are identified by a 64-bit hash; n distinct lines share one by accident
 with a probability of about n ** 2 / 2 ** 65.
 
+A line is dropped if it equals an earlier one, or if it is within ``edits`` of a
+different line that is kept.  Which of near lines are kept follows from an order by
+their digests: a line without a link to a kept one before it is kept.  So no line
+goes for a chain of others.  Each round settles the lines without an open neighbour
+before them; as the order is random, n lines take about log n rounds however they
+are linked.  Of equal lines the one in the first place stays, in order of (doc_id
+with null last, text hash, line number).
+
 Defined results: null texts have no lines; lines shorter than ``least`` code
 points (blank ones too) are never linked nor dropped, whatever repeats; equal
-lines are one class.  The first line of a class in order of (doc_id with null
-last, text hash, line number) is kept, the others are dropped.  Rows equal in id
-and text are one document that occurs several times.  Extra columns stay.
-
-``dedup`` drops less than the rest of a class: going through different lines by
-their first places, a line within ``edits`` of a kept earlier one is dropped, any
-other kept, and of equal lines the first stays.  So no line goes for a chain of
-others.  Each round settles the lines without an open earlier neighbour; the
-rounds follow the longest chain of ever later lines.
+lines are one class.  Rows equal in id and text are one document that occurs
+several times.  Texts of any length are read whole.  Extra columns stay, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptspread.llm.common import stored
+from promptspread.llm.common import fresh_path, stored, unused
 from promptspread.llm.components import components
 
 EDITS = 2
@@ -150,7 +151,7 @@ def within(x: Column, y: Column, edits: int) -> Column:
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(a, b): hashes of different lines within ``edits`` edits, from rows (a, line); a < b."""
+    """(a, b, ahead): hashes of different lines within ``edits`` edits, from rows (a, line), a < b, and whether a's digest is the smaller one."""
     distinct = lines.select("a", "line", traits(F.col("line")).alias("t")).groupBy("a").agg(F.first("line").alias("line"), F.first("t").alias("t"))
     size = F.length("line")
 
@@ -169,7 +170,7 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     left = distinct.select("a", F.col("line").alias("p"), F.col("t").alias("tp"))
     right = distinct.select(F.col("a").alias("b"), F.col("line").alias("q"), F.col("t").alias("tq"))
     near = may_match(F.col("tp"), F.col("tq"), edits) & within(F.col("p"), F.col("q"), edits)
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", (F.md5("p") < F.md5("q")).alias("ahead"))
 
 
 def place() -> Column:
@@ -178,46 +179,50 @@ def place() -> Column:
 
 
 def _lines_and_edges(df: DataFrame, id_: str, text: str, edits: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Every line (id, h, no, a) of the documents, ``a`` null if too short to count, and the links between lines."""
+    """Every line (id, h, no, a) of the documents, ``a`` null if too short to count, one row without ``no`` for a null text; and the links between lines."""
     body = F.col(f"`{text}`")
     docs = df.select(F.col(f"`{id_}`").alias("id"), F.xxhash64(body).alias("h"), body.alias("t"))
     hashed = F.transform(split_lines(F.col("t")), lambda x: F.when(F.length(x) >= least, F.xxhash64(x)))
-    occurrences = stored(docs.select("id", "h", F.posexplode(hashed).alias("no", "a")), "line_places")
+    occurrences = stored(docs.select("id", "h", F.posexplode_outer(hashed).alias("no", "a")), "line_places")
     lines = docs.select(F.explode(split_lines(F.col("t"))).alias("line")).where(F.length("line") >= least).select(F.xxhash64("line").alias("a"), "line")
     return occurrences, stored(line_links(lines, edits), "line_edges")
 
 
 def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lines, edges): every line (id, h, no, a, class, first) of the documents, and the links between lines.
+    """(lines, edges): every line (id, h, no, a, class, n, kept) of the documents, and the links between lines.
 
-    ``a`` is null for lines too short to count; ``first`` tells whether a line is
-    the one its class keeps (in every copy of a row that occurs several times).
+    ``class`` is the first place of a line's class (struct none, id, h, no) and ``n``
+    the lines in it, null for lines too short to count; ``kept`` tells whether the
+    line stays (in every copy of a row that occurs several times).
     """
     occurrences, edges = _lines_and_edges(df, id_, text, edits, least)
-    label = components(edges).select(F.col("node").alias("a"), "component")
-    placed = occurrences.join(label, "a", "left").withColumn("class", F.coalesce("component", "a")).drop("component")
-    repeated = placed.where("class IS NOT NULL").groupBy("class").agg(F.min(place()).alias("start"), F.count("*").alias("n")).where("n > 1")
-    marked = placed.join(repeated.select("class", "start"), "class", "left")
-    first = F.col("start").isNull() | (F.col("start") == place())
-    return marked.select("id", "h", "no", "a", "class", first.alias("first")), edges
-
-
-def near_kept(occurrences: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a): lines with a link to a kept line whose first place is earlier; every line that is not among them is kept."""
-    nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct()
-    starts = occurrences.join(nodes, "a", "left_semi").groupBy("a").agg(F.min(place()).alias("start"))
-    placed = edges.join(starts.withColumnRenamed("start", "sa"), "a").join(starts.select(F.col("a").alias("b"), F.col("start").alias("sb")), "b")
-    ahead = F.col("sa") < F.col("sb")
-    open_ = stored(placed.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("v")), "open_0")
-    out, round_ = nodes.limit(0), 0
-    while not open_.isEmpty():
-        round_ += 1
+    counted = occurrences.where("a IS NOT NULL")
+    # per distinct line, then per class; only then to the places
+    own = stored(counted.groupBy("a").agg(F.min(place()).alias("start"), F.count("*").alias("n")), "line_starts")
+    member = components(edges).select(F.col("node").alias("a"), "component")
+    named = own.join(member, "a", "left").withColumn("c", F.coalesce("component", "a"))
+    whole = named.groupBy("c").agg(F.min("start").alias("class"), F.sum("n").alias("total"))
+    facts = named.join(whole, "c").join(near_kept(edges).select("a", F.lit(True).alias("near")), "a", "left").select("a", "start", "class", F.col("total").alias("n"), "near")
+    placed = occurrences.join(facts, "a", "left")
+    kept = F.col("a").isNull() | (F.col("near").isNull() & (F.col("start") == place()))
+    return placed.select("id", "h", "no", "a", "class", "n", kept.alias("kept")), edges
+
+
+def near_kept(edges: DataFrame) -> DataFrame:
+    """(a): lines with a link to a kept line before them; every linked line that is not among them is kept."""
+    spark = edges.sparkSession
+    open_ = edges.select(F.when(F.col("ahead"), F.col("a")).otherwise(F.col("b")).alias("u"), F.when(F.col("ahead"), F.col("b")).otherwise(F.col("a")).alias("v"))
+    folder, round_ = fresh_path(spark, "near_kept"), 0
+    open_ = stored(open_, "open_0")
+    while round_ == 0 or not open_.isEmpty():
         kept = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
-        dropped = stored(open_.join(kept, "u", "left_semi").select(F.col("v").alias("a")).distinct(), f"near_kept_{round_}")
+        path = f"{folder}/round={round_}"   # one growing folder
+        open_.join(kept, "u", "left_semi").select(F.col("v").alias("a")).distinct().write.parquet(path)
+        dropped = spark.read.schema("a long").parquet(path)
         left = open_.join(dropped.select(F.col("a").alias("u")), "u", "left_anti").join(dropped.select(F.col("a").alias("v")), "v", "left_anti")
+        round_ += 1
         open_ = stored(left.select("u", "v"), f"open_{round_}")
-        out = out.unionByName(dropped)
-    return out
+    return spark.read.schema("a long").parquet(folder).select("a")
 
 
 def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, keep_short: bool = False) -> DataFrame:
@@ -228,14 +233,15 @@ def dedup(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = E
     character; documents that lose nothing stay as they are.
     """
     occurrences, edges = _lines_and_edges(df, id_, text, edits, least)
-    near = near_kept(occurrences, edges).select("a", F.lit(True).alias("near"))
+    near = near_kept(edges).select("a", F.lit(True).alias("near"))
     counted = occurrences.where("a IS NOT NULL")
     repeated = counted.groupBy("a").agg(F.min(place()).alias("start"), F.count("*").alias("n")).where("n > 1").drop("n")
     lost = counted.join(near, "a", "left").join(repeated, "a", "left").where(F.col("near") | (F.col("start") != place()))
-    gone = lost.groupBy(F.col("id").alias("_g_id"), F.col("h").alias("_g_h")).agg(F.collect_set("no").alias("_g_no"))  # at most a document's lines
-    joined = df.join(gone, df[id_].eqNullSafe(gone["_g_id"]) & (F.xxhash64(df[text]) == gone["_g_h"]), "left")
-    kept = F.filter(split_lines(F.col(text)), lambda x, i: ~F.array_contains("_g_no", i))
-    new = F.when(F.col("_g_no").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    i, h, no, new = (unused(df.columns, name) for name in ("g_id", "g_h", "g_no", "g_new"))
+    gone = lost.groupBy(F.col("id").alias(i), F.col("h").alias(h)).agg(F.collect_set("no").alias(no))  # at most a document's lines
+    joined = df.join(gone, df[id_].eqNullSafe(gone[i]) & (F.xxhash64(df[text]) == gone[h]), "left")
+    kept = F.filter(split_lines(F.col(f"`{text}`")), lambda x, at: ~F.array_contains(no, at))
+    rest = F.when(F.col(no).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
     worth = lambda x: x.rlike(VISIBLE) if keep_short else F.length(x) >= least
-    out = joined.withColumn("_g_new", new).where(F.col("_g_no").isNull() | F.exists(kept, worth))
-    return out.select(*[F.col("_g_new").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    out = joined.withColumn(new, rest).where(F.col(no).isNull() | F.exists(kept, worth))
+    return out.select(*[F.col(new).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])

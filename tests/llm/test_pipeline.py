@@ -10,7 +10,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages_on_documents_and_odd_rows(spark):
@@ -57,3 +57,15 @@ def test_short_lines_keep_their_document(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, df, SF_SMALL).collect()}
     assert out == {1: (f"first\n{footer}", len(footer) + 6), 2: (poem, len(poem)), 3: ("短い行", 3)}
+
+
+def test_empty_documents_and_clashing_columns(spark):
+    rows = [(i, f"the cat and the dog {i} walk home " * 4, "en", "s", 1, "x", "y", "z") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, p_times string, g_no string")
+    for docs in (df, df.where("doc_id < 0")):
+        before = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stored(stage(spark, before, SF_SMALL), name)
+            assert after.columns == df.columns and all((r.lang_pred, r.p_times, r.g_no) == ("x", "y", "z") for r in after.collect())
+            before = after
+        assert corpus_pipeline.STAGES[-1][1](spark, before, SF_SMALL).count() == before.count()
