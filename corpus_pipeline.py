@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptspread.llm import bpe, lang_id, line_dedup, mixing, ngram_join
-from promptspread.llm.common import stored
+from promptspread.llm.common import stored, unused
 from promptspread.llm.queries.op1 import held_out
 from promptspread.llm.queries.op2 import vocabulary_path
 from promptspread.llm.queries.op7 import quality
@@ -18,20 +18,25 @@ ORACLE_SQL: str | None = None  # training a network, and encoding, have no SQL f
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: a document in which no language can be told (no letter in it) goes, all others stay as they are."""
     model = lang_id.train(docs.where(~held_out()))
-    seen = lang_id.predict(docs, model, pred="_lang_pred", score="_lang_score")
-    return seen.where(F.col("_lang_pred") != lang_id.UNDETERMINED).select(*docs.columns)
+    pred, score = unused(docs.columns, "lang_pred"), unused(docs.columns, "lang_score")
+    seen = lang_id.predict(docs, model, pred=pred, score=score)
+    return seen.where(F.col(pred) != lang_id.UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: of equal or nearly equal lines the first stays; a document that loses lines and has no visible character left goes."""
+    """Line dedup: of equal lines the first stays, a line near a kept one goes; a document that loses lines and has no visible character left goes."""
     return line_dedup.dedup(docs, keep_short=True).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the first document of every group of near copies stays."""
-    kept = ngram_join.join(docs).where("keeper").select(_key(F.col("doc_id")).alias("_k"), F.col("h").alias("_h")).distinct()
-    rows = docs.withColumn("_k", _key(F.col("doc_id"))).withColumn("_h", F.xxhash64("text"))
-    return rows.join(kept, ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*docs.columns)
+    k, h, n = (unused(docs.columns, name) for name in ("k", "h", "n"))
+    kept = ngram_join.join(docs).where("keeper").select(_key(F.col("doc_id")).alias(k), F.col("h").alias(h)).distinct()
+    rows = docs.withColumn(k, _key(F.col("doc_id"))).withColumn(h, F.xxhash64("text")).join(kept, [k, h], "left_semi")
+    # of rows equal in id and text the one smallest in its other columns, so that reruns agree
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    one = rows.withColumn(n, F.row_number().over(Window.partitionBy(k, h).orderBy(*rest))).where(F.col(n) == 1)
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _key(id_):
