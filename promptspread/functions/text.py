@@ -78,9 +78,11 @@ def sql_map_case(x: str, m: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in m.items()) + " END"
 
 
-def sql_normalize(g: str) -> str:
+def sql_normalize(g: str, multiple_choice: bool = True) -> str:
     w0 = sql_clean(f"nullif(regexp_extract({g}, '[^{WS_CLASS[1:-1]}]+', 0), '')")
     w = (f"(CASE WHEN starts_with({w0}, '\\u') THEN chr(CAST('0x' || ltrim({w0}, '\\u') AS INTEGER)) "
          f"ELSE {w0} END)")
+    if not multiple_choice:
+        return w
     return (f"coalesce({sql_map_case(w, ROMAN_TO_NUMBER)}, {sql_map_case(w, LATIN_TO_NUMBER)}, "
             f"{sql_map_case(w, FANCY_ROMAN_TO_NUMBER)}, {w})")

@@ -2,8 +2,7 @@
 
 The outcome log (arm, ord, batch_no, ok) is the model's verdict per evaluated
 row.  Per-arm state is a tiny aggregate; every score and choice is a Column
-expression or an aggregate over it.  Only the sequential two-phase search
-(E23) needs a driver loop, and it moves one scalar (the chosen arm) per step.
+expression or an aggregate over it, and the two-phase search (E23) a fold.
 """
 
 from __future__ import annotations
@@ -103,46 +102,57 @@ def final_arm(state: DataFrame, objective: str, label: str = "label") -> DataFra
     return tried.orderBy(F.col("acc").asc(), F.col(label).asc()).limit(1)
 
 
-def initial_state(bc: DataFrame, default_arm: int) -> DataFrame:
-    """Arms before the search: the default arm is fully evaluated, the others untouched."""
-    tot = bc.groupBy("arm").agg(F.sum("n").alias("n_max"), F.sum("s").alias("s_all"), F.max("batch_no").alias("last_batch"))
-    is_d = F.col("arm") == default_arm
-    return tot.select("arm", "n_max", F.when(is_d, F.col("n_max")).otherwise(F.lit(0)).cast("bigint").alias("n"),
-                      F.when(is_d, F.col("s_all")).otherwise(F.lit(0)).cast("bigint").alias("s"),
-                      F.when(is_d, F.col("last_batch") + 1).otherwise(F.lit(0)).cast("bigint").alias("k"))
+def two_phase_search(bc: DataFrame, default_arm: int, steps: int, seed: int) -> DataFrame:
+    """``steps`` Thompson steps for the best arm, then as many for the worst with the state carried over.
 
-
-def two_phase_search(bc: DataFrame, default_arm: int, steps_per_phase: int, seed: int) -> tuple[list[dict], DataFrame]:
-    """Phase 1 seeks the best arm, phase 2 (state carried over) the worst; Thompson draws.
-
-    ``bc`` is the per-(arm, batch) count table (small, cached).  Every step is
-    one Spark job over the arm state; only the chosen arm id reaches the driver.
-    The state is checkpointed to the shared checkpoint folder between phases.
+    One row: ``history`` (phase, step, chosen_arm, final_arm), ``best_arm``, ``worst_arm``.  ``bc`` is the
+    per-(arm, batch) count table.  A search never uses more than the first ``2 * steps`` batches of an arm, so
+    what meets in one row follows from the number of arms and steps, however many outcomes there are; the steps
+    themselves are a fold over it, each draw a function of (seed, phase, step, arm).  The default arm is fully
+    evaluated from the start; a phase ends when all arms are.  Without a step in the second phase the worst arm
+    is that of the state the first one left.
     """
-    from promptspread.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(bc.sparkSession)     # the cluster's shared folder; set only when absent
-    bc = bc.cache()
-    state = initial_state(bc, default_arm).checkpoint(eager=True)
-    acc0 = state.where(F.col("arm") == default_arm).select((F.col("s") / F.col("n")).alias("acc")).first()["acc"]
-    acc0 = min(acc0, 1 - 1e-9)
-    a0, b0 = max(acc0 / (1 - acc0) * PRIOR_B, PRIOR_A_MIN), PRIOR_B
-    history: list[dict] = []
-    for phase, objective in ((1, "highest"), (2, "lowest")):
-        for step in range(steps_per_phase):
-            draw = beta_draw(F.lit(a0) + F.col("s"), F.lit(b0) + F.col("n") - F.col("s"), draw_key(seed, phase, step, F.col("arm")))
-            scored = state.withColumn("score", masked(draw, F.col("n"), F.col("n_max"), objective))
-            pick = choose(scored, "score", objective).select("arm", "k").collect()
-            if not pick:
-                break
-            arm, k = pick[0]["arm"], pick[0]["k"]
-            nb = bc.where((F.col("arm") == arm) & (F.col("batch_no") == k)).select("arm", F.col("n").alias("bn"), F.col("s").alias("bs"))
-            state = (state.join(nb, "arm", "left")
-                     .select("arm", "n_max", (F.col("n") + F.coalesce("bn", F.lit(0))).cast("bigint").alias("n"),
-                             (F.col("s") + F.coalesce("bs", F.lit(0))).cast("bigint").alias("s"),
-                             F.when(F.col("arm") == arm, F.col("k") + 1).otherwise(F.col("k")).alias("k")))
-            fin = final_arm(state.withColumn("label", F.format_string("arm_%02d", F.col("arm"))), objective)
-            f = fin.select("arm").collect()
-            history.append({"phase": phase, "step": step, "chosen_arm": int(arm),
-                            "final_arm": int(f[0]["arm"]) if f else None})
-        state = state.checkpoint(eager=True)
-    return history, state
+    used = F.when(F.col("batch_no") < 2 * steps, F.struct("batch_no", "n", "s"))
+    arms = bc.groupBy("arm").agg(F.sum("n").alias("n_max"), F.sum("s").alias("s_all"), F.sort_array(F.collect_list(used)).alias("batches"))
+    row = arms.agg(F.sort_array(F.collect_list(F.struct("arm", F.format_string("arm_%02d", "arm").alias("label"), "n_max", "s_all", "batches"))).alias("arms"))
+    default = F.filter("arms", lambda a: a["arm"] == default_arm)[0]
+    a0, b0 = prior(default["s_all"] / default["n_max"])
+    row = row.select("arms", a0.alias("a0"), b0.alias("b0"))
+    is_default = lambda a: a["arm"] == default_arm
+    event = "struct<phase: int, step: int, chosen_arm: bigint, final_arm: bigint>"
+    start = F.struct(F.transform("arms", lambda a: F.when(is_default(a), a["n_max"]).otherwise(0)).alias("n"),
+                     F.transform("arms", lambda a: F.when(is_default(a), a["s_all"]).otherwise(0)).alias("s"),
+                     F.transform("arms", lambda a: F.lit(0)).alias("k"), F.array().cast(f"array<{event}>").alias("history"))
+
+    def tried(s: Column) -> Column:
+        return F.filter(F.transform("arms", lambda a, i: F.struct((F.get(s["s"], i) / F.get(s["n"], i)).alias("acc"), a["label"].alias("label"), a["arm"].alias("arm"))), lambda t: t["acc"].isNotNull())
+
+    def winner(s: Column, highest: Column) -> Column:
+        return F.when(highest, F.array_max(tried(s))["arm"]).otherwise(F.array_min(tried(s))["arm"])
+
+    def step(s: Column, t: Column) -> Column:
+        first = t < steps
+        phase, number = F.when(first, 1).otherwise(2), F.when(first, t).otherwise(t - steps)
+
+        def score(a: Column, i: Column) -> Column:
+            key = F.concat_ws("|", F.lit(str(seed)), phase.cast("string"), number.cast("string"), a["arm"].cast("string"))
+            draw = beta_draw(F.col("a0") + F.get(s["s"], i), F.col("b0") + F.get(s["n"], i) - F.get(s["s"], i), key)
+            return F.struct(F.when(F.get(s["n"], i) < a["n_max"], F.when(first, draw).otherwise(-draw)).alias("score"), (-i).alias("at"))
+
+        live = F.filter(F.transform("arms", score), lambda x: x["score"].isNotNull())
+        pick = -F.array_max(live)["at"]   # ties go to the smaller arm
+        return F.transform(F.array(pick), lambda p: F.when(p.isNull(), s).otherwise(_evaluate(s, p, phase, number, first)))[0]
+
+    def _evaluate(s: Column, p: Column, phase: Column, number: Column, first: Column) -> Column:
+        batch = F.get(F.get(F.col("arms"), p)["batches"], F.get(s["k"], p))
+        more = lambda values, plus: F.transform(values, lambda v, i: F.when(i == p, v + plus).otherwise(v))
+        now = F.struct(more(s["n"], batch["n"]).alias("n"), more(s["s"], batch["s"]).alias("s"), more(s["k"], F.lit(1)).alias("k"), s["history"].alias("history"))
+        return F.transform(F.array(now), lambda q: F.struct(q["n"].alias("n"), q["s"].alias("s"), q["k"].alias("k"), F.concat(q["history"], F.array(F.struct(
+            phase.alias("phase"), number.alias("step"), F.get(F.col("arms"), p)["arm"].alias("chosen_arm"), winner(q, first).alias("final_arm")).cast(event))).alias("history")))[0]
+
+    def found(s: Column) -> Column:
+        last = lambda phase: F.try_element_at(F.filter(s["history"], lambda h: h["phase"] == phase), F.lit(-1))["final_arm"]
+        return F.struct(s["history"].alias("history"), F.coalesce(last(1), winner(s, F.lit(True))).alias("best_arm"), F.coalesce(last(2), winner(s, F.lit(False))).alias("worst_arm"))
+
+    result = F.aggregate(F.sequence(F.lit(0), F.lit(2 * steps - 1)), start, step, found)
+    return row.select(result.alias("r")).select("r.*")

@@ -43,8 +43,8 @@ def pareto_front(df: DataFrame, group: list[str], maximize: str, minimize: str)
     return x.where(F.col("__prev_min").isNull() | (F.col(minimize) < F.col("__prev_min"))).drop("__prev_min")
 
 
-def covariance_ellipse(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """mean vector, 2x2 sample covariance and the ellipse (axes = 2*sqrt(eigenvalue), angle).
+def covariance_ellipse(df: DataFrame, group: list[str], x: str, y: str, n_std: float = 3.0) -> DataFrame:
+    """mean vector, 2x2 sample covariance and the ellipse (axes = n_std * 2*sqrt(eigenvalue), angle).
 
     Eigen-decomposition in closed form; the angle is that of the eigenvector of
     the smaller eigenvalue, folded into [0, 180) so its sign is canonical.
@@ -60,8 +60,8 @@ def covariance_ellipse(df: DataFrame, group: list[str], x: str, y: str) -> DataF
     vy = F.when(b != 0, lo - a).when(a <= c, F.lit(0.0)).otherwise(F.lit(1.0))
     ang = F.degrees(F.atan2(vy, vx))
     ang = F.when(ang < 0, ang + 180).when(ang >= 180, ang - 180).otherwise(ang)
-    return g.select("*", (2 * F.sqrt(F.greatest(lo, F.lit(0.0)))).alias("width"),
-                    (2 * F.sqrt(F.greatest(hi, F.lit(0.0)))).alias("height"), ang.alias("angle"))
+    return g.select("*", (n_std * 2 * F.sqrt(F.greatest(lo, F.lit(0.0)))).alias("width"),
+                    (n_std * 2 * F.sqrt(F.greatest(hi, F.lit(0.0)))).alias("height"), ang.alias("angle"))
 
 
 def sqrt_bins_histogram(df: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from promptspread.sources import views as V
 BATCH = 20
 T_STEP = 10           # time index of the UCB bonus
 DEFAULT_ARM = 0
-STEPS_PER_PHASE = 6
+STEPS_PER_PHASE = 50   # half of the budget of model calls, in batches
 SEED = 42
 
 
@@ -139,15 +139,9 @@ def e23_two_phase_search(spark, d):
 
     Returns the step history plus the two winners' full-data accuracy.
     """
-    o = V.arm_outcomes(spark, d)
-    bc = B.batch_counts(o, ["arm"])
-    history, state = B.two_phase_search(bc, DEFAULT_ARM, STEPS_PER_PHASE, SEED)
-    best = [h["final_arm"] for h in history if h["phase"] == 1][-1]
-    worst_steps = [h["final_arm"] for h in history if h["phase"] == 2]
-    worst = worst_steps[-1] if worst_steps else best
+    bc = B.batch_counts(V.arm_outcomes(spark, d), ["arm"])
+    found = B.two_phase_search(bc, DEFAULT_ARM, STEPS_PER_PHASE, SEED).select(F.explode("history").alias("h"), "best_arm", "worst_arm").select("h.*", "best_arm", "worst_arm")
     full = bc.groupBy("arm").agg((F.sum("s") / F.sum("n")).alias("full_accuracy"))
-    hist = spark.createDataFrame(history, "phase int, step int, chosen_arm int, final_arm int") \
-        .withColumn("best_arm", F.lit(best)).withColumn("worst_arm", F.lit(worst))
     b = full.select(F.col("arm").alias("best_arm"), F.col("full_accuracy").alias("best_full_accuracy"))
     w = full.select(F.col("arm").alias("worst_arm"), F.col("full_accuracy").alias("worst_full_accuracy"))
-    return hist.join(b, "best_arm", "left").join(w, "worst_arm", "left")
+    return found.join(b, "best_arm", "left").join(w, "worst_arm", "left")

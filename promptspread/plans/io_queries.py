@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptspread.functions.ranking import bucketed_rank
 from promptspread.operators import format_space as S
 from promptspread.operators import instances as I
 from promptspread.operators import metrics as M
@@ -284,24 +285,25 @@ TURN_CHUNK = 64   # turns per CSV cell (bounds every collected group)
 SPEAKER = {"user": "human", "assistant": "gpt"}
 
 
-@register("a5_conversation_csv", sql="""
-SELECT conv_id, CAST(turn AS BIGINT) AS turn,
-       CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker, md5(text) AS value_md5
-FROM conversations""")
+@register("a5_conversation_csv", sql=f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+k AS (SELECT *, place // {TURN_CHUNK} AS chunk, conv_id % 10 = 7 AND place // {TURN_CHUNK} = 0 AS broken FROM c)
+SELECT conv_id, CAST(place AS BIGINT) AS place, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker, md5(text) AS value_md5, FALSE AS rejected FROM k WHERE NOT broken
+UNION ALL SELECT DISTINCT conv_id, chunk * {TURN_CHUNK}, NULL, NULL, TRUE FROM k WHERE broken""")
 def a5_conversation_csv(spark, d):
-    """A5: conversations as a CSV column of list literals of turns (chunks of 64 turns per cell), parsed back;
-    rows that fail to parse would land in the reject table."""
+    """A5: conversations as a CSV column of list literals of turns (64 turns per cell), parsed back; cells that are no list
+    literal (here those of some conversations, whose closing bracket is missing) are rows of their own."""
     path = _dir(spark, "conv_csv")
-    c = table(spark, d, "conversations")
-    speaker = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SPEAKER.items() for x in kv]), F.col("role")),
-                         F.col("role"))
-    cells = (c.withColumn("chunk", F.floor(F.col("turn") / TURN_CHUNK))
+    c = bucketed_rank(table(spark, d, "conversations"), ["conv_id"], ["turn"], F.floor(F.col("turn") / TURN_CHUNK), "rn")
+    speaker = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SPEAKER.items() for x in kv]), F.col("role")), F.col("role"))
+    cells = (c.withColumn("chunk", F.floor((F.col("rn") - 1) / TURN_CHUNK))
              .groupBy("conv_id", "chunk")
-             .agg(F.sort_array(F.collect_list(F.struct("turn", IO.turn_literal(speaker, F.col("text")).alias("lit")))).alias("t"))
-             .select("conv_id", "chunk", F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["lit"]), ", "),
-                                                  F.lit("]")).alias("conversations")))
-    IO.write_csv(cells, path)
-    ok, _rejects = IO.read_conversation_csv(spark, path)
-    x = ok.select(F.col("conv_id").cast("bigint"), F.col("chunk").cast("bigint"), F.posexplode("turns").alias("pos", "t"))
-    return x.select("conv_id", (F.col("chunk") * TURN_CHUNK + F.col("pos")).cast("bigint").alias("turn"),
-                    F.col("t.from").alias("speaker"), F.md5(F.col("t.value")).alias("value_md5"))
+             .agg(F.sort_array(F.collect_list(F.struct("rn", IO.turn_literal(speaker, F.col("text")).alias("lit")))).alias("t")))
+    literal = F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["lit"]), ", "), F.when((F.col("conv_id") % 10 == 7) & (F.col("chunk") == 0), "").otherwise("]"))
+    IO.write_csv(cells.select("conv_id", "chunk", literal.alias("conversations")), path)
+    ok, rejects = IO.read_conversation_csv(spark, path)
+    start = F.col("chunk").cast("bigint") * TURN_CHUNK
+    x = ok.select(F.col("conv_id").cast("bigint").alias("conv_id"), start.alias("start"), F.posexplode("turns").alias("pos", "t"))
+    good = x.select("conv_id", (F.col("start") + F.col("pos")).alias("place"), F.col("t.from").alias("speaker"), F.md5(F.col("t.value")).alias("value_md5"), F.lit(False).alias("rejected"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(rejects.select(F.col("conv_id").cast("bigint").alias("conv_id"), start.alias("place"), none.alias("speaker"), none.alias("value_md5"), F.lit(True).alias("rejected")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -81,27 +83,18 @@ blocks AS (SELECT task, format_id, concat({DEF_SQL}, chr(10) || chr(10), string_
            FROM dm GROUP BY task, format_id)"""
 
 
-def prompts(spark, d, interval=None):
-    """Full prompts of all evaluation rows, or of an interval of their order."""
-    inst = V.instances(spark, d).where(F.col("ord") >= N_EVAL_FROM)
-    if interval is not None:
-        inst = inst.where((F.col("ord") >= N_EVAL_FROM + interval[0]) & (F.col("ord") < N_EVAL_FROM + interval[1]))
-    ev = inst.select("task", "instance_id", "input", "answer")
+def prompts(spark, d, shots=(N_SHOT,)):
+    """Full prompts of all evaluation rows, for each number of shots (0: the formatted input alone)."""
+    ev = V.instances(spark, d).where(F.col("ord") >= N_EVAL_FROM).select("task", "instance_id", "input", "answer")
     j = ev.join(task_formats(spark, d), "task").join(demo_blocks(spark, d), ["task", "format_id"])
     filled = P.fill_template(F.col("tmpl_in"), F.array("input"))
-    return j.select("task", "format_id", "instance_id", "answer", P.full_prompt(F.col("block"), filled, N_SHOT).alias("prompt"))
-
-
-def prompts_sql(interval=None):
-    rows = f"i.ord >= {N_EVAL_FROM}" if interval is None else f"i.ord >= {N_EVAL_FROM + interval[0]} AND i.ord < {N_EVAL_FROM + interval[1]}"
-    return f"""{DEMO_SQL},
-prompts AS (SELECT i.task, tf.format_id, i.instance_id, i.answer,
-                   concat(b.block, chr(10) || chr(10), {fill_sql('tf.tmpl_in', '[i.input]')}) AS prompt
-            FROM instances i JOIN tf USING (task) JOIN blocks b ON b.task = i.task AND b.format_id = tf.format_id
-            WHERE {rows})"""
+    each = F.array(*[F.struct(F.lit(n).alias("n_shot"), P.full_prompt(F.col("block"), filled, n).alias("prompt")) for n in shots])
+    return j.select("task", "format_id", "instance_id", "answer", F.explode(each).alias("p")).select("task", "format_id", "instance_id", "answer", "p.prompt", "p.n_shot")
 
 
-PROMPTS_SQL = prompts_sql()
+PROMPTS_SQL = f"""{DEMO_SQL},
+prompts AS (SELECT i.task, tf.format_id, i.instance_id, i.answer, concat(b.block, chr(10) || chr(10), {fill_sql('tf.tmpl_in', '[i.input]')}) AS prompt
+            FROM instances i JOIN tf USING (task) JOIN blocks b ON b.task = i.task AND b.format_id = tf.format_id WHERE i.ord >= {N_EVAL_FROM})"""
 
 
 @register("d1_fill_template", views=("instances",), sql=f"""
@@ -127,12 +120,14 @@ def d2_demo_block(spark, d):
 
 
 @register("d3_full_prompts", views=("instances",), sql=f"""
-WITH {PROMPTS_SQL}
-SELECT task, format_id, instance_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INT) AS prompt_len FROM prompts""")
+WITH {PROMPTS_SQL},
+shots AS (SELECT task, format_id, instance_id, {N_SHOT} AS n_shot, prompt FROM prompts
+         UNION ALL SELECT i.task, tf.format_id, i.instance_id, 0, {fill_sql('tf.tmpl_in', '[i.input]')} FROM instances i JOIN tf USING (task) WHERE i.ord >= {N_EVAL_FROM})
+SELECT task, format_id, instance_id, CAST(n_shot AS INT) AS n_shot, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INT) AS prompt_len FROM shots""")
 def d3_full_prompts(spark, d):
-    """D3: full prompts for the evaluation interval: demo block + formatted input, per (format, instance)."""
-    p = prompts(spark, d)
-    return p.select("task", "format_id", "instance_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_len"))
+    """D3: full prompts of all evaluation rows: demo block + formatted input, and zero-shot, where the input stands alone."""
+    p = prompts(spark, d, shots=(N_SHOT, 0))
+    return p.select("task", "format_id", "instance_id", "n_shot", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_len"))
 
 
 @register("d4_prompt_answers", views=("instances",), sql=f"""
@@ -226,9 +221,9 @@ def draw_sql(key: str, spaces=CAT.SPACES, seps=CAT.SEPARATORS) -> dict[str, str]
     return {"fn_name": fn_name, "separator": sep, "space": space, "first": first, "second": second}
 
 
-def aug_sql(test_keys_sql: str | None) -> str:
+def aug_sql(test_keys_sql: str | None, spaces=CAT.SPACES, seps=CAT.SEPARATORS) -> str:
     key = f"concat_ws('|', '{AUG_SEED}', CAST(conv_id AS VARCHAR), CAST(aug_id AS VARCHAR), CAST(draw AS VARCHAR))"
-    dr = draw_sql(key)
+    dr = draw_sql(key, spaces, seps)
     anti = f"WHERE fmt_key NOT IN (SELECT fmt_key FROM ({test_keys_sql}) tk)" if test_keys_sql else ""
     return f"""ids AS (SELECT conv_id, a.aug_id, r.draw FROM conversation_pairs, range(0, {N_AUG}) a(aug_id), range(0, 16) r(draw)),
 cand AS (SELECT conv_id, aug_id, draw, {dr['first']} AS first, {dr['second']} AS second, {dr['separator']} AS separator,
@@ -240,13 +235,21 @@ aug AS (SELECT b.conv_id, b.aug_id, b.draw, b.fmt_key, b.space, b.separator,
         FROM best b JOIN conversation_pairs c USING (conv_id))"""
 
 
-@register("d8_augmented_text", views=("conversation_pairs",), sql=f"""
-WITH {aug_sql(None)}
-SELECT conv_id, CAST(aug_id AS INT) AS aug_id, md5(text) AS text_md5, md5(fmt_key) AS key_md5 FROM aug""")
+# the two modes that training texts are drawn in: whole catalogues, and the ones without the test split's values
+TRAINING = {"random": (CAT.SPACES, CAT.SEPARATORS),
+            "compositional_separator_space": tuple(CAT.TRAIN_MODES["compositional_separator_space"][k] for k in ("chosen_space", "chosen_separator"))}
+D8_SQL = "\nUNION ALL\n".join(f"""(WITH {aug_sql(None, *lists)}
+SELECT '{mode}' AS catalogue, conv_id, CAST(aug_id AS INT) AS aug_id, md5(text) AS text_md5, md5(fmt_key) AS key_md5 FROM aug)""" for mode, lists in TRAINING.items())
+
+
+@register("d8_augmented_text", views=("conversation_pairs",), sql=f"SELECT * FROM ({D8_SQL})")
 def d8_augmented_text(spark, d):
-    """N_AUG randomly formatted training texts per conversation (random case, separator, space, verbalizers)."""
-    a = A.augment(V.conversation_pairs(spark, d), N_AUG, AUG_SEED, None)
-    return a.select("conv_id", F.col("aug_id").cast("int"), F.md5("text").alias("text_md5"), F.md5("fmt_key").alias("key_md5"))
+    """N_AUG randomly formatted training texts per conversation (random case, separator, space, verbalizers) from the
+    whole catalogues and from the compositional split's training catalogues."""
+    pairs = V.conversation_pairs(spark, d)
+    parts = [A.augment(pairs, N_AUG, AUG_SEED, None, *lists).withColumn("catalogue", F.lit(mode)) for mode, lists in TRAINING.items()]
+    a = reduce(lambda x, y: x.unionByName(y), parts)
+    return a.select("catalogue", "conv_id", F.col("aug_id").cast("int"), F.md5("text").alias("text_md5"), F.md5("fmt_key").alias("key_md5"))
 
 
 @register("d9_newline_coupling", views=("conversation_pairs",), sql=f"""

@@ -128,14 +128,20 @@ def f15_task_from_file_name(spark, d):
 
 
 @register("f16_completeness", views=("task_records",), sql=f"""
-WITH {EXP_SQL}
-SELECT experiment, CAST(count(DISTINCT task) AS BIGINT) AS n_tasks, count(DISTINCT task) = {N_TASKS} AS complete
-FROM experiments GROUP BY experiment""")
+WITH {EXP_SQL},
+h AS (SELECT experiment, n, count(*) AS files FROM experiments GROUP BY experiment, n),
+g AS (SELECT experiment, string_agg(concat(n, ':', files), ',' ORDER BY n) AS formats_histogram FROM h GROUP BY experiment)
+SELECT e.experiment, CAST(count(DISTINCT e.task) AS BIGINT) AS n_tasks, count(DISTINCT e.task) = {N_TASKS} AS complete, any_value(formats_histogram) AS formats_histogram
+FROM experiments e JOIN g ON g.experiment = e.experiment GROUP BY e.experiment""")
 def f16_completeness(spark, d):
-    """F16: tasks evaluated per experiment against the expected task count."""
+    """F16: tasks evaluated per experiment against the expected number, and how many files hold how many evaluated formats."""
     e = experiments(spark, d)
-    return e.groupBy("experiment").agg(F.count_distinct("task").alias("n_tasks")) \
-        .withColumn("complete", F.col("n_tasks") == N_TASKS)
+    # as many entries as there are different numbers of formats
+    per = e.groupBy("experiment", "n").agg(F.count("*").alias("files")).groupBy("experiment").agg(
+        F.array_sort(F.collect_list(F.struct("n", F.concat_ws(":", F.col("n").cast("string"), F.col("files").cast("string")).alias("t")))).alias("h"))
+    per = per.select("experiment", F.array_join(F.transform("h", lambda x: x["t"]), ",").alias("formats_histogram"))
+    g = e.groupBy("experiment").agg(F.count_distinct("task").alias("n_tasks")).withColumn("complete", F.col("n_tasks") == N_TASKS)
+    return g.join(per, "experiment")
 
 
 @register("f17_average_rank", views=("task_records",), sql="""
@@ -210,11 +216,11 @@ e AS (SELECT *, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS lo, (a + c) /
 v AS (SELECT *, degrees(atan2(CASE WHEN b <> 0 THEN lo - a WHEN a <= c THEN 0.0 ELSE 1.0 END,
                               CASE WHEN b <> 0 THEN b WHEN a <= c THEN 1.0 ELSE 0.0 END)) AS ang FROM e)
 SELECT method, round(mean_x, 6) AS mean_x, round(mean_y, 6) AS mean_y, round(a, 6) AS cov_xx, round(b, 6) AS cov_xy,
-       round(c, 6) AS cov_yy, round(2 * sqrt(greatest(lo, 0.0)), 6) AS width, round(2 * sqrt(greatest(hi, 0.0)), 6) AS height,
+       round(c, 6) AS cov_yy, round(6 * sqrt(greatest(lo, 0.0)), 6) AS width, round(6 * sqrt(greatest(hi, 0.0)), 6) AS height,
        round(CASE WHEN ang < 0 THEN ang + 180 WHEN ang >= 180 THEN ang - 180 ELSE ang END, 6) AS angle
 FROM v""")
 def f22_covariance_ellipse(spark, d):
-    """per method, mean (accuracy, spread), 2x2 covariance, ellipse axes and angle."""
+    """per method, mean (accuracy, spread), 2x2 covariance, axes of the three-sigma ellipse and angle."""
     return R.covariance_ellipse(V.task_records(spark, d), ["method"], "median_accuracy", "spread_accuracy")
 
 
@@ -291,17 +297,22 @@ def f28_attach_format_length(spark, d):
 
 
 @register("f29_spread_by_length", views=("task_records",), sql=f"""
-WITH {FMT_LEN_SQL}, j AS (SELECT t.*, fl.format_length FROM task_records t LEFT JOIN fl USING (task) WHERE t.setting = 'uniform')
-SELECT format_length, round(avg(spread_accuracy), 6) AS mean, round(stddev_samp(spread_accuracy), 6) AS std,
-       round(quantile_cont(spread_accuracy, 0.05), 6) AS q05, round(quantile_cont(spread_accuracy, 0.95), 6) AS q95
-FROM j GROUP BY format_length""")
+WITH {EXP_SQL}, {FMT_LEN_SQL},
+j AS (SELECT 'format_length' AS grouped_by, CAST(fl.format_length AS DOUBLE) AS value, spread_accuracy FROM task_records t LEFT JOIN fl USING (task) WHERE t.setting = 'uniform'
+      UNION ALL SELECT 'size', {parse_sql('experiment')['size']}, spread_accuracy FROM experiments WHERE setting = 'uniform'),
+g AS (SELECT grouped_by, value, avg(spread_accuracy) AS mean, stddev_samp(spread_accuracy) AS std, quantile_cont(spread_accuracy, 0.05) AS q05, quantile_cont(spread_accuracy, 0.95) AS q95
+      FROM j GROUP BY grouped_by, value)
+SELECT grouped_by, value, round(mean, 6) AS mean, round(std, 6) AS std, round(q05, 6) AS q05, round(q95, 6) AS q95, round(mean - q05, 6) AS lower_error, round(q95 - mean, 6) AS upper_error FROM g""")
 def f29_spread_by_length(spark, d):
-    """mean, std and the 5 % / 95 % (linear) quantiles of spread by format length (uniform setting)."""
-    tr = V.task_records(spark, d).where(F.col("setting") == "uniform")
-    j = tr.join(_format_length(spark, d), "task", "left")
-    return j.groupBy("format_length").agg(
+    """mean, std and 90 % interval (linear quantiles) of spread by format length and by model size (uniform setting)."""
+    uniform = F.col("setting") == "uniform"
+    by_length = V.task_records(spark, d).where(uniform).join(_format_length(spark, d), "task", "left").select(
+        F.lit("format_length").alias("grouped_by"), F.col("format_length").cast("double").alias("value"), "spread_accuracy")
+    by_size = experiments(spark, d).where(uniform).select(F.lit("size").alias("grouped_by"), R.parse_experiment(F.col("experiment"))["size"].cast("double").alias("value"), "spread_accuracy")
+    g = by_length.unionByName(by_size).groupBy("grouped_by", "value").agg(
         F.avg("spread_accuracy").alias("mean"), F.stddev_samp("spread_accuracy").alias("std"),
         F.percentile("spread_accuracy", 0.05).alias("q05"), F.percentile("spread_accuracy", 0.95).alias("q95"))
+    return g.withColumn("lower_error", F.col("mean") - F.col("q05")).withColumn("upper_error", F.col("q95") - F.col("mean"))
 
 
 @register("f30_top_tasks_by_spread", views=("task_records",), sql=f"""
@@ -358,10 +369,12 @@ def _cat_sql(n: str) -> str:
 
 
 @register("f34_experiment_catalogue", views=("task_records",), sql=f"""
-WITH {EXP_SQL}, e AS (SELECT experiment, CAST(count(DISTINCT task) AS BIGINT) AS n_tasks_evaluated FROM experiments GROUP BY experiment)
-SELECT experiment, {_cat_sql('experiment')}, n_tasks_evaluated FROM e""")
+WITH {EXP_SQL}, e AS (SELECT experiment, CAST(count(DISTINCT task) AS BIGINT) AS n_tasks_evaluated FROM experiments GROUP BY experiment), k AS (SELECT experiment, {_cat_sql('experiment')}, n_tasks_evaluated FROM e)
+SELECT *, CASE WHEN template = 'no' AND shots IN ('0', '2') AND instruct = 'Instruct'
+  THEN CAST(row_number() OVER (PARTITION BY template = 'no' AND shots IN ('0', '2') AND instruct = 'Instruct' ORDER BY family, size, shots, method, experiment) AS INT) END AS listed FROM k""")
 def f34_experiment_catalogue(spark, d):
-    """experiment catalogue (family, size, instruct, shots, template, split, method, tasks evaluated)."""
+    """experiment catalogue (family, size, instruct, shots, template, split, method, tasks evaluated), and the place of
+    the experiments that pass the filter (no template, 0 or 2 shots, instruct) in the sorted list."""
     e = experiments(spark, d).groupBy("experiment").agg(F.count_distinct("task").alias("n_tasks_evaluated"))
     n = F.col("experiment")
 
@@ -377,7 +390,7 @@ def f34_experiment_catalogue(spark, d):
               .when(n.contains("template-ensembles"), "template-ensembles")
               .when(n.contains("batch-calibration-probs"), "batch-calibration-probs")
               .when(n.contains("batch-calibration"), "batch-calibration").otherwise("none"))
-    return e.select(
+    k = e.select(
         "experiment", first_match(R.CATALOGUE_FAMILIES, lambda f: n.startswith(f)).alias("family"),
         first_match(R.CATALOGUE_SIZES, lambda s: n.contains(s)).alias("size"),
         F.when(n.contains("Instruct") | n.contains("it"), "Instruct").otherwise("Base").alias("instruct"),
@@ -385,6 +398,10 @@ def f34_experiment_catalogue(spark, d):
         F.when(n.contains("no-chat-template"), "no").otherwise("chat-template").alias("template"),
         F.when(n.contains("iid"), "iid").otherwise("compositional").alias("split"),
         method.alias("method"), "n_tasks_evaluated")
+    passes = (F.col("template") == "no") & F.col("shots").isin("0", "2") & (F.col("instruct") == "Instruct")
+    # over the distinct experiments, a few hundred at most
+    place = F.row_number().over(Window.partitionBy(passes).orderBy("family", "size", "shots", "method", "experiment"))
+    return k.withColumn("listed", F.when(passes, place))
 
 
 @register("f35_subset_means", views=("task_records",), sql=f"""

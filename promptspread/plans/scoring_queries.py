@@ -197,50 +197,60 @@ def e12_majority_vote(spark, d):
 
 
 @register("e13_normalize_generation", views=("text_generations",), sql=f"""
-SELECT instance_id, variant, {sql_normalize('generation')} AS normalized FROM text_generations""")
+SELECT instance_id, variant, {sql_normalize('generation')} AS normalized, {sql_normalize('generation', False)} AS plain FROM text_generations""")
 def e13_normalize_generation(spark, d):
-    """First word, clean, unicode escape, Roman -> Latin -> fancy Roman -> number."""
+    """First word, clean, unicode escape; in multiple-choice tasks then Roman -> Latin -> fancy Roman -> number."""
     t = V.text_generations(spark, d)
-    return t.select("instance_id", "variant", normalize_generation(F.col("generation")).alias("normalized"))
+    return t.select("instance_id", "variant", normalize_generation(F.col("generation")).alias("normalized"),
+                    normalize_generation(F.col("generation"), False).alias("plain"))
 
 
+# both kinds of tasks next to each other: a row votes once as a multiple-choice answer and once as plain text
 VOTE_SQL = f"""{ENS_SQL},
-nv AS (SELECT ensemble_id, instance_id, {sql_normalize('generation')} AS g FROM ens),
-c AS (SELECT ensemble_id, instance_id, g, count(*) AS votes FROM nv GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY ensemble_id, instance_id ORDER BY votes DESC,
-          md5(concat_ws('|', '{VOTE_SEED}', CAST(ensemble_id AS VARCHAR), CAST(instance_id AS VARCHAR), g))) AS rn FROM c),
-votes AS (SELECT ensemble_id, instance_id, g AS vote, CAST(votes AS BIGINT) AS votes FROM r WHERE rn = 1)"""
+nv AS (SELECT ensemble_id, instance_id, TRUE AS multiple_choice, {sql_normalize('generation')} AS g FROM ens
+       UNION ALL SELECT ensemble_id, instance_id, FALSE, {sql_normalize('generation', False)} FROM ens),
+c AS (SELECT ensemble_id, instance_id, multiple_choice, g, count(*) AS votes FROM nv GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ensemble_id, instance_id, multiple_choice ORDER BY votes DESC,
+          md5(concat_ws('|', '{VOTE_SEED}', CAST(ensemble_id AS VARCHAR), CAST(instance_id AS VARCHAR), CAST(multiple_choice AS VARCHAR), g))) AS rn FROM c),
+votes AS (SELECT ensemble_id, instance_id, multiple_choice, g AS vote, CAST(votes AS BIGINT) AS votes FROM r WHERE rn = 1)"""
+
+
+def _both_kinds(df, value, out):
+    """Rows once as multiple-choice answers and once as plain text."""
+    g = F.array(F.struct(F.lit(True).alias("multiple_choice"), normalize_generation(F.col(value)).alias(out)),
+                F.struct(F.lit(False).alias("multiple_choice"), normalize_generation(F.col(value), False).alias(out)))
+    return df.withColumn("_k", F.explode(g)).select("*", "_k.*").drop("_k")
 
 
 def _votes(spark, d):
-    e = _text_ensembles(spark, d).withColumn("g", normalize_generation(F.col("generation")))
-    return S.seeded_majority_vote(e, ["ensemble_id", "instance_id"], "g", VOTE_SEED)
+    e = _both_kinds(_text_ensembles(spark, d), "generation", "g")
+    return S.seeded_majority_vote(e, ["ensemble_id", "instance_id", "multiple_choice"], "g", VOTE_SEED)
 
 
 @register("e14_seeded_vote", views=("text_generations",), sql=f"""
 WITH {VOTE_SQL}
-SELECT ensemble_id, instance_id, vote, votes FROM votes""")
+SELECT ensemble_id, instance_id, multiple_choice, vote, votes FROM votes""")
 def e14_seeded_vote(spark, d):
-    """Majority vote over normalised generations, seeded tie-break."""
+    """Majority vote over normalised generations, seeded tie-break, for multiple-choice and other tasks."""
     return _votes(spark, d)
 
 
-ANSWERS_SQL = f"""ans AS (SELECT DISTINCT instance_id, {sql_normalize('answer')} AS a FROM text_generations)"""
+ANSWERS_SQL = f"""ans AS (SELECT DISTINCT instance_id, TRUE AS multiple_choice, {sql_normalize('answer')} AS a FROM text_generations
+        UNION SELECT DISTINCT instance_id, FALSE, {sql_normalize('answer', False)} FROM text_generations)"""
 
 
 @register("e15_vote_accuracy", views=("text_generations",), sql=f"""
 WITH {VOTE_SQL}, {ANSWERS_SQL}
-SELECT v.ensemble_id, CAST(count(v.vote) AS BIGINT) AS n_predictions, CAST(count(ans.a) AS BIGINT) AS n_answers,
+SELECT v.ensemble_id, coalesce(v.multiple_choice, ans.multiple_choice) AS multiple_choice, CAST(count(v.vote) AS BIGINT) AS n_predictions, CAST(count(ans.a) AS BIGINT) AS n_answers,
        round(avg(CASE WHEN v.vote = ans.a THEN 1.0 ELSE 0.0 END), 6) AS accuracy
-FROM votes v FULL OUTER JOIN ans ON v.instance_id = ans.instance_id
-GROUP BY v.ensemble_id""")
+FROM votes v FULL OUTER JOIN ans ON v.instance_id = ans.instance_id AND v.multiple_choice = ans.multiple_choice
+GROUP BY ALL""")
 def e15_vote_accuracy(spark, d):
     """Ensemble accuracy against normalised answers, with a count audit (full outer join)."""
     votes = _votes(spark, d)
-    ans = (V.text_generations(spark, d).select("instance_id", normalize_generation(F.col("answer")).alias("a"))
-           .distinct())
-    j = votes.join(ans, "instance_id", "full_outer")
-    return j.groupBy("ensemble_id").agg(
+    ans = _both_kinds(V.text_generations(spark, d).select("instance_id", "answer").distinct(), "answer", "a").select("instance_id", "multiple_choice", "a").distinct()
+    j = votes.join(ans, ["instance_id", "multiple_choice"], "full_outer")
+    return j.groupBy("ensemble_id", "multiple_choice").agg(
         F.count("vote").alias("n_predictions"), F.count("a").alias("n_answers"),
         F.avg(F.when(F.col("vote") == F.col("a"), 1.0).otherwise(0.0)).alias("accuracy"))
 

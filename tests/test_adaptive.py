@@ -1,5 +1,6 @@
 """Running state over few hot keys, seeded Beta draws, perturbed copies."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -79,3 +80,54 @@ def test_perturbed_copies_replace_an_exact_number(spark):
     assert all(abs(big[0].split(" ").count(w) - 667) < 120 for w in words)
     vocabulary = P.vocabulary(spark.createDataFrame([("a b b",), ("c a",), (None,)], "text string"), "text", 2)
     assert len(vocabulary) == 2 and set(vocabulary) < {"a", "b", "c"}
+
+
+def plain_beta(a, b, key):
+    def uniform(k, tag):
+        return (int(hashlib.md5(f"{k}|{tag}".encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
+
+    def gamma(shape, k):
+        d = shape - 1 / 3
+        for i in range(64):
+            x = math.sqrt(-2 * math.log(uniform(k, f"r{i}"))) * math.cos(2 * math.pi * uniform(k, f"t{i}"))
+            v = (1 + x / math.sqrt(9 * d)) ** 3
+            if v > 0 and math.log(uniform(k, f"u{i}")) < 0.5 * x * x + d - d * v + d * math.log(v):
+                return d * v
+
+    x, y = gamma(a, key + "|a"), gamma(b, key + "|b")
+    return x / (x + y)
+
+
+def plain_search(batches, default, steps, seed):
+    """The two phases as a loop."""
+    n = {a: sum(x for x, _ in bs) if a == default else 0 for a, bs in batches.items()}
+    s = {a: sum(x for _, x in bs) if a == default else 0 for a, bs in batches.items()}
+    k, n_max = dict.fromkeys(batches, 0), {a: sum(x for x, _ in bs) for a, bs in batches.items()}
+    p = min(s[default] / n[default], 1 - 1e-9)
+    a0, b0 = max(p / (1 - p) * 5, 1.1), 5
+    history = []
+
+    def final(highest):
+        return (max if highest else min)((s[a] / n[a], f"arm_{a:02d}", a) for a in batches if n[a])[2]
+
+    for phase in (1, 2):
+        for step in range(steps):
+            draws = {a: plain_beta(a0 + s[a], b0 + n[a] - s[a], f"{seed}|{phase}|{step}|{a}") for a in batches if n[a] < n_max[a]}
+            if not draws:
+                break
+            pick = max(draws, key=lambda a: (draws[a], -a)) if phase == 1 else min(draws, key=lambda a: (draws[a], a))
+            bn, bs = batches[pick][k[pick]]
+            n[pick], s[pick], k[pick] = n[pick] + bn, s[pick] + bs, k[pick] + 1
+            history.append((phase, step, pick, final(phase == 1)))
+    last = lambda phase: [h[3] for h in history if h[0] == phase][-1:]
+    return history, (last(1) or [final(True)])[0], (last(2) or [final(False)])[0]
+
+
+def test_two_phase_search_against_a_plain_loop(spark):
+    rng = random.Random(8)
+    batches = {a: [(20, sum(rng.random() < 0.3 + a / 20 for _ in range(20))) for _ in range(3 + a % 3)] + [(7, 3)] for a in range(8)}
+    for chosen, steps in ((batches, 6), (batches, 30), ({a: batches[a] for a in (0, 1)}, 4), ({0: batches[0]}, 2)):
+        bc = spark.createDataFrame([(a, i, n, s) for a, bs in chosen.items() for i, (n, s) in enumerate(bs)], "arm long, batch_no long, n long, s long")
+        (r,) = B.two_phase_search(bc, 0, steps, 42).collect()
+        history, best, worst = plain_search(chosen, 0, steps, 42)
+        assert [tuple(h) for h in r.history] == history and (r.best_arm, r.worst_arm) == (best, worst)
