@@ -25,8 +25,8 @@ WS_CLASS = ("[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\
 ROMAN_TO_NUMBER = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6",
                    "vii": "7", "viii": "8", "ix": "9", "x": "10", "xi": "11", "xii": "12"}
 # Latin letters a..l and the lower-case Roman numeral signs U+2170.. map to 1..12 (rule).
-LATIN_TO_NUMBER = {chr(ord("a") + i): str(i + 1) for i in range(12)}
-FANCY_ROMAN_TO_NUMBER = {chr(0x2160 + i).lower(): str(i + 1) for i in range(12)}
+LATIN_TO_NUMBER = {"a": "1", "b": "2", "c": "3", "d": "4", "e": "5", "f": "6", "g": "7", "h": "8", "i": "9", "j": "10", "k": "11", "l": "12"}
+FANCY_ROMAN_TO_NUMBER = {"ⅰ": "1", "ⅱ": "2", "ⅲ": "3", "ⅳ": "4", "ⅴ": "5", "ⅵ": "6", "ⅶ": "7", "ⅷ": "8", "ⅸ": "9", "ⅹ": "10", "ⅺ": "11", "ⅻ": "12"}
 
 
 def clean_text(c: Column) -> Column:

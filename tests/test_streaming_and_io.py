@@ -12,16 +12,29 @@ from promptspread.sources import files as IO
 from tests.conftest import SF_SMALL
 
 
-def test_stream_running_accuracy_matches_batch(spark, tmp_path):
+def test_stream_running_accuracy_matches_batch_and_survives_a_restart(spark, tmp_path):
     from promptspread.sources import views as V
-    from promptspread.streaming.cumulative import start_running_accuracy
-    name = f"acc_{uuid.uuid4().hex[:8]}"
-    q = start_running_accuracy(spark, SF_SMALL, name, checkpoint=str(tmp_path / "ckpt"))
-    q.awaitTermination(120)
-    got = {r.arm: (r.cum_total, r.cum_successes) for r in spark.sql(f"SELECT * FROM {name}").collect()}
+    from promptspread.streaming.cumulative import BLOCKS, start_running_accuracy, totals
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    middle = events.selectExpr("percentile_approx(event_id, 0.4) AS m").first().m
+    folder, name = str(tmp_path / "in"), f"acc_{uuid.uuid4().hex[:8]}"
+
+    def run(part):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/new")
+        for f in os.listdir(f"{folder}/new"):   # the stream reads files named like the table
+            if f.endswith(".parquet") and not f.startswith("events"):
+                os.rename(f"{folder}/new/{f}", f"{folder}/events-{f}")
+        start_running_accuracy(spark, folder, name, checkpoint=str(tmp_path / "ckpt")).awaitTermination(120)
+        state = spark.sql(f"SELECT * FROM {name}")
+        assert state.groupBy("arm").count().agg(F.max("count")).first()[0] <= BLOCKS
+        return {r.arm: (r.cum_total, r.cum_successes) for r in totals(state).collect()}
+
     o = V.arm_outcomes(spark, SF_SMALL)
     want = {r.arm: (r.n, r.s) for r in o.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("s")).collect()}
-    assert got == want
+    first = run(F.col("event_id") <= middle)
+    assert sum(n for n, _ in first.values()) == events.where(F.col("event_id") <= middle).count() < events.count()
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    assert run(F.col("event_id") > middle) == want
 
 
 def _write(path, name, obj):
