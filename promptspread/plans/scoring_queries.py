@@ -286,22 +286,22 @@ def e25_prediction_log(spark, d):
 @register("f25_api_summary", views=("text_generations",), sql=f"""
 WITH {VOTE_SQL}, {ANSWERS_SQL},
 single AS (SELECT t.variant AS unit, avg(CASE WHEN {sql_normalize('t.generation')} = ans.a THEN 1.0 ELSE 0.0 END) AS acc
-           FROM text_generations t JOIN ans USING (instance_id) GROUP BY t.variant),
+           FROM text_generations t JOIN ans USING (instance_id) WHERE ans.multiple_choice GROUP BY t.variant),
 ensemble AS (SELECT v.ensemble_id AS unit, avg(CASE WHEN v.vote = ans.a THEN 1.0 ELSE 0.0 END) AS acc
-             FROM votes v JOIN ans USING (instance_id) GROUP BY v.ensemble_id),
+             FROM votes v JOIN ans ON ans.instance_id = v.instance_id AND ans.multiple_choice WHERE v.multiple_choice GROUP BY v.ensemble_id),
 u AS (SELECT 'single' AS kind, acc FROM single UNION ALL SELECT 'ensemble' AS kind, acc FROM ensemble)
 SELECT kind, round(max(acc) - min(acc), 6) AS spread, round(stddev_samp(acc), 6) AS std_accuracy,
        round(avg(acc), 6) AS mean_accuracy, round(median(acc), 6) AS median_accuracy
 FROM u GROUP BY kind""")
 def f25_api_summary(spark, d):
-    """spread / std / mean / median of accuracy for single formats and for ensembles."""
+    """spread / std / mean / median of accuracy for single formats and for ensembles (multiple choice)."""
     t = V.text_generations(spark, d)
     ans = t.select("instance_id", normalize_generation(F.col("answer")).alias("a")).distinct()
     single = (t.join(ans, "instance_id")
               .groupBy(F.col("variant").alias("unit"))
               .agg(F.avg(F.when(normalize_generation(F.col("generation")) == F.col("a"), 1.0).otherwise(0.0)).alias("acc"))
               .withColumn("kind", F.lit("single")))
-    ens = (_votes(spark, d).join(ans, "instance_id")
+    ens = (_votes(spark, d).where("multiple_choice").join(ans, "instance_id")
            .groupBy(F.col("ensemble_id").alias("unit"))
            .agg(F.avg(F.when(F.col("vote") == F.col("a"), 1.0).otherwise(0.0)).alias("acc"))
            .withColumn("kind", F.lit("ensemble")))
