@@ -125,7 +125,7 @@ def two_phase_search(bc: DataFrame, default_arm: int, steps: int, seed: int) ->
                      F.transform("arms", lambda a: F.lit(0)).alias("k"), F.array().cast(f"array<{event}>").alias("history"))
 
     def tried(s: Column) -> Column:
-        return F.filter(F.transform("arms", lambda a, i: F.struct((F.get(s["s"], i) / F.get(s["n"], i)).alias("acc"), a["label"].alias("label"), a["arm"].alias("arm"))), lambda t: t["acc"].isNotNull())
+        return F.filter(F.transform("arms", lambda a, i: F.struct(F.try_divide(F.get(s["s"], i), F.get(s["n"], i)).alias("acc"), a["label"].alias("label"), a["arm"].alias("arm"))), lambda t: t["acc"].isNotNull())
 
     def winner(s: Column, highest: Column) -> Column:
         return F.when(highest, F.array_max(tried(s))["arm"]).otherwise(F.array_min(tried(s))["arm"])

@@ -131,3 +131,16 @@ def test_two_phase_search_against_a_plain_loop(spark):
         (r,) = B.two_phase_search(bc, 0, steps, 42).collect()
         history, best, worst = plain_search(chosen, 0, steps, 42)
         assert [tuple(h) for h in r.history] == history and (r.best_arm, r.worst_arm) == (best, worst)
+
+
+def test_two_phase_search_with_untried_arms_under_ansi(spark):
+    batches = {a: [(20, 4 + a), (20, 9 + a), (5, a)] for a in range(5)}
+    bc = spark.createDataFrame([(a, i, n, s) for a, bs in batches.items() for i, (n, s) in enumerate(bs)], "arm long, batch_no long, n long, s long")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")   # Spark's default: dividing by the rows of an untried arm raised
+    try:
+        (r,) = B.two_phase_search(bc, 0, 3, 42).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    history, best, worst = plain_search(batches, 0, 3, 42)
+    assert [tuple(h) for h in r.history] == history and (r.best_arm, r.worst_arm) == (best, worst)
