@@ -87,3 +87,19 @@ def test_fingerprint_is_the_digest_of_digests_in_path_order(spark, tmp_path):
     assert (got.n_files, got.fingerprint) == (3, want)
     (tmp_path / "e" / "a.json").write_bytes(b" ")
     assert IO.fingerprint(spark, str(tmp_path / "e"), "*.json").first().fingerprint != want
+
+
+def test_digest_of_a_unit_whose_sum_leaves_a_bigint(spark):
+    n = 70_000   # sums of so many numbers of 48 bits are above 2^63
+    rows = spark.range(n).select(F.lit("u").alias("unit"), F.col("id").cast("string").alias("v"))
+    own = [hashlib.md5(str(i).encode()).hexdigest() for i in range(n)]
+    sums = [sum(int(h[at:at + 12], 16) for h in own) for at in (0, 12)]
+    assert max(sums) > 2 ** 63
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            (r,) = R.digests(rows, ["unit"]).collect()
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
+        assert (r.n, r.digest) == (n, f"{sums[0]}-{sums[1]}")
