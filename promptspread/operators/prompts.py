@@ -95,14 +95,18 @@ def perturbed(text: str, key: str, pct: float, words: list[str]) -> tuple[str, i
     return " ".join(tokens), n, k
 
 
-def with_perturbed(df: DataFrame, text: str, keys: list[str], copies: int, pct: float, words: list[str]) -> DataFrame:
+def with_perturbed(df: DataFrame, text: str, keys: list[str], copies: int, pct: float, words: list[str], keep: list[str] | None = None) -> DataFrame:
     """Every row once for each copy (``copy_id`` from 1), with its perturbed text, tokens and replaced tokens.
 
     ``keys`` are the string keys of a row; a copy's key is them and its number.  The
     copies are made where the text is: prompts hold whole demonstrations, and are
-    neither copied through a shuffle nor exploded into tokens.
+    neither copied through a shuffle nor exploded into tokens.  ``keep`` are the
+    columns of the rows to return (default: all); the text itself would come back
+    once for each copy.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("copy_id", T.IntegerType()), T.StructField("perturbed", T.StringType()),
+    own = [f for f in df.schema.fields if keep is None or f.name in keep]
+    df = df.select(*{c: None for c in [*(f.name for f in own), text, *keys]})   # nothing else goes to Python
+    schema = T.StructType([*own, T.StructField("copy_id", T.IntegerType()), T.StructField("perturbed", T.StringType()),
                            T.StructField("n_tokens", T.IntegerType()), T.StructField("n_replaced", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +114,7 @@ def with_perturbed(df: DataFrame, text: str, keys: list[str], copies: int, pct:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 rows = list(zip(batch.column(text).to_pylist(), *(batch.column(k).to_pylist() for k in keys)))
                 out = [(c, *perturbed(t or "", "|".join([*map(str, key), str(c)]), pct, words)) for t, *key in rows for c in range(1, copies + 1)]
-                again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
+                again = batch.select([f.name for f in own]).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
                 columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*again.columns, *columns], names=schema.names)
 

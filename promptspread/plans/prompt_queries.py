@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from promptspread.operators import splits as SP
 from promptspread.operators.scoring import output_classes
 from promptspread.plans import format_queries as FQ
 from promptspread.plans.registry import register
+from promptspread.session import shared_path
 from promptspread.sources import views as V
 from promptspread.sources.tables import table
 
@@ -66,13 +68,23 @@ DEF_SQL = "concat('Identify the language of each ', task, ' text.')"
 
 
 def demo_blocks(spark, d):
-    inst = V.instances(spark, d)
-    demos = inst.where(F.col("ord") < N_SHOT).select("task", "ord", "input", "answer")
-    j = demos.join(task_formats(spark, d), "task")
+    return _blocks(V.instance_heads(spark, d, N_SHOT)[0], task_formats(spark, d)).select("task", "format_id", "block")
+
+
+def _blocks(heads, formats):
+    """(task, format_id, tmpl_in, block): each format's demonstrations, from rows that hold the tasks' first places."""
+    demos = heads.where(F.col("ord") < N_SHOT).select("task", "ord", "input", "answer")
+    j = demos.join(formats, "task")
     j = j.withColumn("demo", P.fill_template(F.col("tmpl_demo"), F.array("input", "answer")))
-    g = j.groupBy("task", "format_id").agg(F.sort_array(F.collect_list(F.struct("ord", "demo"))).alias("ds"))
-    return g.select("task", "format_id", P.demo_block(definition(F.col("task")),
-                                                      F.transform("ds", lambda s: s["demo"])).alias("block"))
+    g = j.groupBy("task", "format_id").agg(F.first("tmpl_in").alias("tmpl_in"), F.sort_array(F.collect_list(F.struct("ord", "demo"))).alias("ds"))
+    return g.select("task", "format_id", "tmpl_in", P.demo_block(definition(F.col("task")), F.transform("ds", lambda s: s["demo"])).alias("block"))
+
+
+def _stored(spark, rows, name):
+    """A small table kept in the shared folder, so that it is computed once and the planner knows its size."""
+    path = shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 DEMO_SQL = f"""{TF_SQL},
@@ -83,9 +95,16 @@ blocks AS (SELECT task, format_id, concat({DEF_SQL}, chr(10) || chr(10), string_
 
 
 def prompts(spark, d, shots=(N_SHOT,)):
-    """Full prompts of all evaluation rows, for each number of shots (0: the formatted input alone)."""
-    ev = V.instances(spark, d).where(F.col("ord") >= N_EVAL_FROM).select("task", "instance_id", "input", "answer")
-    j = ev.join(task_formats(spark, d), "task").join(demo_blocks(spark, d), ["task", "format_id"])
+    """Full prompts of all evaluation rows, for each number of shots (0: the formatted input alone).
+
+    Only where a task's order is cut matters (demonstrations before, evaluation rows behind), so texts meet their
+    task's formats and demonstrations where they are read.
+    """
+    heads, rest = V.instance_heads(spark, d, max(N_SHOT, N_EVAL_FROM))
+    heads = _stored(spark, heads, "heads")   # a few rows a task
+    ev = heads.where(F.col("ord") >= N_EVAL_FROM).drop("ord").unionByName(rest)
+    # one join by task, against a few rows for each; the planner broadcasts them unless there are very many
+    j = ev.join(_stored(spark, _blocks(heads, task_formats(spark, d)), "blocks"), "task")
     filled = P.fill_template(F.col("tmpl_in"), F.array("input"))
     each = F.array(*[F.struct(F.lit(n).alias("n_shot"), P.full_prompt(F.col("block"), filled, n).alias("prompt")) for n in shots])
     return j.select("task", "format_id", "instance_id", "answer", F.explode(each).alias("p")).select("task", "format_id", "instance_id", "answer", "p.prompt", "p.n_shot")
@@ -184,7 +203,7 @@ def d6_perturbed_copies(spark, d):
     """Two perturbed copies of every evaluation prompt, exactly floor(n * 10%) tokens replaced by vocabulary tokens."""
     words = P.vocabulary(V.instances_base(spark, d), "input", VOCABULARY)
     p = prompts(spark, d).withColumn("seed", F.lit(str(AUG_SEED)))
-    x = P.with_perturbed(p, "prompt", ["seed", "format_id", "instance_id"], 2, PCT, words)
+    x = P.with_perturbed(p, "prompt", ["seed", "format_id", "instance_id"], 2, PCT, words, keep=["task", "format_id", "instance_id"])
     return x.select("task", "format_id", "instance_id", "copy_id", "n_tokens", "n_replaced", F.md5("perturbed").alias("text_md5"))
 
 

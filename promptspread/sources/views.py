@@ -76,9 +76,33 @@ def instances_base(spark: SparkSession, d: str) -> DataFrame:
                                                F.col("text").alias("input"), F.col("lang").alias("answer"))
 
 
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return instances_base(spark, d).withColumn("__k", F.md5(F.concat(F.lit("23|"), F.col("instance_id").cast("string"))))
+
+
+def instance_heads(spark: SparkSession, d: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """V5 in two parts that need no place of the other rows: (heads, rest).
+
+    ``heads`` (task, instance_id, input, answer, ord) has each task's first ``n``
+    places, and those after them with the n-th place's key (rows with one id share a
+    key); ``rest`` (the same without ord) all later ones.  Keys alone tell where a
+    task is cut, one row a task, so the texts of the rest are never shuffled.  As in
+    V5, rows without an id take the first places but no part.
+    """
+    docs = _keyed(spark, d)
+    place = F.row_number().over(Window.partitionBy("task").orderBy("__k"))
+    first = docs.select("task", "__k", place.alias("__rn")).where(F.col("__rn") <= n)
+    cut = first.groupBy("task").agg(F.max("__k").alias("__last"), F.count_if(F.col("__k").isNull()).alias("__nulls"))
+    marked = docs.where(F.col("__k").isNotNull()).join(F.broadcast(cut), "task")
+    ord_ = F.row_number().over(Window.partitionBy("task").orderBy("__k", "input", "answer")) - 1 + F.col("__nulls")
+    columns = ["task", "instance_id", "input", "answer"]
+    return (marked.where(F.col("__k") <= F.col("__last")).select(*columns, ord_.cast("bigint").alias("ord")),
+            marked.where(F.col("__last").isNull() | (F.col("__k") > F.col("__last"))).select(*columns))
+
+
 def instances(spark: SparkSession, d: str) -> DataFrame:
     """V5: (task, instance_id, input, answer, ord); ord = md5-seeded permutation within task."""
-    docs = instances_base(spark, d).withColumn("__k", F.md5(F.concat(F.lit("23|"), F.col("instance_id").cast("string"))))
+    docs = _keyed(spark, d)
     ranked = hashed_rank(docs, ["task"], "__k", out_col="__rn")
     return ranked.select("task", "instance_id", "input", "answer",
                          (F.col("__rn") - 1).cast("bigint").alias("ord"))
