@@ -157,7 +157,7 @@ def a13_emit_prompts(spark, d):
     """Rendered prompts and answers written per (task, format) as JSON Lines, read back."""
     path = _dir(spark, "prompts")
     IO.write_jsonl(PQ.prompts(spark, d).select("task", "format_id", "instance_id", "prompt", "answer"), path,
-                   ["task", "format_id"])
+                   ["task", "format_id"], compression="gzip")   # every line repeats its format's demonstrations
     back = spark.read.schema("instance_id bigint, prompt string, answer string, task string, format_id bigint").json(path)
     return back.groupBy("task", "format_id").agg(F.count(F.lit(1)).alias("n_prompts"),
                                                  F.sum(F.length("prompt")).alias("n_chars"))

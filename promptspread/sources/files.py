@@ -73,9 +73,9 @@ def read_conversation_csv(spark: SparkSession, path: str, column: str = "convers
     return parsed.where(F.col("turns").isNotNull()), parsed.where(F.col("turns").isNull())
 
 
-def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """JSON Lines sink (one record per line), optional partition columns."""
-    w = df.write.mode("overwrite")
+def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str = "none") -> None:
+    """JSON Lines sink (one record per line), optional partition columns and compression."""
+    w = df.write.mode("overwrite").option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.json(path)

@@ -2,12 +2,15 @@
 
 import hashlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from promptspread.operators import prompts as P
+from promptspread.plans import QUERIES
 from promptspread.plans import prompt_queries as PQ
+from promptspread.sources import files as IO
 from promptspread.sources import views as V
 
 
@@ -70,3 +73,13 @@ def test_perturbed_copies_return_only_the_columns_asked_for(spark):
     some = P.with_perturbed(df, "text", ["id"], 2, 0.1, words, keep=["extra"])
     assert some.columns == ["extra", "copy_id", "perturbed", "n_tokens", "n_replaced"]
     assert sorted(some.collect()) == sorted(whole.select(*some.columns).collect())
+
+
+def test_emitted_prompts_are_compressed_and_whole(spark, folder, tmp_path):
+    path, _ = folder
+    p = PQ.prompts(spark, path).select("task", "format_id", "instance_id", "prompt", "answer")
+    IO.write_jsonl(p, str(tmp_path / "p"), ["task", "format_id"], compression="gzip")
+    assert all(f.name.endswith(".json.gz") for f in Path(tmp_path / "p").rglob("part-*"))
+    got = {(r.task, r.format_id): (r.n_prompts, r.n_chars) for r in QUERIES["a13_emit_prompts"](spark, path).collect()}
+    want = {(r.task, r.format_id): (r.n, r.c) for r in p.groupBy("task", "format_id").agg(F.count("*").alias("n"), F.sum(F.length("prompt")).alias("c")).collect()}
+    assert got == want and got
