@@ -29,11 +29,12 @@ def _with(codes: Column, slot: Column, code: Column) -> Column:
 
 def valid_codes(codes: Column) -> Column:
     """Whether an assignment of the row's layout is valid."""
-    return F.transform(F.array(S.applied(codes)), lambda a: S.is_valid(a["cells"]))[0]
+    return F.transform(F.array(codes), S.gives_valid)[0]   # bound, or every write would compute the assignment again
 
 
-def _step(codes: Column, start: Column, unlike: Column | None = None) -> Column:
-    """The first valid neighbour in the order that begins at ``start``: struct(slot, code), null if there is none."""
+def _step(codes: Column, start: Column, unlike: tuple[Column, Column] | None = None) -> Column:
+    """The first valid neighbour in the order that begins at ``start``: struct(slot, code), null if there is none;
+    ``unlike`` is a format that ``codes`` differs from in one slot, and that slot: no step leads back to it."""
     t = S.Table("slot code", [[(i, c) for i, s in enumerate(r.slots) for c in S.mode_codes("random")[s[0]]] for r in L.RELATIONS.values()])
     n = t.size()
 
@@ -44,9 +45,8 @@ def _step(codes: Column, start: Column, unlike: Column | None = None) -> Column:
 
     def fits(m: Column) -> Column:
         new = S.first_name(m["code"]) != S.first_name(F.get(codes, m["slot"]))
-        if unlike is not None:   # not back to the first format
-            pairs = F.arrays_zip(_with(codes, m["slot"], m["code"]).alias("x"), unlike.alias("y"))
-            new = new & F.exists(pairs, lambda p: S.first_name(p["x"]) != S.first_name(p["y"]))
+        if unlike is not None:
+            new = new & ((m["slot"] != unlike[1]) | (S.first_name(m["code"]) != S.first_name(F.get(unlike[0], m["slot"]))))
         return new & valid_codes(_with(codes, m["slot"], m["code"]))
 
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(None).cast("struct<slot: int, code: int>"), test)
@@ -61,7 +61,7 @@ def paths(valid: DataFrame) -> DataFrame:
     found = lambda m: m.isNotNull()
     x = S.held(valid, "_s1", _step(F.col("codes"), _start("first", "template", "format_id")), found)
     x = S.held(x, "v1", _with(F.col("codes"), F.col("_s1.slot"), F.col("_s1.code")))
-    x = S.held(x, "_s2", _step(F.col("v1"), _start("second", "template", "format_id"), F.col("codes")), found)
+    x = S.held(x, "_s2", _step(F.col("v1"), _start("second", "template", "format_id"), (F.col("codes"), F.col("_s1.slot"))), found)
     out = x.select("*", F.col("_s1.slot").alias("slot1"), F.col("_s1.code").alias("code1"), F.col("_s2.slot").alias("slot2"), F.col("_s2.code").alias("code2"))
     return out.withColumn("v2", _with(F.col("v1"), F.col("slot2"), F.col("code2"))).drop("_s1", "_s2")
 

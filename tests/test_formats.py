@@ -248,3 +248,23 @@ def test_duplicate_names_and_placeholders(spark):
     one[kinds("task220").index("chosen_number_format")] = 1
     df = S.evaluated(spark.createDataFrame([(S.NAMES.index("task220"), codes("task220", *one))], "number int, codes array<int>"))
     assert df.select(S.filled_in(F.lit("{enum0_1}-{enum0_5} {enum1_2} {other}"), F.col("cells")).alias("t")).first().t == "A-E 2 {other}"
+
+
+def test_validity_without_cells_and_cells_by_last_accepted_write(spark):
+    rows = S.with_layouts(spark.range(40).withColumnRenamed("id", "format_id"))
+    x = S.drawn(rows, "v").select("*", S.gives_valid(F.col("codes")).alias("short"))
+    n, n_valid = 0, 0
+    for r in S.evaluated(x).collect():
+        rel = L.RELATIONS[r.template]
+        cells, rejected = [c[1] for c in rel.cells], 0
+        newline, empty, blank = (lambda c, m=m: bool(m >> c & 1) for m in (L.NEWLINE, L.EMPTY, L.BLANK))
+        for (_, cell, rule, sep, gap, space), value in zip(rel.slots, r.codes):
+            now = [value if c == cell else old for c, old in enumerate(cells)]
+            nl = lambda c: c >= 0 and newline(now[c])  # noqa: B023, E731
+            fits = {L.ALWAYS: True, L.BLANK_ONLY: blank(value), L.NOT_EMPTY: not empty(value), L.WITH_NEWLINE: not (nl(sep) or nl(gap)) or nl(space)}[rule]
+            cells, rejected = (now, rejected) if fits else (cells, rejected + 1)
+        valid = (all(not newline(cells[a]) or newline(cells[b]) for a, b in rel.implies) and not any(empty(cells[c]) for c in rel.filled)
+                 and all(blank(cells[c]) for c in rel.blank))
+        assert (list(r.cells), r.rejected, r.valid, r.short) == (cells, rejected, valid, valid)
+        n, n_valid = n + 1, n_valid + valid
+    assert n == 40 * len(S.NAMES) and n // 4 < n_valid < n
