@@ -219,7 +219,10 @@ SELECT r.template, CAST(r.format_id AS BIGINT) AS format_id, md5(r.format_text)
 FROM r JOIN o USING (template, format_text)""")
 def c23_register_formats(spark, d):
     """The register of format texts: the default first, then texts as first seen, and every assignment that gives one."""
-    rows = valid_texts(spark, d).select("template", "format_id", "format_text").unionByName(default_texts(spark)).withColumn("h", F.md5("format_text"))
+    texts = valid_texts(spark, d).select("template", "format_id", "format_text").unionByName(default_texts(spark))
+    path = S.shared_path(spark, f"register-{S.uuid.uuid4().hex}")   # two readers: drawn and rendered once, kept as digests
+    texts.select("template", "format_id", F.md5("format_text").alias("h")).write.parquet(path)
+    rows = spark.read.schema("template string, format_id bigint, h string").parquet(path)
     seen = rows.groupBy("template", "h").agg(F.min("format_id").alias("first_id"), F.count("*").alias("n_same"))
     ranked = bucketed_rank(seen, ["template"], ["first_id"], F.floor(F.col("first_id") / 4096), "rn")
     x = rows.select("template", "format_id", "h").join(ranked, ["template", "h"])
