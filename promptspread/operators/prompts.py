@@ -68,31 +68,33 @@ def vocabulary(df: DataFrame, text: str, size: int) -> list[str]:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spread 32-bit numbers over 32 bits, one to one."""
+    """Spread 32-bit numbers over 32 bits, one to one (products wrap around)."""
     for _ in range(2):
-        x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) & np.uint64(0xFFFFFFFF)
-    return x ^ (x >> np.uint64(16))
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(73244475)
+    return x ^ (x >> np.uint32(16))
 
 
-def _numbers(key: str, n: int) -> np.ndarray:
-    """n different 32-bit numbers that follow from the key."""
-    start = np.uint64(int(hashlib.md5(key.encode()).hexdigest()[:8], 16))
-    return _mixed((start + np.arange(n, dtype=np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF))
+def _numbers(key: str, places: np.ndarray) -> np.ndarray:
+    """Different 32-bit numbers for these places, which follow from the key."""
+    return _mixed(places * np.uint32(2654435761) + np.uint32(int(hashlib.md5(key.encode()).hexdigest()[:8], 16)))
 
 
-def perturbed(text: str, key: str, pct: float, words: list[str]) -> tuple[str, int, int]:
-    """The text with floor(n * pct) of its n tokens replaced, n and that number.  The places with the smallest keyed
-    numbers are taken (a selection, no sort), so their number is exact; the new tokens come from ``words``."""
+def perturbed(text: str, keys: list[str], pct: float, words: list[str]) -> list[tuple[str, int, int]]:
+    """For each key the text with floor(n * pct) of its n tokens replaced, n and that number.  The places with the smallest
+    keyed numbers are taken (a selection, no sort), so their number is exact; the new tokens come from ``words``."""
     tokens = text.split(" ")
     n = len(tokens)
     k = int(n * pct)
-    if k and words:
-        order = _numbers(key, n)
-        places = np.argpartition(order, k - 1)[:k]
-        picks = _numbers(key + "|v", n)[places] % np.uint64(len(words))
-        for i, w in zip(places.tolist(), picks.tolist()):
-            tokens[i] = words[w]
-    return " ".join(tokens), n, k
+    every, out = np.arange(n, dtype=np.uint32), []
+    for key in keys:
+        copy = tokens.copy()
+        if k and words:
+            places = np.argpartition(_numbers(key, every), k - 1)[:k]
+            picks = _numbers(key + "|v", places.astype(np.uint32)) % np.uint32(len(words))
+            for i, w in zip(places.tolist(), picks.tolist()):
+                copy[i] = words[w]
+        out.append((" ".join(copy), n, k))
+    return out
 
 
 def with_perturbed(df: DataFrame, text: str, keys: list[str], copies: int, pct: float, words: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -113,7 +115,8 @@ def with_perturbed(df: DataFrame, text: str, keys: list[str], copies: int, pct:
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
                 rows = list(zip(batch.column(text).to_pylist(), *(batch.column(k).to_pylist() for k in keys)))
-                out = [(c, *perturbed(t or "", "|".join([*map(str, key), str(c)]), pct, words)) for t, *key in rows for c in range(1, copies + 1)]
+                numbered = range(1, copies + 1)
+                out = [(c, *one) for t, *key in rows for c, one in zip(numbered, perturbed(t or "", ["|".join([*map(str, key), str(c)]) for c in numbered], pct, words))]
                 again = batch.select([f.name for f in own]).take(pa.array(np.repeat(np.arange(batch.num_rows), copies)))
                 columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*again.columns, *columns], names=schema.names)
