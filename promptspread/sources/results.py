@@ -118,8 +118,13 @@ def digests(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, digest): number of rows and a digest of each unit's content that no order changes."""
     rest = sorted(c for c in rows.columns if c not in keys)
     own = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in rest]))
-    half = lambda at: F.conv(F.substring(own, at, 12), 16, 10).cast("decimal(20,0)")  # noqa: E731  (sums of 48 bits leave a bigint behind after 2^15 rows)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.concat_ws("-", *[F.sum(half(at)).cast("string") for at in (1, 13)]).alias("digest"))
+    half = lambda at: F.conv(F.substring(own, at, 12), 16, 10).cast("bigint")
+
+    def total(x):   # of numbers of 48 bits, whose sum a bigint would not hold: by their upper and lower 24 bits
+        upper, lower = F.sum(F.shiftright(x, 24)), F.sum(x.bitwiseAND(F.lit((1 << 24) - 1)))
+        return upper.cast("decimal(20,0)") * F.lit(1 << 24).cast("decimal(8,0)") + lower.cast("decimal(20,0)")
+
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.concat_ws("-", *[total(half(at)).cast("string") for at in (1, 13)]).alias("digest"))
 
 
 def commit(spark: SparkSession, rows: DataFrame, keys: list[str], path: str) -> None:
