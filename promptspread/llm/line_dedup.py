@@ -1,13 +1,14 @@
 """Operator 10, line dedup by a segment-partition edit join (DataFrame functions only).
 
 Lines within ``edits`` insertions, deletions or substitutions of each other are
-linked, and connected lines are one class.  A line is cut into ``edits + 1``
-segments; a line within reach must contain one of them unchanged, at one of few
-places that follow from both lengths.  Segments are indexed under (length,
-segment, hash); every line probes the lengths up to ``edits`` below its own at
-those places.  Before a hit becomes a pair it must pass two lower bounds carried
-in one number, twelve letter counts modulo 16 (an edit moves them by at most two
-together).  Pairs are verified by a banded bit-parallel edit distance: a column of ``2 * edits + 1``
+linked, and connected lines are one class.  A line has ``edits + 1`` windows; two
+lines within reach share one of them unchanged, at its place or at one of few
+next to it.  Windows follow from ranges of lengths, so that lines of nearby
+lengths meet by one hash a window.  What is exchanged for all lines are numbers
+only: hashes and, in one number, twelve letter counts modulo 16 (an edit
+moves them by at most two together) and the length, two lower bounds that a hit must
+pass before it becomes a pair.  Texts are read again for the lines in pairs.
+Pairs are verified by a banded bit-parallel edit distance: a column of ``2 * edits + 1``
 cells is a few bits, updated with integer operations per character.
 
 Lines are identified by a 64-bit hash; n distinct lines share one by accident
@@ -40,29 +41,28 @@ EDITS = 2
 LEAST = 20
 LETTERS = "etaonisrhdlu"  # counted by ``traits``: four bits each
 VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
-SAME_LENGTH = 1 << 48     # set in a probe's traits if it looks for lines of its own length
+LENGTH_AT, LENGTHS = 48, 1 << 12   # the length modulo 4096 stands behind them,
+SHIFTED_AT = 60                    # and whether a window is looked for away from its place
+SHIFTED = 1 << SHIFTED_AT
 
 
 def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start from 1, length) of the i-th of edits + 1 segments; the last ones are a character longer if need be."""
-    parts = edits + 1
-    base, longer = F.floor(length / parts), length % parts
-    extra = F.greatest(F.lit(i) - (parts - longer), F.lit(0))
-    return (base * i + extra + 1).cast("int"), (base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)).cast("int")
+def windows(low: Column, edits: int) -> list[tuple[int, bool, list[int], Column, Column]]:
+    """(number, whether placed from the end, shifts, offset, length) of the ``edits + 1`` windows of lines of ``low`` code points or more.
 
-
-def places(edits: int) -> list[tuple[int, int, int]]:
-    """(how much shorter the indexed line is, segment, shift of its place) for all probes of a line."""
-    out = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            out += [(shorter, i, shift) for shift in range(low, high + 1)]
+    Windows share no place in any such line.  If ``edits`` edits separate two lines, then for some i there are exactly i edits before the
+    i-th window of one line and at most ``edits - i`` behind it, and the other line has it unchanged, moved by as many places at most (the
+    first window never moves from the start, the last never from the end).  With up to two edits a window in the middle has exactly
+    the first edit before it, so that of the two lines' windows one is moved forward or not at all; with more, both ways are tried.
+    """
+    parts, out = edits + 1, []
+    for i in range(parts):
+        start, stop = (F.floor(low * j / parts).cast("int") for j in (i, i + 1))
+        far = min(i, edits - i)
+        out.append((i, 2 * i > edits, list(range(0 if edits <= 2 else -far, far + 1)), start, stop - start))
     return out
 
 
@@ -70,7 +70,7 @@ def traits(line: Column) -> Column:
     """Letter counts modulo 16, four bits each, in one number."""
     out = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        count = F.length(line) - F.length(F.replace(line, F.lit(letter)))
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter)))  # a letter is one byte
         out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
     return out
 
@@ -150,27 +150,46 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return F.transform(F.array(rest), middle)[0]
 
 
-def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
+    """(a, s, t): the hashed windows of every different line of (a, line), and its traits, length and whether the window is shifted in one number.
+
+    Windows follow from the lowest length of a range of lengths; a line whose
+    possible shorter neighbours begin in the range below has that range's windows too.
+    """
+    width, size = 4 * max(edits, 2), F.length("line")
+    low = lambda n: F.greatest(n - F.pmod(n - least, F.lit(width)), F.lit(0))
+    own, below = low(size), low(size - edits)
+    facts = {"t": traits(F.col("line")).bitwiseOR(F.shiftleft(size.bitwiseAND(F.lit(LENGTHS - 1)).cast("long"), LENGTH_AT))}
+    moved = {}
+    for name, bottom, there in (("own", own, None), ("below", below, own != below)):
+        for i, back, shifts, offset, length in windows(bottom, edits):
+            start = (size - bottom if back else F.lit(0)) + offset + 1
+            for shift in shifts:
+                key = F.xxhash64(bottom, F.lit(i), F.substring(F.col("line"), start + shift, length))
+                column = f"{name}_{i}_{shift + edits}"
+                facts[column], moved[column] = (key if there is None else F.when(there, key)), shift != 0
+    # only numbers are exchanged, equal lines meet in a hash aggregate
+    each = lines.select("a", *[c.alias(name) for name, c in facts.items()]).groupBy("a").agg(*[F.min(name).alias(name) for name in facts])
+    marks = [F.struct(F.col(c).alias("s"), F.col("t").bitwiseOR(F.lit(SHIFTED if m else 0)).alias("t")) for c, m in moved.items()]
+    return each.select("a", F.explode(F.array(*marks)).alias("e")).select("a", "e.s", "e.t").where("s IS NOT NULL")
+
+
+def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a, b, ahead): hashes of different lines within ``edits`` edits, from rows (a, line), a < b, and whether a's digest is the smaller one."""
-    distinct = lines.select("a", "line", traits(F.col("line")).alias("t")).groupBy("a").agg(F.first("line").alias("line"), F.first("t").alias("t"))
-    size = F.length("line")
-
-    def signature(shorter: int, i: int, shift: int) -> Column:
-        start, length = _segment(size - shorter, i, edits)
-        return F.xxhash64(size - shorter, F.lit(i), F.substring(F.col("line"), start + shift, length))
-
-    index = distinct.select(F.col("a").alias("x"), F.col("t").alias("tx"), F.explode(F.array(*[signature(0, i, 0) for i in range(edits + 1)])).alias("s"))
-    probe = [F.struct(signature(*p).alias("s"), F.col("t").bitwiseOR(F.lit(0 if p[0] else SAME_LENGTH)).alias("ty")) for p in places(edits)]
-    probes = distinct.select(F.col("a").alias("y"), F.explode(F.array(*probe)).alias("e")).select("y", "e.*")
-    # lines of equal length would meet from both sides
-    once = (F.col("ty") < SAME_LENGTH) | (F.col("x") < F.col("y"))
-    hits = index.join(probes, "s").where((F.col("x") != F.col("y")) & once & may_match(F.col("tx"), F.col("ty"), edits))
-    pairs = hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    # the same columns as above, so that the lines' one exchange serves the joins too
-    left = distinct.select("a", F.col("line").alias("p"), F.col("t").alias("tp"))
-    right = distinct.select(F.col("a").alias("b"), F.col("line").alias("q"), F.col("t").alias("tq"))
-    near = may_match(F.col("tp"), F.col("tq"), edits) & within(F.col("p"), F.col("q"), edits)
-    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b", (F.md5("p") < F.md5("q")).alias("ahead"))
+    marks = signatures(lines, edits, least)
+    one = marks.select("s", F.col("a").alias("x"), F.col("t").alias("tx"))
+    other = marks.select("s", F.col("a").alias("y"), F.col("t").alias("ty"))
+    # windows at their place meet once, a shifted one meets those at their place; conditions on both sides, so that one exchange serves both
+    shifted = lambda t: F.shiftright(t, SHIFTED_AT)
+    once = (shifted(F.col("tx")) + shifted(F.col("ty")) == F.lit(0)) & (F.col("x") < F.col("y")) | (shifted(F.col("tx")) < shifted(F.col("ty"))) & (F.col("x") != F.col("y"))
+    apart = (F.shiftright("tx", LENGTH_AT) - F.shiftright("ty", LENGTH_AT) + edits).bitwiseAND(F.lit(LENGTHS - 1))
+    hits = one.join(other, "s").where(once & (apart <= 2 * edits) & may_match(F.col("tx"), F.col("ty"), edits))
+    pairs = stored(hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line_pairs")
+    # texts of the lines in pairs only; as a table their size is known, so that few are broadcast and no other text is exchanged
+    named = stored(pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "line_names")
+    texts = lines.join(named, "a", "left_semi").groupBy("a").agg(F.first("line").alias("line"))
+    left, right = texts.select("a", F.col("line").alias("p")), texts.select(F.col("a").alias("b"), F.col("line").alias("q"))
+    return pairs.join(left, "a").join(right, "b").where(within(F.col("p"), F.col("q"), edits)).select("a", "b", (F.md5("p") < F.md5("q")).alias("ahead"))
 
 
 def place() -> Column:
@@ -185,7 +204,7 @@ def _lines_and_edges(df: DataFrame, id_: str, text: str, edits: int, least: int)
     hashed = F.transform(split_lines(F.col("t")), lambda x: F.when(F.length(x) >= least, F.xxhash64(x)))
     occurrences = stored(docs.select("id", "h", F.posexplode_outer(hashed).alias("no", "a")), "line_places")
     lines = docs.select(F.explode(split_lines(F.col("t"))).alias("line")).where(F.length("line") >= least).select(F.xxhash64("line").alias("a"), "line")
-    return occurrences, stored(line_links(lines, edits), "line_edges")
+    return occurrences, stored(line_links(lines, edits, least), "line_edges")
 
 
 def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -197,15 +216,17 @@ def classes(df: DataFrame, id_: str = "doc_id", text: str = "text", edits: int =
     """
     occurrences, edges = _lines_and_edges(df, id_, text, edits, least)
     counted = occurrences.where("a IS NOT NULL")
-    # per distinct line, then per class; only then to the places
+    # per distinct line, then per class of linked ones; only those that are not alone then go to the places
     own = stored(counted.groupBy("a").agg(F.min(place()).alias("start"), F.count("*").alias("n")), "line_starts")
-    member = components(edges).select(F.col("node").alias("a"), "component")
-    named = own.join(member, "a", "left").withColumn("c", F.coalesce("component", "a"))
-    whole = named.groupBy("c").agg(F.min("start").alias("class"), F.sum("n").alias("total"))
-    facts = named.join(whole, "c").join(near_kept(edges).select("a", F.lit(True).alias("near")), "a", "left").select("a", "start", "class", F.col("total").alias("n"), "near")
+    linked = own.join(components(edges).select(F.col("node").alias("a"), "component"), "a")
+    whole = linked.groupBy("component").agg(F.min("start").alias("class"), F.sum("n").alias("total"))
+    member = stored(linked.select("a", "component").join(whole, "component").select("a", "class", "total"), "line_members")
+    near = near_kept(edges).select("a", F.lit(True).alias("near"))
+    facts = own.join(member, "a", "left").join(near, "a", "left").select("a", "start", F.coalesce("class", "start").alias("class"), F.coalesce("total", "n").alias("n"), "near").where("n > 1")
     placed = occurrences.join(facts, "a", "left")
-    kept = F.col("a").isNull() | (F.col("near").isNull() & (F.col("start") == place()))
-    return placed.select("id", "h", "no", "a", "class", "n", kept.alias("kept")), edges
+    counts = F.col("a").isNotNull()
+    kept = F.col("near").isNull() & F.coalesce(F.col("start") == place(), F.lit(True))
+    return placed.select("id", "h", "no", "a", F.when(counts, F.coalesce("class", place())).alias("class"), F.when(counts, F.coalesce("n", F.lit(1))).alias("n"), kept.alias("kept")), edges
 
 
 def near_kept(edges: DataFrame) -> DataFrame:

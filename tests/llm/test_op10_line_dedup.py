@@ -140,3 +140,22 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
         if i - 1 not in kept and i + 1 not in kept:
             kept.add(i)
     assert gone == set(range(1000)) - kept and len(rounds) <= 12
+
+
+def test_links_of_windows_for_several_edits(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abé😀 ") for _ in range(n)) for n in (6, 7, 9, 14, 21, 22, 27, 28, 29, 36, 44, 61)]
+    texts = sorted({edit(rng, x, rng.randrange(5)) for x in base for _ in range(12)})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "a long, line string")
+    pairs = {(i, j): d for i, j in itertools.combinations(range(len(texts)), 2) if (d := distance(texts[i], texts[j])) <= 4}
+    for edits, least in ((1, 1), (2, 1), (2, 20), (3, 5), (4, 1)):
+        got = [(r.a, r.b) for r in line_dedup.line_links(rows, edits, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p, d in pairs.items() if d <= edits}, (edits, least)
+
+
+def test_few_numbers_a_line_are_exchanged(spark):
+    rows = spark.createDataFrame([(n, "x" * n) for n in range(20, 84)] * 3, "a long, line string")
+    marks = line_dedup.signatures(rows, 2, 20)
+    assert {t for _, t in marks.dtypes} == {"bigint"} and marks.count() == 64 * 4 * 10 // 8
+    above, exchange, _ = marks._jdf.queryExecution().executedPlan().toString().partition("Exchange")
+    assert exchange and "line#" not in above
