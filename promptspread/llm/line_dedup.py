@@ -8,6 +8,10 @@ lengths meet by one hash a window.  What is exchanged for all lines are numbers
 only: hashes and, in one number, twelve letter counts modulo 16 (an edit
 moves them by at most two together) and the length, two lower bounds that a hit must
 pass before it becomes a pair.  Texts are read again for the lines in pairs.
+A window that many lines have in common says little about a pair, as among
+copies with many edits each.  It is divided: the same rule holds for what is left of it
+and for what is right, with the edits left to either, so that the lines meet by a window
+there as well, round after round, until few lines share all that was asked for.
 Pairs are verified by a banded bit-parallel edit distance: a column of ``2 * edits + 1``
 cells is a few bits, updated with integer operations per character.
 
@@ -44,6 +48,8 @@ VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
 LENGTH_AT, LENGTHS = 48, 1 << 12   # the length modulo 4096 stands behind them,
 SHIFTED_AT = 60                    # and whether a window is looked for away from its place
 SHIFTED = 1 << SHIFTED_AT
+HOT = 64    # a window of more lines than this is divided further,
+PIECE = 8   # as long as a stretch of so many code points is left beside it
 
 
 def split_lines(text: Column) -> Column:
@@ -84,6 +90,15 @@ def may_match(x: Column, y: Column, edits: int) -> Column:
     return moved <= 2 * edits
 
 
+def pair_bits(line: Column) -> Column:
+    """A number whose bit b tells whether an odd count of neighbouring characters hash to b; an edit flips four bits at most."""
+    def bits(chars: Column) -> Column:
+        hashed = F.transform(chars, lambda c, i: F.pmod(F.xxhash64(F.get(chars, i - 1), c), F.lit(64)).cast("int"))
+        return F.aggregate(hashed, F.lit(0).cast("long"), lambda n, b: n.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+
+    return F.transform(F.array(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))), bits)[0]
+
+
 def _common_prefix(x: Column, y: Column) -> Column:
     """Length of the common prefix, by doubling steps."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(20))])
@@ -150,16 +165,26 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return F.transform(F.array(rest), middle)[0]
 
 
+def _bottoms(edits: int, least: int) -> tuple[Column, Column]:
+    """The lowest length of a line's range of lengths, and of the range its shorter neighbours may begin in."""
+    width, size = 4 * max(edits, 2), F.length("line")
+    low = lambda n: F.greatest(n - F.pmod(n - least, F.lit(width)), F.lit(0))
+    return low(size), low(size - edits)
+
+
+def _numbers(line: Column) -> Column:
+    """Traits and length modulo ``LENGTHS`` of a line."""
+    return traits(line).bitwiseOR(F.shiftleft(F.length(line).bitwiseAND(F.lit(LENGTHS - 1)).cast("long"), LENGTH_AT))
+
+
 def signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, s, t): the hashed windows of every different line of (a, line), and its traits, length and whether the window is shifted in one number.
 
     Windows follow from the lowest length of a range of lengths; a line whose
     possible shorter neighbours begin in the range below has that range's windows too.
     """
-    width, size = 4 * max(edits, 2), F.length("line")
-    low = lambda n: F.greatest(n - F.pmod(n - least, F.lit(width)), F.lit(0))
-    own, below = low(size), low(size - edits)
-    facts = {"t": traits(F.col("line")).bitwiseOR(F.shiftleft(size.bitwiseAND(F.lit(LENGTHS - 1)).cast("long"), LENGTH_AT))}
+    size, (own, below) = F.length("line"), _bottoms(edits, least)
+    facts = {"t": _numbers(F.col("line"))}
     moved = {}
     for name, bottom, there in (("own", own, None), ("below", below, own != below)):
         for i, back, shifts, offset, length in windows(bottom, edits):
@@ -174,16 +199,68 @@ def signatures(lines: DataFrame, edits: int, least: int) -> DataFrame:
     return each.select("a", F.explode(F.array(*marks)).alias("e")).select("a", "e.s", "e.t").where("s IS NOT NULL")
 
 
+def _stretches(key: Column, at: Column, size: Column, low: Column, edits: int) -> Column:
+    """(s, open) of every window of a line's stretch of ``size`` code points from ``at``: its hash, and the stretches beside it.
+
+    A stretch (low, at, size, edits) has at least ``low`` code points in all lines that have the window, and as many edits at most.
+    """
+    out = []
+    for i, back, shifts, offset, length in windows(low, edits):
+        for shift in shifts:
+            start = at + offset + shift + (size - low if back else F.lit(0))
+            before = (offset + shifts[0], at, start - at, F.lit(i))
+            behind = (low - offset - length - shifts[-1], start + length, at + size - start - length, F.lit(edits - i))
+            sides = [F.struct(*[F.greatest(v, F.lit(0)).cast("int").alias(n) for n, v in zip(("low", "at", "size", "edits"), side, strict=True)])
+                     for side, n in ((before, i), (behind, edits - i)) if n]
+            out.append(F.struct(F.xxhash64(key, F.lit(i), F.substring(F.col("line"), start + 1, length)).alias("s"), F.array(*sides).alias("open")))
+    return F.array(*out)
+
+
+def divided(lines: DataFrame, marks: DataFrame, hot: DataFrame, edits: int, least: int) -> DataFrame:
+    """(a, s, t, g) in place of the ``marks`` whose window is ``hot``: the window and windows beside it, until few lines share them.
+
+    Every round divides the longest stretch that a window leaves open.  Lines within ``edits`` edits share one of the
+    windows there in every round, so that none of their links is lost.
+    """
+    spark = lines.sparkSession
+    named = stored(marks.join(hot, "s", "left_semi").select("a").distinct(), "hot_names")
+    texts = lines.join(named, "a", "left_semi").groupBy("a").agg(F.first("line").alias("line"))
+    texts = stored(texts.withColumn("g", pair_bits(F.col("line"))), "hot_lines")
+    size, (own, below) = F.length("line"), _bottoms(edits, least)
+    whole = lambda bottom: _stretches(bottom, F.lit(0), size, bottom, edits)
+    windowed = texts.select("a", _numbers(F.col("line")).alias("t"), F.explode(F.when(own == below, whole(own)).otherwise(F.concat(whole(own), whole(below)))).alias("e"))
+    state = stored(windowed.select("a", "e.s", "t", "e.open").join(hot, "s", "left_semi"), "hot_0")
+    folder, round_, longest = fresh_path(spark, "divided"), 0, F.array_max(F.transform("open", lambda o, i: F.struct(o["low"], -i)))
+    while True:
+        big = stored(state.where(longest["low"] >= PIECE).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("s"), f"hot_windows_{round_}")
+        state.join(big, "s", "left_anti").select("a", "s", "t").write.parquet(f"{folder}/round={round_}")  # one growing folder
+        if big.isEmpty():
+            return spark.read.schema("a long, s long, t long").parquet(folder).join(texts.select("a", "g"), "a").select("a", "s", "t", "g")
+        picked = state.join(big, "s", "left_semi").withColumn("p", -longest["col2"])
+        picked = picked.select("a", "s", "t", F.get("open", F.col("p")).alias("o"), F.filter("open", lambda o, i: i != F.col("p")).alias("rest"))
+        each = F.lit(None)
+        for n in range(1, edits + 1):
+            each = F.when(F.col("o.edits") == n, _stretches(F.col("s"), F.col("o.at"), F.col("o.size"), F.col("o.low"), n)).otherwise(each)
+        parts = picked.join(texts, "a").select("a", "t", "rest", F.explode(each).alias("e"))
+        round_ += 1
+        state = stored(parts.select("a", "e.s", "t", F.concat("rest", "e.open").alias("open")).distinct(), f"hot_{round_}")
+
+
 def line_links(lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(a, b, ahead): hashes of different lines within ``edits`` edits, from rows (a, line), a < b, and whether a's digest is the smaller one."""
-    marks = signatures(lines, edits, least)
-    one = marks.select("s", F.col("a").alias("x"), F.col("t").alias("tx"))
-    other = marks.select("s", F.col("a").alias("y"), F.col("t").alias("ty"))
+    marks = stored(signatures(lines, edits, least), "line_marks")
+    hot = stored(marks.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("s"), "hot_windows")
+    marks, all_ = marks.withColumn("g", F.lit(0).cast("long")), marks
+    if not hot.isEmpty():
+        marks = marks.join(hot, "s", "left_anti").select("a", "s", "t", "g").unionByName(divided(lines, all_, hot, edits, least))
+    one = marks.select("s", F.col("a").alias("x"), F.col("t").alias("tx"), F.col("g").alias("gx"))
+    other = marks.select("s", F.col("a").alias("y"), F.col("t").alias("ty"), F.col("g").alias("gy"))
     # windows at their place meet once, a shifted one meets those at their place; conditions on both sides, so that one exchange serves both
     shifted = lambda t: F.shiftright(t, SHIFTED_AT)
     once = (shifted(F.col("tx")) + shifted(F.col("ty")) == F.lit(0)) & (F.col("x") < F.col("y")) | (shifted(F.col("tx")) < shifted(F.col("ty"))) & (F.col("x") != F.col("y"))
     apart = (F.shiftright("tx", LENGTH_AT) - F.shiftright("ty", LENGTH_AT) + edits).bitwiseAND(F.lit(LENGTHS - 1))
-    hits = one.join(other, "s").where(once & (apart <= 2 * edits) & may_match(F.col("tx"), F.col("ty"), edits))
+    flipped = F.bit_count(F.col("gx").bitwiseXOR(F.col("gy")))
+    hits = one.join(other, "s").where(once & (apart <= 2 * edits) & may_match(F.col("tx"), F.col("ty"), edits) & (flipped <= 4 * edits))
     pairs = stored(hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "line_pairs")
     # texts of the lines in pairs only; as a table their size is known, so that few are broadcast and no other text is exchanged
     named = stored(pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "line_names")

@@ -159,3 +159,37 @@ def test_few_numbers_a_line_are_exchanged(spark):
     assert {t for _, t in marks.dtypes} == {"bigint"} and marks.count() == 64 * 4 * 10 // 8
     above, exchange, _ = marks._jdf.queryExecution().executedPlan().toString().partition("Exchange")
     assert exchange and "line#" not in above
+
+
+def test_divided_windows_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    rng = random.Random(10)
+    base = ["".join(rng.choice("abé😀 ") for _ in range(n)) for n in (24, 37, 60)]
+    texts = sorted({edit(rng, x, rng.randrange(5)) for x in base for _ in range(20)})
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "a long, line string")
+    pairs = {(i, j): d for i, j in itertools.combinations(range(len(texts)), 2) if (d := distance(texts[i], texts[j])) <= 4}
+    got = [(r.a, r.b) for r in line_dedup.line_links(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == {p for p, d in pairs.items() if d <= 2}
+
+
+def test_copies_with_many_edits_are_not_all_paired(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.sample("abcdefghijklmnop", 8)) for _ in range(40)]
+    texts = []
+    for _ in range(300):  # four words reversed in each: equal letters, far more than two edits apart
+        turned = set(rng.sample(range(40), 4))
+        texts.append(" ".join(w[::-1] if i in turned else w for i, w in enumerate(words)))
+    texts = list(dict.fromkeys(texts))
+    n = len(texts)
+    texts += [texts[0] + "x", texts[1][:150] + texts[1][151:]]
+    made, real = {}, line_dedup.stored
+
+    def counted(df, name, *partition_by):
+        out = real(df, name, *partition_by)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "a long, line string")
+    assert sorted((r.a, r.b) for r in line_dedup.line_links(rows).collect()) == [(0, n), (1, n + 1)]
+    assert made["line_pairs"] < 1000
